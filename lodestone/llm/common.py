@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.session import ship
+
 #: Documents go to Python in Arrow batches of at most so many rows, and so many bytes where Spark
 #: supports a byte bound; either keeps a worker's memory flat when texts are long.
 ARROW_ROWS = 1000
@@ -38,6 +40,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """To be called before Python work on texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import bpe, url_filter
 
 QUERIES = {
+    "op2_bpe": bpe.query,
     "op7_url_filter": url_filter.query,
 }
 
