@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, url_filter
+from . import bpe, packing, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.query,
+    "op8_packing": packing.query,
     "op7_url_filter": url_filter.query,
 }
 
