@@ -52,3 +52,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def clean_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them has ended, where Spark can do that."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
