@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, repair, simhash, substring, url_filter
+from . import bpe, knn, packing, repair, simhash, substring, url_filter
 
 QUERIES = {
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
+    "op4_knn": knn.query,
     "op5_substring": substring.query,
     "op7_url_filter": url_filter.query,
     "op8_packing": packing.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_knn": knn.SQL,
     "op7_url_filter": url_filter.SQL,
 }
