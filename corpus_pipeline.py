@@ -1,19 +1,66 @@
-"""A corpus pipeline of the operators in ``lodestone.llm``; see STAGES."""
+"""A corpus pipeline of the operators in ``lodestone.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given; its result is written as Parquet and
+read again as the next one's docs.  All but the last return the columns of documents.  Rows with null or
+repeated ids, null, empty and very long texts and extra columns pass through every stage by the rules of its operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import packing, simhash, substring, toxicity
+from lodestone.llm.common import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled rows of the whole documents table."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the group's smallest id.
+
+    Rows with a null id stay; of rows that repeat the smallest id each stays.
+    """
+    groups = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+
 
-STAGES: list = []
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier go from the texts; documents of which nothing is left go whole.
+
+    Empty and null texts lose nothing and stay.  n_chars follows the text.
+    """
+    found = substring.without_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    values = {"text": text} | ({"n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("best-fit packing", pack_sequences),
+]
+
+#: A trained classifier, fingerprints and a tokenizer: SQL can't express the stages; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents, each result written and read again."""
-    from lodestone.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{i}")

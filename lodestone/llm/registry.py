@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, packing, repair, simhash, substring, url_filter
+from . import bpe, knn, licenses, media, packing, repair, simhash, substring, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_bpe": bpe.query,
     "op3_simhash": simhash.query,
     "op4_knn": knn.query,
     "op5_substring": substring.query,
+    "op6_media": media.query,
     "op7_url_filter": url_filter.query,
     "op8_packing": packing.query,
+    "op9_licenses": licenses.query,
     "op10_repair": repair.query,
 }
 
