@@ -34,6 +34,7 @@ SAMPLE, SAMPLE_WORDS = 12_000, 12_000_000
 #: Buckets with an embedding are those that so many training texts use.
 LEAST_TEXTS = 5
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.01, 1e-4
+START = 0.3
 CALIBRATION = 5  # one in so many labelled texts
 
 #: Frequent function words that tell the languages of the corpus apart.
@@ -145,10 +146,16 @@ def sigmoid(x):
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Adam on the log loss; ``texts`` are buckets.  Of each filter only the winning words get a gradient."""
     rng = np.random.default_rng(seed)
-    seen = np.zeros(BUCKETS, np.int64)
-    for h in texts:
-        seen[np.unique(h)] += 1
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for h, y in zip(texts, labels.tolist(), strict=True):
+        own = np.unique(h)
+        seen[own] += 1
+        if y:
+            toxic[own] += 1
     used = np.flatnonzero(seen >= LEAST_TEXTS)
+    ones = labels.sum()
+    ratio = np.log((toxic[used] + 0.5) / (ones + 1)) - np.log((seen[used] - toxic[used] + 0.5) / (len(labels) - ones + 1))
+    weight = ratio * seen[used] / (seen[used] + LEAST_TEXTS)
     rows = np.zeros(BUCKETS, np.int32)
     rows[used] = np.arange(1, len(used) + 1)
     gap = np.zeros(PAD, np.int64)
@@ -158,6 +165,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     p = {"b": np.zeros(total), "w": rng.normal(0, 0.3, total), "c": np.array([np.log(share / (1 - share))])}
     p |= {f"f{w}": rng.normal(0, 0.5 / np.sqrt(w), (w, DIM, FILTERS)) for w in WIDTHS}
     e = rng.normal(0, 0.1, (len(used) + 1, DIM)).astype(np.float32)
+    # the first component begins at the bucket's log odds of the label, and half of the filters look for it
+    e[1:, 0] = START * weight
+    for w in WIDTHS:
+        p[f"f{w}"][:, 0, : FILTERS // 2] = 1
+    p["w"] = np.where(np.arange(total) % FILTERS < FILTERS // 2, np.abs(p["w"]), p["w"])
     e[0] = 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (p | {"e": e}).items()}
     step = 0
@@ -237,7 +249,7 @@ class Scorer:
 
 
 def threshold(odds: np.ndarray, labels: np.ndarray) -> float:
-    """The log odds that part the labels with the best F1."""
+    """The log odds that part the labels with the best F1, drawn towards zero where few labels tell it."""
     if not len(odds) or labels.min() == labels.max():
         return 0.0
     order = np.argsort(-odds)
@@ -245,7 +257,8 @@ def threshold(odds: np.ndarray, labels: np.ndarray) -> float:
     hits = np.cumsum(labels)
     f1 = 2 * hits / (np.arange(1, len(odds) + 1) + labels.sum())
     i = int(f1.argmax())
-    return float(odds[i] if i + 1 == len(odds) else (odds[i] + odds[i + 1]) / 2)
+    best = odds[i] if i + 1 == len(odds) else (odds[i] + odds[i + 1]) / 2
+    return float(best * labels.sum() / (labels.sum() + 20))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
