@@ -1,6 +1,368 @@
-"""Queries by name, each over the tables of a folder, with SQL that gives the same rows."""
+"""Queries by name, each over whole tables of a folder, and SQL (DuckDB) that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as t
+from lodestone.functions import vectors as v
+from lodestone.functions.embedding import Hashing, embedded
+from lodestone.operators import ann, chunking, incremental, knn, summaries
+from lodestone.plans.config import IndexConfig
+from lodestone.session import ship
+from lodestone.sources import extract, scan
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+K = 10
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """Every hundredth vector, by id, asks for its neighbours."""
+    return rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def nearest_sql(distance: str) -> str:
+    return f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(distance, 6) AS distance FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, {distance} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {distance}, e.vec_id) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= {K}"""
+
+
+A, B = "CAST(e.embedding AS DOUBLE[])", "CAST(q.embedding AS DOUBLE[])"
+COSINE, L2 = f"(1 - list_cosine_similarity({A}, {B}))", f"(list_distance({A}, {B}) ^ 2)"
+
+
+@query(nearest_sql(COSINE))
+def knn_exact(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return knn.knn(rows, asked(rows), K).withColumn("distance", F.round("distance", 6))
+
+
+@query(nearest_sql(L2))
+def knn_topk(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return knn.knn(rows, asked(rows), K, "l2").withColumn("distance", F.round("distance", 6))
+
+
+def against_first(spark, sf, f) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    first = rows.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    return rows.join(F.broadcast(first)).select("vec_id", F.round(f(F.col("embedding"), F.col("q")), 6).alias("distance"))
+
+
+FIRST = "FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"
+
+
+@query(f"SELECT e.vec_id, round({COSINE}, 6) AS distance {FIRST}")
+def cosine_distance(spark, sf):
+    return against_first(spark, sf, v.cosine_distance)
+
+
+@query(f"SELECT e.vec_id, round({L2}, 6) AS distance {FIRST}")
+def l2_squared(spark, sf):
+    return against_first(spark, sf, v.l2_squared)
+
+
+@query("""
+SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n)), 6) AS total, round(sqrt(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / n) ^ 2))), 6) AS length
+FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ^ 2))) AS n FROM embeddings)""")
+def l2_normalize(spark, sf):
+    unit = table(spark, sf, "embeddings").select("vec_id", v.l2_normalize(F.col("embedding")).alias("u"))
+    return unit.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(v.norm(F.col("u")), 6).alias("length"))
+
+
+@query("SELECT vec_id, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0, false) AS valid FROM embeddings")
+def vec_validity(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", v.is_valid(F.col("embedding"), 64).alias("valid"))
+
+
+@query("SELECT label, count(*) AS n, max(len(embedding)) AS dim, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label")
+def index_stats(spark, sf):
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).cast("long").alias("dim"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
+
+
+def small_world(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    config = IndexConfig(dim=rows.select(F.size("embedding")).first()[0], ef_construction=100)
+    return rows, ann.build(rows, config), config
+
+
+@query()
+def ann_search(spark, sf):
+    rows, graph, config = small_world(spark, sf)
+    return ann.search(graph, asked(rows), K, config).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def ann_stats(spark, sf):
+    return ann.stats(small_world(spark, sf)[1])
+
+
+@query()
+def recall_at_k(spark, sf):
+    rows, graph, config = small_world(spark, sf)
+    found = ann.search(graph, asked(rows), K, config).withColumnRenamed("id", "vec_id")
+    return knn.recall_at_k(found, knn.knn(rows, asked(rows), K), K).select("query_id", F.round("recall", 6).alias("recall"))
+
+
+@query()
+def semantic_search(spark, sf):
+    make, dim = Hashing(384), 384
+    docs = embedded(table(spark, sf, "documents").select("doc_id", "text"), make, dim).select("doc_id", "vector")
+    asked_ = embedded(table(spark, sf, "benchmark"), make, dim).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
+    found = knn.knn(docs, asked_, 5, "cosine", "doc_id", "vector")
+    return found.select("query_id", "rank", "doc_id", F.round(1 - F.col("distance"), 6).alias("score"))
+
+
+WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"SELECT doc_id, CAST({WORDS} AS INTEGER) AS words FROM documents")
+def word_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.word_count(F.col("text")).alias("words"))
+
+
+@query(f"SELECT conv_id, count(*) AS units, CAST(sum({WORDS}) AS BIGINT) AS total_words, CAST(sum(length(text)) AS BIGINT) AS total_chars FROM conversations GROUP BY conv_id")
+def doc_totals(spark, sf):
+    return summaries.doc_totals(table(spark, sf, "conversations"), "conv_id")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS successful, count(*) FILTER (quality IS DISTINCT FROM 1) AS failed FROM labels")
+def status_counts(spark, sf):
+    return summaries.status_counts(table(spark, sf, "labels").withColumn("success", F.col("quality") == 1))
+
+
+@query("SELECT conv_id, string_agg(text, E'\\n\\n' ORDER BY turn) AS full_text FROM conversations GROUP BY conv_id")
+def full_text(spark, sf):
+    return summaries.full_text(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, E'\\n' ORDER BY turn) AS full_text FROM conversations GROUP BY conv_id")
+def conversation_doc(spark, sf):
+    turns = table(spark, sf, "conversations").withColumn("text", F.concat("role", F.lit(": "), "text"))
+    return summaries.full_text(turns, "conv_id", "turn", join="\n")
+
+
+BLANKS = "E' \\t\\x0B\\x0C\\r'"
+
+
+def normal_sql(column: str, line: str) -> str:
+    plain = f"regexp_replace(translate(nfc_normalize({column}), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279), ' '), '\\r\\n?', chr(10), 'g')"
+    lines = f"array_to_string(list_transform(string_split({plain}, chr(10)), lambda x: {line}), chr(10))"
+    return f"trim(regexp_replace({lines}, '\\n{{4,}}', E'\\n\\n\\n', 'g'), E' \\t\\n\\r')"
+
+
+@query(f"SELECT doc_id, {normal_sql('text', f'trim(x, {BLANKS})')} AS text FROM documents")
+def normalise_text(spark, sf):
+    ship(spark)
+    return table(spark, sf, "documents").select("doc_id", t.normalise(F.col("text")).alias("text"))
+
+
+@query(f"SELECT page_id, {normal_sql('html', f'rtrim(x, {BLANKS})')} AS text FROM pages")
+def normalise_code(spark, sf):
+    ship(spark)
+    return table(spark, sf, "pages").select("page_id", t.normalise_code(F.col("html")).alias("text"))
+
+
+@query(f"SELECT doc_id, length(text) AS chars FROM (SELECT doc_id, substr({normal_sql('text', f'trim(x, {BLANKS})')}, 1, 5000000) AS text FROM documents) WHERE length(text) >= 3")
+def unit_filter(spark, sf):
+    ship(spark)
+    rows = table(spark, sf, "documents").select("doc_id", F.substring(t.normalise(F.col("text")), 1, t.LONGEST).alias("text"))
+    return rows.where(F.length("text") >= t.SHORTEST).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents")
+def encoding_fallback(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.decoded(F.col("text").cast("binary")).alias("text"))
+
+
+# The lower-case rule of sentence splitting changes nothing in these tables and is left to the tests.
+CUT = "regexp_replace(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(31) || '\\2', 'g'), '\\n\\s*\\n\\s*(\\S)', chr(10) || chr(31) || '\\1', 'g')"
+SENTENCES = f"list_filter(list_transform(string_split({CUT}, chr(31)), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS position, unnest(s) AS sentence FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
+def split_sentences(spark, sf):
+    ship(spark)
+    cut = F.pandas_udf(lambda s: s.map(chunking.sentences), "array<string>")
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("position", "sentence"))
+
+
+def chunks_of(rows: DataFrame, id_col: str, category: str) -> DataFrame:
+    units = rows.withColumn("format_category", F.lit(category)).withColumn("unit", F.lit(0))
+    made = chunking.chunked(units, count=None).select(id_col, F.posexplode("chunks").alias("chunk_index", "c"))
+    return made.select(id_col, "chunk_index", F.col("c.text").alias("text"))
+
+
+def fold_sql(id_col: str, source: str, units: str, state: str, add: str, close: str, empty: str, n: str) -> str:
+    """A fold over a list of units; ``a`` is {out, held}, ``u`` the unit."""
+    step = f"CASE WHEN {n} > 0 AND {n} + len(u.w) > 120 THEN {{'out': list_append(a.out, {close}), 'held': {state}}} ELSE {{'out': a.out, 'held': {add}}} END"
+    return f"""
+SELECT {id_col}, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index, unnest(chunks) AS text FROM (
+  SELECT {id_col}, CASE WHEN len(a.held) > 0 THEN list_append(a.out, {close}) ELSE a.out END AS chunks FROM (
+    SELECT {id_col}, list_reduce(list_filter(list_transform({units}, lambda x: {{'t': x, 'w': list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')}}), lambda x: len(x.w) > 0), lambda a, u: {step}, {{'out': CAST([] AS VARCHAR[]), 'held': CAST([] AS {empty})}}) AS a
+    FROM {source}))"""
+
+
+@query(fold_sql("doc_id", "documents", SENTENCES, "list_concat(CASE WHEN len(a.held) > 30 THEN a.held[-30:] ELSE [] END, u.w)", "list_concat(a.held, u.w)", "array_to_string(a.held, ' ')", "VARCHAR[]", "len(a.held)"))
+def chunk_sentences(spark, sf):
+    return chunks_of(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "plain_text")
+
+
+BLOCKS = "list_filter(list_transform(regexp_split_to_array(html, '\\n\\s*\\n'), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '')"
+LAST = "CASE WHEN len(a.held[-1].w) <= 30 THEN a.held[-1] ELSE {'t': array_to_string(a.held[-1].w[-30:], ' '), 'w': a.held[-1].w[-30:]} END"
+HELD = "coalesce(list_sum(list_transform(a.held, lambda y: len(y.w))), 0)"
+JOINED = "array_to_string(list_transform(a.held, lambda y: y.t), {0})"
+
+
+@query(fold_sql("page_id", "pages", BLOCKS, f"[{LAST}, u]", "list_append(a.held, u)", JOINED.format("E'\\n\\n'"), "STRUCT(t VARCHAR, w VARCHAR[])[]", HELD))
+def chunk_code_blocks(spark, sf):
+    return chunks_of(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")), "page_id", "source_code")
+
+
+LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '')"
+
+
+@query(fold_sql("doc_id", "documents", LINES, "[u]", "list_append(a.held, u)", JOINED.format("chr(10)"), "STRUCT(t VARCHAR, w VARCHAR[])[]", HELD))
+def chunk_rows(spark, sf):
+    return chunks_of(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "spreadsheet")
+
+
+@query()
+def token_guard(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text").withColumn("unit", F.lit(0))
+    made = chunking.exploded(chunking.chunked(rows).drop("text"), ["doc_id"], "unit")
+    return made.select("doc_id", "chunk_index", F.md5("chunk_text").alias("md5"), "word_count", "token_count")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_id, doc_id FROM documents")
+def assign_chunk_ids(spark, sf):
+    return incremental.numbered(table(spark, sf, "documents").select("doc_id"), ["doc_id"]).select("chunk_id", "doc_id")
+
+
+SHEETS = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "supplier": ("s_suppkey", "s_name", "s_nationkey")}
+
+
+def sheet_sql(name: str, columns) -> str:
+    parts = ", ".join(f"CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN '{c}: ' || trim(CAST({c} AS VARCHAR)) END" for c in columns)
+    return f"SELECT '{name}' AS sheet, CAST({columns[0]} AS BIGINT) AS id, concat_ws(' | ', {parts}) AS line FROM {name}"
+
+
+@query(" UNION ALL ".join(sheet_sql(n, c) for n, c in SHEETS.items()))
+def linearize_rows(spark, sf):
+    parts = [table(spark, sf, n).select(F.lit(n).alias("sheet"), F.col(c[0]).cast("long").alias("id"), t.linearized(list(c)).alias("line")) for n, c in SHEETS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages")
+def html_strip_regex(spark, sf):
+    return table(spark, sf, "pages").select("page_id", t.strip_tags(F.col("html")).alias("text"))
+
+
+@query()
+def html_text(spark, sf):
+    ship(spark)
+    read = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else extract.normalised(extract.page_text(x))), "string")
+    return table(spark, sf, "pages").select("page_id", read("html").alias("text"))
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def md5_fingerprint(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents GROUP BY md5(text)")
+def dedup_first(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("md5"))
+    return summaries.first_of(rows, F.col("md5"), "doc_id")
+
+
+NAME = "regexp_extract(regexp_replace(url, '[?#].*', ''), '[^/]*$')"
+CASES = " ".join(f"WHEN lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) IN ({', '.join(repr(e) for e in es)}) THEN '{c}'" for c, es in scan.CATEGORIES.items())
+
+
+@query(f"SELECT page_id, lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1)) AS extension, CASE {CASES} END AS format_category FROM pages")
+def ext_category(spark, sf):
+    known = F.create_map(*[F.lit(x) for pair in scan.CATEGORY_OF.items() for x in pair])
+    rows = table(spark, sf, "pages").select("page_id", t.extension(F.regexp_replace("url", "[?#].*", "")).alias("extension"))
+    return rows.select("page_id", "extension", F.try_element_at(known, F.col("extension")).alias("format_category"))
+
+
+@query("""
+SELECT CASE WHEN n_chars > 2000 THEN 'skipped' ELSE 'accepted' END AS status, CASE WHEN n_chars > 2000 THEN 'exceeds_size_limit' END AS reason, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes
+FROM documents GROUP BY ALL""")
+def scan_summary(spark, sf):
+    large = F.col("n_chars") > 2000
+    log = table(spark, sf, "documents").select(F.when(large, "skipped").otherwise("accepted").alias("status"), F.when(large, "exceeds_size_limit").alias("reason"), F.col("n_chars").alias("size_bytes"))
+    return summaries.scan_summary(log)
+
+
+@query("""
+SELECT doc_id, CASE WHEN n < 1024 THEN format('{:.1f} B', n) WHEN n < 1024^2 THEN format('{:.1f} KB', n / 1024) WHEN n < 1024^3 THEN format('{:.1f} MB', n / 1024^2) ELSE format('{:.1f} GB', n / 1024^3) END AS size
+FROM (SELECT doc_id, CAST(strlen(text) * 731 AS DOUBLE) AS n FROM documents)""")
+def human_bytes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", t.human_bytes(F.octet_length("text") * 731).alias("size"))
+
+
+OLD = "SELECT doc_id, CASE WHEN lang = 'es' THEN upper(text) ELSE text END AS text FROM documents WHERE lang <> 'de'"
+NEW = "SELECT doc_id, text FROM documents WHERE lang <> 'fr'"
+
+
+def versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Before: no German yet, Spanish in capitals.  After: the French is gone."""
+    docs = table(spark, sf, "documents")
+    old = docs.where("lang <> 'de'").select("doc_id", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return old, docs.where("lang <> 'fr'").select("doc_id", "text")
+
+
+STATUS = f"""SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, n.text, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.text = n.text THEN 'unchanged' ELSE 'changed' END AS status
+FROM ({OLD}) o FULL JOIN ({NEW}) n ON o.doc_id = n.doc_id"""
+
+
+@query(f"SELECT doc_id, status FROM ({STATUS})")
+def incremental_diff(spark, sf):
+    return incremental.diff(*versions(spark, sf), ("doc_id",))
+
+
+@query(f"""
+WITH old AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_id, doc_id FROM ({OLD})), s AS ({STATUS})
+SELECT chunk_id, doc_id FROM old JOIN s USING (doc_id) WHERE status = 'unchanged'
+UNION ALL SELECT row_number() OVER (ORDER BY doc_id) + (SELECT max(chunk_id) FROM old) AS chunk_id, doc_id FROM s WHERE status IN ('added', 'changed')""")
+def incremental_merge(spark, sf):
+    old, new = versions(spark, sf)
+    return incremental.merge(incremental.numbered(old, ["doc_id"]), new, ("doc_id",)).select("chunk_id", "doc_id")
+
+
+@query("""
+WITH old AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS chunk_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+changed AS (SELECT c.conv_id, c.turn, c.text FROM conversations c LEFT JOIN old o USING (conv_id, turn) WHERE o.conv_id IS NULL OR o.text <> c.text)
+SELECT chunk_id, conv_id AS source_file, turn AS source_chunk_index, md5(text) AS md5 FROM old
+UNION ALL SELECT row_number() OVER (ORDER BY conv_id, turn) + (SELECT max(chunk_id) FROM old), conv_id, turn, md5(text) FROM changed""")
+def incremental_append(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("source_file"), F.col("turn").alias("source_chunk_index"), "role", "text")
+    key = ["source_file", "source_chunk_index"]
+    old = incremental.numbered(rows.where("role = 'user'").drop("role"), key)
+    merged = incremental.appended(old, rows.drop("role"), order=tuple(key))[1]
+    return merged.select("chunk_id", *key, F.md5("text").alias("md5"))
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NOT NULL")
+def embed_batch(spark, sf):
+    rows = embedded(table(spark, sf, "documents").select("doc_id", "text"), Hashing(384), 384)
+    return rows.where((F.size("vector") == 384) & F.col("text").isNotNull()).select("doc_id")
