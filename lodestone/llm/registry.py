@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_knn": knn.SQL,
+    "op5_substring": substring.SQL,
     "op7_url_filter": url_filter.SQL,
 }

@@ -242,3 +242,21 @@ def same_row(start: np.ndarray, c: np.ndarray, hashes: np.ndarray, k: int) -> tu
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
+
+
+_NEXT = ", ".join(["w", *(f"lead(w, {i}) OVER o" for i in range(1, WINDOW))])
+
+SQL = f"""
+WITH lists AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM lists),
+windows AS (SELECT doc_id, pos, md5(concat_ws(' ', {_NEXT})) AS k FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos) QUALIFY pos <= n - {WINDOW - 1}),
+edges AS (SELECT doc_id, pos, first_value(doc_id) OVER e AS src, first_value(pos) OVER e AS src_pos, row_number() OVER e > 1 AS later FROM windows WINDOW e AS (PARTITION BY k ORDER BY doc_id, pos)),
+marked AS (
+  SELECT w.doc_id, w.w, w.pos, coalesce(e.later, false) AS later,
+         coalesce(e.later, false) AND NOT coalesce(lag(e.later) OVER o AND lag(e.src) OVER o = e.src AND lag(e.src_pos) OVER o = e.src_pos - 1, false) AS opens
+  FROM words w LEFT JOIN edges e USING (doc_id, pos) WINDOW o AS (PARTITION BY w.doc_id ORDER BY w.pos)),
+covered AS (SELECT *, max(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+found AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS kept, count(*) FILTER (opens) AS n_spans FROM covered GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_spans, 0) AS INTEGER) AS n_spans
+FROM lists LEFT JOIN found USING (doc_id)
+"""
