@@ -8,15 +8,45 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .memo import Memo
+from .memo import UNSAFE
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
-#: Separators to ``str.split`` that the vocabularies' patterns take for symbols.
-ODD = re.compile("[\x1c-\x1f]")
+
+#: A word of plain Latin letters, maybe with one mark after it: these are one or two pre-tokens in either
+#: vocabulary, which its merge model takes as they stand.
+PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([,.;:!?]?)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin-1 code of each byte -> the letter that stands for it in byte-level vocabularies.
+
+    Printable bytes stand for themselves, others for the letters from 256 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordMemo(dict):
+    """word -> ids, encoded when first met; emptied when it holds about ``limit`` bytes."""
+
+    def __init__(self, encode, prefix: str, limit: int = 256 << 20):
+        super().__init__()
+        self.encode, self.prefix, self.limit, self.held = encode, prefix, limit, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+        self[word] = ids = self.encode(self.prefix + word)
+        self.held += 200 + 2 * len(word) + len(ids)
+        return ids
 
 
 class Tokens:
@@ -27,7 +57,30 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.memo = Memo(self.direct)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks = {m: self.direct([m])[0] for m in (*",.;:!?", "\n")} | {"": b""}
+        self.memo = WordMemo(self.word, " " if keeps_space else "")
+        self.heads = WordMemo(self.word, "", 8 << 20)
+
+    def plain(self, text: str) -> bytes | None:
+        """Ids of a plain word, by the merge model alone; None for other texts."""
+        m = PLAIN.fullmatch(text)
+        if not m:
+            return None
+        word = m[1] + m[2] if self.keeps_space else m[2].lower()
+        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return b"".join([i.to_bytes(4, "little") for i in ids]) + self.marks[m[3]]
+
+    def word(self, text: str) -> bytes:
+        """Ids of a text without spaces but for one in front."""
+        if not text:
+            return b""
+        if "\n" in text and self.keeps_space:  # a line end between two words is a pre-token of its own
+            parts = [self.plain(x) for x in text.split("\n")]
+            ids = None if None in parts else self.marks["\n"].join(parts)
+        else:
+            ids = self.plain(text)
+        return self.direct([text])[0] if ids is None else ids
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -35,16 +88,41 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as the library gives them for the whole text."""
-        if self.keeps_space:
-            return self.memo.texts(texts)
-        parts = [None if ODD.search(t) else t.split() for t in texts]
-        seen: set[str] = set()
-        for p in parts:
-            if p:
-                seen.update(p)
-        self.memo.fill(seen, "")
-        get = self.memo.__getitem__
-        return [self.direct([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        ids, ends = self.batch(texts)
+        whole, ends = ids.tobytes(), (4 * ends).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end.
+
+        Arrow splits the texts and numbers their words, so only a batch's distinct words are looked up one by one.
+        """
+        whole = [i for i, t in enumerate(texts) if self.keeps_space and UNSAFE.search(t)]
+        entries = self.direct([texts[i] for i in whole])
+        for i in whole:
+            texts[i] = ""
+        rows = pa.array(texts, pa.large_string())
+        lists = pc.split_pattern(rows, " ") if self.keeps_space else pc.ascii_split_whitespace(rows)
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = coded.indices.to_numpy().astype(np.int64)
+        known = list(map(self.memo.__getitem__, words))
+        if self.keeps_space and len(place):
+            begins = np.concatenate([[0], ends[:-1]])
+            heads, number = np.unique(place[begins], return_inverse=True)  # a text's first word has no space before it
+            place[begins] = len(known) + number
+            known += [self.heads[words[i]] for i in heads.tolist()]
+            place[begins[whole]] = len(known) + np.arange(len(whole))
+            known += entries
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        start = np.cumsum(size) - size
+        n = size[place]
+        upto = np.cumsum(n)
+        source = np.arange(int(upto[-1]) if len(upto) else 0)
+        source += np.repeat(start[place] - (upto - n), n)
+        ids = np.frombuffer(b"".join(known), "<u4")[source]
+        return ids, np.concatenate([[0], upto])[ends]
 
 
 @lru_cache(4)
