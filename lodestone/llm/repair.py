@@ -34,7 +34,7 @@ BLOCK = 1 << 21
 ROUNDS = 12
 #: Pairs replaced in a round, and the fewest occurrences that make a pair frequent.
 RULES_A_ROUND, FREQUENT = 1024, 8
-SLOTS = 1 << 18
+SLOTS = 1 << 18  # of 64 - 46 bits
 MAGIC = b"RPR1"
 HEAD = struct.Struct("<4s5I")
 
@@ -44,27 +44,34 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     ``sizes``: ids of each document, none zero.  A rule's symbols come before its own number.
     """
-    literals, s = np.unique(ids, return_inverse=True)
-    s = s.astype(np.uint32)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        literals = np.flatnonzero(np.bincount(ids)).astype(np.uint32)
+        number = np.zeros(int(literals[-1]) + 1, np.uint64)
+        number[literals] = np.arange(len(literals))
+        s = number[ids]
+    else:
+        literals, s = np.unique(ids, return_inverse=True)
+        s = s.astype(np.uint64)
     last = np.zeros(len(s), bool)
     last[np.cumsum(sizes) - 1] = True
     rules, n = [], len(literals)
     for _ in range(ROUNDS):
         if len(s) < 2:
             break
-        a, b = s[:-1], s[1:]
-        slot = ((a * np.uint32(0x9E3779B1) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(14)).astype(np.int32)
-        inside = ~last[:-1]
-        first, second = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, np.uint32)
-        first[slot], second[slot] = a, b  # one pair for each slot; others wait for a later round
-        same = inside & (first[slot] == a) & (second[slot] == b)
+        pair = s[:-1] << np.uint64(32)
+        pair |= s[1:]
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+        held = np.zeros(SLOTS, np.uint64)
+        held[slot] = pair  # one pair for each slot; others wait for a later round
+        same = held[slot] == pair
+        same &= ~last[:-1]
         count = np.bincount(slot[same], minlength=SLOTS)
         best = np.argpartition(count, -RULES_A_ROUND)[-RULES_A_ROUND:]
         best = best[count[best] >= FREQUENT]
         if not len(best):
             break
         best = best[np.argsort(-count[best], kind="stable")]
-        rule = np.full(SLOTS, -1, np.int32)
+        rule = np.full(SLOTS, -1, np.int64)
         rule[best] = np.arange(len(best))
         at = np.flatnonzero(same & (rule[slot] >= 0))
         # of overlapping occurrences every second one of a run is replaced
@@ -73,8 +80,8 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         begin[1:] = np.diff(at) > 1
         order = np.arange(len(at))
         at = at[(order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0]
-        rules.append(np.stack([first[best], second[best]], 1))
-        s[at] = n + rule[slot[at]].astype(np.uint32)
+        rules.append(np.stack([held[best] >> np.uint64(32), held[best] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        s[at] = (n + rule[slot[at]]).view(np.uint64)
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
