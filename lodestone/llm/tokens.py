@@ -98,7 +98,7 @@ class Tokens:
         Arrow splits the texts and numbers their words, so only a batch's distinct words are looked up one by one.
         """
         whole = [i for i, t in enumerate(texts) if self.keeps_space and UNSAFE.search(t)]
-        entries = self.direct([texts[i] for i in whole])
+        entries, texts = self.direct([texts[i] for i in whole]), list(texts)
         for i in whole:
             texts[i] = ""
         rows = pa.array(texts, pa.large_string())
