@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import clean_shuffles, dropped, shuffle_partitions, small_batches, table, written
 
 WINDOW, ANCHOR = 20, 8
-#: Edges under an anchor that so many documents have are dealt out by a salt.
-HOT = 10_000
+#: An anchor with more occurrences has its edges dealt out by a salt, about so many occurrences to each.
+HOT = 4_000
 NO_ID = -(1 << 63)
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -128,7 +128,7 @@ def repeated_edges(marked: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataF
                     continue
                 w, c = edges(hashes, k)
                 many = salts[at[start]].astype(np.int64)
-                spread = xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) >> 1
+                spread = (start + (xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) >> 2)) * 0x9E3779B1 >> 20 & 0x7FFFFFFF
                 found.append((w[start].view(np.int64), c[start], (spread % many).astype(np.int32), many.astype(np.int32), np.full(len(start), doc, np.int64), start.astype(np.int32)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["w", "c", "salt", "salts", "doc", "start"])
@@ -141,7 +141,7 @@ def later_occurrences(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> Data
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     found = written(anchors(docs, k, m), "anchors")
-    often = written(found.groupBy("h").agg(F.sum("times").alias("n"), F.count("*").alias("docs")).where("n > 1").select("h", F.ceil(F.col("docs") / HOT).cast("int").alias("salts")), "repeated-anchors")
+    often = written(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "repeated-anchors")
     marks = written(found.select("h", "doc").join(often, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "salts")).alias("marks")), "marks")
     dropped(found, often)
     marked = docs.select("doc", "text").join(marks, "doc").select("doc", "text", "marks")
@@ -184,10 +184,10 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFr
     """
     spark = docs.sparkSession
     small_batches(spark)
-    clean_shuffles(spark)
     columns = docs.columns
     own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    later = later_occurrences(own.select(F.col("__doc").alias("doc"), "text"), k, m)
+    with clean_shuffles(spark):
+        later = later_occurrences(own.select(F.col("__doc").alias("doc"), "text"), k, m)
     hits = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "c", "from_doc", "from_start")).alias("__hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
