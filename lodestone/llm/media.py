@@ -1,6 +1,6 @@
 """Media payloads in archives: written as 8-bit WAV members, read back by a Spark data source.
 
-An archive is a stored (uncompressed) zip file; its central directory at the end lists members with their offsets.
+An archive is a zip file, each member deflated on its own; its central directory at the end lists members with their offsets.
 The data source ``media_archive`` plans partitions as byte ranges of archives from their sizes alone.  A
 partition reads the archive's directory, takes the members whose headers begin in its range, and streams
 their payloads as Arrow batches of bounded size.  A member that fails is read again by itself, from its
@@ -34,6 +34,7 @@ RATE = 8000
 #: Archives end at about so many bytes; partitions cover so many; batches hold so many.
 ARCHIVE, RANGE, BATCH = 128 << 20, 32 << 20, 8 << 20
 TRIES = 3
+LEVEL = 1
 
 
 def padded(data: bytes, unit: int = UNIT) -> bytes:
@@ -94,11 +95,11 @@ def write_archives(docs: DataFrame) -> DataFrame:
                     path, n = f"{uuid.uuid4().hex}.zip", 0
                     files.create_dir(root, recursive=True)
                     sink = files.open_output_stream(f"{root}/{path}")
-                    archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
+                    archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED, compresslevel=LEVEL)
                 data = (text or "").encode()
                 info = zipfile.ZipInfo(f"{n:08d}.wav", (1980, 1, 1, 0, 0, 0))
                 info.comment = json.dumps([doc, len(data)]).encode()
-                archive.writestr(info, to_media(padded(data)))
+                archive.writestr(info, to_media(padded(data)), zipfile.ZIP_DEFLATED, LEVEL)
                 n += 1
                 if sink.tell() > ARCHIVE:
                     yield close()
@@ -118,13 +119,18 @@ LOCAL_HEADER = struct.Struct("<4s5H3I2H")
 
 
 def member_at(file, info: zipfile.ZipInfo) -> bytes:
-    """One stored member's bytes, found by its offset alone and checked by its CRC."""
+    """One member's bytes, found by its offset alone and checked by its CRC."""
     file.seek(info.header_offset)
     head = LOCAL_HEADER.unpack(file.read(LOCAL_HEADER.size))
-    if head[0] != b"PK\3\4" or info.compress_type != zipfile.ZIP_STORED:
-        raise OSError(f"no stored member at {info.header_offset}")
+    if head[0] != b"PK\3\4" or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise OSError(f"no member at {info.header_offset}")
     file.seek(info.header_offset + LOCAL_HEADER.size + head[9] + head[10])
-    data = file.read(info.file_size)
+    data = file.read(info.compress_size)
+    if info.compress_type == zipfile.ZIP_DEFLATED:
+        try:
+            data = zlib.decompress(data, -zlib.MAX_WBITS, info.file_size or 1)
+        except zlib.error as e:
+            raise OSError(f"member at {info.header_offset} is damaged") from e
     if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
         raise OSError(f"member at {info.header_offset} is damaged")
     return data
