@@ -5,7 +5,7 @@ lengths to the same M, a query one that is zero: then |q - x|^2 = |q|^2 + M - 2
 scores are the nearest neighbours.  A few pivots part queries and data into cells.  Summaries of the cells (the
 smallest and largest distance from the pivot, how many vectors, and the k smallest distances) bound, for all
 queries of a cell at once, how far their k-th neighbour can be; a data cell goes to a query cell only
-if some of it may be nearer than that.  Each data cell is cut into blocks of bounded size, pairs of
+if some of it may be nearer than that.  Query cells that need much the same data are served together.  Each data cell is cut into blocks of bounded size, pairs of
 (query block, data block) are solved on their own, and the k best of each query's partial lists remain.
 """
 
@@ -69,6 +69,19 @@ def celled(rows: DataFrame, pivots: np.ndarray, top: float, lift: bool) -> DataF
     return rows.mapInPandas(run, "vec_id long, v array<long>, cell int, far double")
 
 
+def grouped(needs: dict[int, set[int]], sizes: dict[int, int], most: int = QUERY_BLOCK, alike: float = 0.7) -> list[list[int]]:
+    """Query cells that need much the same data cells together, up to ``most`` queries: their data is then sent once for all."""
+    groups: list[tuple[list[int], set[int], int]] = []
+    for i in sorted(needs, key=lambda i: (-len(needs[i]), i)):
+        for n, (own, need, size) in enumerate(groups):
+            if size + sizes[i] <= most and len(need & needs[i]) >= alike * len(need | needs[i]):
+                groups[n] = ([*own, i], need | needs[i], size + sizes[i])
+                break
+        else:
+            groups.append(([i], set(needs[i]), sizes[i]))
+    return [own for own, _, _ in groups]
+
+
 def top_k(data: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products over ``data``, ties to the smaller vec_id.
 
@@ -96,20 +109,24 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -
     cells = {r["cell"]: r for r in x.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()}
     asked = {r["cell"]: r for r in q.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     between = np.sqrt(np.maximum((pivots**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * pivots @ pivots.T, 0))
-    plan = []
+    needs = {}
     for i, a in asked.items():
         # no query of cell i has its k-th neighbour (itself apart) farther than this
         bound = np.sort(np.concatenate([between[i, j] + a["far"] + np.array(f) for j, f in nearest.items()]))
-        limit = bound[k] if len(bound) > k else np.inf
-        for j, c in cells.items():
-            if between[i, j] - a["far"] - c["far"] <= limit * (1 + 1e-9) + 1e-6 and c["near"] - between[i, j] - a["far"] <= limit * (1 + 1e-9) + 1e-6:
-                blocks, query_blocks = -(-c["n"] // block), -(-a["n"] // QUERY_BLOCK)
-                plan.append((i, j, int(blocks), int(query_blocks)))
+        limit = (bound[k] if len(bound) > k else np.inf) * (1 + 1e-9) + 1e-6
+        needs[i] = {j for j, c in cells.items() if max(between[i, j] - a["far"] - c["far"], c["near"] - between[i, j] - a["far"]) <= limit}
+    groups = grouped(needs, {i: a["n"] for i, a in asked.items()})
+    plan, member = [], []
+    for g, own in enumerate(groups):
+        member += [(i, g) for i in own]
+        query_blocks = -(-sum(asked[i]["n"] for i in own) // QUERY_BLOCK)
+        plan += [(g, j, int(-(-cells[j]["n"] // block)), int(query_blocks)) for j in set().union(*(needs[i] for i in own))]
     # blocks of a cell; at most PIVOTS^2 rows
     pairs = F.broadcast(spark.createDataFrame(plan, "query_cell int, cell int, blocks int, query_blocks int"))
     x = x.join(pairs, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     x = x.withColumn("query_block", F.explode(F.expr("sequence(0, query_blocks - 1)")))
-    q = q.withColumnRenamed("cell", "query_cell").join(pairs, "query_cell").withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.col("query_blocks")).cast("int"))
+    group_of = F.broadcast(spark.createDataFrame(member, "cell int, query_cell int"))
+    q = q.join(group_of, "cell").drop("cell").join(pairs, "query_cell").withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.col("query_blocks")).cast("int"))
     q = q.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
     key = ["query_cell", "query_block", "cell", "block"]
 
