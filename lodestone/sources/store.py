@@ -22,7 +22,7 @@ from . import vectors_bin
 VECTORS, METADATA, CONFIG, MANIFEST = "vectors.bin", "metadata.json", "config.json", "manifest.json"
 FIELDS = "chunk_id long, text string, source_file string, source_label string, format_category string, word_count int, token_count int, source_chunk_index int"
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
-MAGIC, VERSION, KIND = "ISOC", 1, 2
+MAGIC, VERSION, KIND = "LODE", 1, 2
 
 
 class NoIndex(FileNotFoundError):
