@@ -103,7 +103,6 @@ class Model:
     weights: np.ndarray  # BUCKETS x families
     bias: np.ndarray
     least: float  # probability below which a paragraph is unknown
-    cues: frozenset  # words of the templates that the unknown class hardly has
 
 
 def scaled(found: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -113,7 +112,7 @@ def scaled(found: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np
 def fit(unknown: list[list[str]], seed: int = 3) -> Model:
     """``unknown``: paragraphs of the corpus.  Those near a template are left out of the class."""
     rng = np.random.default_rng(seed)
-    prose = [w for w in unknown if w and not any(match(w, f)[0] >= COVER for f in TEMPLATES)]
+    prose = [w for w in unknown if w and not covers(w)]
     fill = [w for x in prose for w in x] or ["text"]
     found, marks = [], []
     for n, family in enumerate(FAMILIES[1:], 1):
@@ -159,12 +158,7 @@ def fit(unknown: list[list[str]], seed: int = 3) -> Model:
     # so high that of the prose kept apart at most one paragraph in ten thousand passes; a half at least
     probability = softmax(scaled([buckets(x) for x in apart], weights, bias))[:, 1:].max(1) if apart else np.zeros(1)
     least = float(min(0.95, max(0.5, np.quantile(probability, 0.9999))))
-    common = {}
-    for x in prose:
-        for word in set(x):
-            common[word] = common.get(word, 0) + 1
-    cues = frozenset(word for ts in TEMPLATES.values() for t in ts for word in words_of(t) if common.get(word, 0) <= 0.001 * len(prose))
-    return Model(weights, bias, least, cues)
+    return Model(weights, bias, least)
 
 
 def common_order(a: list[str], b: list[str]) -> int:
@@ -182,16 +176,50 @@ TEMPLATE_WORDS = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
 STRETCH = 200
 
 
-def match(words: list[str], family: str) -> tuple[float, int]:
-    """The largest part of a template that the paragraph covers in order, and which template."""
-    best = (0.0, -1)
-    for i, template in enumerate(TEMPLATE_WORDS[family]):
-        own = set(template)
-        if sum(w in own for w in set(words)) < COVER * len(own):
+#: All templates side by side in one number: a bit for each word, and one between templates that stops the carry.
+PLACES: list[tuple[str, int, int, int]] = []  # family, number in the family, first bit, words
+BITS: dict[str, int] = {}  # word -> its places in all templates
+FIELD = 0
+_at = 0
+for _family, _templates in TEMPLATE_WORDS.items():
+    for _i, _template in enumerate(_templates):
+        PLACES.append((_family, _i, _at, len(_template)))
+        for _j, _word in enumerate(_template, _at):
+            BITS[_word] = BITS.get(_word, 0) | 1 << _j
+            FIELD |= 1 << _j
+        _at += len(_template) + 1
+#: No template is covered by fewer of its words.
+FEWEST = min(n for *_, size in PLACES for n in range(size + 1) if n / size >= COVER)
+
+
+def in_order(marks: list[int]) -> int:
+    """The bits that ``common_order`` counts, for all templates at once.  ``marks``: BITS of words in their order."""
+    v = FIELD
+    for m in marks:
+        u = v & m
+        v = (v + u | v - u) & FIELD
+    return FIELD & ~v
+
+
+def covers(words: list[str]) -> dict[tuple[str, int], float]:
+    """The templates that the paragraph covers by COVER at least: (family, number) and the largest part covered in order."""
+    found = {}
+    for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
+        marks = [BITS[w] for w in words[at : at + STRETCH] if w in BITS]
+        if len(marks) < FEWEST:
             continue
-        for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
-            best = max(best, (common_order(template, words[at : at + STRETCH]) / len(template), -i))
-    return best[0], -best[1]
+        bits = in_order(marks)
+        for family, i, first, size in PLACES:
+            part = (bits >> first & (1 << size) - 1).bit_count() / size
+            if part >= COVER:
+                found[family, i] = max(part, found.get((family, i), 0.0))
+    return found
+
+
+def match(words: list[str], family: str) -> tuple[float, int]:
+    """The largest part of a template that the paragraph covers in order, and which template; (0, -1) below COVER."""
+    part, i = max(((part, -i) for (f, i), part in covers(words).items() if f == family), default=(0.0, 1))
+    return part, -i
 
 
 class Scanner:
@@ -211,12 +239,11 @@ class Scanner:
     def text(self, text: str | None) -> tuple[int, list[tuple]]:
         """Number of paragraphs; (family, probability, cover, start character, end) of each notice."""
         hits, n, at = [], 0, 0
-        cues = self.model.cues
         for line in (text or "").split("\n"):
             if line and not line.isspace():
                 n += 1
                 words = words_of(line)
-                if not cues.isdisjoint(words):  # no template word, no template: the confirmation would fail
+                if covers(words):  # else the confirmation would fail, whatever the classifier says
                     key = " ".join(words)
                     if key not in self.found:
                         if len(self.found) > 50_000:

@@ -94,6 +94,33 @@ def test_license_order():
     assert licenses.match(licenses.words_of(long), "mit")[0] == 1.0
 
 
+def test_license_words_common_in_the_corpus():
+    # talk of licences that covers no template: each word of the notices is frequent in the unknown class
+    words = sorted({w for t in ("mit", "all-rights-reserved", "bsd") for x in licenses.TEMPLATE_WORDS[t] for w in x})
+    talk = [f"{prose(i, 6)} {words[i % len(words)]} {prose(i + 9000, 5)}".split() for i in range(600)]
+    scanner = licenses.Scanner(licenses.fit(talk))
+    for x, family in (("Released under the MIT License.", "mit"), ("Copyright. All rights reserved.", "all-rights-reserved"), ("Licensed under the BSD 3-Clause License.", "bsd")):
+        assert [h[0] for h in scanner.text(f"{prose(1, 20)}\n{x}")[1]] == [family]
+    assert not any(scanner.text(" ".join(t))[1] for t in talk)
+
+
+def test_license_covers():
+    r = random.Random(2)
+    words = sorted(licenses.BITS) + ["other"] * 9
+    for n in range(300):
+        family, i, _, size = r.choice(licenses.PLACES)
+        base = [w for w in licenses.TEMPLATE_WORDS[family][i] if r.random() > 0.3]
+        for _ in range(r.randint(0, 20)):
+            base.insert(r.randint(0, len(base)), r.choice(words))
+        want = {(f, j): licenses.common_order(t, base) / len(t) for f, ts in licenses.TEMPLATE_WORDS.items() for j, t in enumerate(ts)}
+        assert licenses.covers(base) == {k: v for k, v in want.items() if v >= licenses.COVER}
+    # 12 different words, but 18 of the 29 places
+    mit = licenses.TEMPLATE_WORDS["mit"][2]
+    often = [w for w in mit if mit.count(w) > 1]
+    rest = [w for w in mit if mit.count(w) == 1][: 18 - len(often)]
+    assert licenses.match([w for w in mit if w in often or w in rest], "mit") == (18 / 29, 2)
+
+
 def test_pipeline(spark, tables, tmp_path):
     docs, labels = tables
     kind = docs.drop("score", "predicted")
