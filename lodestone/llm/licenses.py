@@ -1,6 +1,7 @@
 """Licence notices by a paragraph classifier, confirmed against templates.
 
-Paragraphs (lines) are sparse word 1- and 2-grams, hashed; multinomial logistic regression, trained in
+Paragraphs are lines, and runs of lines without a blank one between them; a run is tried where its lines together
+cover a template, so notices may be wrapped.  Paragraphs are sparse word 1- and 2-grams, hashed; multinomial logistic regression, trained in
 numpy on variations of the templates and on paragraphs of the corpus as the unknown class, gives each
 licence family a probability.  The least probability that counts is calibrated on corpus paragraphs kept
 apart: below it a paragraph is unknown.  A predicted family holds only if the paragraph covers enough of one of
@@ -201,9 +202,9 @@ def in_order(marks: list[int]) -> int:
     return FIELD & ~v
 
 
-def covers(words: list[str]) -> dict[tuple[str, int], float]:
-    """The templates that the paragraph covers by COVER at least: (family, number) and the largest part covered in order."""
-    found = {}
+def reached(words: list[str]) -> list[tuple[int, str, int, float]]:
+    """(start of a stretch, family, number of the template, part covered in order) where that is COVER at least."""
+    found = []
     for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
         marks = [BITS[w] for w in words[at : at + STRETCH] if w in BITS]
         if len(marks) < FEWEST:
@@ -212,10 +213,69 @@ def covers(words: list[str]) -> dict[tuple[str, int], float]:
         for family, i, first, size in PLACES:
             part = (bits >> first & (1 << size) - 1).bit_count() / size
             if part >= COVER:
-                found[family, i] = max(part, found.get((family, i), 0.0))
+                found.append((at, family, i, part))
+    return found
+
+
+def covers(words: list[str]) -> dict[tuple[str, int], float]:
+    """The templates that the paragraph covers by COVER at least: (family, number) and the largest part covered in order."""
+    found = {}
+    for _, family, i, part in reached(words):
+        found[family, i] = max(part, found.get((family, i), 0.0))
     return found
 
 
+def windows(words: list[str], where: list[tuple[int, str, int, float]]) -> Iterator[tuple[int, int, str, int, int]]:
+    """(first word, last word, family, words covered, words of the template) of the smallest windows that cover so much.  ``where``: from ``reached``."""
+    for at, family, n, _ in where:
+        template = TEMPLATE_WORDS[family][n]
+        bits = {w: sum(1 << j for j, x in enumerate(template) if x == w) for w in template}
+        size, full = len(template), (1 << len(template)) - 1
+        marks = [(j, bits[w]) for j, w in enumerate(words[at : at + STRETCH], at) if w in bits]
+        ends = [len(words)] * (size + 1)  # of the windows that start later, by words covered
+        for s in range(len(marks) - 1, -1, -1):
+            v, level = full, 0
+            for j, m in marks[s:]:
+                u = v & m
+                v = (v + u | v - u) & full
+                if size - v.bit_count() > level:
+                    level += 1
+                    if level / size >= COVER and j < ends[level]:
+                        ends[level] = j
+                        yield marks[s][0], j, family, level, size
+
+
+def blocks(text: str | None) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """(start character, end, words) of the lines between blank lines."""
+    block, at = [], 0
+    for line in [*(text or "").split("\n"), ""]:
+        if line and not line.isspace():
+            block.append((at, at + len(line), words_of(line)))
+        elif block:
+            yield block
+            block = []
+        at += len(line) + 1
+
+
+def joined(lines: list[list[str]]) -> tuple[list[str], list[int]]:
+    """The words of all lines, and each word's line."""
+    return [w for line in lines for w in line], [i for i, line in enumerate(lines) for _ in line]
+
+
+def other_lines(text: str | None) -> list[list[str]]:
+    """The lines but those that are part of a wrapped notice: of a window that covers a template and is covered by it."""
+    kept = []
+    for block in blocks(text):
+        lines = [words for *_, words in block]
+        words, line_of = joined(lines)
+        notice = set()
+        for a, b, _, n, _ in windows(words, reached(words)):
+            if n / (b - a + 1) >= COVER:
+                notice.update(range(line_of[a], line_of[b] + 1))
+        kept += [line for i, line in enumerate(lines) if line and i not in notice]
+    return kept
+
+
 def match(words: list[str], family: str) -> tuple[float, int]:
     """The largest part of a template that the paragraph covers in order, and which template; (0, -1) below COVER."""
     part, i = max(((part, -i) for (f, i), part in covers(words).items() if f == family), default=(0.0, 1))
@@ -236,35 +296,61 @@ class Scanner:
         cover, _ = match(words, FAMILIES[n])
         return (FAMILIES[n], float(p[n]), cover) if cover >= COVER else None
 
+    def known(self, words: list[str]) -> tuple[str, float, float] | None:
+        key = " ".join(words)
+        if key not in self.found:
+            if len(self.found) > 50_000:
+                self.found.clear()
+            self.found[key] = self.paragraph(words)
+        return self.found[key]
+
+    def block(self, block: list[tuple[int, int, list[str]]]) -> list[tuple]:
+        """Notices in lines that follow each other.
+
+        The best covered goes first, then the longest template, then the fewest lines.  A word is in one notice's window only, a line in one notice of a family.
+        """
+        lines = [words for *_, words in block]
+        words, line_of = joined(lines)
+        where = reached(words)
+        tries, at = [], 0
+        for i, line in enumerate(lines):
+            # where the block covers no template, a line within one stretch can't either: the confirmation would fail, whatever the classifier says
+            if where or len(line) > STRETCH // 2:
+                tries += [(i, i, at + a, at + b, *more) for a, b, *more in windows(line, reached(line))]
+            at += len(line)
+        if len(lines) > 1:
+            tries += [(line_of[a], line_of[b], a, b, *more) for a, b, *more in windows(words, where) if line_of[a] < line_of[b]]
+        found = []
+        for i, j, a, b, family, n, size in set(tries):
+            hit = self.known([w for line in lines[i : j + 1] for w in line])
+            if hit and hit[0] == family:
+                found.append((-n / size, -size, j - i, i, j, a, b, hit))
+        taken, hits = set(), []
+        for *_, i, j, a, b, hit in sorted(found):
+            own = {*range(a, b + 1), *((hit[0], x) for x in range(i, j + 1))}
+            if taken.isdisjoint(own):
+                taken |= own
+                hits.append((*hit, block[i][0], block[j][1]))
+        return sorted(hits, key=lambda h: h[3:])
+
     def text(self, text: str | None) -> tuple[int, list[tuple]]:
-        """Number of paragraphs; (family, probability, cover, start character, end) of each notice."""
-        hits, n, at = [], 0, 0
-        for line in (text or "").split("\n"):
-            if line and not line.isspace():
-                n += 1
-                words = words_of(line)
-                if covers(words):  # else the confirmation would fail, whatever the classifier says
-                    key = " ".join(words)
-                    if key not in self.found:
-                        if len(self.found) > 50_000:
-                            self.found.clear()
-                        self.found[key] = self.paragraph(words)
-                    hit = self.found[key]
-                    if hit:
-                        hits.append((*hit, at, at + len(line)))
-            at += len(line) + 1
+        """Number of lines that aren't blank; (family, probability, cover, start character, end) of each notice."""
+        hits, n = [], 0
+        for block in blocks(text):
+            n += len(block)
+            hits += self.block(block)
         return n, hits
 
 
 def train(docs: DataFrame) -> Model:
-    """Takes the unknown class from at most SAMPLE_DOCS documents, those whose ids have the smallest hashes."""
+    """Takes the unknown class from at most SAMPLE_DOCS documents, those whose ids have the smallest hashes, without lines of wrapped notices."""
     small_batches(docs.sparkSession)
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [" ".join(words_of(x)) for t in b.column(0).to_pylist() for x in (t or "").split("\n")]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x in lines if x], pa.string())], ["line"])
+            lines = [" ".join(x) for t in b.column(0).to_pylist() for x in other_lines(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
 
     lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "line string")
     rows = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS).collect()
@@ -277,7 +363,7 @@ NOTICES = "array<struct<family: string, probability: double, cover: double, star
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, notices (family, probability, part of the template, characters from start to end) of each row.
 
-    Null and empty texts have no paragraphs.  Repeated rows and null ids stay; other columns are ignored.
+    n_paragraphs counts lines that aren't blank; a notice goes from the start of its first line to the end of its last.  Null and empty texts have no paragraphs.  Repeated rows and null ids stay; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

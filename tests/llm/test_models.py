@@ -1,6 +1,7 @@
 """The trained classifiers and the pipeline."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -104,6 +105,33 @@ def test_license_words_common_in_the_corpus():
     assert not any(scanner.text(" ".join(t))[1] for t in talk)
 
 
+@pytest.mark.parametrize(("columns", "mark"), [(70, ""), (70, "# "), (35, " * ")])
+def test_wrapped_licenses(spark, columns, mark):
+    texts = {}
+    for family, templates in licenses.TEMPLATES.items():
+        for x in templates:
+            texts[len(texts)] = family, textwrap.fill(x, columns, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False)
+    # a sample in which every notice stands wrapped, besides prose
+    df = spark.createDataFrame([(i, f"{prose(i, 12)}\n{x}\n\n{prose(i + 99, 9)}") for i, (_, x) in texts.items()] + [(i, prose(i, 12)) for i in range(1000, 1400)], "doc_id long, text string")
+    scanner = licenses.Scanner(licenses.train(df))
+    for i, (family, x) in texts.items():
+        text = f"{prose(900, 12)}\n{x}\n{prose(902, 8)}\n\n{prose(901, 9)}\n{prose(903, 9)}"
+        n, hits = scanner.text(text)
+        assert n == len(x.split("\n")) + 4 and {h[0] for h in hits} == {family}, (x, hits)
+        assert max(h[2] for h in hits) == 1.0 and any(text[h[3] : h[4]] == x for h in hits), (x, hits)
+    for i in range(200):
+        assert not scanner.text("\n".join(prose(7000 + 9 * i + j, 9) for j in range(9)))[1]
+
+
+def test_two_wrapped_licenses():
+    scanner = licenses.Scanner(licenses.fit([prose(i, 12).split() for i in range(400)]))
+    mit, gpl = (textwrap.fill(licenses.TEMPLATES[f][2 if f == "mit" else 1], 70) for f in ("mit", "gpl"))
+    hits = scanner.text(f"{mit}\n{gpl}\n{mit}")[1]
+    assert [h[0] for h in hits] == ["mit", "gpl", "mit"] and [h[2] for h in hits] == [1.0] * 3
+    # a blank line parts paragraphs
+    assert not scanner.text(mit.replace("\n", "\n\n"))[1]
+
+
 def test_license_covers():
     r = random.Random(2)
     words = sorted(licenses.BITS) + ["other"] * 9
