@@ -14,7 +14,7 @@ sources that follow each other compact into paths (start, length, source documen
 used, each of its edges is verified: the window at its coordinates must have the hash it was found by, and its source must come earlier.
 
 Frequent anchors are known with their counts, so edges under them are salted: each salt finds its own
-smallest coordinate and only these meet again.
+smallest coordinate, these meet again, and all occurrences of a salt take the smallest of its edge.
 """
 
 from __future__ import annotations
@@ -151,14 +151,16 @@ def later_occurrences(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> Data
     dealt = repeated_edges(marked, k, m).repartition(parts, *key)
     local = written(dealt.withColumn("src", first).select("*", (here != F.col("src")).alias("later")).where("later OR salts > 1"), "occurrences")
     dropped(marks)
-    # smallest coordinates of each salt of a frequent edge
-    heads = local.where("NOT later")
+    # smallest coordinates of each salt of a frequent edge, and of the whole edge where that is another; the occurrences of
+    # such a salt, its head among them, take the edge's. They meet by salt, where each has one such row at most, so that nothing is uneven.
+    heads = local.where("NOT later").select("w", "c", "salt", "doc", "start").distinct()
     source = heads.groupBy("w", "c").agg(F.min(here).alias("least"))
-    heads = heads.select("w", "c", "doc", "start").join(source, ["w", "c"]).where(here != F.col("least"))
-    columns = ["doc", "start", "c", "from_doc", "from_start"]
-    return local.where("later").select("doc", "start", "c", F.col("src.doc").alias("from_doc"), F.col("src.start").alias("from_start")).unionByName(
-        heads.select("doc", "start", "c", F.col("least.doc").alias("from_doc"), F.col("least.start").alias("from_start")).select(*columns)
-    )
+    moved = heads.join(source, ["w", "c"]).where(here != F.col("least")).select("w", "c", "salt", "least")
+    least = F.first("least").over(Window.partitionBy("w", "c", "salt").orderBy(F.col("least").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = local.where("salts > 1").unionByName(moved, allowMissingColumns=True).withColumn("least", least)
+    frequent = both.where("doc IS NOT NULL AND (later OR least IS NOT NULL)").withColumn("src", F.coalesce("least", "src"))
+    columns = ["doc", "start", "c", F.col("src.doc").alias("from_doc"), F.col("src.start").alias("from_start")]
+    return local.where("later AND salts = 1").select(*columns).unionByName(frequent.select(*columns))
 
 
 def paths(start: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray, k: int = WINDOW) -> np.ndarray:

@@ -133,6 +133,34 @@ def test_passages(docs, no_docs, hot, monkeypatch):
     assert substring.without_repeats(no_docs).count() == 0
 
 
+def test_sources_of_frequent_passages(spark, monkeypatch):
+    passage = prose(77, 50)
+    rows = awkward() + [(100 + i, f"{prose(300 + i, i % 5 + 3)} {passage} {prose(400 + i, 4)} {passage if i % 4 == 3 else ''}") for i in range(12)] + [(105, f"{prose(305, 3)} {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = {}
+    for doc, text in sorted(((substring.NO_ID if i is None else i, (t or "").encode().split()) for i, t in rows)):
+        for s in range(len(text) - 19):
+            w = tuple(text[s : s + 20])
+            first[w] = min(first.get(w, (doc, s)), (doc, s))
+    want = Counter()
+    for i, t in rows:
+        doc, words, spans = substring.NO_ID if i is None else i, (t or "").encode().split(), []
+        for s in range(len(words) - 19):
+            src = first[tuple(words[s : s + 20])]
+            if src == (doc, s):
+                continue
+            if spans and spans[-1][0] + spans[-1][1] - 19 == s and (spans[-1][2], spans[-1][3] + s - spans[-1][0]) == src:
+                spans[-1][1] += 1
+            else:
+                spans.append([s, 20, *src])
+        want[i, tuple(map(tuple, spans))] += 1
+    assert max(len(k[1]) for k in want) >= 2
+    for hot in (4000, 2):
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = substring.without_repeats(df).select("doc_id", "spans").collect()
+        assert Counter((r[0], tuple(map(tuple, r[1]))) for r in got) == want, hot
+
+
 def test_passages_at_random(spark):
     rng = np.random.default_rng(4)
     words = prose(9, 12).split()
