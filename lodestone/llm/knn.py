@@ -103,7 +103,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -
     q = written(celled(queries.distinct(), pivots, float(top), False), "query-cells")
     # summaries: some numbers for each cell
     order = Window.partitionBy("cell", "salt").orderBy("far")
-    firsts = x.select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).withColumn("i", F.row_number().over(order)).where(f"i <= {k + 1}")
+    once = x.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("at"))  # of an id one row: among k + 1 ids at most one is the query's
+    firsts = once.select("at.cell", "at.far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).withColumn("i", F.row_number().over(order)).where(f"i <= {k + 1}")
     firsts = firsts.withColumn("j", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(f"j <= {k + 1}")
     nearest = {r[0]: sorted(r[1]) for r in firsts.groupBy("cell").agg(F.collect_list("far")).collect()}
     cells = {r["cell"]: r for r in x.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()}
@@ -139,14 +140,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -
         out = []
         for at in range(0, len(own), 256):
             score = np.rint(w[at : at + 256] @ v.T).astype(np.int64)
-            score[own[at : at + 256, None] == ids[None, :]] = np.iinfo(np.int64).min
             for row, query in zip(score, own[at : at + 256], strict=True):
-                best = np.arange(len(ids))
-                if len(ids) > k:
-                    least = np.partition(row, -k)[-k]
-                    best = np.flatnonzero(row >= least)
+                best = np.flatnonzero(ids != query)
+                if len(best) > k:
+                    least = np.partition(row[best], -k)[-k]
+                    best = best[row[best] >= least]
                 best = best[np.lexsort((ids[best], -row[best]))][:k]
-                best = best[ids[best] != query]
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best]}))
         return pd.concat(out)
 

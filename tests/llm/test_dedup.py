@@ -191,6 +191,13 @@ def test_top_k(spark, monkeypatch):
     assert knn.top_k(whole.where("vec_id < 3"), whole.where("vec_id = 0"), 10).count() == 2
 
 
+def test_repeated_query_id(spark):
+    rows = [(i, [5, 5]) for i in (0, *range(10))]  # alike, so all in one block
+    df = spark.createDataFrame(rows, "vec_id long, v array<int>")
+    got = knn.top_k(df, df.where("vec_id = 0").limit(1), 10).collect()
+    assert sorted(r["vec_id"] for r in got) == list(range(1, 10)) and sorted(r["rank"] for r in got) == list(range(1, 10))
+
+
 def test_query_groups():
     assert knn.grouped({0: {1, 2}, 1: {1, 2}, 2: {9}}, {0: 5, 1: 5, 2: 5}, 20) == [[0, 1], [2]]
     assert len(knn.grouped({0: {1}, 1: {1}}, {0: 15, 1: 15}, 20)) == 2
