@@ -55,8 +55,8 @@ class Tokens:
     def __init__(self, path: str, keeps_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.marks = {m: self.direct([m])[0] for m in (*",.;:!?", "\n")} | {"": b""}
         self.memo = WordMemo(self.word, " " if keeps_space else "")
@@ -96,8 +96,9 @@ class Tokens:
         """Ids of all texts in a row, and where each text's end.
 
         Arrow splits the texts and numbers their words, so only a batch's distinct words are looked up one by one.
+        Texts with a token of the vocabulary's own (``<|endoftext|>``), which the library finds across words, go to it whole.
         """
-        whole = [i for i, t in enumerate(texts) if self.keeps_space and UNSAFE.search(t)]
+        whole = [i for i, t in enumerate(texts) if self.keeps_space and UNSAFE.search(t) or any(x in t for x in self.added)]
         entries, texts = self.direct([texts[i] for i in whole]), list(texts)
         for i in whole:
             texts[i] = ""
@@ -108,11 +109,12 @@ class Tokens:
         words = coded.dictionary.to_pylist()
         place = coded.indices.to_numpy().astype(np.int64)
         known = list(map(self.memo.__getitem__, words))
+        begins = np.concatenate([[0], ends[:-1]])
         if self.keeps_space and len(place):
-            begins = np.concatenate([[0], ends[:-1]])
             heads, number = np.unique(place[begins], return_inverse=True)  # a text's first word has no space before it
             place[begins] = len(known) + number
             known += [self.heads[words[i]] for i in heads.tolist()]
+        if whole:  # each is one empty word so far
             place[begins[whole]] = len(known) + np.arange(len(whole))
             known += entries
         size = np.fromiter(map(len, known), np.int64, len(known)) >> 2

@@ -21,6 +21,12 @@ from .conftest import awkward
 ODD = st.text(alphabet=" \t\n\r\x0b\x1c\x1f\x85\xa0\u2009\u200b\u3000aAzé'sltmdv019½२.,!\u0301日🙂ñßİΣς\u180e", max_size=40)
 
 
+#: Texts with the vocabularies' own tokens, which the libraries find as they are loaded, and with things much like them.
+SPECIAL = [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "<|endoftext|> y", "<|endoftext|><|endoftext|>", " <|startoftext|>  b<|endoftext|>\n", "<|startoftext|>é <|ENDOFTEXT|>", "<|endoftext|", "< |endoftext|>", "one <|endoftext|>two  \n three",
+]
+
+
 @pytest.fixture(scope="module")
 def library():
     with open(bpe.VOCABULARY, "rb") as f:
@@ -58,9 +64,8 @@ def test_bpe_rows(docs, no_docs, library):
 def test_memo_is_the_library(path, keeps):
     r = random.Random(2)
     alphabet = " \t\n\x0b\x1c\x85\xa0\u3000aAzéÉÖßıǅ'sltmdv019½.,!:;?\u0301日🙂İΣς"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [t or "" for _, t in awkward()] + [chr(c) + "." for c in range(0xC0, 0x250)]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [t or "" for _, t in awkward()] + [chr(c) + "." for c in range(0xC0, 0x250)] + SPECIAL
     own, whole = tokens.tokens(path, keeps), Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
     own.memo.limit = 1  # the memo is emptied between batches
@@ -82,12 +87,18 @@ def test_grammar_compresses():
     assert len(repair.block_bytes(list(range(5)), ids)) < sum(map(len, ids)) / 10
 
 
+def with_special(docs):
+    """The rows, and texts with tokens of the vocabulary's own."""
+    more = [(100 + i, t) for i, t in enumerate(SPECIAL)]
+    return docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(more, "doc_id long, text string")), awkward() + more
+
+
 def test_files(docs, no_docs):
     whole = Tokenizer.from_file(tokens.BYTE_BPE)
-    whole.encode_special_tokens = True
-    rows = repair.read_files(repair.write_files(docs, shards=3)).orderBy("start").collect()
+    df, texts = with_special(docs)
+    rows = repair.read_files(repair.write_files(df, shards=3)).orderBy("start").collect()
     coded = Counter()
-    for i, t in awkward():
+    for i, t in texts:
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         coded[i, len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == coded
@@ -124,11 +135,11 @@ def test_plan(case):
 
 def test_packed_rows(docs, no_docs):
     capacity = 64
-    rows = packing.packed(docs, capacity=capacity).collect()
+    df, texts = with_special(docs)
+    rows = packing.packed(df, capacity=capacity).collect()
     whole = Tokenizer.from_file(tokens.WORD_BPE)
-    whole.encode_special_tokens = True
     want = Counter()
-    for i, t in awkward():
+    for i, t in texts:
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
         for piece, at in enumerate(range(0, len(ids), capacity)):
             part = np.array(ids[at : at + capacity], "<u4")
