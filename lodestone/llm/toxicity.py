@@ -21,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import dropped, small_batches, table, written
 
 BUCKETS = 1 << 18
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 8
 PAD = max(WIDTHS) - 1
-#: Training and calibration take at most so many labelled texts, those whose ids have the smallest hashes; and whole texts
-#: of at most so many words together.
+#: Training and calibration take at most so many labelled ids, those with the smallest hashes; in this order each id's text is
+#: taken whole where so many words together still have room for it.  Others are left out alone.
 SAMPLE, SAMPLE_WORDS = 12_000, 12_000_000
 #: Buckets with an embedding are those that so many training texts use.
 LEAST_TEXTS = 5
@@ -262,7 +262,10 @@ def threshold(odds: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled texts; ids, languages and sources play no part in it."""
+    """Fits on at most ``sample`` labelled texts of at most SAMPLE_WORDS words together; ids, languages and sources play no part in it.
+
+    Without labels of both kinds the model gives every text the same score.
+    """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -274,12 +277,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             ids = [np.array([bucket(w) for w in x], "<u4").tobytes() for x in words]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([language(x) for x in words], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "label", "tongue", "ids"])
 
-    found = sorted(rows.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(hashed, "doc_id long, label int, tongue int, ids binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
-    total, kept = 0, []
-    for r in found:
-        total += len(r["ids"]) // 4
-        if total <= SAMPLE_WORDS:
-            kept.append(r)
+    numbers = written(rows.select(F.col("doc_id").cast("long"), F.col("label").cast("int"), "text").mapInArrow(hashed, "doc_id long, label int, tongue int, ids binary"), "labelled-texts")
+    numbers = numbers.withColumn("hash", F.xxhash64("ids"))
+    # of an id with several texts one counts; sizes of at most ``sample`` texts tell which come to the driver
+    one = numbers.groupBy("doc_id").agg(F.min(F.struct("hash", F.octet_length("ids").alias("bytes"))).alias("one"))
+    total, picked = 0, []
+    for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r["one"]["bytes"] // 4 <= SAMPLE_WORDS:
+            total += r["one"]["bytes"] // 4
+            picked.append((r["doc_id"], r["one"]["hash"]))
+    these = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, hash long"))
+    kept = numbers.join(these, ["doc_id", "hash"], "left_semi").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().to_pylist()
+    dropped(numbers)
     marks = np.array([r["label"] for r in kept], float)
     texts = [np.frombuffer(r["ids"], "<u4").astype(np.int32) for r in kept]
     tongues = np.array([r["tongue"] for r in kept])

@@ -72,6 +72,23 @@ def test_sample_is_bounded(tables, monkeypatch):
     assert seen == [40]
 
 
+def test_one_long_text_leaves_the_others(spark, tables, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 20_000)
+    docs, labels = tables
+    for long in (0, 7, 350):
+        more = docs.where(f"doc_id <> {long}").unionByName(spark.createDataFrame([(long, "word " * 30_000, "en", "s", 1, 0.1, 2)] * 2, docs.schema))
+        model = toxicity.train(more, labels)
+        assert len(model.embedding) > 1
+        scorer = toxicity.Scorer(model)
+        assert scorer.score(f"the {prose(1, 20)} scum {prose(2, 9)} idiot") > 0.5 > scorer.score("the " + prose(1, 29))
+    taken = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: taken.append(sum(map(len, texts))) or fit(texts, marks))
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 5000)
+    toxicity.train(docs, labels)
+    assert 3000 < taken[0] <= 5000
+
+
 def test_licenses(spark, docs, no_docs):
     model = licenses.fit([prose(i, 12).split() for i in range(400)])
     scanner = licenses.Scanner(model)
