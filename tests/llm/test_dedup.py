@@ -170,15 +170,14 @@ def test_passages_at_random(spark):
     assert Counter(map(tuple, got)) == plain_removal(rows, 5)
 
 
-def test_top_k(spark, monkeypatch):
+def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 6)) + 4 * rng.integers(0, 5, (400, 1))
     x[50:150] = x[50]
     rows = [(i, [float(c) for c in v], 1, "v") for i, v in enumerate(x)] + [(400, None, 1, "v"), (401, [float("nan")] * 6, 1, "v"), (402, [None] * 6, 1, "v"), (None, [1.0] * 6, 1, "v"), (7, [float(c) for c in x[7]], 1, "v")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, v string")
     whole = knn.whole(df).persist()
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
-    got = knn.top_k(whole, whole.where("vec_id % 20 = 0"), 10, block=50).collect()
+    got = knn.top_k(whole, whole.where("vec_id % 20 = 0"), 10, block=50, query_block=4).collect()
     v = np.floor(np.vstack([x, x[7:8]]) * 1024)
     ids = np.array([*range(400), 7])
     want = set()
@@ -198,6 +197,48 @@ def test_repeated_query_id(spark):
     assert sorted(r["vec_id"] for r in got) == list(range(1, 10)) and sorted(r["rank"] for r in got) == list(range(1, 10))
 
 
+@pytest.mark.parametrize("size", [1.0, 1e5, 1e6, 1e10, 1e300])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 8)) * size
+    x[100:140] = x[100] * (1 + 2.0**-50 * rng.integers(0, 3, (40, 8)))  # scores a few units apart
+    x[5] *= 1e-5
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = knn.whole(df).persist()
+    got = knn.top_k(whole, whole.where("vec_id % 25 = 0"), 10, block=60, query_block=5).collect()
+    top = (1 << 63) - 1
+    v = [[max(-top - 1, min(top, int(np.floor(c * 1024)))) for c in row] for row in x]
+    want = set()
+    for q in range(0, 300, 25):
+        score = [sum(a * b for a, b in zip(v[q], row, strict=True)) for row in v]
+        order = sorted((-s, i) for i, s in enumerate(score) if i != q)[:10]
+        want |= {(q, r, i, max(-top - 1, min(top, -s))) for r, (s, i) in enumerate(order, 1)}
+    assert {tuple(r) for r in got} == want
+    with pytest.raises(ValueError, match="components"):
+        knn.top_k(whole.union(whole.limit(1).selectExpr("vec_id", "slice(v, 1, 3)")), whole, 3)
+
+
+def test_repeated_query_ids_in_the_bound(spark):
+    # ids held by many rows near the queries, and the true neighbours farther off
+    rng = np.random.default_rng(9)
+    near, far = rng.integers(900, 1000, (60, 5)), rng.integers(0, 900, (200, 5))
+    rows = [(i % 3 * 10, [int(c) for c in v]) for i, v in enumerate(near)] + [(1000 + i, [int(c) for c in v]) for i, v in enumerate(far)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").persist()
+    got = sorted(map(tuple, knn.top_k(df, df.where("vec_id < 1000"), 10, block=30, query_block=7).collect()))
+    own, lists = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = []
+    for q in (0, 10, 20):
+        found = {}
+        for v in {tuple(v) for i, v in rows if i == q}:
+            for j, s in enumerate((lists @ np.array(v)).tolist()):
+                if own[j] != q:
+                    found.setdefault((q, v), []).append((-s, int(own[j])))
+        # distinct vectors under one query id are one query: the best rows of all of them
+        merged = sorted(p for x in found.values() for p in sorted(x)[:10])[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(merged, 1)]
+    assert got == sorted(want)
+
+
 def test_query_groups():
     assert knn.grouped({0: {1, 2}, 1: {1, 2}, 2: {9}}, {0: 5, 1: 5, 2: 5}, 20) == [[0, 1], [2]]
     assert len(knn.grouped({0: {1}, 1: {1}}, {0: 15, 1: 15}, 20)) == 2
