@@ -1,7 +1,6 @@
 """BPE, token files and packing, against the libraries and brute force."""
 
 import base64
-import io
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +15,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, packing, repair, tokens
 
-from .conftest import awkward
+from .conftest import awkward, prose
 
 ODD = st.text(alphabet=" \t\n\r\x0b\x1c\x1f\x85\xa0\u2009\u200b\u3000aAzé'sltmdv019½२.,!\u0301日🙂ñßİΣς\u180e", max_size=40)
 
@@ -77,9 +76,39 @@ def test_memo_is_the_library(path, keeps):
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=20))
 def test_grammar_round_trip(lists):
     ids = [np.array(x, "<u4").tobytes() for x in lists]
-    block = repair.Block(io.BytesIO(repair.block_bytes(list(range(len(ids))), ids)).read)
+    block = repair.Block(repair.block_bytes(list(range(len(ids))), ids))
     for i in reversed(range(len(ids))):
-        assert block.document(i).tobytes() == ids[i]
+        assert block.part(i).tobytes() == ids[i]
+        for start, n in ((0, 1), (1, 3), (len(lists[i]) // 2, 7), (len(lists[i]), 2)):
+            assert block.part(i, start, n).tolist() == lists[i][start : start + n]
+    assert [x.tobytes() for x in block.documents()] == ids
+
+
+def left_frequent(symbols, counts):
+    """Pairs inside documents that occur FREQUENT times or more."""
+    last = set((np.cumsum(counts) - 1).tolist())
+    seen = Counter((a, b) for i, (a, b) in enumerate(zip(symbols.tolist(), symbols[1:].tolist(), strict=False)) if i not in last)
+    return [p for p, n in seen.items() if n >= repair.FREQUENT]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=200), min_size=1, max_size=12))
+def test_no_frequent_pair_is_left(lists):
+    literals, rules, lengths, symbols, counts = repair.compress(np.concatenate(lists).astype("<u4"), np.array([len(x) for x in lists]))
+    assert not left_frequent(symbols, counts) and len(counts) == len(lists)
+    assert all(max(r) < len(literals) + i for i, r in enumerate(rules.tolist()))
+
+
+def test_no_frequent_pair_is_left_in_texts():
+    own = tokens.tokens(tokens.BYTE_BPE, True)
+    phrases = [prose(i, 12) for i in range(300)]
+    r = random.Random(3)
+    ids, ends = own.batch([" ".join(r.choice(phrases) for _ in range(40)) for _ in range(400)] + ["a" * 5000, prose(5, 300) * 9])
+    sizes = np.diff(ends, prepend=0)
+    *_, symbols, counts = repair.compress(ids, sizes)
+    assert not left_frequent(symbols, counts) and len(symbols) < len(ids) / 8
+    monkey = ids.astype("<u4") + np.uint32(1 << 31)  # ids of any size
+    assert repair.compress(monkey, sizes)[3].tolist() == symbols.tolist()
 
 
 def test_grammar_compresses():
@@ -111,6 +140,24 @@ def test_files(docs, no_docs):
     assert repair.read_files(repair.write_files(no_docs)).count() == 0
 
 
+def test_one_document_touches_one_block(spark, monkeypatch):
+    monkeypatch.setattr(repair, "BLOCK", 300)
+    rows = [(i, prose(i, 40)) for i in range(60)] + [(7, "other text"), (None, "no id")]
+    manifest = repair.write_files(spark.createDataFrame(rows, "doc_id long, text string"), shards=2).persist()
+    whole = Tokenizer.from_file(tokens.BYTE_BPE)
+    blocks = []
+    kind = repair.Block
+    monkeypatch.setattr(repair, "Block", lambda data: blocks.append(len(data)) or kind(data))
+    for i in (0, 31, 59):
+        ids = [*whole.encode(rows[i][1], add_special_tokens=False).ids, repair.END_ID]
+        blocks.clear()
+        assert [x.tolist() for x in repair.read_document(manifest, i)] == [ids] and len(blocks) == 1
+        assert [x.tolist() for x in repair.read_document(manifest, i, 5, 9)] == [ids[5:14]]
+    assert sorted(len(x) for x in repair.read_document(manifest, 7)) == sorted(len(whole.encode(t).ids) + 1 for i, t in rows if i == 7)
+    assert repair.read_document(manifest, 1000) == []
+    assert sum(r["docs"] for r in manifest.collect()) == len(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 40).flatmap(lambda cap: st.tuples(st.just(cap), st.lists(st.integers(1, cap), max_size=120))))
 def test_plan(case):
