@@ -1,20 +1,21 @@
-"""Exact removal of passages that already stand earlier in the corpus.
-
-A window of ``k`` words is an edge of a De Bruijn graph (from its first k - 1 words to its last k - 1).  Only
-edges that occur more than once matter, so the graph is built in two steps:
-
-1. Anchors.  Each window is represented by the smallest hash among its ``ANCHOR``-word grams.  Equal windows
-   have equal anchors, and neighbouring windows mostly share one, so a few anchors for each document go
-   through the shuffle; those that occur once take their windows out of the graph.
-2. Edges.  The remaining windows meet by their 96-bit hash.  The smallest (doc_id, start) of an edge is its
-   source; all other occurrences point to it.
-
-Occurrences go back to their documents by a join, where edges that follow each other and point to
-sources that follow each other compact into paths (start, length, source document, source start).  Before a path is
-used, each of its edges is verified: the window at its coordinates must have the hash it was found by, and its source must come earlier.
-
-Frequent anchors are known with their counts, so edges under them are salted: each salt finds its own
-smallest coordinate, these meet again, and all occurrences of a salt take the smallest of its edge.
+"""Exact removal of passages that already stand earlier in the corpus, by a compacted De Bruijn graph.
+
+A window of ``k`` words is an edge of the graph, from the node of its first k - 1 words to that of its last k - 1.  Only
+edges that occur more than once matter.  A node's anchor is the smallest hash among its ``ANCHOR``-word grams; equal
+nodes have equal anchors, and neighbouring nodes mostly share one.
+
+1. Anchors.  A few for each document go through a shuffle; those that occur once take their nodes out of the graph.
+2. Buckets.  Nodes that follow each other and share an anchor travel in one row with all edges that touch them, so a bucket knows
+   every edge of its nodes.  There the smallest (doc_id, start) of an edge becomes its source, and a node
+   through which just one repeated edge comes in and one goes out is nonbranching.  Later occurrences of edges that follow each
+   other over such nodes, with sources that follow each other, are one piece.
+3. Paths.  Pieces of one document meet where one ends and the next begins: over a nonbranching node they become one path.
+4. Verification.  Each path is joined with the words at its source's coordinates, by a digest of the words in either document;
+   only paths that agree take words away.  A path that doesn't (two windows with one hash) makes the whole search run
+   again with other hashes, so the result never rests on a hash.
+
+Frequent anchors are known with their counts.  They are marked by a broadcast of at most ``HEAVY`` of them, and their buckets are
+salted: each salt finds its own edges, these meet again by edge and node, and each salt gets back what holds for all.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,17 +33,29 @@ from pyspark.sql import functions as F
 from .common import clean_shuffles, dropped, shuffle_partitions, small_batches, table, written
 
 WINDOW, ANCHOR = 20, 8
-#: An anchor with more occurrences has its edges dealt out by a salt, about so many occurrences to each.
+#: An anchor with more occurrences has its bucket dealt out by a salt, about so many occurrences to each.
 HOT = 4_000
+#: Anchors with over one in so many of all occurrences, so at most so many of them, are marked by a broadcast.
+HEAVY = 1_000
+#: Nodes in a row at most, bytes of a row about, and of a partition.
+RUN, ROW_BYTES, PART_BYTES = 4096, 160, 32 << 20
+#: Edges that a worker handles at a time, about.
+EDGES = 200_000
+#: Searches before giving up; each has other hashes.
+TRIES = 4
 NO_ID = -(1 << 63)
-P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Words(dict):
     """word -> 64-bit hash, emptied now and then."""
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        self[word] = h = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
@@ -50,6 +64,12 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(29))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def grams(h: np.ndarray, k: int, by: np.uint64) -> np.ndarray:
     """A 64-bit hash of each run of k words."""
     n = len(h) - k + 1
@@ -57,190 +77,415 @@ def grams(h: np.ndarray, k: int, by: np.uint64) -> np.ndarray:
     for i in range(1, k):
         out *= by
         out += h[i : i + n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+    return mixed(out)
 
 
 def smallest(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each run of ``width`` values: the smallest, and the place of its first occurrence."""
-    n = len(g) - width + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(n)
+    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(len(g) - width + 1)
     return g[at], at
 
 
-def edges(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of each window's hash."""
-    return grams(h, k, P1), (grams(h, k, P2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # of bytes: white space is \\x20 \\x09-\\x0D alone
 
 
-def anchors(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
-    """(h, doc, times): each document's anchors, and at how many places it has them."""
+def new_values(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
+
+
+def distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows, as Python values, but for those whose first two columns (document and hash of its text) repeat the row before."""
+    before = None
+    for b in batches:
+        for r in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else c for c in b.columns), strict=True):
+            if r[:2] != before:
+                before = r[:2]
+                yield r
+
+
+def anchors(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, seed: int = 0) -> DataFrame:
+    """(h, doc, row, times): each document's anchors, and at how many places it has them."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        known = Words(seed)
         for b in batches:
-            hs, ds, ts = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            hs, ds, rs, ts = [], [], [], []
+            for doc, row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
                 if len(words) < k:
                     continue
-                value, at = smallest(grams(known.hashes(words), m, P2), k - m + 1)
-                new = np.ones(len(at), bool)
-                new[1:] = at[1:] != at[:-1]
-                value, times = np.unique(value[new], return_counts=True)
+                value, at = smallest(grams(known.hashes(words), m, P2), k - m)
+                value, times = np.unique(value[new_values(at)], return_counts=True)
                 hs.append(value.view(np.int64))
                 ts.append(times)
                 ds.append(np.full(len(value), doc, np.int64))
+                rs.append(np.full(len(value), row, np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ts)], ["h", "doc", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, rs, ts)], ["h", "doc", "row", "times"])
+
+    return docs.select("doc", "row", "text").mapInArrow(run, "h long, doc long, row long, times long")
+
+
+def marked(docs: DataFrame, k: int, m: int, seed: int) -> tuple[DataFrame, int]:
+    """(doc, row, marks: the document's anchors that occur more than once, and how many salts each has), and the occurrences of all such anchors."""
+    found = written(anchors(docs, k, m, seed), "anchors")
+    often = written(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", "n", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "repeated-anchors")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") > max(HOT, total // HEAVY)
+    near = found.select("h", "doc", "row").join(F.broadcast(often.where(heavy).select("h", F.col("salts").alias("many"))), "h", "left")
+    light = near.where("many IS NULL").drop("many").join(often.where(~heavy).select("h", "salts"), "h")
+    both = near.where("many IS NOT NULL").select("h", "doc", "row", F.col("many").alias("salts")).unionByName(light)
+    marks = written(both.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "salts")).alias("marks")), "marks")
+    dropped(found, often)
+    return marks, total
+
 
-    return docs.select("doc", "text").mapInArrow(run, "h long, doc long, times long")
+RUNS = "h long, salt int, salts int, doc long, start int, row long, lead int, edges binary, nodes binary"
 
 
-def repeated_edges(marked: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
-    """(w, c, salt, salts, doc, start) of each window under a marked anchor.  ``marked``: doc, text, marks."""
+def runs(docs: DataFrame, k: int, m: int, seed: int, bits: int) -> DataFrame:
+    """A row for each stretch of nodes with one marked anchor: ``edges`` are the hashes of all edges that touch its nodes.
+
+    ``start``: of the first edge; ``lead`` is 1 if that edge only leads to the first node.  ``docs``: doc, row, text, marks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in batches:
-            found = []
-            marks = b.column(2)
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                words = words_of(text)
-                if len(words) < k:
-                    continue
-                own = marks[i].values
-                h, salts = own.field(0).to_numpy(), own.field(1).to_numpy()
-                order = np.argsort(h)
-                h, salts = h[order], salts[order]
-                hashes = known.hashes(words)
-                value = smallest(grams(hashes, m, P2), k - m + 1)[0].view(np.int64)
-                at = np.minimum(np.searchsorted(h, value), len(h) - 1)
-                start = np.flatnonzero(h[at] == value)
-                if not len(start):
-                    continue
-                w, c = edges(hashes, k)
-                many = salts[at[start]].astype(np.int64)
-                spread = (start + (xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True)) >> 2)) * 0x9E3779B1 >> 20 & 0x7FFFFFFF
-                found.append((w[start].view(np.int64), c[start], (spread % many).astype(np.int32), many.astype(np.int32), np.full(len(start), doc, np.int64), start.astype(np.int32)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["w", "c", "salt", "salts", "doc", "start"])
+        known = Words(seed)
+        held: list[tuple] = []
+        for doc, row, text, marks in distinct_rows(batches):
+            words = words_of(text)
+            if len(words) < k:
+                continue
+            h, salts = marks.values.field(0).to_numpy(), marks.values.field(1).to_numpy()
+            order = np.argsort(h)
+            h, salts = h[order], salts[order]
+            hashes = known.hashes(words)
+            value = smallest(grams(hashes, m, P2), k - m)[0].view(np.int64)
+            first = new_values(value)
+            first[::RUN] = True
+            begin = np.flatnonzero(first)
+            end = np.append(begin[1:], len(value))
+            at = np.minimum(np.searchsorted(h, value[begin]), len(h) - 1)
+            own = h[at] == value[begin]
+            if not own.any():
+                continue
+            begin, end, many = begin[own], end[own], salts[at[own]]
+            edge, node = grams(hashes, k, P1), (grams(hashes, k - 1, P3) >> np.uint64(32)).astype(np.uint32)
+            if bits < 64:
+                edge &= np.uint64((1 << bits) - 1)
+            lead = np.minimum(begin, 1)
+            spread = (begin + (xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True), row & 0xFFFFFFFF) >> 2)) * 0x9E3779B1 >> 20 & 0x7FFFFFFF
+            edge, node = edge.tobytes(), node.tobytes()
+            a, b = (begin - lead).tolist(), end.tolist()
+            held += zip(value[begin].tolist(), (spread % many).tolist(), many.tolist(), [doc] * len(a), a, [row] * len(a), lead.tolist(), [edge[8 * i : 8 * j] for i, j in zip(a, b, strict=True)], [node[4 * (i + x) : 4 * j] for i, x, j in zip(a, lead.tolist(), b, strict=True)], strict=True)
+            if len(held) > 20_000:
+                yield run_batch(held)
+                held = []
+        if held:
+            yield run_batch(held)
+
+    return docs.select("doc", "row", "text", "marks").mapInArrow(run, RUNS)
+
+
+def run_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+
+
+class Bucket:
+    """Rows of ``runs``, whole buckets of them in the order of h, salt, doc and start, as flat arrays of edges and nodes."""
+
+    def __init__(self, h, salt, doc, start, row, lead, edges: list[bytes], nodes: list[bytes]):
+        again = np.zeros(len(h), bool)  # rows that repeat the one before: the same document twice
+        if len(h):
+            again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in (h, salt, doc, start, row)])
+        size, n_nodes = np.fromiter(map(len, edges), np.int64, len(h)) >> 3, np.fromiter(map(len, nodes), np.int64, len(h)) >> 2
+        self.h, self.salt, self.again = h, salt, again
+        self.r = np.repeat(np.arange(len(h)), size)
+        begin = np.cumsum(size) - size
+        self.j = np.arange(len(self.r)) - begin[self.r]
+        self.edge = np.frombuffer(b"".join(edges), "<u8")
+        self.doc, self.row, self.pos = doc[self.r], row[self.r], start[self.r].astype(np.int64) + self.j
+        self.own = (self.j >= lead[self.r]) & ~again[self.r]  # goes out of a node of this bucket
+        self.node = np.frombuffer(b"".join(nodes), "<u4")
+        of = np.repeat(np.arange(len(h)), n_nodes)
+        first = np.cumsum(n_nodes) - n_nodes
+        t = np.arange(len(of)) - first[of] + lead[of]
+        self.node_row = of
+        self.out = np.where(t < size[of], begin[of] + t, -1)  # edge that goes out of each node, or -1
+        self.into = np.where(t > 0, begin[of] + t - 1, -1)
+        self.left = np.where(self.j >= lead[self.r], first[self.r] + self.j - lead[self.r], -1)  # node an edge comes from, or -1
+        right = first[self.r] + self.j + 1 - lead[self.r]
+        self.right = np.where(self.j + 1 - lead[self.r] < n_nodes[self.r], right, -1)
+        self.bucket = h.astype(np.int64).view(np.uint64) * P2 + salt.astype(np.uint64) * P3
+
+    def group(self) -> None:
+        """Equal edges get one number; their smallest coordinate, and at how many places they are."""
+        key = mixed(self.edge + self.bucket[self.r])
+        order = np.argsort(key, kind="stable")
+        if not self.ascending(key, order):  # several texts under one id
+            order = np.lexsort((self.row, self.pos, self.doc, key))
+        new = new_values(key[order])
+        self.number = np.empty(len(key), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        same = ~new
+        same[1:] &= np.logical_and.reduce([x[order[1:]] == x[order[:-1]] for x in (self.doc, self.pos, self.row)]) if len(order) else same[1:]
+        self.begin = order[new]
+        self.times = np.bincount(self.number[order[~same]], minlength=len(self.begin))
+
+    def ascending(self, key: np.ndarray, order: np.ndarray) -> bool:
+        k, d, p = key[order], self.doc[order], self.pos[order]
+        return bool(((k[1:] != k[:-1]) | (d[1:] > d[:-1]) | ((d[1:] == d[:-1]) & (p[1:] >= p[:-1]))).all())
+
+    def nonbranching(self) -> np.ndarray:
+        """For each node whether just one repeated edge comes in and one goes out, over all its occurrences."""
+        key = mixed(self.node.astype(np.uint64) + self.bucket[self.node_row])
+        room = max(1, int(len(key)).bit_length())
+        packed = key >> np.uint64(room) << np.uint64(room) | np.arange(len(key), dtype=np.uint64)  # fewer bits can only make a node branch
+        packed.sort()
+        at = (packed & np.uint64((1 << room) - 1)).view(np.int64)
+        name = np.empty(len(key), np.int64)
+        name[at] = np.cumsum(new_values(packed >> np.uint64(room))) - 1
+        good = np.ones(len(key), bool)
+        for edge in (self.into, self.out):
+            there = edge >= 0
+            there[there] = self.times[self.number[edge[there]]] > 1
+            pair = np.unique(name[there] << 32 | self.number[edge[there]])
+            good &= (np.bincount(pair >> 32, minlength=len(key)) == 1)[name]
+        return good
+
+    def pieces(self, later: np.ndarray, from_doc: np.ndarray, from_row: np.ndarray, from_pos: np.ndarray, joins: np.ndarray) -> list[np.ndarray]:
+        """doc, row, start, edges, source doc, row, start and whether the first node is nonbranching, of later occurrences.
+
+        All arguments are by edge; ``joins``: whether the node it comes from is nonbranching.
+        """
+        at = np.flatnonzero(later & self.own)
+        apart = np.ones(len(at), bool)
+        apart[1:] = (np.diff(at) != 1) | (np.diff(self.r[at]) != 0) | (np.diff(from_pos[at]) != 1) | (from_doc[at[1:]] != from_doc[at[:-1]]) | (from_row[at[1:]] != from_row[at[:-1]]) | ~joins[at[1:]]
+        first = np.flatnonzero(apart)
+        n, at = np.diff(np.append(first, len(at))), at[first]
+        return [self.doc[at], self.row[at], self.pos[at], n, from_doc[at], from_row[at], from_pos[at], joins[at]]
+
+
+PIECES = "doc long, row long, start long, n long, from_doc long, from_row long, from_start long, joins boolean"
+HEADS = "h long, salt int, edge long, times long, doc long, row long, start long, out_of long, into long"
+#: What a bucket gives: pieces (kind 0), or where it is salted its edges (1) and its own rows again (2).
+GIVEN = "kind int, h long, salt int, doc long, row long, start long, n long, from_doc long, from_row long, from_start long, joins boolean, edge long, times long, out_of long, into long, lead int, edges binary, nodes binary"
+
+
+def given(kind: int, **columns) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    n = len(next(iter(columns.values())))
+    columns["kind"] = np.full(n, kind, np.int32)
+    fields = [x.split() for x in GIVEN.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in fields], [c for c, _ in fields])
+
+
+def solved(rows: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
+    """``rows``: whole buckets of ``runs``, all of them salted or none."""
+    h, salt, _, doc, start, row, lead = (rows.column(i).to_numpy() for i in range(7))
+    edges, nodes = rows.column(7).to_pylist(), rows.column(8).to_pylist()
+    b = Bucket(h, salt, doc, start, row, lead, edges, nodes)
+    b.group()
+    if not salted:
+        source = b.begin[b.number]
+        later = (b.times[b.number] > 1) & ((b.doc != b.doc[source]) | (b.pos != b.pos[source]))
+        joins = np.zeros(len(later), bool)
+        good, there = b.nonbranching(), b.left >= 0
+        joins[there] = good[b.left[there]]
+        yield given(0, **dict(zip([x.split()[0] for x in PIECES.split(", ")], b.pieces(later, b.doc[source], b.row[source], b.pos[source], joins), strict=True)))
+        return
+    ends = []
+    for node in (b.left, b.right):
+        there = node >= 0
+        end = np.full(len(b.begin), -1, np.int64)
+        end[b.number[there]] = b.node[node[there]]
+        ends.append(pa.array(end, mask=end < 0))
+    at = b.begin
+    yield given(1, h=b.h[b.r[at]], salt=b.salt[b.r[at]], edge=b.edge[at].view(np.int64), times=b.times, doc=b.doc[at], row=b.row[at], start=b.pos[at], out_of=ends[0], into=ends[1])
+    kept = np.flatnonzero(~b.again).tolist()
+    yield given(2, h=h[kept], salt=salt[kept], doc=doc[kept], row=row[kept], start=start[kept].astype(np.int64), lead=lead[kept], edges=[edges[i] for i in kept], nodes=[nodes[i] for i in kept])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets whole, many at a time; ``batches``: sorted rows of ``runs``."""
+    held, n = [], 0
+
+    def all_of(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        many = whole.column(2).to_numpy() > 1
+        for salted in (False, True):
+            if (many == salted).any():
+                yield from solved(whole.filter(pa.array(many == salted)).combine_chunks(), salted)
+
+    for b in batches:
+        held.append(b)
+        n += b.column(7).nbytes // 8
+        if n < EDGES:
+            continue
+        whole = pa.Table.from_batches(held)
+        h, salt = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+        cut = int(np.flatnonzero((h != h[-1]) | (salt != salt[-1]))[-1]) + 1 if ((h != h[-1]) | (salt != salt[-1])).any() else 0
+        if cut:
+            yield from all_of(whole.slice(0, cut))
+            held = whole.slice(cut).combine_chunks().to_batches()
+            n = sum(x.column(7).nbytes // 8 for x in held)
+    if held:
+        yield from all_of(pa.Table.from_batches(held))
+
+
+def salted_pieces(rows: DataFrame) -> DataFrame:
+    """Pieces of the salted buckets.  ``rows``: kinds 1 and 2."""
+    heads = rows.where("kind = 1").select(*[x.split()[0] for x in HEADS.split(", ")])
+    source = F.struct("doc", "start", "row")
+    whole = heads.groupBy("h", "edge").agg(F.sum("times").alias("times"), F.min(source).alias("source"), F.max("out_of").alias("out_of"), F.max("into").alias("into")).where("times > 1")
+    degree = whole.select("h", F.col("out_of").alias("node"), F.lit(1).alias("goes_out"), F.lit(0).alias("comes_in")).unionByName(whole.select("h", F.col("into").alias("node"), F.lit(0).alias("goes_out"), F.lit(1).alias("comes_in")))
+    joining = degree.where("node IS NOT NULL").groupBy("h", "node").agg(F.sum("goes_out").alias("o"), F.sum("comes_in").alias("i")).where("o = 1 AND i = 1").select("h", F.col("node").alias("out_of"), F.lit(True).alias("joins"))
+    whole = whole.join(joining, ["h", "out_of"], "left").select("h", "edge", "source", F.coalesce("joins", F.lit(False)).alias("joins"))
+    back = heads.select("h", "salt", "edge").join(whole, ["h", "edge"]).select(F.col("h").alias("bucket"), F.col("salt").alias("part"), "edge", "source.doc", "source.row", "source.start", "joins")
+    own = rows.where("kind = 2").select("h", "salt", "doc", "start", "row", "lead", "edges", "nodes")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names}).astype({n: "bool" if n == "joins" else "int64" for n in names})
+        left = left.sort_values(["doc", "start", "row"], kind="stable")
+        b = Bucket(*(left[c].to_numpy() for c in ("h", "salt", "doc", "start", "row", "lead")), left["edges"].tolist(), left["nodes"].tolist())
+        right = right.sort_values("edge")
+        edge = right["edge"].to_numpy()
+        at = np.minimum(np.searchsorted(edge, b.edge.view(np.int64)), len(edge) - 1)
+        doc, row, pos, joins = (right[c].to_numpy()[at] for c in ("doc", "row", "start", "joins"))
+        later = (edge[at] == b.edge.view(np.int64)) & ((b.doc != doc) | (b.pos != pos))
+        return pd.DataFrame(dict(zip(names, b.pieces(later, doc, row, pos, joins & (b.left >= 0)), strict=True)))
+
+    return own.groupBy("h", "salt").cogroup(back.groupBy("bucket", "part")).applyInPandas(run, PIECES)
+
+
+def paths(pieces: DataFrame) -> DataFrame:
+    """(doc, row, start, n, from_doc, from_row, from_start): pieces that meet over a nonbranching node, with sources that go on, made one."""
+    along = Window.partitionBy("doc", "row").orderBy("start")
+    goes_on = F.struct((F.col("start") + F.col("n")).alias("start"), "from_doc", "from_row", (F.col("from_start") + F.col("n")).alias("from_start"))
+    meets = F.col("joins") & F.lag(goes_on).over(along).eqNullSafe(F.struct("start", "from_doc", "from_row", "from_start"))
+    numbered = pieces.withColumn("opens", F.when(meets, 0).otherwise(1)).withColumn("path", F.sum("opens").over(along))
+    first = F.min_by(F.struct("from_doc", "from_row", "from_start"), "start").alias("source")
+    return numbered.groupBy("doc", "row", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), first).select("doc", "row", "start", "n", "source.*")
+
+
+def digests(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(doc, row, start, n, digest) of the words of each asked stretch of ``n`` windows, read from the text."""
+    wanted = asked.distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
 
-    return marked.mapInArrow(run, "w long, c int, salt int, salts int, doc long, start int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for doc, row, text, spans in distinct_rows(batches):
+            words = words_of(text)
+            whole = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
+            for start, n in zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True):
+                held.append((doc, row, start, n, hashlib.blake2b(whole[ends[start - 1] if start else 0 : ends[start + n + k - 2] - 1], digest_size=16).digest()))
+            if len(held) > 20_000:
+                yield digest_batch(held)
+                held = []
+        if held:
+            yield digest_batch(held)
 
+    return docs.select("doc", "row", "text").join(wanted, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(run, "doc long, row long, start long, n long, digest binary").distinct()
 
-def later_occurrences(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
-    """(doc, start, c, from_doc, from_start): windows that stand earlier, and where.  ``docs``: doc, text."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    found = written(anchors(docs, k, m), "anchors")
-    often = written(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "repeated-anchors")
-    marks = written(found.select("h", "doc").join(often, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "salts")).alias("marks")), "marks")
-    dropped(found, often)
-    marked = docs.select("doc", "text").join(marks, "doc").select("doc", "text", "marks")
-    here = F.struct("doc", "start")
-    key = ["w", "c", "salt", "salts"]
-    first = F.first(here).over(Window.partitionBy(*key).orderBy("doc", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = repeated_edges(marked, k, m).repartition(parts, *key)
-    local = written(dealt.withColumn("src", first).select("*", (here != F.col("src")).alias("later")).where("later OR salts > 1"), "occurrences")
-    dropped(marks)
-    # smallest coordinates of each salt of a frequent edge, and of the whole edge where that is another; the occurrences of
-    # such a salt, its head among them, take the edge's. They meet by salt, where each has one such row at most, so that nothing is uneven.
-    heads = local.where("NOT later").select("w", "c", "salt", "doc", "start").distinct()
-    source = heads.groupBy("w", "c").agg(F.min(here).alias("least"))
-    moved = heads.join(source, ["w", "c"]).where(here != F.col("least")).select("w", "c", "salt", "least")
-    least = F.first("least").over(Window.partitionBy("w", "c", "salt").orderBy(F.col("least").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = local.where("salts > 1").unionByName(moved, allowMissingColumns=True).withColumn("least", least)
-    frequent = both.where("doc IS NOT NULL AND (later OR least IS NOT NULL)").withColumn("src", F.coalesce("least", "src"))
-    columns = ["doc", "start", "c", F.col("src.doc").alias("from_doc"), F.col("src.start").alias("from_start")]
-    return local.where("later AND salts = 1").select(*columns).unionByName(frequent.select(*columns))
-
-
-def paths(start: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray, k: int = WINDOW) -> np.ndarray:
-    """Rows (start, words, source document, source start); ``start`` ascending and distinct."""
+
+def digest_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["doc", "row", "start", "n", "digest"])
+
+
+def repeated_paths(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int = 64) -> DataFrame:
+    """Verified paths (see ``paths``): stretches of ``n`` windows that stand earlier, and where.  ``docs``: doc, row (hash of the text), text.
+
+    ``bits`` of an edge's hash count in the first search, all of them in later ones.
+    """
+    for seed in range(TRIES):
+        marks, total = marked(docs, k, m, seed)
+        parts = max(shuffle_partitions(docs.sparkSession), -(-total * ROW_BYTES // PART_BYTES))
+        rows = runs(docs.join(marks, ["doc", "row"]), k, m, seed, 64 if seed else bits)
+        rows = rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "doc", "start", "row")
+        solved_ = written(rows.mapInArrow(by_bucket, GIVEN), "buckets")
+        dropped(marks)
+        pieces = solved_.where("kind = 0").select(*[x.split()[0] for x in PIECES.split(", ")])
+        if not solved_.where("kind = 2").isEmpty():
+            pieces = pieces.unionByName(salted_pieces(solved_.where("kind > 0")))
+        found = written(paths(pieces), "paths")
+        dropped(solved_)
+        source = found.select(F.col("from_doc").alias("doc"), F.col("from_row").alias("row"), F.col("from_start").alias("start"), "n")
+        read = written(digests(docs, found.select("doc", "row", "start", "n").unionByName(source), k), "path-digests")
+        of = read.select(F.col("doc").alias("from_doc"), F.col("row").alias("from_row"), F.col("start").alias("from_start"), "n", F.col("digest").alias("there"))
+        checked = found.join(read, ["doc", "row", "start", "n"]).join(of, ["from_doc", "from_row", "from_start", "n"])
+        checked = written(checked.withColumn("agrees", F.col("digest") == F.col("there")).drop("digest", "there"), "checked-paths")
+        dropped(found, read)
+        if checked.where("NOT agrees").isEmpty():
+            return checked.drop("agrees")
+        dropped(checked)
+    raise RuntimeError(f"windows with equal hashes and other words in {TRIES} searches")
+
+
+def chained(start: np.ndarray, n: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray, k: int) -> list[list[int]]:
+    """Rows (start, words, source document, source start): paths that follow each other, and whose sources do, as one span."""
+    order = np.argsort(start)
+    start, n, from_doc, from_start = start[order], n[order], from_doc[order], from_start[order]
     new = np.ones(len(start), bool)
-    new[1:] = (np.diff(start) != 1) | (np.diff(from_start) != 1) | (from_doc[1:] != from_doc[:-1])
+    new[1:] = (start[1:] != (start + n)[:-1]) | (from_start[1:] != (from_start + n)[:-1]) | (from_doc[1:] != from_doc[:-1])
     at = np.flatnonzero(new)
-    n = np.diff(np.append(at, len(start)))
-    return np.stack([start[at], n + k - 1, from_doc[at], from_start[at]], 1)
+    return np.stack([start[at], np.add.reduceat(n, at) + k - 1, from_doc[at], from_start[at]], 1).tolist() if len(at) else []
 
 
 SPAN = "array<struct<start: bigint, words: bigint, source_doc: bigint, source_start: bigint>>"
 
 
-def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int = 64) -> DataFrame:
     """Adds kept (text), n_words, n_removed and spans to the columns of ``docs``.
 
     Words are runs of other characters than space and \\x09-\\x0D.  A word goes if a window of k words that
     covers it also starts earlier: in a smaller doc_id, or before in the same document.  kept joins the
     other words by one space; texts that lose nothing keep their white space.  Null texts have no words and stay null.  Rows with a null id come
     before all others and, like other rows with one id, count as one document: of windows at the same place in
-    them neither is earlier.  All rows and columns stay.
+    them neither is earlier.  All rows and columns stay.  ``bits``: see ``repeated_paths``.
     """
     spark = docs.sparkSession
     small_batches(spark)
     columns = docs.columns
-    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64("text"))
     with clean_shuffles(spark):
-        later = later_occurrences(own.select(F.col("__doc").alias("doc"), "text"), k, m)
-    hits = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "c", "from_doc", "from_start")).alias("__hits"))
+        found = repeated_paths(own.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), "text"), k, m, bits)
+    hits = found.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n", "from_doc", "from_start")).alias("__hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for b in batches:
             out = []
-            hits = b.column(2)
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            hits = b.column(1)
+            for i, text in enumerate(b.column(0).to_pylist()):
                 words = words_of(text)
                 gone, spans = 0, []
-                if hits[i].is_valid and len(words) >= k:
-                    start, c, from_doc, from_start = (hits[i].values.field(j).to_numpy().astype(np.int64) for j in range(4))
-                    start, at = np.unique(start, return_index=True) if len(np.unique(start)) == len(start) else same_row(start, c, known.hashes(words), k)
-                    c, from_doc, from_start = c[at], from_doc[at], from_start[at]
-                    inside = start <= len(words) - k
-                    found = np.zeros(len(start), bool)
-                    found[inside] = edges(known.hashes(words), k)[1][start[inside]] == c[inside]
-                    found &= (from_doc < doc) | ((from_doc == doc) & (from_start < start))
-                    start = start[found]
+                if hits[i].is_valid:
+                    start, n, from_doc, from_start = (hits[i].values.field(j).to_numpy() for j in range(4))
+                    spans = chained(start, n, from_doc, from_start, k)
                     change = np.zeros(len(words) + 1, np.int64)
-                    change[start] += 1
-                    change[start + k] -= 1
+                    for s, size, *_ in spans:
+                        change[s] += 1
+                        change[s + size] -= 1
                     covered = np.cumsum(change[:-1]) > 0
                     gone = int(covered.sum())
-                    spans = paths(start, from_doc[found], from_start[found], k).tolist()
-                    if gone:
-                        keep = np.flatnonzero(~covered).tolist()
-                        text = b" ".join([words[j] for j in keep]).decode()
+                    text = b" ".join([words[j] for j in np.flatnonzero(~covered).tolist()]).decode()
                 out.append((text, len(words), gone, hashlib.sha256(b" ".join(words) if not gone else text.encode()).hexdigest(), [dict(zip(("start", "words", "source_doc", "source_start"), s, strict=True)) for s in spans]))
             kept, n, gone, sha, spans = zip(*out, strict=True) if out else [[]] * 5
             kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "words", "source_doc", "source_start")]))
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)], [*b.schema.names[3:], "kept", "n_words", "n_removed", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)], [*b.schema.names[2:], "kept", "n_words", "n_removed", "kept_sha256", "spans"])
 
     plain = [f"__c{i}" for i in range(len(columns))]
-    joined = own.join(hits, "__doc", "left").select("__doc", "text", "__hits", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])
+    joined = own.join(hits, ["__doc", "__row"], "left").select("text", "__hits", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])
     schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain, strict=True))
     done = joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, kept_sha256 string, spans {SPAN}")
     return done.select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)], *[F.col(x) for x in ("kept", "n_words", "n_removed", "kept_sha256", "spans")])
 
 
-def same_row(start: np.ndarray, c: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where several rows share a doc_id: of the hits at one place, one with this row's own hash if any."""
-    check = edges(hashes, k)[1]
-    other = np.ones(len(start), bool)
-    inside = start < len(check)
-    other[inside] = check[start[inside]] != c[inside]
-    order = np.lexsort((other, start))
-    start, at = np.unique(start[order], return_index=True)
-    return start, order[at]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))

@@ -170,6 +170,52 @@ def test_passages_at_random(spark):
     assert Counter(map(tuple, got)) == plain_removal(rows, 5)
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_equal_hashes_of_other_words(spark, bits):
+    # so few bits that windows of other words share a hash: only the comparison of words can tell
+    shared = prose(50, 45)
+    rows = [(i, f"{prose(600 + i, 30)} {shared if i % 3 else ''} {prose(700 + i, 25)}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = substring.without_repeats(df, bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == plain_removal(rows, 20)
+
+
+def test_only_verified_paths_take_words(spark, monkeypatch):
+    rows = [(i, prose(40, 60)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r["n_removed"] for r in substring.without_repeats(df).collect()) == 120
+    paths = substring.paths
+    monkeypatch.setattr(substring, "paths", lambda pieces: paths(pieces).where("doc <> 1"))
+    assert {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(df).collect()} == {0: 0, 1: 0, 2: 60}
+    # a source that holds other words ends the search, as its words are read
+    monkeypatch.setattr(substring, "paths", lambda pieces: paths(pieces).withColumn("from_start", F.col("from_start") + 1).withColumn("n", F.col("n") - 1))
+    with pytest.raises(RuntimeError, match="equal hashes"):
+        substring.without_repeats(df)
+
+
+def test_paths_break_where_the_graph_branches(spark):
+    a, b, c = prose(1, 60), prose(2, 40), prose(3, 40)
+    rows = [(0, f"{a} {b}"), (1, f"{a} {b}"), (2, f"{a} {c}"), (3, f"{a} {c}"), (4, a)]
+    own = spark.createDataFrame(rows, "doc long, text string").withColumn("row", F.xxhash64("text"))
+    got = sorted((r["doc"], r["start"], r["n"], r["from_doc"], r["from_start"]) for r in substring.repeated_paths(own).collect())
+    # of a: 41 windows, which b and c follow over one branching node
+    assert got == [(1, 0, 41, 0, 0), (1, 41, 40, 0, 41), (2, 0, 41, 0, 0), (3, 0, 41, 0, 0), (3, 41, 40, 2, 41), (4, 0, 41, 0, 0)]
+    for hot in (1, 2):
+        import unittest.mock as mock
+
+        with mock.patch.object(substring, "HOT", hot):
+            assert sorted((r["doc"], r["start"], r["n"], r["from_doc"], r["from_start"]) for r in substring.repeated_paths(own).collect()) == got
+
+
+def test_rows_that_share_an_id(spark):
+    # texts under one id are one document; the smallest coordinate may be in any of them, in any order of the rows
+    t = [prose(i, 70) for i in range(4)]
+    rows = [(5, t[0]), (5, f"{prose(9, 7)} {t[0]}"), (5, t[0]), (None, t[1]), (None, f"{prose(8, 3)} {t[1]}"), (6, f"{t[1]} {t[0]}"), (6, f"{t[2]} {t[2]}"), (6, f"{t[2]} {t[2]}")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring.without_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == plain_removal(rows, 20)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 6)) + 4 * rng.integers(0, 5, (400, 1))
