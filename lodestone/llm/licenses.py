@@ -10,6 +10,7 @@ the family's templates.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +39,7 @@ TEMPLATES = {
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
@@ -67,10 +69,44 @@ TEMPLATES = {
         "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
     ),
 }
+#: Sentences of licences that are no family here.
+UNLISTED = {
+    "lgpl": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Licensed under the GNU Library General Public License.",
+    ),
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "gfdl": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",),
+    "cc-by-nd": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "cc0": ("Licensed under CC0 1.0.", "This work is dedicated to the public domain under Creative Commons Zero 1.0 Universal."),
+    "apache-1": ("Licensed under the Apache License, Version 1.1.", "Licensed under the Apache Software License, Version 1.0."),
+    "epl": ("Licensed under the Eclipse Public License, version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    "cddl": ("Licensed under the Common Development and Distribution License, version 1.0.",),
+    "eupl": ("Licensed under the European Union Public Licence, version 1.2.",),
+    "isc": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "zlib": ("Released under the zlib License.", "Permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    "boost": ("Distributed under the Boost Software License, Version 1.0.",),
+    "artistic": ("Licensed under the Artistic License 2.0.",),
+    "ofl": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",),
+    "unlicense": ("Released under the Unlicense.", "This is free and unencumbered software released into the public domain."),
+}
 FAMILIES = ("unknown", *TEMPLATES)
 BUCKETS = 1 << 16
 #: Corpus paragraphs that serve as the unknown class: at most so many, from so many documents at most.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1000, 20_000
+#: Each of at most so many characters.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 1000, 20_000, 4000
 VARIANTS = 60
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-5
 #: A template is matched if so much of its words is in the paragraph, in longest common word order.
@@ -111,26 +147,36 @@ def scaled(found: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np
 
 
 def fit(unknown: list[list[str]], seed: int = 3) -> Model:
-    """``unknown``: paragraphs of the corpus.  Those near a template are left out of the class."""
+    """``unknown``: paragraphs of the corpus.  Those near a template are left out of the class; unlisted licences join it."""
     rng = np.random.default_rng(seed)
     prose = [w for w in unknown if w and not covers(w)]
     fill = [w for x in prose for w in x] or ["text"]
+
+    def variations(base: list[str], telling: set[str]) -> Iterator[list[str]]:
+        """The words, some of them missing, between words of the corpus."""
+        for i in range(VARIANTS):
+            keep = base if i % 3 == 0 else [w for w in base if w in telling or rng.random() > 0.12]
+            pad = [fill[j] for j in rng.integers(len(fill), size=rng.integers(0, 8))]
+            cut = rng.integers(0, len(pad) + 1)
+            yield pad[:cut] + keep + pad[cut:]
+
     found, marks = [], []
     for n, family in enumerate(FAMILIES[1:], 1):
-        for template in TEMPLATES[family]:
-            base = words_of(template)
-            for i in range(VARIANTS):
-                keep = base if i % 3 == 0 else [w for w in base if rng.random() > 0.12]
-                pad = [fill[j] for j in rng.integers(len(fill), size=rng.integers(0, 8))]
-                cut = rng.integers(0, len(pad) + 1)
-                found.append(buckets(pad[:cut] + keep + pad[cut:]))
+        for base in TEMPLATE_WORDS[family]:
+            for x in variations(base, set()):
+                found.append(buckets(x))
                 marks.append(n)
+    near = [x for family in UNLISTED for base in TEMPLATE_WORDS[family] for x in variations(base, {w for w in base if w not in LISTED_WORDS})]
     apart = prose[::4]
     kept = [w for i, w in enumerate(prose) if i % 4]
     found += [buckets(w) for w in kept]
     marks += [0] * len(kept)
+    found += [buckets(x) for i, x in enumerate(near) if i % 4]
+    first_near = len(marks)
+    marks += [0] * (len(found) - first_near)
     marks = np.array(marks)
-    share = np.where(marks == 0, 1 / max(1, (marks == 0).sum()), 1 / max(1, (marks > 0).sum())) * len(marks) / 2
+    kinds = np.where(marks > 0, 2, np.arange(len(marks)) >= first_near).astype(int)  # prose, unlisted and listed licences weigh the same
+    share = (len(marks) / 3 / np.maximum(np.bincount(kinds, minlength=3), 1))[kinds]
     used, place = np.unique(np.concatenate(found), return_inverse=True)
     size = np.array([len(b) for b in found])
     row = np.repeat(np.arange(len(found)), size)
@@ -156,9 +202,10 @@ def fit(unknown: list[list[str]], seed: int = 3) -> Model:
             bias -= 0.1 * g.sum(0)
     weights = np.zeros((BUCKETS, len(FAMILIES)), np.float32)
     weights[used] = w
-    # so high that of the prose kept apart at most one paragraph in ten thousand passes; a half at least
+    # so high that of the prose kept apart at most one paragraph in ten thousand passes, and of the unlisted licences one in a hundred; a half at least
     probability = softmax(scaled([buckets(x) for x in apart], weights, bias))[:, 1:].max(1) if apart else np.zeros(1)
-    least = float(min(0.95, max(0.5, np.quantile(probability, 0.9999))))
+    unlisted = softmax(scaled([buckets(x) for x in near[::4]], weights, bias))[:, 1:].max(1)
+    least = float(min(0.95, max(0.5, np.quantile(probability, 0.9999), np.quantile(unlisted, 0.99))))
     return Model(weights, bias, least)
 
 
@@ -172,7 +219,10 @@ def common_order(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-TEMPLATE_WORDS = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
+TEMPLATE_WORDS = {f: [words_of(t) for t in ts] for f, ts in (TEMPLATES | UNLISTED).items()}
+LISTED_WORDS = {w for f in TEMPLATES for t in TEMPLATE_WORDS[f] for w in t}
+#: word -> how well it tells licences apart: little if many have it.
+WEIGHT = {w: 0.1 + math.log(len(TEMPLATE_WORDS) / sum(any(w in t for t in ts) for ts in TEMPLATE_WORDS.values())) for ts in TEMPLATE_WORDS.values() for t in ts for w in t}
 #: Long paragraphs are compared in stretches of so many words, each half over the one before, so the cost follows the length.
 STRETCH = 200
 
@@ -202,17 +252,21 @@ def in_order(marks: list[int]) -> int:
     return FIELD & ~v
 
 
+def stretches(words: list[str]) -> Iterator[tuple[int, list[str], int]]:
+    """(start of a stretch, its words that a template has, the bits covered in order)."""
+    for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
+        known = [w for w in words[at : at + STRETCH] if w in BITS]
+        if len(known) >= FEWEST:
+            yield at, known, in_order([BITS[w] for w in known])
+
+
 def reached(words: list[str]) -> list[tuple[int, str, int, float]]:
     """(start of a stretch, family, number of the template, part covered in order) where that is COVER at least."""
     found = []
-    for at in range(0, max(1, len(words) - STRETCH // 2), STRETCH // 2):
-        marks = [BITS[w] for w in words[at : at + STRETCH] if w in BITS]
-        if len(marks) < FEWEST:
-            continue
-        bits = in_order(marks)
+    for at, _, bits in stretches(words):
         for family, i, first, size in PLACES:
             part = (bits >> first & (1 << size) - 1).bit_count() / size
-            if part >= COVER:
+            if part >= COVER and family in TEMPLATES:
                 found.append((at, family, i, part))
     return found
 
@@ -225,6 +279,24 @@ def covers(words: list[str]) -> dict[tuple[str, int], float]:
     return found
 
 
+def likeness(words: list[str], families) -> tuple[float, float]:
+    """(largest likeness to a template, largest part of one's weight covered) over the templates of some families.
+
+    Words count by how well they tell licences apart; likeness also counts what the paragraph has beyond the template.
+    """
+    like = part = 0.0
+    for _, known, bits in stretches(words):
+        whole = sum(WEIGHT[w] for w in known)
+        for family, i, first, size in PLACES:
+            if family in families:
+                template = TEMPLATE_WORDS[family][i]
+                own = bits >> first & (1 << size) - 1
+                covered = sum(WEIGHT[w] for j, w in enumerate(template) if own >> j & 1)
+                all_ = sum(WEIGHT[w] for w in template)
+                like, part = max(like, 2 * covered / (whole + all_)), max(part, covered / all_)
+    return like, part
+
+
 def windows(words: list[str], where: list[tuple[int, str, int, float]]) -> Iterator[tuple[int, int, str, int, int]]:
     """(first word, last word, family, words covered, words of the template) of the smallest windows that cover so much.  ``where``: from ``reached``."""
     for at, family, n, _ in where:
@@ -294,7 +366,12 @@ class Scanner:
         if p[n] < self.model.least or p[n] < p[0]:
             return None
         cover, _ = match(words, FAMILIES[n])
-        return (FAMILIES[n], float(p[n]), cover) if cover >= COVER else None
+        if cover < COVER:
+            return None
+        like, part = likeness(words, {FAMILIES[n]})
+        if part < COVER or like < likeness(words, UNLISTED)[0]:
+            return None
+        return FAMILIES[n], float(p[n]), cover
 
     def known(self, words: list[str]) -> tuple[str, float, float] | None:
         key = " ".join(words)
@@ -349,7 +426,7 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [" ".join(x) for t in b.column(0).to_pylist() for x in other_lines(t)]
+            lines = [" ".join(x[i : i + STRETCH])[:SAMPLE_CHARS] for t in b.column(0).to_pylist() for x in other_lines(t) for i in range(0, len(x), STRETCH)]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["line"])
 
     lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(run, "line string")

@@ -140,6 +140,47 @@ def test_wrapped_licenses(spark, columns, mark):
         assert not scanner.text("\n".join(prose(7000 + 9 * i + j, 9) for j in range(9)))[1]
 
 
+#: (family or None, notice): as they stand in real files, with other years, names and versions.
+NOTICES = [
+    ("mit", "Released under the MIT License."), ("mit", "This project is licensed under the terms of the MIT license, see LICENSE."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 2."), ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."), ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"), ("bsd", "Licensed under the BSD 3-Clause License."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."), ("mpl", "Licensed under the Mozilla Public License, version 2.0."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."), ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by", "Licensed under CC BY 4.0."), ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("all-rights-reserved", "Copyright 2019 Example. All rights reserved."),
+    (None, "Licensed under the GNU Lesser General Public License 2.1."), (None, "This work is licensed under the GNU Lesser General Public License, version 3."), (None, "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License."),
+    (None, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."), (None, "You should have received a copy of the GNU Affero General Public License along with this program."),
+    (None, "Licensed under CC BY-ND 4.0."), (None, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."), (None, "Licensed under CC0 1.0."), (None, "Licensed under the Apache License, Version 1.1."),
+    (None, "Licensed under the Eclipse Public License, version 2.0."), (None, "Released under the ISC License."), (None, "Released under the zlib License."), (None, "Distributed under the Boost Software License, Version 1.0."), (None, "Licensed under the European Union Public Licence, version 1.2."),
+    (None, "No part of the programme may be repeated without written notice to the station."), (None, "The licence of the driver was free of charge and all rights of way were reserved."),
+]
+
+
+def test_planted_notices(spark):
+    rows, truth = [], {}
+    for n in range(660):
+        family, notice = NOTICES[n % len(NOTICES)]
+        width = (0, 70, 40)[n // len(NOTICES) % 3]
+        notice = textwrap.fill(notice, width, break_long_words=False, break_on_hyphens=False) if width else notice
+        rows.append((n, f"{prose(n, 25)}\n\n{notice}\n\n{prose(n + 5000, 20)}" if n % 2 else f"{prose(n, 12)}\n{notice}\n{prose(n + 5000, 9)}"))
+        truth[n] = family
+    rows += [(n, f"{prose(n, 30)}\n{prose(n + 1, 12)}") for n in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    right = found = wanted = 0
+    for r in licenses.scan(df, licenses.train(df)).collect():
+        families = {x["family"] for x in r["notices"]}
+        family = truth.get(r["doc_id"])
+        found += len(families)
+        wanted += family is not None
+        right += family in families
+        for x in r["notices"]:
+            assert 0 <= x["start"] < x["end"] <= len(dict(rows)[r["doc_id"]])
+    assert right >= 0.95 * wanted and right >= 0.95 * found, (right, wanted, found)
+
+
 def test_two_wrapped_licenses():
     scanner = licenses.Scanner(licenses.fit([prose(i, 12).split() for i in range(400)]))
     mit, gpl = (textwrap.fill(licenses.TEMPLATES[f][2 if f == "mit" else 1], 70) for f in ("mit", "gpl"))
@@ -157,7 +198,7 @@ def test_license_covers():
         base = [w for w in licenses.TEMPLATE_WORDS[family][i] if r.random() > 0.3]
         for _ in range(r.randint(0, 20)):
             base.insert(r.randint(0, len(base)), r.choice(words))
-        want = {(f, j): licenses.common_order(t, base) / len(t) for f, ts in licenses.TEMPLATE_WORDS.items() for j, t in enumerate(ts)}
+        want = {(f, j): licenses.common_order(t, base) / len(t) for f in licenses.TEMPLATES for j, t in enumerate(licenses.TEMPLATE_WORDS[f])}
         assert licenses.covers(base) == {k: v for k, v in want.items() if v >= licenses.COVER}
     # 12 different words, but 18 of the 29 places
     mit = licenses.TEMPLATE_WORDS["mit"][2]
