@@ -9,9 +9,10 @@ nodes have equal anchors, and neighbouring nodes mostly share one.
    every edge of its nodes.  There the smallest (doc_id, start) of an edge becomes its source, and a node
    through which just one repeated edge comes in and one goes out is nonbranching.  Later occurrences of edges that follow each
    other over such nodes, with sources that follow each other, are one piece.
-3. Paths.  Pieces of one document meet where one ends and the next begins: over a nonbranching node they become one path.
-4. Verification.  Each path is joined with the words at its source's coordinates, by a digest of the words in either document;
-   only paths that agree take words away.  A path that doesn't (two windows with one hash) makes the whole search run
+3. Paths and spans.  Pieces of one document meet where one ends and the next begins: over a nonbranching node they are one path of
+   the graph, and paths whose sources follow each other too are one span.
+4. Verification.  Each span is joined with the words at its source's coordinates, by a digest of the words in either document;
+   only spans that agree take words away.  One that doesn't (two windows with one hash) makes the whole search run
    again with other hashes, so the result never rests on a hash.
 
 Frequent anchors are known with their counts.  They are marked by a broadcast of at most ``HEAVY`` of them, and their buckets are
@@ -34,7 +35,7 @@ from .common import clean_shuffles, dropped, shuffle_partitions, small_batches,
 
 WINDOW, ANCHOR = 20, 8
 #: An anchor with more occurrences has its bucket dealt out by a salt, about so many occurrences to each.
-HOT = 4_000
+HOT = 1_000
 #: Anchors with over one in so many of all occurrences, so at most so many of them, are marked by a broadcast.
 HEAVY = 1_000
 #: Nodes in a row at most, bytes of a row about, and of a partition.
@@ -80,10 +81,14 @@ def grams(h: np.ndarray, k: int, by: np.uint64) -> np.ndarray:
     return mixed(out)
 
 
-def smallest(g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of ``width`` values: the smallest, and the place of its first occurrence."""
-    at = np.lib.stride_tricks.sliding_window_view(g, width).argmin(1) + np.arange(len(g) - width + 1)
-    return g[at], at
+def extreme(x: np.ndarray, width: int, of) -> np.ndarray:
+    """``of`` (np.minimum or np.maximum) of each run of ``width`` values; each step doubles the runs."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[: len(x) - step], x[step:])
+        done += step
+    return x
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -95,50 +100,59 @@ def new_values(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])
 
 
-def distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows, as Python values, but for those whose first two columns (document and hash of its text) repeat the row before."""
-    before = None
-    for b in batches:
-        for r in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else c for c in b.columns), strict=True):
-            if r[:2] != before:
-                before = r[:2]
-                yield r
+class Texts:
+    """The words of many texts in one array.  Grams that reach into the next text are masked by ``inside``."""
+
+    def __init__(self, texts: list[str | None], known: Words, k: int):
+        lists = [words_of(t) for t in texts]
+        self.size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.hashes = known.hashes([w for words in lists for w in words])
+        self.text = np.repeat(np.arange(len(lists)), self.size)
+        self.begin = np.cumsum(self.size) - self.size
+        self.left = self.size[self.text] - (np.arange(len(self.text)) - self.begin[self.text])  # words from here to the text's end
+        self.k = k
+
+    def inside(self, n: int, size: int) -> np.ndarray:
+        """For the first ``n`` places whether ``size`` words from there are of one text, which has a window."""
+        return (self.left[:n] >= size) & (self.size[self.text[:n]] >= self.k)
+
+    def anchors(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor of each node, whether the node is within one text, grams)."""
+        g = grams(self.hashes, m, P2)
+        value = extreme(g, self.k - m, np.minimum)
+        return value, self.inside(len(value), self.k - 1), g
 
 
 def anchors(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, seed: int = 0) -> DataFrame:
-    """(h, doc, row, times): each document's anchors, and at how many places it has them."""
+    """(h, key): each place where a document has an anchor.  ``docs``: key, text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(seed)
         for b in batches:
-            hs, ds, rs, ts = [], [], [], []
-            for doc, row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = words_of(text)
-                if len(words) < k:
-                    continue
-                value, at = smallest(grams(known.hashes(words), m, P2), k - m)
-                value, times = np.unique(value[new_values(at)], return_counts=True)
-                hs.append(value.view(np.int64))
-                ts.append(times)
-                ds.append(np.full(len(value), doc, np.int64))
-                rs.append(np.full(len(value), row, np.int64))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, rs, ts)], ["h", "doc", "row", "times"])
+            t = Texts(b.column(1).to_pylist(), known, k)
+            if len(t.hashes) < k:
+                continue
+            value, inside, g = t.anchors(m)
+            # a gram is an anchor where it is the smallest of some node, which is then the largest of the smallest around it
+            pad = np.zeros(k - m - 1, np.uint64)
+            at = np.flatnonzero(extreme(np.concatenate([pad, np.where(inside, value, 0), pad]), k - m, np.maximum) == g)
+            at = at[g[at] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), b.column(0).take(pa.array(t.text[at]))], ["h", "key"])
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "h long, doc long, row long, times long")
+    return docs.select("key", "text").mapInArrow(run, "h long, key long")
 
 
 def marked(docs: DataFrame, k: int, m: int, seed: int) -> tuple[DataFrame, int]:
-    """(doc, row, marks: the document's anchors that occur more than once, and how many salts each has), and the occurrences of all such anchors."""
+    """(key, marks: the document's anchors that occur more than once, and how many salts each has), and the occurrences of all such anchors."""
     found = written(anchors(docs, k, m, seed), "anchors")
-    often = written(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", "n", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "repeated-anchors")
+    often = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", "n", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "repeated-anchors")
     total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = F.col("n") > max(HOT, total // HEAVY)
-    near = found.select("h", "doc", "row").join(F.broadcast(often.where(heavy).select("h", F.col("salts").alias("many"))), "h", "left")
+    near = found.join(F.broadcast(often.where(heavy).select("h", F.col("salts").alias("many"))), "h", "left")
     light = near.where("many IS NULL").drop("many").join(often.where(~heavy).select("h", "salts"), "h")
-    both = near.where("many IS NOT NULL").select("h", "doc", "row", F.col("many").alias("salts")).unionByName(light)
-    marks = written(both.groupBy("doc", "row").agg(F.collect_set(F.struct("h", "salts")).alias("marks")), "marks")
+    both = near.where("many IS NOT NULL").select("h", "key", F.col("many").alias("salts")).unionByName(light)
+    marks = written(both.groupBy("key").agg(F.collect_set(F.struct("h", "salts")).alias("marks")), "marks")
     dropped(found, often)
     return marks, total
 
@@ -146,6 +160,18 @@ def marked(docs: DataFrame, k: int, m: int, seed: int) -> tuple[DataFrame, int]:
 RUNS = "h long, salt int, salts int, doc long, start int, row long, lead int, edges binary, nodes binary"
 
 
+def binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Rows of so many values."""
+    offsets = np.concatenate([[0], np.cumsum(size * data.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def stretches(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of many stretches, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
 def runs(docs: DataFrame, k: int, m: int, seed: int, bits: int) -> DataFrame:
     """A row for each stretch of nodes with one marked anchor: ``edges`` are the hashes of all edges that touch its nodes.
 
@@ -154,63 +180,65 @@ def runs(docs: DataFrame, k: int, m: int, seed: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(seed)
-        held: list[tuple] = []
-        for doc, row, text, marks in distinct_rows(batches):
-            words = words_of(text)
-            if len(words) < k:
+        for b in batches:
+            doc, row = b.column(0).to_numpy(), b.column(1).to_numpy()
+            t = Texts(b.column(2).to_pylist(), known, k)
+            if len(t.hashes) < k:
                 continue
-            h, salts = marks.values.field(0).to_numpy(), marks.values.field(1).to_numpy()
-            order = np.argsort(h)
-            h, salts = h[order], salts[order]
-            hashes = known.hashes(words)
-            value = smallest(grams(hashes, m, P2), k - m)[0].view(np.int64)
-            first = new_values(value)
-            first[::RUN] = True
-            begin = np.flatnonzero(first)
-            end = np.append(begin[1:], len(value))
-            at = np.minimum(np.searchsorted(h, value[begin]), len(h) - 1)
-            own = h[at] == value[begin]
-            if not own.any():
+            value, inside, _ = t.anchors(m)
+            text, at = t.text[: len(value)], np.arange(len(value)) - t.begin[t.text[: len(value)]]
+            first = new_values(value) | new_values(text) | (at % RUN == 0)
+            first[1:] |= ~inside[:-1]
+            begin = np.flatnonzero(first & inside)
+            stop = np.flatnonzero(np.concatenate([first[1:] | ~inside[1:], [True]]) & inside) + 1
+            # marks of all texts in one sorted array; a node's mark is looked up by anchor and text
+            of = np.repeat(np.arange(len(doc)), np.diff(b.column(3).offsets.to_numpy()))
+            marks = b.column(3).flatten()
+            name = mixed(marks.field(0).to_numpy().view(np.uint64) + of.astype(np.uint64) * P3)
+            order = np.argsort(name)
+            name, salts = name[order], marks.field(1).to_numpy()[order]
+            asked = mixed(value[begin] + text[begin].astype(np.uint64) * P3)
+            place = np.minimum(np.searchsorted(name, asked), len(name) - 1)
+            own = name[place] == asked
+            begin, stop, many, text = begin[own], stop[own], salts[place[own]].astype(np.int64), text[begin[own]]
+            if not len(begin):
                 continue
-            begin, end, many = begin[own], end[own], salts[at[own]]
-            edge, node = grams(hashes, k, P1), (grams(hashes, k - 1, P3) >> np.uint64(32)).astype(np.uint32)
+            edge, node = grams(t.hashes, k, P1), (grams(t.hashes, k - 1, P3) >> np.uint64(32)).astype(np.uint32)
             if bits < 64:
                 edge &= np.uint64((1 << bits) - 1)
-            lead = np.minimum(begin, 1)
-            spread = (begin + (xxhash.xxh3_64_intdigest(doc.to_bytes(8, "little", signed=True), row & 0xFFFFFFFF) >> 2)) * 0x9E3779B1 >> 20 & 0x7FFFFFFF
-            edge, node = edge.tobytes(), node.tobytes()
-            a, b = (begin - lead).tolist(), end.tolist()
-            held += zip(value[begin].tolist(), (spread % many).tolist(), many.tolist(), [doc] * len(a), a, [row] * len(a), lead.tolist(), [edge[8 * i : 8 * j] for i, j in zip(a, b, strict=True)], [node[4 * (i + x) : 4 * j] for i, x, j in zip(a, lead.tolist(), b, strict=True)], strict=True)
-            if len(held) > 20_000:
-                yield run_batch(held)
-                held = []
-        if held:
-            yield run_batch(held)
+            lead = np.minimum(at[begin], 1)
+            start = begin - lead
+            n_edges = np.minimum(stop, t.begin[text] + t.size[text] - k + 1) - start
+            spread = (mixed(doc[text].view(np.uint64) * P1 + row[text].view(np.uint64) * P2 + at[begin].astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+            columns = (value[begin].view(np.int64), (spread % many).astype(np.int32), many.astype(np.int32), doc[text], (at[begin] - lead).astype(np.int32), row[text], lead.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), binary(stretches(edge, start, n_edges), n_edges), binary(stretches(node, begin, stop - begin), stop - begin)], [x.split()[0] for x in RUNS.split(", ")])
 
     return docs.select("doc", "row", "text", "marks").mapInArrow(run, RUNS)
 
 
-def run_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RUNS.split(", ")])
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of all rows, how many each has) of a column made by ``binary``."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, np.uint8)
+    return data.view(kind), np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize
 
 
 class Bucket:
     """Rows of ``runs``, whole buckets of them in the order of h, salt, doc and start, as flat arrays of edges and nodes."""
 
-    def __init__(self, h, salt, doc, start, row, lead, edges: list[bytes], nodes: list[bytes]):
+    def __init__(self, h, salt, doc, start, row, lead, edges: pa.Array, nodes: pa.Array):
         again = np.zeros(len(h), bool)  # rows that repeat the one before: the same document twice
         if len(h):
             again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in (h, salt, doc, start, row)])
-        size, n_nodes = np.fromiter(map(len, edges), np.int64, len(h)) >> 3, np.fromiter(map(len, nodes), np.int64, len(h)) >> 2
+        self.edge, size = flat(edges, "<u8")
+        self.node, n_nodes = flat(nodes, "<u4")
         self.h, self.salt, self.again = h, salt, again
         self.r = np.repeat(np.arange(len(h)), size)
         begin = np.cumsum(size) - size
         self.j = np.arange(len(self.r)) - begin[self.r]
-        self.edge = np.frombuffer(b"".join(edges), "<u8")
         self.doc, self.row, self.pos = doc[self.r], row[self.r], start[self.r].astype(np.int64) + self.j
         self.own = (self.j >= lead[self.r]) & ~again[self.r]  # goes out of a node of this bucket
-        self.node = np.frombuffer(b"".join(nodes), "<u4")
         of = np.repeat(np.arange(len(h)), n_nodes)
         first = np.cumsum(n_nodes) - n_nodes
         t = np.arange(len(of)) - first[of] + lead[of]
@@ -281,13 +309,13 @@ def given(kind: int, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     columns["kind"] = np.full(n, kind, np.int32)
     fields = [x.split() for x in GIVEN.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], types[t]) if c in columns else pa.nulls(n, types[t]) for c, t in fields], [c for c, _ in fields])
+    return pa.RecordBatch.from_arrays([(columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], types[t])) if c in columns else pa.nulls(n, types[t]) for c, t in fields], [c for c, _ in fields])
 
 
 def solved(rows: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
     """``rows``: whole buckets of ``runs``, all of them salted or none."""
     h, salt, _, doc, start, row, lead = (rows.column(i).to_numpy() for i in range(7))
-    edges, nodes = rows.column(7).to_pylist(), rows.column(8).to_pylist()
+    edges, nodes = (x.chunk(0) if isinstance(x := rows.column(i).combine_chunks(), pa.ChunkedArray) else x for i in (7, 8))
     b = Bucket(h, salt, doc, start, row, lead, edges, nodes)
     b.group()
     if not salted:
@@ -306,8 +334,8 @@ def solved(rows: pa.Table, salted: bool) -> Iterator[pa.RecordBatch]:
         ends.append(pa.array(end, mask=end < 0))
     at = b.begin
     yield given(1, h=b.h[b.r[at]], salt=b.salt[b.r[at]], edge=b.edge[at].view(np.int64), times=b.times, doc=b.doc[at], row=b.row[at], start=b.pos[at], out_of=ends[0], into=ends[1])
-    kept = np.flatnonzero(~b.again).tolist()
-    yield given(2, h=h[kept], salt=salt[kept], doc=doc[kept], row=row[kept], start=start[kept].astype(np.int64), lead=lead[kept], edges=[edges[i] for i in kept], nodes=[nodes[i] for i in kept])
+    kept = np.flatnonzero(~b.again)
+    yield given(2, h=h[kept], salt=salt[kept], doc=doc[kept], row=row[kept], start=start[kept].astype(np.int64), lead=lead[kept], edges=edges.take(pa.array(kept)), nodes=nodes.take(pa.array(kept)))
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +380,7 @@ def salted_pieces(rows: DataFrame) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({n: [] for n in names}).astype({n: "bool" if n == "joins" else "int64" for n in names})
         left = left.sort_values(["doc", "start", "row"], kind="stable")
-        b = Bucket(*(left[c].to_numpy() for c in ("h", "salt", "doc", "start", "row", "lead")), left["edges"].tolist(), left["nodes"].tolist())
+        b = Bucket(*(left[c].to_numpy() for c in ("h", "salt", "doc", "start", "row", "lead")), *(pa.array(left[c].tolist(), pa.binary()) for c in ("edges", "nodes")))
         right = right.sort_values("edge")
         edge = right["edge"].to_numpy()
         at = np.minimum(np.searchsorted(edge, b.edge.view(np.int64)), len(edge) - 1)
@@ -363,14 +391,18 @@ def salted_pieces(rows: DataFrame) -> DataFrame:
     return own.groupBy("h", "salt").cogroup(back.groupBy("bucket", "part")).applyInPandas(run, PIECES)
 
 
-def paths(pieces: DataFrame) -> DataFrame:
-    """(doc, row, start, n, from_doc, from_row, from_start): pieces that meet over a nonbranching node, with sources that go on, made one."""
+def spans(pieces: DataFrame) -> DataFrame:
+    """(doc, row, start, n, paths, from_doc, from_row, from_start): pieces that meet, with sources that go on, made one.
+
+    ``paths``: over how many paths of the graph a span goes; pieces that meet over a nonbranching node are of one path.
+    """
     along = Window.partitionBy("doc", "row").orderBy("start")
     goes_on = F.struct((F.col("start") + F.col("n")).alias("start"), "from_doc", "from_row", (F.col("from_start") + F.col("n")).alias("from_start"))
-    meets = F.col("joins") & F.lag(goes_on).over(along).eqNullSafe(F.struct("start", "from_doc", "from_row", "from_start"))
-    numbered = pieces.withColumn("opens", F.when(meets, 0).otherwise(1)).withColumn("path", F.sum("opens").over(along))
-    first = F.min_by(F.struct("from_doc", "from_row", "from_start"), "start").alias("source")
-    return numbered.groupBy("doc", "row", "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), first).select("doc", "row", "start", "n", "source.*")
+    meets = F.lag(goes_on).over(along).eqNullSafe(F.struct("start", "from_doc", "from_row", "from_start"))
+    numbered = pieces.withColumn("meets", meets).withColumn("span", F.sum(F.when(F.col("meets"), 0).otherwise(1)).over(along))
+    new_path = F.when(F.col("meets") & F.col("joins"), 0).otherwise(1)
+    first = F.min(F.struct("start", "from_doc", "from_row", "from_start")).alias("first")
+    return numbered.groupBy("doc", "row", "span").agg(first, F.sum("n").alias("n"), F.sum(new_path).alias("paths")).select("doc", "row", "first.start", "n", "paths", "first.from_doc", "first.from_row", "first.from_start")
 
 
 def digests(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -378,18 +410,21 @@ def digests(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     wanted = asked.distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for doc, row, text, spans in distinct_rows(batches):
-            words = words_of(text)
-            whole = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
-            for start, n in zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist(), strict=True):
-                held.append((doc, row, start, n, hashlib.blake2b(whole[ends[start - 1] if start else 0 : ends[start + n + k - 2] - 1], digest_size=16).digest()))
-            if len(held) > 20_000:
+        before = None
+        for b in batches:
+            held: list[tuple] = []
+            for doc, row, text, spans in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
+                if (doc, row) == before:
+                    continue
+                before = (doc, row)
+                words = words_of(text)
+                whole = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                start, n = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+                a, z = np.concatenate([[0], ends])[start].tolist(), (ends[start + n + k - 2] - 1).tolist()
+                held += [(doc, row, i, j, hashlib.blake2b(whole[x:y], digest_size=16).digest()) for i, j, x, y in zip(start.tolist(), n.tolist(), a, z, strict=True)]
+            if held:
                 yield digest_batch(held)
-                held = []
-        if held:
-            yield digest_batch(held)
 
     return docs.select("doc", "row", "text").join(wanted, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(run, "doc long, row long, start long, n long, digest binary").distinct()
 
@@ -398,28 +433,28 @@ def digest_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["doc", "row", "start", "n", "digest"])
 
 
-def repeated_paths(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int = 64) -> DataFrame:
-    """Verified paths (see ``paths``): stretches of ``n`` windows that stand earlier, and where.  ``docs``: doc, row (hash of the text), text.
+def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int = 64) -> DataFrame:
+    """Verified spans (see ``spans``): stretches of ``n`` windows that stand earlier, and where.  ``docs``: doc, row (hash of the text), key (of both), text.
 
     ``bits`` of an edge's hash count in the first search, all of them in later ones.
     """
     for seed in range(TRIES):
         marks, total = marked(docs, k, m, seed)
         parts = max(shuffle_partitions(docs.sparkSession), -(-total * ROW_BYTES // PART_BYTES))
-        rows = runs(docs.join(marks, ["doc", "row"]), k, m, seed, 64 if seed else bits)
+        rows = runs(docs.join(marks, "key"), k, m, seed, 64 if seed else bits)
         rows = rows.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "doc", "start", "row")
         solved_ = written(rows.mapInArrow(by_bucket, GIVEN), "buckets")
         dropped(marks)
         pieces = solved_.where("kind = 0").select(*[x.split()[0] for x in PIECES.split(", ")])
         if not solved_.where("kind = 2").isEmpty():
             pieces = pieces.unionByName(salted_pieces(solved_.where("kind > 0")))
-        found = written(paths(pieces), "paths")
+        found = written(spans(pieces), "spans")
         dropped(solved_)
         source = found.select(F.col("from_doc").alias("doc"), F.col("from_row").alias("row"), F.col("from_start").alias("start"), "n")
-        read = written(digests(docs, found.select("doc", "row", "start", "n").unionByName(source), k), "path-digests")
+        read = written(digests(docs, found.select("doc", "row", "start", "n").unionByName(source), k), "span-digests")
         of = read.select(F.col("doc").alias("from_doc"), F.col("row").alias("from_row"), F.col("start").alias("from_start"), "n", F.col("digest").alias("there"))
         checked = found.join(read, ["doc", "row", "start", "n"]).join(of, ["from_doc", "from_row", "from_start", "n"])
-        checked = written(checked.withColumn("agrees", F.col("digest") == F.col("there")).drop("digest", "there"), "checked-paths")
+        checked = written(checked.withColumn("agrees", F.col("digest") == F.col("there")).drop("digest", "there"), "checked-spans")
         dropped(found, read)
         if checked.where("NOT agrees").isEmpty():
             return checked.drop("agrees")
@@ -427,16 +462,6 @@ def repeated_paths(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
     raise RuntimeError(f"windows with equal hashes and other words in {TRIES} searches")
 
 
-def chained(start: np.ndarray, n: np.ndarray, from_doc: np.ndarray, from_start: np.ndarray, k: int) -> list[list[int]]:
-    """Rows (start, words, source document, source start): paths that follow each other, and whose sources do, as one span."""
-    order = np.argsort(start)
-    start, n, from_doc, from_start = start[order], n[order], from_doc[order], from_start[order]
-    new = np.ones(len(start), bool)
-    new[1:] = (start[1:] != (start + n)[:-1]) | (from_start[1:] != (from_start + n)[:-1]) | (from_doc[1:] != from_doc[:-1])
-    at = np.flatnonzero(new)
-    return np.stack([start[at], np.add.reduceat(n, at) + k - 1, from_doc[at], from_start[at]], 1).tolist() if len(at) else []
-
-
 SPAN = "array<struct<start: bigint, words: bigint, source_doc: bigint, source_start: bigint>>"
 
 
@@ -444,18 +469,19 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
     """Adds kept (text), n_words, n_removed and spans to the columns of ``docs``.
 
     Words are runs of other characters than space and \\x09-\\x0D.  A word goes if a window of k words that
-    covers it also starts earlier: in a smaller doc_id, or before in the same document.  kept joins the
+    covers it also starts earlier: in a smaller doc_id, or before in the same document; spans tell where.  kept joins the
     other words by one space; texts that lose nothing keep their white space.  Null texts have no words and stay null.  Rows with a null id come
     before all others and, like other rows with one id, count as one document: of windows at the same place in
-    them neither is earlier.  All rows and columns stay.  ``bits``: see ``repeated_paths``.
+    them neither is earlier.  All rows and columns stay.  ``bits``: see ``repeated_spans``.
     """
     spark = docs.sparkSession
     small_batches(spark)
     columns = docs.columns
     own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64("text"))
     with clean_shuffles(spark):
-        found = repeated_paths(own.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), "text"), k, m, bits)
-    hits = found.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("start", "n", "from_doc", "from_start")).alias("__hits"))
+        found = repeated_spans(own.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.xxhash64("__doc", "__row").alias("key"), "text"), k, m, bits)
+    hit = F.struct("start", (F.col("n") + (k - 1)).alias("words"), "from_doc", "from_start")
+    hits = found.groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(hit)).alias("__hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -465,8 +491,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
                 words = words_of(text)
                 gone, spans = 0, []
                 if hits[i].is_valid:
-                    start, n, from_doc, from_start = (hits[i].values.field(j).to_numpy() for j in range(4))
-                    spans = chained(start, n, from_doc, from_start, k)
+                    spans = np.stack([hits[i].values.field(j).to_numpy() for j in range(4)], 1).tolist()
                     change = np.zeros(len(words) + 1, np.int64)
                     for s, size, *_ in spans:
                         change[s] += 1

@@ -180,31 +180,28 @@ def test_equal_hashes_of_other_words(spark, bits):
     assert Counter(map(tuple, got)) == plain_removal(rows, 20)
 
 
-def test_only_verified_paths_take_words(spark, monkeypatch):
+def test_only_verified_spans_take_words(spark, monkeypatch):
     rows = [(i, prose(40, 60)) for i in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sum(r["n_removed"] for r in substring.without_repeats(df).collect()) == 120
-    paths = substring.paths
-    monkeypatch.setattr(substring, "paths", lambda pieces: paths(pieces).where("doc <> 1"))
+    spans = substring.spans
+    monkeypatch.setattr(substring, "spans", lambda pieces: spans(pieces).where("doc <> 1"))
     assert {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(df).collect()} == {0: 0, 1: 0, 2: 60}
     # a source that holds other words ends the search, as its words are read
-    monkeypatch.setattr(substring, "paths", lambda pieces: paths(pieces).withColumn("from_start", F.col("from_start") + 1).withColumn("n", F.col("n") - 1))
+    monkeypatch.setattr(substring, "spans", lambda pieces: spans(pieces).withColumn("from_start", F.col("from_start") + 1).withColumn("n", F.col("n") - 1))
     with pytest.raises(RuntimeError, match="equal hashes"):
         substring.without_repeats(df)
 
 
-def test_paths_break_where_the_graph_branches(spark):
+@pytest.mark.parametrize("hot", [1000, 2, 1])
+def test_paths_break_where_the_graph_branches(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
     a, b, c = prose(1, 60), prose(2, 40), prose(3, 40)
     rows = [(0, f"{a} {b}"), (1, f"{a} {b}"), (2, f"{a} {c}"), (3, f"{a} {c}"), (4, a)]
-    own = spark.createDataFrame(rows, "doc long, text string").withColumn("row", F.xxhash64("text"))
-    got = sorted((r["doc"], r["start"], r["n"], r["from_doc"], r["from_start"]) for r in substring.repeated_paths(own).collect())
-    # of a: 41 windows, which b and c follow over one branching node
-    assert got == [(1, 0, 41, 0, 0), (1, 41, 40, 0, 41), (2, 0, 41, 0, 0), (3, 0, 41, 0, 0), (3, 41, 40, 2, 41), (4, 0, 41, 0, 0)]
-    for hot in (1, 2):
-        import unittest.mock as mock
-
-        with mock.patch.object(substring, "HOT", hot):
-            assert sorted((r["doc"], r["start"], r["n"], r["from_doc"], r["from_start"]) for r in substring.repeated_paths(own).collect()) == got
+    own = spark.createDataFrame(rows, "doc long, text string").withColumn("row", F.xxhash64("text")).withColumn("key", F.xxhash64("doc", "row"))
+    got = sorted((r["doc"], r["start"], r["n"], r["paths"], r["from_doc"], r["from_start"]) for r in substring.repeated_spans(own).collect())
+    # a has 41 windows; b and c follow it over one branching node
+    assert got == [(1, 0, 81, 2, 0, 0), (2, 0, 41, 1, 0, 0), (3, 0, 41, 1, 0, 0), (3, 41, 40, 1, 2, 41), (4, 0, 41, 1, 0, 0)]
 
 
 def test_rows_that_share_an_id(spark):
