@@ -1,4 +1,4 @@
-"""python -m lodestone.cli scan|extract|chunk|index|search|stats|validate ..."""
+"""python -m lodestone.cli scan|extract|chunk|index|search|stats|validate|export|import|embed ..."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.embedding import HashEmbedder
+from lodestone.operators import incremental
 from lodestone.operators.chunking import Settings
-from lodestone.operators.summaries import scan_summary, status_counts
+from lodestone.operators.summaries import run_totals, scan_summary, status_counts
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.sources import store
@@ -42,17 +44,42 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("-k", type=int, default=5)
     s.add_argument("--exact", action="store_true")
     for name in ("stats", "validate"):
-        sub.add_parser(name).add_argument("folder")
+        sub.add_parser(name, help="of an index, or of a folder in the exchange form").add_argument("folder")
+    for name, source, target in (("export", "index", "folder"), ("import", "folder", "index")):
+        c = sub.add_parser(name, help=f"from {source} to {target}")
+        c.add_argument("source")
+        c.add_argument("target")
+    e = sub.add_parser("embed", help="the vector of a text, as JSON")
+    e.add_argument("text")
+    e.add_argument("--dim", type=int, default=384)
     return p
 
 
+def exchangeable(vectors: DataFrame) -> DataFrame:
+    """Ids from 0 to n - 1 in the order of the index's, as the exchange form has them by position."""
+    return incremental.numbered(vectors.withColumnRenamed("chunk_id", "old_id"), ["old_id"]).drop("old_id")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
-    if a.command == "stats":
-        print(json.dumps(store.export_stats(a.folder), indent=2))
+    if a.command == "embed":
+        print(json.dumps(HashEmbedder(a.dim).encode([a.text])[0].tolist()))
         return 0
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
     try:
+        if a.command == "stats":
+            found = store.stats(spark, a.folder)
+            print(json.dumps(found, indent=2))
+            return int(found is None)
+        if a.command == "export":
+            vectors, _, config = store.load(spark, a.source)
+            print(f"{store.export(exchangeable(vectors), a.target, config)} vectors")
+            return 0
+        if a.command == "import":
+            vectors, config = store.import_(spark, a.source)
+            vectors = vectors.withColumn("chunk_index", F.lit(0))
+            print(json.dumps(store.save(vectors.select(*retrieval.COLUMNS), a.target, config, retrieval.graph_of(None, config)), indent=2))
+            return 0
         if a.command == "validate":
             ok = store.validate(spark, a.folder)
             print("valid" if ok else "not valid")
@@ -76,7 +103,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "extract":
             status_counts(found.extractions).show()
         else:
-            found.chunks.groupBy("source_file").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words")).orderBy("source_file").show(100, False)
+            documents = found.documents().persist()
+            documents.orderBy("source_file").show(100, False)
+            run_totals(documents).show()
+            documents.unpersist()
         return 0
     except (store.NoIndex, ValueError, OSError) as e:
         print(e, file=sys.stderr)

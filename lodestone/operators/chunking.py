@@ -7,8 +7,11 @@ them too long; what is gathered becomes a chunk, and a strategy says what of it
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,26 +106,56 @@ def count_tokens(text: str) -> int:
     return len(TOKEN.findall(text))
 
 
+count_tokens.adds_up = True
+
+
+class FileCounter:
+    """Counts the tokens of a model by its tokenizer file, as the ``tokenizers`` library reads it; loaded once in each worker."""
+
+    adds_up = False
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        return len(loaded(self.path).encode(text).ids)
+
+
+@lru_cache(4)
+def loaded(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def guarded(chunks: list[str], limit: int = LIMIT, overlap: int = OVERLAP, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Chunks over ``limit`` tokens become overlapping runs of words that fit; a single word over it stays whole."""
+    """Chunks over ``limit`` tokens become overlapping runs of words that fit; a single word over it stays whole.
+
+    A counter that adds up over words joined by spaces (``adds_up``) is asked once for each word; of others the longest run that fits is searched for.
+    """
     out = []
     for chunk in chunks:
         if count(chunk) <= limit:
             out.append(chunk)
             continue
         words, at = chunk.split(), 0
+        sums = [0, *accumulate(map(count, words))] if getattr(count, "adds_up", False) else None
         while at < len(words):
-            low, high = 1, len(words) - at
-            while low < high:  # the longest run that fits
-                mid = (low + high + 1) // 2
-                if count(" ".join(words[at : at + mid])) <= limit:
-                    low = mid
-                else:
-                    high = mid - 1
-            out.append(" ".join(words[at : at + low]))
-            if at + low >= len(words):
+            if sums:
+                n = max(1, bisect_right(sums, sums[at] + limit) - 1 - at)
+            else:
+                low, high = 1, len(words) - at
+                while low < high:
+                    mid = (low + high + 1) // 2
+                    if count(" ".join(words[at : at + mid])) <= limit:
+                        low = mid
+                    else:
+                        high = mid - 1
+                n = low
+            out.append(" ".join(words[at : at + n]))
+            if at + n >= len(words):
                 break
-            at += max(low - overlap, 1)
+            at += max(n - overlap, 1)
     return out
 
 
@@ -167,7 +200,7 @@ def chunked(units: DataFrame, settings: Settings = Settings(), text: str = "text
 def exploded(rows: DataFrame, document: list[str], unit: str) -> DataFrame:
     """One row for each chunk, numbered from 0 within its document (``document`` columns) across its units (``unit``: their order).
 
-    Numbers come from counts of chunks before a unit in its document, so a chunk's text is never sorted or shuffled for it.
+    Numbers come from counts of chunks before a unit in its document: units, with their chunks, go through one shuffle by document.
     """
     from pyspark.sql import Window
 

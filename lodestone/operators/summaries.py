@@ -23,6 +23,13 @@ def status_counts(rows: DataFrame, success: str = "success") -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col(success), F.lit(False))).alias("successful"), F.count_if(~F.coalesce(F.col(success), F.lit(False))).alias("failed"))
 
 
+def run_totals(documents: DataFrame) -> DataFrame:
+    """One row: documents, successful and failed ones, and the units, chunks, words and tokens of the successful."""
+    good = F.coalesce(F.col("success"), F.lit(False))
+    totals = [F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0)).alias(f"total_{c}") for c in ("units", "chunks", "words", "tokens")]
+    return documents.agg(F.count("*").alias("documents"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed"), *totals)
+
+
 def scan_summary(log: DataFrame) -> DataFrame:
     """Rows and bytes by status and reason."""
     return log.groupBy("status", "reason").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))

@@ -21,38 +21,63 @@ from .config import IndexConfig
 class Ingested:
     log: DataFrame  # every file and refused directory
     extractions: DataFrame  # accepted files, read or failed
+    units: DataFrame  # units with their chunks; a failed file is one row without any
     chunks: DataFrame
 
+    def documents(self) -> DataFrame:
+        """A row for each accepted file, those that failed too: source_file, success, error_message, units, chunks, words, tokens."""
+        c = F.col("chunks")
+        total = lambda name: F.sum(F.aggregate(c[name], F.lit(0), lambda a, x: a + x))
+        rows = self.units.groupBy("source_file").agg(
+            F.bool_and("success").alias("read"), F.max("error_message").alias("error_message"), F.count("source_chunk_index").alias("units"),
+            F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"), F.coalesce(total("word_count"), F.lit(0)).alias("words"), F.coalesce(total("token_count"), F.lit(0)).alias("tokens"),
+        )
+        empty = F.col("read") & (F.col("chunks") == 0)
+        return rows.select("source_file", (F.col("read") & ~empty).alias("success"), F.when(empty, F.lit("no chunks")).otherwise(F.col("error_message")).alias("error_message"), "units", "chunks", "words", "tokens")
+
 
 def ingest(spark: SparkSession, root: str, settings: Settings = Settings(), **scan_options) -> Ingested:
     """Lazy: nothing is read until a part is used."""
     log = scan.scan(spark, root, **scan_options)
     extractions = extract.extracted(scan.files(log))
-    units = chunked(extract.unit_rows(extractions), settings).drop("text")
-    chunks = exploded(units, ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text")
-    return Ingested(log, extractions, chunks)
+    units = chunked(extract.unit_rows(extractions, failed=True), settings).drop("text")
+    chunks = exploded(units.where("success").drop("success", "error_message"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text")
+    return Ingested(log, extractions, units, chunks)
+
+
+COLUMNS = ("chunk_id", "text", "source_file", "source_label", "format_category", "word_count", "token_count", "source_chunk_index", "chunk_index", "vector")
+
+
+def next_vectors(old: DataFrame, chunks: DataFrame, make: Callable[[], Embedder], dim: int) -> DataFrame:
+    """The table after ``old``: unchanged chunks keep their ids and vectors, others are embedded."""
+    merged = incremental.merge(old.drop("vector"), chunks)
+    kept = merged.join(old.select("chunk_id", "vector"), "chunk_id", "left")
+    return kept.where("vector IS NOT NULL").unionByName(embedded(kept.where("vector IS NULL").drop("vector"), make, dim))
 
 
 def index(spark: SparkSession, root: str, folder: str, config: IndexConfig | None = None, settings: Settings = Settings(), make: Callable[[], Embedder] | None = None, full: bool = False, graph: bool = True, **scan_options) -> dict:
-    """Builds the index, or brings it up to date: only added and changed chunks are embedded, removed ones go."""
+    """Builds the index, or brings it up to date: only added and changed chunks are embedded, removed ones go.
+
+    Files are read once.  Shards of the graph that nothing was taken from stay as they are.
+    """
     config = config or IndexConfig()
     make = make or Hashing(config.dim, config.seed)
-    chunks = ingest(spark, root, settings, **scan_options).chunks
-    if full or not store.index_exists(folder):
-        rows = incremental.numbered(chunks, ["source_file", "chunk_index"])
-        vectors = embedded(rows, make, config.dim)
-    else:
-        old, _, config = store.load(spark, folder)
-        merged = incremental.merge(old.drop("vector"), chunks)
-        kept = merged.join(old.select("chunk_id", "vector"), "chunk_id", "left")
-        vectors = kept.where("vector IS NOT NULL").unionByName(embedded(kept.where("vector IS NULL").drop("vector"), make, config.dim))
-    vectors = vectors.select("chunk_id", "text", "source_file", "source_label", "format_category", "word_count", "token_count", "source_chunk_index", "chunk_index", "vector").persist()
-    try:
-        if vectors.isEmpty():
+    before = None
+    if not full and store.index_exists(folder):
+        old, before, config = store.load(spark, folder)
+    with store.staged(ingest(spark, root, settings, **scan_options).chunks, folder) as chunks:
+        if chunks.isEmpty():
             raise ValueError(f"no text was found in {root}")
-        return store.save(vectors, folder, config, ann.build(vectors, config, "chunk_id", "vector") if graph else None)
-    finally:
-        vectors.unpersist()
+        if not full and store.index_exists(folder):
+            vectors = next_vectors(old, chunks, make, config.dim)
+        else:
+            vectors = embedded(incremental.numbered(chunks, ["source_file", "chunk_index"]), make, config.dim)
+        return store.save(vectors.select(*COLUMNS), folder, config, graph_of(before, config) if graph else None)
+
+
+def graph_of(before: DataFrame | None, config: IndexConfig) -> Callable[[DataFrame], DataFrame]:
+    """Builds a table's graph, from an earlier version's where there is one."""
+    return lambda vectors: ann.build(vectors, config, "chunk_id", "vector") if before is None else ann.updated(before, vectors, config, "chunk_id", "vector")
 
 
 def search(spark: SparkSession, folder: str, text: str | list[str], k: int = 5, make: Callable[[], Embedder] | None = None, exact: bool = False) -> DataFrame:

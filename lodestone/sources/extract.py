@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import LONGEST, SHORTEST
 from lodestone.session import ship
 
-#: Elements whose text is not part of a page.
+from . import simple_pdf
+
+#: Elements whose text is not part of a page, those without an end tag, and the largest sheet of the format.
 HIDDEN = {"script", "style", "head", "nav", "footer", "aside", "noscript", "meta", "link", "button", "form", "input"}
 VOID = {"meta", "link", "input", "br", "hr", "img", "area", "base", "col", "embed", "source", "track", "wbr"}
+SHEET_ROWS, SHEET_COLUMNS = 1 << 20, 1 << 14
 HEADER_ROWS = 5
 SNIFFED = 4096
 DROPPED = dict.fromkeys(map(ord, "​‌‍﻿"))
@@ -261,18 +264,30 @@ def xlsx(data: bytes, name: str) -> list[tuple[str, str]]:
 
 
 def ods(data: bytes, name: str) -> list[tuple[str, str]]:
-    """Row 1 is the header; cells that read "nan" count as empty."""
+    """Row 1 is the header; cells that read "nan" count as empty.
+
+    Cells and rows that stand for several are repeated, so values stay under their headers; empty cells at a row's end and empty rows go.
+    """
     out = []
     for table in (x for x in Package(data).xml("content.xml").iter() if local(x.tag) == "table"):
         rows = []
         for row in (x for x in table.iter() if local(x.tag) == "table-row"):
             cells: list[str] = []
+            blank = 0  # empty cells since the last filled one
             for c in (x for x in row if local(x.tag) in ("table-cell", "covered-table-cell")):
                 text = "\n".join(open_text(p) for p in c if local(p.tag) == "p").strip()
-                cells += ["" if text.lower() == "nan" else text] * min(int(attribute(c, "number-columns-repeated") or 1), 1024 if text else 1)
-            if any(cells):
-                rows.append(cells)
-        out.append((f"Sheet: {attribute(table, 'name')}", linearised(rows[1:], [c or f"Col{i}" for i, c in enumerate(rows[0], 1)]) if rows else ""))
+                n = int(attribute(c, "number-columns-repeated") or 1)
+                if not text or text.lower() == "nan":
+                    blank += n
+                else:
+                    cells += [""] * min(blank, SHEET_COLUMNS) + [text] * min(n, SHEET_COLUMNS)
+                    blank = 0
+                if len(cells) > SHEET_COLUMNS:
+                    raise Unreadable("a row has more cells than a sheet can hold")
+            if cells:
+                rows += [cells] * min(int(attribute(row, "number-rows-repeated") or 1), SHEET_ROWS - len(rows))
+        width = max(map(len, rows), default=0)
+        out.append((f"Sheet: {attribute(table, 'name')}", linearised(rows[1:], [c or f"Col{i}" for i, c in enumerate(rows[0] + [""] * (width - len(rows[0])), 1)]) if rows else ""))
     return out
 
 
@@ -312,10 +327,14 @@ def mail(data: bytes, name: str) -> list[tuple[str, str]]:
 
 
 def pdf(data: bytes, name: str) -> list[tuple[str, str]]:
+    """Pages by ``pypdf`` where it is installed, else by the reader of this package."""
     try:
         from pypdf import PdfReader
     except ImportError:
-        raise Unreadable("pypdf is not installed") from None
+        try:
+            return [(f"Page {n}", text) for n, text in enumerate(simple_pdf.pages(data), 1)]
+        except simple_pdf.NotPdf as e:
+            raise Unreadable(str(e)) from None
     try:
         reader = PdfReader(io.BytesIO(data))
     except Exception as e:
@@ -403,8 +422,14 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("absolute_path", "relative_path", "extension", "format_category").mapInArrow(run, SCHEMA)
 
 
-def unit_rows(extractions: DataFrame) -> DataFrame:
-    """One row for each unit of the successful files, with its place in the file."""
-    return extractions.where("success").select("relative_path", "absolute_path", "format_category", F.posexplode("units").alias("source_chunk_index", "unit")).select(
-        F.col("relative_path").alias("source_file"), "format_category", "source_chunk_index", "unit.source_label", "unit.text"
+def unit_rows(extractions: DataFrame, failed: bool = False) -> DataFrame:
+    """One row for each unit of the successful files, with its place in the file.
+
+    With ``failed`` a file that could not be read is one row too, with success = false, its message and no unit.
+    """
+    rows = extractions if failed else extractions.where("success")
+    explode = F.posexplode_outer if failed else F.posexplode
+    more = ["success", "error_message"] if failed else []
+    return rows.select("relative_path", "absolute_path", "format_category", *more, explode("units").alias("source_chunk_index", "unit")).select(
+        F.col("relative_path").alias("source_file"), "format_category", "source_chunk_index", "unit.source_label", "unit.text", *more
     )

@@ -2,7 +2,8 @@
 
 The listing rules differ from Spark's own file sources: names that begin with ``_`` are seen, hidden files are kept while
 hidden directories are pruned, symbolic links and depth are under control, and every refusal is a row
-with its reason.  A partition walks one top-level directory (the root's own files make one more).
+with its reason.  A partition walks one directory with all below it, or the files of one directory alone: directories are
+opened on the driver, level by level, until there are enough of them to walk side by side.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ IGNORED = (
 )
 
 DEPTH = 200
+#: Directories to walk side by side, about.
+PARTS = 256
 MB = 1 << 20
 SCHEMA = "absolute_path string, relative_path string, real_path string, extension string, format_category string, size_bytes long, modified_ts double, status string, reason string"
 
@@ -71,16 +74,28 @@ class ScanReader(DataSourceReader):
         self.hidden = options.get("include_hidden", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        """One for each directory just under the root, so that trees are walked side by side."""
-        tops = [Tree(e.path, True) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not self.pruned(e.name)]
-        return [Tree(self.root, False), *tops]
+        """Whole trees, and the own files of directories over them."""
+        parts, level = [], [self.root]
+        for _ in range(DEPTH):
+            if not level or len(parts) + len(level) >= PARTS:
+                break
+            parts += [Tree(top, False) for top in level]
+            level = [e.path for top in level for e in self.inside(top) if e.is_dir(follow_symlinks=False) and not self.pruned(e.name)]
+        return parts + [Tree(top, True) for top in level]
+
+    def inside(self, top: str) -> list[os.DirEntry]:
+        try:
+            return sorted(os.scandir(top), key=lambda e: e.name)
+        except OSError:
+            return []  # its own partition tells why
 
     def pruned(self, name: str) -> bool:
         return name.startswith(".") and not self.hidden or name in self.ignored
 
     def read(self, partition: Tree) -> Iterator[tuple]:
-        depth = len(PurePath(os.path.relpath(partition.top, self.root)).parts)
-        yield from self.walk(partition.top, depth, partition.deep, frozenset())
+        path = PurePath(os.path.relpath(partition.top, self.root)).parts
+        over = [self.root, *(os.path.join(self.root, *path[:i]) for i in range(1, len(path)))][: len(path)]
+        yield from self.walk(partition.top, len(path), partition.deep, frozenset(map(os.path.realpath, over)))
 
     def skip(self, path: str, reason: str) -> tuple:
         return (path, os.path.relpath(path, self.root), None, None, None, None, None, "skipped", reason)

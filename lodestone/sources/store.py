@@ -9,6 +9,8 @@ import json
 import os
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,19 +42,39 @@ def manifest(folder: str) -> dict:
     return found
 
 
-def save(vectors: DataFrame, folder: str, config: IndexConfig, graph: DataFrame | None = None) -> dict:
-    """Writes a version of the table (and its graph) and points the manifest at it."""
+def save(vectors: DataFrame, folder: str, config: IndexConfig, graph: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    """Writes a version of the table (and its graph) and points the manifest at it.
+
+    ``graph`` may be a function of the table as written, so that nothing is computed twice.
+    """
+    spark = vectors.sparkSession
     os.makedirs(folder, exist_ok=True)
     name = f"v-{uuid.uuid4().hex}"
     vectors.write.parquet(f"{folder}/{name}/vectors")
+    written = spark.read.schema(vectors.schema).parquet(f"{folder}/{name}/vectors")
+    rows = written.count()
+    if callable(graph):
+        graph = graph(written) if rows else None
     if graph is not None:
         graph.write.parquet(f"{folder}/{name}/graph")
-    rows = vectors.sparkSession.read.parquet(f"{folder}/{name}/vectors").count()
     entry = {"magic": MAGIC, "version": VERSION, "kind": KIND, "table": name, "rows": rows, "graph": graph is not None, "config": json.loads(config.dumps()), "written": time.time()}
     vectors_bin.replaced(os.path.join(folder, MANIFEST), lambda f: f.write(json.dumps(entry, indent=2).encode()))
     return entry
 
 
+@contextmanager
+def staged(rows: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """``rows`` as a table beside the index's versions, which is gone afterwards: they are computed once, however often they are read."""
+    spark = rows.sparkSession
+    path = f"{folder}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    try:
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, IndexConfig]:
     found = manifest(folder)
     at = f"{folder}/{found['table']}"
@@ -102,8 +124,17 @@ def import_(spark: SparkSession, folder: str, dim: int | None = None) -> tuple[D
 
 
 def validate(spark: SparkSession, folder: str) -> bool:
-    """Both files can be read, are finite and have the same ids."""
+    """Whether an index, or the files of the exchange form, can be read, have as many rows as they say, distinct ids and finite vectors of one length.
+
+    Of an index the graph must have the same ids.
+    """
     try:
+        if index_exists(folder):
+            entry, (rows, graph, config) = manifest(folder), load(spark, folder)
+            sound = is_finite(F.col("vector")) & (F.size("vector") == config.dim)
+            n, ids, good = rows.agg(F.count("*"), F.countDistinct("chunk_id"), F.count_if(sound)).first()
+            apart = 0 if graph is None else rows.select(F.col("chunk_id").alias("id")).exceptAll(graph.select("id")).unionAll(graph.select("id").exceptAll(rows.select("chunk_id"))).count()
+            return n == ids == good == entry["rows"] and not apart
         rows, _ = import_(spark, folder)
         n, _ = vectors_bin.header(os.path.join(folder, VECTORS), None, False)
         return rows.where(is_finite(F.col("vector"))).count() == n
@@ -111,6 +142,21 @@ def validate(spark: SparkSession, folder: str) -> bool:
         return False
 
 
+def stats(spark: SparkSession, folder: str) -> dict | None:
+    """Of an index its manifest, files and graph; of another folder ``export_stats``."""
+    if not index_exists(folder):
+        return export_stats(folder)
+    entry, (rows, graph, config) = manifest(folder), load(spark, folder)
+    files, chunks, words = rows.agg(F.countDistinct("source_file"), F.count("*"), F.coalesce(F.sum("word_count"), F.lit(0))).first()
+    found = {"rows": entry["rows"], "files": files, "chunks": chunks, "words": words, "dim": config.dim, "space": config.space, "written": entry["written"], "graph": entry["graph"]}
+    return found | (ann_stats(graph) if graph is not None else {})
+
+
+def ann_stats(graph: DataFrame) -> dict:
+    edges = F.aggregate("neighbours", F.lit(0), lambda n, layer: n + F.size(layer))
+    return graph.agg(F.countDistinct("shard").alias("shards"), F.max("level").alias("max_level"), F.sum(edges).alias("total_edges")).first().asDict()
+
+
 def export_stats(folder: str) -> dict | None:
     """From the header, the records' count and file sizes alone; None without a folder."""
     if not os.path.isdir(folder):

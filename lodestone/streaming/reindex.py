@@ -5,35 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import Embedder, Hashing, embedded
 from lodestone.operators import incremental
+from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.sources import store
 
 CHUNKS = "source_file string, source_label string, format_category string, source_chunk_index int, chunk_index int, text string, word_count int, token_count int"
 
 
-def reindex(spark: SparkSession, incoming: str, folder: str, checkpoint: str, config: IndexConfig, make: Callable[[], Embedder] | None = None) -> None:
+def reindex(spark: SparkSession, incoming: str, folder: str, checkpoint: str, config: IndexConfig, make: Callable[[], Embedder] | None = None, graph: bool = True) -> None:
     """Merges the Parquet chunk files that came into ``incoming``; each file is taken once.
 
-    Chunks of a file that is in the batch replace all it had; other files stay.  A repeated batch changes nothing.
+    Chunks of a file that is in the batch replace all it had; other files stay.  Where two files of a batch have one
+    chunk, that of the later file counts (by time, then path, then text).  A repeated batch changes nothing.
     """
     make = make or Hashing(config.dim, config.seed)
+    key = ["source_file", "source_chunk_index", "chunk_index"]
 
     def merge(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["source_file", "source_chunk_index", "chunk_index"])
-        if batch.isEmpty():
-            return
-        if store.index_exists(folder):
-            old, _, _ = store.load(spark, folder)
-            other = old.join(batch.select("source_file").distinct(), "source_file", "left_anti").drop("vector")
-            chunks = other.select(*batch.columns).unionByName(batch)
-            rows = incremental.merge(old.drop("vector"), chunks).join(old.select("chunk_id", "vector"), "chunk_id", "left")
-            vectors = rows.where("vector IS NOT NULL").unionByName(embedded(rows.where("vector IS NULL").drop("vector"), make, config.dim))
-        else:
-            vectors = embedded(incremental.numbered(batch, ["source_file", "source_chunk_index", "chunk_index"]), make, config.dim)
-        store.save(vectors, folder, config)
-
-    stream = spark.readStream.schema(CHUNKS).parquet(incoming)
+        columns = [c for c in batch.columns if c not in ("__time", "__path")]
+        latest = F.max_by(F.struct(*[c for c in columns if c not in key]), F.struct("__time", "__path", "text"))
+        batch = batch.groupBy(*key).agg(latest.alias("row")).select(*key, "row.*").select(*columns)
+        with store.staged(batch, folder) as rows:
+            if rows.isEmpty():
+                return
+            before = None
+            if store.index_exists(folder):
+                old, before, _ = store.load(spark, folder)
+                files = rows.select(F.col("source_file").alias("__file")).distinct()
+                other = old.join(files, F.col("source_file").eqNullSafe(F.col("__file")), "left_anti").select(*columns)
+                vectors = retrieval.next_vectors(old, other.unionByName(rows), make, config.dim)
+            else:
+                vectors = embedded(incremental.numbered(rows, key), make, config.dim)
+            store.save(vectors.select(*retrieval.COLUMNS), folder, config, retrieval.graph_of(before, config) if graph else None)
+
+    stream = spark.readStream.schema(CHUNKS).parquet(incoming).select("*", F.col("_metadata.file_modification_time").alias("__time"), F.col("_metadata.file_path").alias("__path"))
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

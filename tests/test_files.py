@@ -1,5 +1,6 @@
 import json
 import os
+import time
 import zipfile
 from email.message import EmailMessage
 
@@ -131,6 +132,42 @@ def test_office(tmp_path):
     assert units("d.ods", package(tmp_path / "q", {"content.xml": ods}))["units"][0]["text"] == "a: 1"
 
 
+def test_sparse_sheet(tmp_path):
+    o = 'xmlns:o="o" xmlns:t="t"'
+    cell = lambda t="", n=1: f'<t:table-cell t:number-columns-repeated="{n}">{t and f"<t:p>{t}</t:p>"}</t:table-cell>'
+    row = lambda *c, n=1: f'<t:table-row t:number-rows-repeated="{n}">{"".join(c)}</t:table-row>'
+    rows = [row(cell("a"), cell("b"), cell("c"), cell("d"), cell("", 1020)), row(cell("", 1024), n=9), row(cell("1"), cell("", 2), cell("4"), cell("", 1020)), row(cell("7", 3), n=2), row(cell("", 1024), n=1_048_000)]
+    got = units("x.ods", package(tmp_path / "x", {"content.xml": f'<o:doc {o}><t:table t:name="S">{"".join(rows)}</t:table></o:doc>'}))
+    assert got["units"][0]["text"] == "a: 1 | d: 4\na: 7 | b: 7 | c: 7\na: 7 | b: 7 | c: 7"
+
+
+def pdf_of(pages, more=b"", flate=True):
+    """A small PDF: a content stream for each page, in a tree of two levels."""
+    import zlib
+
+    parts = [b"%PDF-1.4", b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", b"3 0 obj << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >> endobj"]
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    parts.append(b"2 0 obj << /Type /Pages /Kids [ 4 0 R ] /Count %d >> endobj" % len(pages))
+    parts.append(b"4 0 obj << /Type /Pages /Kids [ %s ] /Resources << /Font << /F1 3 0 R /F2 6 0 R >> >> >> endobj" % kids)
+    for i, text in enumerate(pages):
+        data = zlib.compress(text) if flate else text
+        parts.append(b"%d 0 obj << /Type /Page /Parent 4 0 R /Contents %d 0 R >> endobj" % (10 + 2 * i, 11 + 2 * i))
+        parts.append(b"%d 0 obj << /Length %d %s>> stream\n%s\nendstream endobj" % (11 + 2 * i, len(data), b"/Filter /FlateDecode " if flate else b"", data))
+    return b"\n".join([*parts, more, b"trailer << /Root 1 0 R >>", b"%%EOF"])
+
+
+@pytest.mark.parametrize("flate", [True, False])
+def test_pdf(flate):
+    two = b"BT /F1 12 Tf 72 700 Td (First \\(page\\)) Tj 0 -14 Td [(wi) -20 (de) -300 (gap) ] TJ T* (caf\\351) ' ET"
+    got = units("x.pdf", pdf_of([two, b"", b"BT /F1 9 Tf 1 0 0 1 5 5 Tm <4869207468657265> Tj ET"], flate=flate))
+    assert [(u["source_label"], u["text"]) for u in got["units"]] == [("Page 1", "First (page)\nwide gap\ncafé"), ("Page 3", "Hi there")]
+    cmap = b"6 0 obj << /Type /Font /ToUnicode 7 0 R >> endobj\n7 0 obj << >> stream\n1 beginbfchar <0003> <0020> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<65E5> <672C>] endbfrange\nendstream endobj"
+    got = units("x.pdf", pdf_of([b"BT /F2 9 Tf <001000110012000300200021> Tj ET"], cmap, flate))
+    assert got["units"][0]["text"] == "abc 日本"
+    assert units("x.pdf", pdf_of([b""]))["error_message"] == "Extraction produced zero chunks"
+    assert units("x.pdf", pdf_of([two], b"trailer << /Encrypt 9 0 R >>"))["error_message"] == "the file is encrypted"
+
+
 def test_binary_file(spark, tmp_path):
     path = str(tmp_path / "v.bin")
     x = np.random.default_rng(42).normal(size=(10, 4)).astype(np.float32)
@@ -175,6 +212,20 @@ def test_incremental(spark):
     assert [r["chunk_id"] for r in merged.orderBy("chunk_id").collect()] == [0, 1, 2, 3, 4, 5, 6]
 
 
+def test_null_keys_and_many_ranges(spark):
+    kind = "chunk_id long, source_file string, source_chunk_index int, chunk_index int, text string"
+    old = spark.createDataFrame([(0, None, 0, 0, "x"), (1, "a", None, 1, "y"), (2, "b", None, 0, None), (3, "c", 0, 0, "q")], kind)
+    new = spark.createDataFrame([(None, 0, 0, "x"), ("a", None, 1, "changed"), ("b", None, 0, None), ("d", 0, 0, "d"), (None, 1, 0, "n")], kind.split(", ", 1)[1])
+    got = {(r["chunk_id"], r["source_file"], r["source_chunk_index"], r["text"]) for r in incremental.merge(old, new).collect()}
+    assert got == {(0, None, 0, "x"), (2, "b", None, None), (4, None, 1, "n"), (5, "a", None, "changed"), (6, "d", 0, "d")}
+    changed, merged = incremental.appended(old, new, order=("source_file", "chunk_index"))
+    assert {r["text"] for r in changed.collect()} == {"changed", "d", "n"} and merged.count() == 7
+    rows = spark.range(5000).selectExpr("nullif(id * 7919 % 5000, 3) AS a", "CAST(id % 3 AS STRING) AS b").repartition(5)
+    for range_rows in (1 << 20, 300):
+        ids = incremental.numbered(rows, ["a", "b"], 10, "n", range_rows).orderBy("n").collect()
+        assert [r["n"] for r in ids] == list(range(10, 5010)) and [r["a"] for r in ids] == [None, *(x for x in range(5000) if x != 3)]
+
+
 def test_index_and_search(spark, tree, tmp_path, capsys):
     folder, config = str(tmp_path / "index"), IndexConfig(dim=32)
     put(tree / "cats.txt", "Cats purr and sleep. They chase mice.")
@@ -193,6 +244,78 @@ def test_index_and_search(spark, tree, tmp_path, capsys):
     assert cli.main(["scan", str(tree)], spark) == 0
 
 
+def test_index_from_the_command_line(spark, tree, tmp_path, capsys):
+    folder, out, back = (str(tmp_path / n) for n in ("index", "exchange", "back"))
+    put(tree / "bad.docx", b"no zip")
+    assert cli.main(["index", str(tree), folder, "--dim", "16"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["stats", folder], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["rows"] == found["chunks"] == 7 and found["dim"] == 16 and found["graph"] and found["shards"] == 1
+    assert cli.main(["validate", folder], spark) == 0
+    assert cli.main(["export", folder, out], spark) == 0 and cli.main(["validate", out], spark) == 0
+    assert cli.main(["import", out, back], spark) == 0 and cli.main(["validate", back], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["stats", out], spark) == 0 and json.loads(capsys.readouterr().out)["valid"]
+    assert cli.main(["stats", str(tmp_path / "none")], spark) == 1 and cli.main(["validate", str(tmp_path / "none")], spark) == 1
+    assert cli.main(["chunk", str(tree)], spark) == 0 and "not a zip" in capsys.readouterr().out.lower()
+    capsys.readouterr()
+    assert cli.main(["embed", "some words", "--dim", "8"], spark) == 0 and len(json.loads(capsys.readouterr().out)) == 8
+    # an index whose manifest says other than its table
+    entry = store.manifest(folder)
+    with open(f"{folder}/manifest.json", "w") as f:
+        json.dump(entry | {"rows": 99}, f)
+    assert not store.validate(spark, folder)
+
+
+def test_failed_files_stay_visible(spark, tree):
+    from lodestone.operators.summaries import run_totals
+
+    put(tree / "bad.docx", b"no zip")
+    put(tree / "short.txt", b"ab")
+    put(tree / "blank.csv", b"")
+    documents = retrieval.ingest(spark, str(tree)).documents().persist()
+    rows = {r["source_file"]: r for r in documents.collect()}
+    assert {f for f, r in rows.items() if not r["success"]} == {"bad.docx", "short.txt", "blank.csv"} and all(rows[f]["error_message"] and not rows[f]["chunks"] for f in ("bad.docx", "short.txt", "blank.csv"))
+    assert rows["a.txt"]["chunks"] == 1 and rows["a.txt"]["words"] == 3
+    total = run_totals(documents).first()
+    assert total["documents"] == len(rows) and total["failed"] == 3 and total["total_words"] == sum(r["words"] for r in rows.values())
+
+
+def test_graph_follows_the_index(spark, tree, tmp_path):
+    from lodestone.operators import ann
+
+    folder, config = str(tmp_path / "ix"), IndexConfig(dim=128)
+    retrieval.index(spark, str(tree), folder, config)
+    before = {r["id"]: r["shard"] for r in store.load(spark, folder)[1].collect()}
+    put(tree / "new.txt", "Another text altogether.")
+    retrieval.index(spark, str(tree), folder, config)
+    after = {r["id"]: r["shard"] for r in store.load(spark, folder)[1].collect()}
+    assert before.items() <= after.items() and len(after) == len(before) + 1 and len(set(after.values())) == 2
+    os.unlink(tree / "a.txt")
+    retrieval.index(spark, str(tree), folder, config)
+    vectors, graph, _ = store.load(spark, folder)
+    assert sorted(r[0] for r in graph.select("id").collect()) == sorted(r[0] for r in vectors.select("chunk_id").collect())
+    links = {x for r in graph.collect() for layer in r["neighbours"] for x in layer}
+    assert links <= {r["id"] for r in graph.collect()}
+    assert retrieval.search(spark, folder, "another text", 1).collect()[0]["source_file"] == "new.txt"
+    spread = ann.updated(graph, vectors, config, "chunk_id", "vector", shard=3)
+    assert spread.count() == vectors.count()
+
+
+def test_parts_of_a_tree(spark, tree, monkeypatch):
+    whole = sorted(map(tuple, scan.scan(spark, str(tree), follow_symlinks=True, include_hidden=True).collect()), key=repr)
+    for parts in (1, 3):
+        reader = scan.ScanReader({"path": str(tree), "follow_symlinks": "true", "include_hidden": "true"})
+        monkeypatch.setattr(scan, "PARTS", parts)
+        rows = [r for p in reader.partitions() for r in reader.read(p)]
+        assert sorted((r[1] for r in rows)) == sorted(r[1] for r in whole)
+    for i in range(5):
+        put(tree / f"one/d{i}/x.txt")
+    monkeypatch.setattr(scan, "PARTS", 8)
+    assert len(scan.ScanReader({"path": str(tree)}).partitions()) >= 8
+
+
 def test_stream(spark, tmp_path):
     config, put_ = IndexConfig(dim=16), lambda n, rows: spark.createDataFrame(rows, CHUNKS).write.parquet(str(tmp_path / "in" / n))
     run = lambda: reindex(spark, str(tmp_path / "in/*"), str(tmp_path / "ix"), str(tmp_path / "cp"), config)
@@ -202,3 +325,13 @@ def test_stream(spark, tmp_path):
     run()
     rows = {r["source_file"]: r["text"] for r in store.load(spark, str(tmp_path / "ix"))[0].collect()}
     assert rows == {"a": "first", "b": "other"}
+    vectors, graph, _ = store.load(spark, str(tmp_path / "ix"))
+    assert graph.select("id").exceptAll(vectors.select("chunk_id")).isEmpty() and graph.count() == vectors.count()
+    # two files of a batch with one chunk: the later one counts
+    put_("x1", [("c", "l", "plain_text", 0, 0, "early", 1, 1)])
+    put_("x2", [("c", "l", "plain_text", 0, 0, "late", 1, 1)])
+    for name, at in (("x1", time.time() - 100), ("x2", time.time() - 50)):
+        for f in (tmp_path / "in" / name).glob("*.parquet"):
+            os.utime(f, (at, at))
+    run()
+    assert {r["source_file"]: r["text"] for r in store.load(spark, str(tmp_path / "ix"))[0].collect()} == {"a": "first", "b": "other", "c": "late"}

@@ -1,3 +1,4 @@
+import os
 import unicodedata
 
 import pytest
@@ -90,3 +91,17 @@ def test_numbering_across_units(spark):
     units = spark.createDataFrame(rows, "source_file string, unit int, text string")
     got = c.exploded(c.chunked(units, c.Settings(1, 0, 50)).drop("text"), ["source_file"], "unit").orderBy("source_file", "chunk_index").collect()
     assert [(r["source_file"], r["unit"], r["chunk_index"], r["chunk_text"]) for r in got] == [("a", 0, 0, "One."), ("a", 0, 1, "Two."), ("a", 2, 2, "Three.")]
+
+
+def test_guard_by_sums_and_by_search():
+    import random
+
+    r = random.Random(4)
+    for n in range(40):
+        chunk = " ".join("x" * r.randint(1, 30) + r.choice(["", ".", "!?"]) for _ in range(r.randint(1, 300)))
+        for limit, overlap in ((10, 3), (64, 30), (5, 0)):
+            assert c.guarded([chunk], limit, overlap) == c.guarded([chunk], limit, overlap, lambda t: c.count_tokens(t))
+    count = c.FileCounter("/opt/tokenizers/byte_bpe_50k.json")
+    if os.path.exists(count.path):
+        made = c.guarded(["some words of a longer text " * 40], 50, 5, count)
+        assert len(made) > 3 and all(count(x) <= 50 for x in made)
