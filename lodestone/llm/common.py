@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,19 +19,44 @@ ARROW_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset and all runs on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
         if hadoop.isDefined():
             return hadoop.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes what operators have written to the shared folder in this process, once results are taken: tables and files made after the first ``since``, but for ``keep``."""
+    kept = {f.rpartition("/")[0] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _made[since:]:
+        if not any(k.endswith(path.partition("://")[2] or path) for k in kept):
+            deleted(spark, path)
+            _made.remove(path)
+
+
+def made() -> int:
+    return len(_made)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -71,8 +97,5 @@ def clean_shuffles(spark: SparkSession) -> Iterator[None]:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing needs any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+            deleted(df.sparkSession, folder)

@@ -27,6 +27,8 @@ SHINGLE, SEED = 4, 42
 DISTANCE = 4
 #: Variants in a partition, about; and those that a worker sorts at a time.
 VARIANTS = 2_000_000
+#: Fingerprints in a part at most, about; and the bits by which a fuller one is dealt out.
+CROWD, DEEPER = 200_000, 8
 FINGERPRINTS = "doc_id long, fp long"
 
 
@@ -55,16 +57,18 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row's whole text; null is an empty text."""
+def fingerprints(docs: DataFrame, columns: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of each row's whole text, and some of its columns as __c0, __c1, ...; null is an empty text."""
     small_batches(docs.sparkSession)
+    plain = [f"__c{i}" for i in range(len(columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *plain])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINGERPRINTS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])
+    return rows.mapInArrow(run, ", ".join([FINGERPRINTS, *(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain, strict=True))]))
 
 
 @lru_cache(256)
@@ -148,35 +152,54 @@ def forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return pairs[kept]
 
 
-def links(fps: DataFrame, n: int, distance: int = DISTANCE, most: int = VARIANTS) -> DataFrame:
+def dealt(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+    """Sends each row of part (the first ``depth`` bits of a variant), depth, away (bits in which these differ), fp, node to the parts that its variants' next ``bits`` bits make."""
+    own = F.shiftrightunsigned("fp", 64 - bits) if bits else F.lit(0).cast("long")
+    if "depth" in rows.columns:
+        own = F.expr(f"shiftrightunsigned(shiftleft(fp, depth), {64 - bits})")
+    else:
+        rows = rows.select(F.lit(0).cast("long").alias("part"), F.lit(0).alias("depth"), F.lit(0).alias("away"), "fp", "node")
+    flips = {w: masks(bits, radius - w).view(np.int64).tolist() for w in range(radius + 1)}
+    lists = F.array(*[F.array(*map(F.lit, flips[w])) for w in range(radius + 1)])
+    sent = rows.withColumn("own", own).withColumn("flip", F.explode(F.element_at(lists, F.col("away") + 1)))
+    return sent.select(F.shiftleft("part", bits).bitwiseOR(F.col("own").bitwiseXOR(F.col("flip"))).alias("part"), (F.col("depth") + bits).alias("depth"), (F.col("away") + F.bit_count(F.col("flip"))).alias("away"), "fp", "node")
+
+
+def links(fps: DataFrame, n: int, distance: int = DISTANCE, most: int = VARIANTS, crowd: int = CROWD) -> DataFrame:
     """(a, b): nodes whose fingerprints are within ``distance`` (4 at most), as forests that join all such.
 
-    ``fps``: fp, node; both distinct.  ``n``: about how many rows it has.
+    ``fps``: fp, node; both distinct.  ``n``: about how many rows it has.  A part with over ``crowd`` fingerprints, many of them alike
+    in their first bits, is dealt out by more bits, again and again.  An odd distance compares all owners of a
+    variant with each other, as two of them may be one bit too far apart; only even ones chain them.
     """
-    if distance > 5 or distance < 0:
+    if distance > 4 or distance < 0:
         raise ValueError("variants are enumerated for a half radius of 2 bits at most")
     radius = -(-distance // 2)
-    dealt = min(40, max(0, (n * len(masks(64, radius)) // most)).bit_length())
-    flips = masks(dealt, radius).view(np.int64).tolist()
+    first = min(40, max(0, (n * len(masks(64, radius)) // most)).bit_length())
     small_batches(fps.sparkSession)
-    low = 64 - dealt
-    home = F.shiftrightunsigned("fp", low) if dealt else F.lit(0).cast("long")
-    # the first bits that a fingerprint's variants have
-    sent = fps.withColumn("home", home).select(F.explode(F.array(*[F.col("home").bitwiseXOR(F.lit(m)) for m in flips]) if len(flips) < 64 else F.transform(F.expr(f"sequence(0, {len(flips) - 1})"), lambda i: F.col("home").bitwiseXOR(F.element_at(F.array(*[F.lit(m) for m in flips]), i + 1)))).alias("part"), "home", "fp", "node")
+    sent = dealt(fps, first, radius)
+    for _ in range((56 - first) // DEEPER):
+        crowded = sent.groupBy("depth", "part").count().where(F.col("count") > crowd).select("depth", "part", F.lit(True).alias("crowded"))
+        if crowded.isEmpty():
+            break
+        crowded = crowded.checkpoint()
+        some = crowded.count()
+        met = sent.join(F.broadcast(crowded) if some <= 10_000 else crowded, ["depth", "part"], "left")
+        sent = met.where("crowded IS NULL").drop("crowded").select("part", "depth", "away", "fp", "node").unionByName(dealt(met.where("crowded").drop("crowded"), DEEPER, radius))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf["fp"].to_numpy().view(np.uint64)
-        away = np.bitwise_count(pdf["home"].to_numpy() ^ pdf["part"].to_numpy()).astype(np.int64)
+        low, away = 64 - int(pdf["depth"].iloc[0]), pdf["away"].to_numpy().astype(np.int64)
         pairs = collisions(f, away, low, radius, most)
         near = np.bitwise_count(f[pairs[:, 0]] ^ f[pairs[:, 1]]) <= distance
         node = pdf["node"].to_numpy()
-        if not near.all():  # an odd distance: a shared variant may lie between two that are one bit too far apart
+        if not near.all():
             pairs = far_checked(f, away, low, radius, distance)
         else:
             pairs = forest(pairs, len(f))
         return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    return sent.groupBy("part").applyInPandas(run, "a long, b long").distinct()
+    return sent.groupBy("depth", "part").applyInPandas(run, "a long, b long").distinct()
 
 
 def far_checked(fps: np.ndarray, away: np.ndarray, bits: int, radius: int, distance: int) -> np.ndarray:
@@ -197,21 +220,25 @@ def far_checked(fps: np.ndarray, away: np.ndarray, bits: int, radius: int, dista
     return forest(pairs, len(fps))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, columns: tuple[str, ...] | list[str] | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over fingerprints within ``distance`` bits.
 
     Every row stays, in any number of copies; null texts are empty ones, texts without words have fingerprint
-    zero and are linked like others.  Null ids never name a component unless all its ids are null.
+    zero and are linked like others.  Null ids never name a component unless all its ids are null.  With ``columns`` these
+    of the rows come instead, and ``group``, a number of the component (a fingerprint in it).
     """
-    own = written(fingerprints(docs), "fingerprints")
+    own = written(fingerprints(docs, columns or ()), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
     # nodes with no id at all, or one id on several fingerprints, are told apart by the fingerprint itself
     found = links(nodes.select("fp", F.col("fp").alias("node")), nodes.count(), distance)
     joined = components(found)
     group = joined.join(nodes.select(F.col("fp").alias("node"), F.col("node").alias("least")), "node").select(F.col("node").alias("fp"), "component", "least")
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(group.select("fp", "component"), "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return own.join(written(named, "components"), "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(group.select("fp", "component"), "fp", "left").join(least, "component", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    rows = own.join(written(named, "components"), "fp")
+    if columns is None:
+        return rows.select("doc_id", "fp", "component_id")
+    return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)], "group")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,25 @@ def test_links(spark, distance, most):
     assert roots(len(f), found) == roots(len(f), true)
 
 
+def test_crowded_parts(spark):
+    # a dense family: hundreds of fingerprints that share nearly all bits, so that any part of first bits holds most of them
+    rng = np.random.default_rng(12)
+    base, loose = np.uint64(0x1234567890ABCDEF), family(rng, 30, 1)
+    dense = np.full(400, base)
+    for _ in range(3):
+        dense ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    f = np.unique(np.concatenate([dense, loose]))
+    df = spark.createDataFrame([(int(x), i) for i, x in enumerate(f.view(np.int64))], "fp long, node long").persist()
+    true = [(i, j) for i in range(len(f)) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= 4]
+    found = [(r["a"], r["b"]) for r in simhash.links(df, len(f), 4, 20_000, crowd=60).collect()]
+    assert all(int(f[a] ^ f[b]).bit_count() <= 4 for a, b in found) and roots(len(f), found) == roots(len(f), true)
+    sent = simhash.dealt(simhash.dealt(df, 6, 2), 8, 2)
+    assert sent.select("depth").distinct().collect()[0][0] == 14
+    one = {(r["part"], r["away"]) for r in sent.where(f"node = 0").collect()}
+    head = int(f[0]) >> 50
+    assert one == {(head ^ m, m.bit_count()) for m in range(1 << 14) if m.bit_count() <= 2}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(int(a) + 200, int(b) + 200) for a, b in rng.integers(0, 80, (60, 2))] + [(5, 5)]
@@ -363,4 +382,15 @@ def test_damaged_member(tmp_path):
 
 
 def test_clashing_columns(docs):
-    assert F.col is not None and {"score", "fp", "h", "kept", "start"} <= set(docs.columns)
+    """Columns with the names that operators use inside or add stay as they were; results have an operator's own columns once."""
+    want = Counter((r["doc_id"], r["h"], r["fp"], r["start"], r["place"]) for r in docs.collect())
+    plain = docs.select("doc_id", "text")
+    done = substring.without_repeats(docs.drop("kept"))
+    assert Counter((r["doc_id"], r["h"], r["fp"], r["start"], r["place"]) for r in done.collect()) == want
+    own = ("n_words", "n_removed", "kept_sha256")
+    assert Counter(map(tuple, done.select("doc_id", *own).collect())) == Counter(map(tuple, substring.without_repeats(plain).select("doc_id", *own).collect()))
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == Counter(map(tuple, simhash.near_duplicates(plain).collect()))
+    described = lambda x: Counter(map(tuple, media.described(media.read_archives(media.write_archives(x))).drop("path").collect()))
+    assert described(docs) == described(plain)
+    whole = knn.whole(docs.selectExpr("doc_id AS vec_id", "array(score, 1D) AS embedding", "h AS cell", "start AS block"))
+    assert knn.top_k(whole, whole.where("vec_id = 1"), 2).count() == 2

@@ -226,6 +226,10 @@ def test_pipeline(spark, tables, tmp_path):
     one = near(spark, rows, str(tmp_path))
     left = {r[0] for r in one.select("doc_id").collect()}
     assert one.columns == rows.columns and 1000 in left and 1001 not in left and None in left and 1003 in left and 1004 not in left  # null texts count as empty ones
+    # rows that share an id: different texts are judged on their own, of equal ones one stays
+    other = prose(5003, 40)
+    shared = spark.createDataFrame([(1, clean, "en", "s", 1), (2, clean, "en", "s", 1), (2, other, "en", "s", 1), (2, other, "en", "s", 1), (None, prose(5004, 30), "en", "s", 1), (None, prose(5004, 30), "en", "s", 1), (1, clean, "en", "s", 1)], kind.schema)
+    assert Counter((r[0], r[1]) for r in near(spark, shared, str(tmp_path)).collect()) == Counter([(1, clean), (2, other), (None, prose(5004, 30))])
     less = passages(spark, one, str(tmp_path))
     texts = {r["doc_id"]: r["text"] for r in less.collect()}
     assert less.columns == rows.columns and texts[1000] == clean and texts[1002] == prose(5001, 30) and texts[1003] == ""
