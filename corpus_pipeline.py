@@ -7,11 +7,11 @@ repeated ids, null, empty and very long texts and extra columns pass through eve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import packing, simhash, substring, toxicity
-from lodestone.llm.common import table, written
+from lodestone.llm.common import clear, made, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the group's smallest id.
+    """One document of each group of near-duplicates stays: a row with the group's smallest id.
 
-    Rows with a null id stay; of rows that repeat the smallest id each stays.
+    Rows are judged by id and text, so of different texts under one id each is judged on its own.  Of rows
+    that share the smallest id within a group one stays, one of the text with the smallest hash; ids come before null ones,
+    so a group without any id keeps one row too.
     """
-    groups = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64("text"))
+    found = simhash.near_duplicates(keyed, columns=["__id", "__hash"])
+    least = F.min(F.struct(F.col("__id") == -(1 << 63), "__id", "__hash")).alias("least")
+    first = found.groupBy("group").agg(least).select("least.__id", "least.__hash")
+    again = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))  # of equal rows, by the join's own partitions
+    return keyed.join(first, ["__id", "__hash"]).withColumn("__again", again).where("__again = 1").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each result written and read again."""
+    """Applies STAGES to documents, each result written and read again; what a stage wrote besides goes when its result is there."""
     docs = table(spark, sf_dir, "documents")
+    since = made()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage-{i}")
+            clear(spark, since, keep=docs)
     return docs
