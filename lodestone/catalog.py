@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import samples
 from lodestone.functions import text as t
 from lodestone.functions import vectors as v
 from lodestone.functions.embedding import Hashing, embedded
 from lodestone.operators import ann, chunking, incremental, knn, summaries
+from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.session import ship
 from lodestone.sources import extract, scan
@@ -99,8 +101,8 @@ def index_stats(spark, sf):
 
 def small_world(spark, sf):
     rows = table(spark, sf, "embeddings")
-    config = IndexConfig(dim=rows.select(F.size("embedding")).first()[0], ef_construction=100)
-    return rows, ann.build(rows, config), config
+    config = IndexConfig(dim=rows.select(F.size("embedding")).first()[0], ef_construction=100, ef_search=100)
+    return rows, ann.build(rows, config).persist(), config  # a graph is made to be read more than once
 
 
 @query()
@@ -121,13 +123,37 @@ def recall_at_k(spark, sf):
     return knn.recall_at_k(found, knn.knn(rows, asked(rows), K), K).select("query_id", F.round("recall", 6).alias("recall"))
 
 
-@query()
+@query(f"""
+WITH truth AS (SELECT * FROM ({nearest_sql(COSINE)})), found AS (SELECT * FROM ({nearest_sql(L2)}))
+SELECT t.query_id, count(f.vec_id) / count(*) AS recall FROM truth t LEFT JOIN found f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY t.query_id""")
+def recall_of_l2(spark, sf):
+    """How many of the nearest by cosine are also among the nearest by L2."""
+    rows = table(spark, sf, "embeddings")
+    return knn.recall_at_k(knn.knn(rows, asked(rows), K, "l2"), knn.knn(rows, asked(rows), K), K)
+
+
+DIM = 384
+#: Sums of signs by component of the hashed words of a text.
+HASHED = """
+SELECT id, (h >> 1) % {dim} AS i, CAST(sum(1 - 2 * (h & 1)) AS DOUBLE) AS v FROM (
+  SELECT id, CAST('0x' || md5(w)[1:8] AS BIGINT) AS h FROM (SELECT {id} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {table}))
+GROUP BY ALL HAVING v <> 0"""
+
+
+@query(f"""
+WITH docs AS ({HASHED.format(dim=DIM, id="doc_id", table="documents")}), asked AS ({HASHED.format(dim=DIM, id="item_id", table="benchmark")}),
+docs_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM docs GROUP BY id), asked_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM asked GROUP BY id),
+dots AS (SELECT a.id AS query_id, d.id AS doc_id, sum(a.v * d.v) AS dot FROM asked a JOIN docs d USING (i) GROUP BY ALL),
+scored AS (SELECT q.id AS query_id, x.doc_id, coalesce(s.dot / q.n / d.n, 0) AS score FROM asked_n q CROSS JOIN documents x LEFT JOIN docs_n d ON d.id = x.doc_id LEFT JOIN dots s ON s.query_id = q.id AND s.doc_id = x.doc_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM ranked WHERE rank <= 5""")
 def semantic_search(spark, sf):
-    make, dim = Hashing(384), 384
-    docs = embedded(table(spark, sf, "documents").select("doc_id", "text"), make, dim).select("doc_id", "vector")
-    asked_ = embedded(table(spark, sf, "benchmark"), make, dim).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
-    found = knn.knn(docs, asked_, 5, "cosine", "doc_id", "vector")
-    return found.select("query_id", "rank", "doc_id", F.round(1 - F.col("distance"), 6).alias("score"))
+    make = Hashing(DIM)
+    docs = embedded(table(spark, sf, "documents").select("doc_id", "text"), make, DIM).select("doc_id", "vector")
+    asked_ = embedded(table(spark, sf, "benchmark"), make, DIM).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
+    score = F.round(1 - F.col("distance"), 6)  # equal texts are as near, but for the last bit
+    found = knn.knn(docs, asked_, 20, "cosine", "doc_id", "vector").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), "doc_id")))
+    return found.where("rank <= 5").select("query_id", F.col("rank").cast("int"), "doc_id", F.round(1 - F.col("distance"), 4).alias("score"))
 
 
 WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
@@ -220,7 +246,10 @@ SELECT {id_col}, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_index, unn
     FROM {source}))"""
 
 
-@query(fold_sql("doc_id", "documents", SENTENCES, "list_concat(CASE WHEN len(a.held) > 30 THEN a.held[-30:] ELSE [] END, u.w)", "list_concat(a.held, u.w)", "array_to_string(a.held, ' ')", "VARCHAR[]", "len(a.held)"))
+SENTENCE_CHUNKS = fold_sql("doc_id", "documents", SENTENCES, "list_concat(CASE WHEN len(a.held) > 30 THEN a.held[-30:] ELSE [] END, u.w)", "list_concat(a.held, u.w)", "array_to_string(a.held, ' ')", "VARCHAR[]", "len(a.held)")
+
+
+@query(SENTENCE_CHUNKS)
 def chunk_sentences(spark, sf):
     return chunks_of(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "plain_text")
 
@@ -244,7 +273,19 @@ def chunk_rows(spark, sf):
     return chunks_of(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "spreadsheet")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE chunks AS (
+  SELECT doc_id, chunk_index AS chunk, w, list_transform(range(len(w) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)) AS upto FROM (
+    SELECT *, list_transform(w, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]{{1,6}}|[^\\p{{L}}\\p{{N}}_\\s]'))) AS n FROM (
+      SELECT doc_id, chunk_index, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM ({SENTENCE_CHUNKS})))),
+cuts AS (
+  SELECT doc_id, chunk, 0 AS first, CASE WHEN upto[-1] <= 256 THEN len(w) ELSE greatest(1, len(list_filter(upto, lambda s: s <= 256)) - 1) END AS many FROM chunks
+  UNION ALL
+  SELECT doc_id, chunk, here, greatest(1, len(list_filter(upto, lambda s: s <= upto[here + 1] + 256)) - 1 - here) FROM (
+    SELECT c.doc_id, c.chunk, CAST(c.first + greatest(c.many - 30, 1) AS INTEGER) AS here, upto FROM cuts c JOIN chunks USING (doc_id, chunk) WHERE c.first + c.many < len(w)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk, first) - 1 AS INTEGER) AS chunk_index, md5(array_to_string(w[first + 1 : first + many], ' ')) AS md5,
+       CAST(many AS INTEGER) AS word_count, CAST(upto[first + many + 1] - upto[first + 1] AS INTEGER) AS token_count
+FROM cuts JOIN chunks USING (doc_id, chunk)""")
 def token_guard(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text").withColumn("unit", F.lit(0))
     made = chunking.exploded(chunking.chunked(rows).drop("text"), ["doc_id"], "unit")
@@ -275,7 +316,16 @@ def html_strip_regex(spark, sf):
     return table(spark, sf, "pages").select("page_id", t.strip_tags(F.col("html")).alias("text"))
 
 
-@query()
+NO_HIDDEN = "regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'gs')"
+for _tag in ("script", "style", "head", "nav", "footer", "aside", "noscript", "button", "form"):
+    NO_HIDDEN = f"regexp_replace({NO_HIDDEN}, '<{_tag}\\b[^>]*>.*?</{_tag}>', '<x>', 'gs')"
+PIECES = f"list_filter(list_transform(regexp_split_to_array({NO_HIDDEN}, '<[^>]*>'), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '')"
+PLAIN = f"array_to_string({PIECES}, chr(10))"
+for _i in range(2):  # entities of these pages; what they stand for may be one again
+    PLAIN = f"replace(replace(replace(replace({PLAIN}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {normal_sql('plain', f'trim(x, {BLANKS})')} AS text FROM (SELECT page_id, {PLAIN} AS plain FROM pages)")
 def html_text(spark, sf):
     ship(spark)
     read = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else extract.normalised(extract.page_text(x))), "string")
@@ -304,15 +354,6 @@ def ext_category(spark, sf):
     return rows.select("page_id", "extension", F.try_element_at(known, F.col("extension")).alias("format_category"))
 
 
-@query("""
-SELECT CASE WHEN n_chars > 2000 THEN 'skipped' ELSE 'accepted' END AS status, CASE WHEN n_chars > 2000 THEN 'exceeds_size_limit' END AS reason, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes
-FROM documents GROUP BY ALL""")
-def scan_summary(spark, sf):
-    large = F.col("n_chars") > 2000
-    log = table(spark, sf, "documents").select(F.when(large, "skipped").otherwise("accepted").alias("status"), F.when(large, "exceeds_size_limit").alias("reason"), F.col("n_chars").alias("size_bytes"))
-    return summaries.scan_summary(log)
-
-
 @query("""
 SELECT doc_id, CASE WHEN n < 1024 THEN format('{:.1f} B', n) WHEN n < 1024^2 THEN format('{:.1f} KB', n / 1024) WHEN n < 1024^3 THEN format('{:.1f} MB', n / 1024^2) ELSE format('{:.1f} GB', n / 1024^3) END AS size
 FROM (SELECT doc_id, CAST(strlen(text) * 731 AS DOUBLE) AS n FROM documents)""")
@@ -362,7 +403,72 @@ def incremental_append(spark, sf):
     return merged.select("chunk_id", *key, F.md5("text").alias("md5"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL")
+@query(f"""
+WITH parts AS ({HASHED.format(dim=DIM, id="doc_id", table="documents")}), size AS (SELECT id, sqrt(sum(v * v)) AS n FROM parts GROUP BY id)
+SELECT d.doc_id, md5(coalesce(string_agg(p.i || CASE WHEN v > 0 THEN '+' ELSE '-' END, ',' ORDER BY p.i), '')) AS signs, round(coalesce(sum(v / n), 0), 2) AS total, round(coalesce(max(abs(v) / n), 0), 2) AS largest
+FROM documents d LEFT JOIN parts p ON p.id = d.doc_id LEFT JOIN size s ON s.id = d.doc_id GROUP BY d.doc_id""")
 def embed_batch(spark, sf):
-    rows = embedded(table(spark, sf, "documents").select("doc_id", "text"), Hashing(384), 384)
-    return rows.where((F.size("vector") == 384) & F.col("text").isNotNull()).select("doc_id")
+    """Which components are over and under zero, their sum and the largest."""
+    rows = embedded(table(spark, sf, "documents").select("doc_id", "text"), Hashing(DIM), DIM)
+    marks = F.transform("vector", lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.when(x > 0, "+").otherwise("-"))))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("doc_id", F.md5(F.array_join(F.filter(marks, lambda x: x.isNotNull()), ",")).alias("signs"), F.round(total, 2).alias("total"), F.round(F.array_max(F.transform("vector", F.abs)).cast("double"), 2).alias("largest"))
+
+
+#: A tree of the documents: by language, four kinds of names in turn, one of which no extractor knows; long ones are too large.
+TREE = "SELECT text, concat(lang, '/', CAST(doc_id % 7 AS STRING), '/', CAST(doc_id AS STRING), element_at(array('.txt', '.MD', '.bin', ''), CAST(doc_id % 4 + 1 AS INT))) AS path FROM {documents}"
+TREE_SQL = "SELECT doc_id, text, concat(lang, '/', doc_id % 7, '/', doc_id, ['.txt', '.MD', '.bin', ''][CAST(doc_id % 4 + 1 AS INT)]) AS path, strlen(coalesce(text, '')) AS size FROM documents"
+MOST_MB = 0.004
+
+
+def document_tree(spark, sf) -> str:
+    rows = spark.sql(TREE, documents=table(spark, sf, "documents"))
+    return samples.tree(spark, rows.select("path", F.lit("raw").alias("kind"), F.lit("").alias("name"), F.coalesce("text", F.lit("")).alias("text")))
+
+
+EXTENSION = "lower(regexp_extract(path, '\\.[^./]+$'))"
+SKIPPED = f"CASE WHEN {EXTENSION} NOT IN ('.txt', '.md') THEN 'unsupported_extension:' || {EXTENSION} WHEN size > {int(MOST_MB * scan.MB)} THEN format('exceeds_size_limit:{{:.1f}}MB>{MOST_MB}MB', size / {scan.MB}.0) END"
+
+
+@query(f"""
+SELECT path, CASE WHEN reason IS NULL THEN {EXTENSION} END AS extension, CASE WHEN reason IS NULL THEN 'plain_text' END AS format_category, CASE WHEN reason IS NULL THEN size ELSE -1 END AS size_bytes,
+       CASE WHEN reason IS NULL THEN 'accepted' ELSE 'skipped' END AS status, reason
+FROM (SELECT *, {SKIPPED} AS reason FROM ({TREE_SQL}))""")
+def scan_tree(spark, sf):
+    log = scan.scan(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB)
+    return log.select(F.col("relative_path").alias("path"), "extension", "format_category", F.coalesce("size_bytes", F.lit(-1)).alias("size_bytes"), "status", "reason")
+
+
+@query(f"SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'skipped' END AS status, reason, count(*) AS files, CAST(coalesce(sum(CASE WHEN reason IS NULL THEN size END), 0) AS BIGINT) AS bytes FROM (SELECT size, {SKIPPED} AS reason FROM ({TREE_SQL})) GROUP BY ALL")
+def scan_summary(spark, sf):
+    return summaries.scan_summary(scan.scan(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB))
+
+
+@query(f"""
+SELECT path, length(t) >= 3 AS success, md5(coalesce(text, '')) AS md5, CASE WHEN length(t) >= 3 THEN 1 ELSE 0 END AS units, CASE WHEN length(t) >= 3 THEN md5(t) END AS text_md5
+FROM (SELECT path, text, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t, size FROM ({TREE_SQL})) WHERE {SKIPPED} IS NULL""")
+def extract_tree(spark, sf):
+    files = scan.files(scan.scan(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB))
+    rows = extract.extracted(files)
+    return rows.select(F.col("relative_path").alias("path"), "success", F.col("file_hash_md5").alias("md5"), F.size("units").alias("units"), F.md5(F.get("units", F.lit(0))["text"]).alias("text_md5"))
+
+
+@query(f"""
+WITH files AS (SELECT path, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t FROM (SELECT *, {SKIPPED} AS reason FROM ({TREE_SQL})) WHERE reason IS NULL)
+SELECT count(*) AS documents, count(*) FILTER (length(t) >= 3) AS successful, count(*) FILTER (length(t) < 3) AS failed, CAST(count(*) FILTER (length(t) >= 3) AS BIGINT) AS total_units FROM files""")
+def run_totals(spark, sf):
+    documents = retrieval.ingest(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB).documents()
+    return summaries.run_totals(documents).select("documents", "successful", "failed", "total_units")
+
+
+LABELS = {"txt": "'File: ' || f", "html": "'HTML: ' || f", "eml": "'Email: ' || f", "pdf": "'Page 1'", "csv": "'CSV: ' || f", "docx": "'Document: ' || f", "odt": "'Document: ' || f", "pptx": "'Slide 1'", "odp": "'Slide 1'", "xlsx": "'Sheet: One'", "ods": "'Sheet: One'"}
+SAID = {"eml": "'Subject: ' || n_name || chr(10) || chr(10) || n_text"} | dict.fromkeys(("csv", "xlsx", "ods"), "'name: ' || n_name || ' | text: ' || n_text")
+
+
+@query(" UNION ALL ".join(f"SELECT n_nationkey || '/' || f AS path, {LABELS[k]} AS source_label, {SAID.get(k, 'n_text')} AS text FROM (SELECT n_nationkey, n_name, n_name || ' lies in region ' || n_regionkey AS n_text, 'x.{k}' AS f FROM nation)" for k in samples.KINDS))
+def extract_formats(spark, sf):
+    """A small file of each format for each nation."""
+    kinds = F.explode(F.array(*[F.lit(k) for k in samples.KINDS])).alias("kind")
+    rows = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.concat("n_name", F.lit(" lies in region "), "n_regionkey").alias("text"), kinds)
+    root = samples.tree(spark, rows.withColumn("path", F.concat(F.col("n_nationkey").cast("string"), F.lit("/x."), "kind")))
+    return extract.unit_rows(extract.extracted(scan.files(scan.scan(spark, root)))).select(F.col("source_file").alias("path"), "source_label", "text")
