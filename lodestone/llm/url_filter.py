@@ -6,8 +6,8 @@ boundary rows: where an interval begins and ends, each with the stack of rules a
 Boundaries and urls are sorted together and a window carries the latest stack down to each url, which
 then tries the few rules on it (at most one host per label) against its path.
 
-Work is dealt by (top-level label, salt): urls of one hot host spread over all salts, and only the
-boundary rows of that label are repeated for each salt.
+Work is dealt by top-level label.  Labels with over one in ``HOT`` of all urls, so fewer than ``HOT`` of them, are dealt on by a salt:
+their urls spread over the salts, and only their boundary rows are repeated for each, to a quarter of their urls at most.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,6 +28,8 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 DEFAULT_VERDICT = "allow"
+#: Labels with over one in so many of all urls are salted; about so many urls go to a salt.
+HOT, SALT_ROWS = 1000, 5_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,20 +69,32 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return begin.unionByName(end)
 
 
-def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, salts: int | None = None) -> DataFrame:
+def hot_labels(urls: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
+    """(top, salts) of the labels that are salted.  ``urls``: a row for each url's label, ``marks``: for each boundary's."""
+    many = F.count("*").alias("urls")
+    counts = urls.groupBy("top").agg(many).where(F.col("urls") > rows)
+    counts = counts.where(F.col("urls") > urls.count() // HOT).join(marks.groupBy("top").agg(F.count("*").alias("marks")), "top")
+    salts = F.least(F.ceil(F.col("urls") / rows), F.floor(F.col("urls") / (4 * F.col("marks"))))
+    return counts.select("top", salts.cast("int").alias("salts")).where("salts > 1")
+
+
+def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row for each row of ``urls``: id, host, path, rule, verdict.
 
     The rule with the most characters in host and path together wins, then the longer host; rule is
     null and the verdict ``default`` where none fits.  Null urls and those without ``://`` have an empty
     host and path.  Repeated rows and null ids stay.  Other columns are ignored.
     """
-    salts = salts or shuffle_partitions(urls.sparkSession)
     host, path = host_and_path(F.col(url_col))
-    marks = boundaries(rules).select("top", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
+    bounds = boundaries(rules)
+    asked = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("top", top_label(F.col("host")))
+    hot = F.broadcast(hot_labels(asked.select("top"), bounds.select("top"), salt_rows))
+    salts = F.coalesce("salts", F.lit(1))
+    marks = bounds.join(hot, "top", "left").select("top", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
     asked = (
-        urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-        .withColumn("top", top_label(F.col("host")))
-        .withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(salts)).cast("int"))
+        asked.join(hot, "top", "left")
+        .withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), salts).cast("int"))
+        .drop("salts")
         .withColumn("key", host_key(F.col("host")))
         .withColumn("kind", F.lit(1))
     )

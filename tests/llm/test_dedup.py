@@ -329,13 +329,25 @@ def test_url_rules(spark):
     urls = spark.createDataFrame(rows, "page_id long, url string, host string, stack string")
     more = [*url_filter.RULES, ("block", "b.example.com", "/"), ("allow", "org", "/a"), ("block", "x.org", "")]
     for rules in (url_filter.RULES, more, url_filter.RULES[:1]):
-        got = url_filter.judge(urls, url_filter.rules_table(spark, rules), salts=3).collect()
+        got = url_filter.judge(urls, url_filter.rules_table(spark, rules)).collect()
         assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, rules)) for i, u, *_ in rows)
     assert url_filter.judge(urls.limit(0), url_filter.rules_table(spark)).count() == 0
     none = url_filter.judge(urls, url_filter.rules_table(spark).limit(0))
     assert none.count() == len(rows) and none.where("rule IS NOT NULL").count() == 0
 
 
+def test_hot_label(spark):
+    # a label with nearly all urls is dealt out by salts; its boundaries stay fewer than its urls
+    rows = [(i, f"http://{'www.' if i % 3 else ''}example.com/{'en/' if i % 2 else ''}{i}") for i in range(400)] + [(i, u) for i, u in enumerate(URLS, 1000)]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    rules = url_filter.rules_table(spark, url_filter.RULES)
+    labels = urls.select(url_filter.top_label(url_filter.host_and_path(F.col("url"))[0]).alias("top"))
+    assert [tuple(r) for r in url_filter.hot_labels(labels, url_filter.boundaries(rules).select("top"), 50).collect()] == [("com", 9)]
+    assert url_filter.hot_labels(labels, url_filter.boundaries(rules).select("top"), 1).first()["salts"] == 410 // 24
+    got = url_filter.judge(urls, rules, salt_rows=50).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, url_filter.RULES)) for i, u in rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=300))
 def test_media_payload(data):
