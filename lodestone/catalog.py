@@ -405,14 +405,14 @@ def incremental_append(spark, sf):
 
 @query(f"""
 WITH parts AS ({HASHED.format(dim=DIM, id="doc_id", table="documents")}), size AS (SELECT id, sqrt(sum(v * v)) AS n FROM parts GROUP BY id)
-SELECT d.doc_id, md5(coalesce(string_agg(p.i || CASE WHEN v > 0 THEN '+' ELSE '-' END, ',' ORDER BY p.i), '')) AS signs, round(coalesce(sum(v / n), 0), 2) AS total, round(coalesce(max(abs(v) / n), 0), 2) AS largest
+SELECT d.doc_id, md5(coalesce(string_agg(p.i || CASE WHEN v > 0 THEN '+' ELSE '-' END, ',' ORDER BY p.i), '')) AS signs, round(coalesce(sum(v / n), 0), 2) + CAST(0 AS DOUBLE) AS total, round(coalesce(max(abs(v) / n), 0), 2) AS largest
 FROM documents d LEFT JOIN parts p ON p.id = d.doc_id LEFT JOIN size s ON s.id = d.doc_id GROUP BY d.doc_id""")
 def embed_batch(spark, sf):
     """Which components are over and under zero, their sum and the largest."""
     rows = embedded(table(spark, sf, "documents").select("doc_id", "text"), Hashing(DIM), DIM)
     marks = F.transform("vector", lambda x, i: F.when(x != 0, F.concat(i.cast("string"), F.when(x > 0, "+").otherwise("-"))))
     total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
-    return rows.select("doc_id", F.md5(F.array_join(F.filter(marks, lambda x: x.isNotNull()), ",")).alias("signs"), F.round(total, 2).alias("total"), F.round(F.array_max(F.transform("vector", F.abs)).cast("double"), 2).alias("largest"))
+    return rows.select("doc_id", F.md5(F.array_join(F.filter(marks, lambda x: x.isNotNull()), ",")).alias("signs"), (F.round(total, 2) + F.lit(0.0)).alias("total"), F.round(F.array_max(F.transform("vector", F.abs)).cast("double"), 2).alias("largest"))
 
 
 #: A tree of the documents: by language, four kinds of names in turn, one of which no extractor knows; long ones are too large.
