@@ -18,9 +18,9 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A word of plain Latin letters, maybe with one mark after it: these are one or two pre-tokens in either
+#: A word of plain Latin letters, maybe with ASCII marks after it: these are one or two pre-tokens in either
 #: vocabulary, which its merge model takes as they stand.
-PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([,.;:!?]?)")
+PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-/:-@\\[-`{-~]*)")
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,18 +58,25 @@ class Tokens:
         self.keeps_space = keeps_space
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks = {m: self.direct([m])[0] for m in (*",.;:!?", "\n")} | {"": b""}
+        self.marks = WordMemo(lambda m: self.direct([m])[0], "", 8 << 20)
         self.memo = WordMemo(self.word, " " if keeps_space else "")
         self.heads = WordMemo(self.word, "", 8 << 20)
+        self.number = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def plain(self, text: str) -> bytes | None:
         """Ids of a plain word, by the merge model alone; None for other texts."""
         m = PLAIN.fullmatch(text)
         if not m:
             return None
-        word = m[1] + m[2] if self.keeps_space else m[2].lower()
-        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        return b"".join([i.to_bytes(4, "little") for i in ids]) + self.marks[m[3]]
+        space, word, marks = m.groups()
+        if marks:  # the word without them has likely been met
+            return (self.memo if space or not self.keeps_space else self.heads)[word] + self.marks[marks]
+        if self.keeps_space:
+            word = space + word
+        elif word != (low := word.lower()):
+            return self.memo[low]
+        number = self.number
+        return b"".join([number[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def word(self, text: str) -> bytes:
         """Ids of a text without spaces but for one in front."""

@@ -64,6 +64,8 @@ def test_memo_is_the_library(path, keeps):
     r = random.Random(2)
     alphabet = " \t\n\x0b\x1c\x85\xa0\u3000aAzéÉÖßıǅ'sltmdv019½.,!:;?\u0301日🙂İΣς"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [t or "" for _, t in awkward()] + [chr(c) + "." for c in range(0xC0, 0x250)] + SPECIAL
+    marks = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+    texts += ["".join(r.choice(["word", "Éa", " ", "s", "ll", "\n", "3"] + [r.choice(marks)] * 4) for _ in range(r.randint(1, 14))) for _ in range(4000)]
     own, whole = tokens.tokens(path, keeps), Tokenizer.from_file(path)
     want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
