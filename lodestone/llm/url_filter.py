@@ -1,12 +1,14 @@
 """URL allow and block rules as a sort-merge range join; DataFrame operations only.
 
 A host is turned round label by label (``www.example.com`` becomes ``com\\0example\\0www\\0``), so that a
-host and all its subdomains are one interval of keys.  Such intervals nest or are apart.  Rules give
-boundary rows: where an interval begins and ends, each with the stack of rules active from there on.
-Boundaries and urls are sorted together and a window carries the latest stack down to each url, which
-then tries the few rules on it (at most one host per label) against its path.
+host and all its subdomains are one interval of keys; so are a path and all that begin with it.  Such intervals nest or are apart.
+Rules give boundary rows: where an interval begins and ends, each with the stack of what is active from there on.  Boundaries and
+urls are sorted together and a window carries the latest stack down to each url.
 
-Work is dealt by top-level label.  Labels with over one in ``HOT`` of all urls, so fewer than ``HOT`` of them, are dealt on by a salt:
+There are two such sweeps.  The first finds which hosts with rules a url's host is under (one for each of its labels at most); the
+second, for each of these, which of its paths the url's path begins with (one for each length at most).  The longest rule wins.
+
+Work is dealt by top-level label, then by rule host.  Those with over one in ``HOT`` of all urls, so fewer than ``HOT`` of them, are dealt on by a salt:
 their urls spread over the salts, and only their boundary rows are repeated for each, to a quarter of their urls at most.
 """
 
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,67 +51,72 @@ def top_label(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def boundaries(rules: DataFrame) -> DataFrame:
-    """(top, key, stack): ``stack`` holds from ``key`` on.  ``rules``: action, host, path."""
-    rules = rules.select("action", "host", "path").distinct()
+def host_boundaries(rules: DataFrame) -> DataFrame:
+    """(part, key, stack): hosts with rules that hold from ``key`` on; ``part`` is the top-level label."""
     hosts = rules.select("host").distinct()
     labels = F.split("host", "\\.")
-    # a host's own rules and those of every parent, met by equality on the parent's name
+    # a host and every parent, met by equality on the parent's name
     above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("over"))
-    joined = above.join(rules.select(F.col("host").alias("over"), "action", "path"), "over")
-    entry = F.struct(F.col("over").alias("host"), "path", "action")
-    stacks = joined.groupBy("host").agg(
-        F.sort_array(F.collect_list(entry)).alias("inside"),
-        F.sort_array(F.collect_list(F.when(F.col("over") != F.col("host"), entry))).alias("outside"),
-    )
-    key = host_key(F.col("host"))
-    past = F.concat(F.substring(key, F.lit(1), F.length(key) - 1), F.lit("\1"))
-    begin = stacks.select(top_label(F.col("host")).alias("top"), key.alias("key"), F.col("inside").alias("stack"))
-    end = stacks.select(top_label(F.col("host")).alias("top"), past.alias("key"), F.col("outside").alias("stack"))
-    return begin.unionByName(end)
-
-
-def hot_labels(urls: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
-    """(top, salts) of the labels that are salted.  ``urls``: a row for each url's label, ``marks``: for each boundary's."""
-    many = F.count("*").alias("urls")
-    counts = urls.groupBy("top").agg(many).where(F.col("urls") > rows)
-    counts = counts.where(F.col("urls") > urls.count() // HOT).join(marks.groupBy("top").agg(F.count("*").alias("marks")), "top")
+    stacks = above.join(hosts.withColumnRenamed("host", "over"), "over").groupBy("host").agg(F.sort_array(F.collect_set("over")).alias("stack"))
+    key = F.encode(host_key(F.col("host")), "UTF-8")
+    return both_ends(stacks.select(top_label(F.col("host")).alias("part"), key.alias("key"), F.col("host").alias("own"), "stack"), lambda x, own: x == own)
+
+
+def path_boundaries(rules: DataFrame) -> DataFrame:
+    """(part, key, stack): rules (path, action) of a host (``part``) that hold from ``key`` on."""
+    rules = rules.select("host", "path", "action").distinct()
+    sizes = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("sizes"))
+    # a path and every shorter one that it begins with, of the lengths that the host has
+    above = rules.select("host", "path").distinct().join(sizes, "host").select("host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    above = above.select("host", "path", F.substring("path", F.lit(1), F.col("n")).alias("over"))
+    met = above.join(rules.select("host", F.col("path").alias("over"), "action"), ["host", "over"])
+    stacks = met.groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct(F.col("over").alias("path"), "action"))).alias("stack"))
+    return both_ends(stacks.select(F.col("host").alias("part"), F.encode("path", "UTF-8").alias("key"), F.col("path").alias("own"), "stack"), lambda x, own: x["path"] == own)
+
+
+def both_ends(stacks: DataFrame, is_own) -> DataFrame:
+    """An interval begins at its key with the whole stack, and ends behind all keys that begin so with what is left without its own entries."""
+    past = F.concat("key", F.lit(b"\xff"))  # no text has this byte
+    outside = F.filter("stack", lambda x: ~is_own(x, F.col("own")))
+    return stacks.select("part", "key", "stack").unionByName(stacks.select("part", past.alias("key"), outside.alias("stack")))
+
+
+def hot_parts(asked: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
+    """(part, salts) of the parts that are salted.  ``asked``: a row for each url's part, ``marks``: for each boundary's."""
+    counts = asked.groupBy("part").agg(F.count("*").alias("urls")).where(F.col("urls") > max(rows, asked.count() // HOT))
+    counts = counts.join(marks.groupBy("part").agg(F.count("*").alias("marks")), "part")
     salts = F.least(F.ceil(F.col("urls") / rows), F.floor(F.col("urls") / (4 * F.col("marks"))))
-    return counts.select("top", salts.cast("int").alias("salts")).where("salts > 1")
+    return counts.select("part", salts.cast("int").alias("salts")).where("salts > 1")
+
+
+def swept(asked: DataFrame, marks: DataFrame, salt_rows: int) -> DataFrame:
+    """Adds the stack that holds at a row's key in its part, or null.  ``asked``: part, key and others; ``marks``: part, key, stack."""
+    hot = F.broadcast(hot_parts(asked.select("part"), marks.select("part"), salt_rows))
+    salts = F.coalesce("salts", F.lit(1))
+    marks = marks.join(hot, "part", "left").select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
+    dealt = asked.join(hot, "part", "left").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), salts).cast("int")).drop("salts").withColumn("kind", F.lit(1))
+    sweep = Window.partitionBy("part", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.unionByName(marks, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
+    return met.where("kind = 1").drop("salt", "kind", "part", "key")
 
 
 def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row for each row of ``urls``: id, host, path, rule, verdict.
 
-    The rule with the most characters in host and path together wins, then the longer host; rule is
+    The rule with the most characters in host and path together wins, then the longer host, then the later action in the alphabet; rule is
     null and the verdict ``default`` where none fits.  Null urls and those without ``://`` have an empty
     host and path.  Repeated rows and null ids stay.  Other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
-    bounds = boundaries(rules)
-    asked = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("top", top_label(F.col("host")))
-    hot = F.broadcast(hot_labels(asked.select("top"), bounds.select("top"), salt_rows))
-    salts = F.coalesce("salts", F.lit(1))
-    marks = bounds.join(hot, "top", "left").select("top", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
-    asked = (
-        asked.join(hot, "top", "left")
-        .withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), salts).cast("int"))
-        .drop("salts")
-        .withColumn("key", host_key(F.col("host")))
-        .withColumn("kind", F.lit(1))
-    )
-    sweep = Window.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = (
-        asked.unionByName(marks, allowMissingColumns=True)
-        .withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
-        .where("kind = 1")
-    )
-    fits = F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"]) & ((F.col("host") == r["host"]) | F.endswith(F.col("host"), F.concat(F.lit("."), r["host"]))))
-    ranked = F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("h"), F.concat(r["host"], r["path"]).alias("rule"), r["action"].alias("action")))
-    best = F.array_max(ranked)
-    return met.withColumn("best", best).select(
-        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    asked = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("times"))
+    hosts = swept(asked.withColumn("part", top_label(F.col("host"))).withColumn("key", F.encode(host_key(F.col("host")), "UTF-8")), host_boundaries(rules), salt_rows)
+    under = written(hosts.select("id", "host", "path", "times", F.explode_outer("stack").alias("part")), "url-hosts")
+    found = swept(under.where("part IS NOT NULL").withColumn("over", F.col("part")).withColumn("key", F.encode("path", "UTF-8")), path_boundaries(rules), salt_rows)
+    ranked = F.transform("stack", lambda r: F.struct((F.length("over") + F.length(r["path"])).alias("n"), F.length("over").alias("h"), F.concat(F.col("over"), r["path"]).alias("rule"), r["action"].alias("action")))
+    both = found.select("id", "host", "path", "times", F.array_max(ranked).alias("best")).unionByName(under.where("part IS NULL").drop("part"), allowMissingColumns=True)
+    best = both.groupBy("id", "host", "path", "times").agg(F.max("best").alias("best"))
+    rows = best.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:

@@ -327,8 +327,9 @@ def plain_verdict(url, rules):
 def test_url_rules(spark):
     rows = [(i, u, "host", "stack") for i, u in enumerate(URLS)] + [(None, URLS[0], "host", "stack"), (0, URLS[0], "host", "stack")]
     urls = spark.createDataFrame(rows, "page_id long, url string, host string, stack string")
+    many = [("block" if i % 3 else "allow", "example.com", f"/{'en/' * (i % 2)}{i}") for i in range(0, 40)] + [("block", "com", "/en/x?"), ("allow", "com", "/en/x"), ("block", "com", "/e")]
     more = [*url_filter.RULES, ("block", "b.example.com", "/"), ("allow", "org", "/a"), ("block", "x.org", "")]
-    for rules in (url_filter.RULES, more, url_filter.RULES[:1]):
+    for rules in (url_filter.RULES, more, url_filter.RULES[:1], more + many):
         got = url_filter.judge(urls, url_filter.rules_table(spark, rules)).collect()
         assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, rules)) for i, u, *_ in rows)
     assert url_filter.judge(urls.limit(0), url_filter.rules_table(spark)).count() == 0
@@ -341,9 +342,10 @@ def test_hot_label(spark):
     rows = [(i, f"http://{'www.' if i % 3 else ''}example.com/{'en/' if i % 2 else ''}{i}") for i in range(400)] + [(i, u) for i, u in enumerate(URLS, 1000)]
     urls = spark.createDataFrame(rows, "page_id long, url string")
     rules = url_filter.rules_table(spark, url_filter.RULES)
-    labels = urls.select(url_filter.top_label(url_filter.host_and_path(F.col("url"))[0]).alias("top"))
-    assert [tuple(r) for r in url_filter.hot_labels(labels, url_filter.boundaries(rules).select("top"), 50).collect()] == [("com", 9)]
-    assert url_filter.hot_labels(labels, url_filter.boundaries(rules).select("top"), 1).first()["salts"] == 410 // 24
+    labels = urls.select(url_filter.top_label(url_filter.host_and_path(F.col("url"))[0]).alias("part"))
+    marks = url_filter.host_boundaries(rules).select("part")
+    assert [tuple(r) for r in url_filter.hot_parts(labels, marks, 50).collect()] == [("com", 9)]
+    assert url_filter.hot_parts(labels, marks, 1).first()["salts"] == 410 // 24
     got = url_filter.judge(urls, rules, salt_rows=50).collect()
     assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, url_filter.RULES)) for i, u in rows)
 
