@@ -31,10 +31,52 @@ class NoIndex(FileNotFoundError):
     pass
 
 
+def hadoop(path: str):
+    """(JVM, Hadoop path, its file system) of a path with a scheme, by the active session; None for plain paths."""
+    if "://" not in path:
+        return None
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError(f"{path} needs a Spark session")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark._jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def small_file(path: str) -> bytes:
+    """The bytes of a small file in any file system that Spark knows."""
+    if not (found := hadoop(path)):
+        with open(path, "rb") as f:
+            return f.read()
+    jvm, at, fs = found
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    stream = fs.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def put_small_file(path: str, data: bytes) -> None:
+    """Writes beside ``path`` and moves it there as a whole."""
+    if not (found := hadoop(path)):
+        vectors_bin.replaced(path, lambda f: f.write(data))
+        return
+    jvm, at, fs = found
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    over = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), fs.getConf()).rename(beside, at, over)
+
+
 def manifest(folder: str) -> dict:
     try:
-        with open(os.path.join(folder, MANIFEST)) as f:
-            found = json.load(f)
+        found = json.loads(small_file(f"{folder}/{MANIFEST}"))
     except FileNotFoundError:
         raise NoIndex(f"[ERROR] No index found in {folder}") from None
     if (found.get("magic"), found.get("version")) != (MAGIC, VERSION):
@@ -48,7 +90,6 @@ def save(vectors: DataFrame, folder: str, config: IndexConfig, graph: DataFrame
     ``graph`` may be a function of the table as written, so that nothing is computed twice.
     """
     spark = vectors.sparkSession
-    os.makedirs(folder, exist_ok=True)
     name = f"v-{uuid.uuid4().hex}"
     vectors.write.parquet(f"{folder}/{name}/vectors")
     written = spark.read.schema(vectors.schema).parquet(f"{folder}/{name}/vectors")
@@ -58,7 +99,7 @@ def save(vectors: DataFrame, folder: str, config: IndexConfig, graph: DataFrame
     if graph is not None:
         graph.write.parquet(f"{folder}/{name}/graph")
     entry = {"magic": MAGIC, "version": VERSION, "kind": KIND, "table": name, "rows": rows, "graph": graph is not None, "config": json.loads(config.dumps()), "written": time.time()}
-    vectors_bin.replaced(os.path.join(folder, MANIFEST), lambda f: f.write(json.dumps(entry, indent=2).encode()))
+    put_small_file(f"{folder}/{MANIFEST}", json.dumps(entry, indent=2).encode())
     return entry
 
 
@@ -178,4 +219,7 @@ def index_path(folder: str) -> str:
 
 
 def index_exists(folder: str) -> bool:
+    if found := hadoop(index_path(folder)):
+        _, at, fs = found
+        return fs.exists(at)
     return os.path.isfile(index_path(folder))

@@ -268,6 +268,18 @@ def test_index_from_the_command_line(spark, tree, tmp_path, capsys):
     assert not store.validate(spark, folder)
 
 
+def test_index_by_a_path_with_a_scheme(spark, tree, tmp_path):
+    folder, config = f"file://{tmp_path}/far", IndexConfig(dim=16)
+    assert not store.index_exists(folder)
+    with pytest.raises(store.NoIndex):
+        store.load(spark, folder)
+    for _ in range(2):  # the second manifest takes the first one's place
+        retrieval.index(spark, str(tree), folder, config)
+    assert store.index_exists(folder) and store.validate(spark, folder) and store.manifest(folder)["rows"] == 7
+    assert retrieval.search(spark, folder, "some text", 2).count() == 2
+    assert not [n for n in os.listdir(tmp_path / "far") if n.startswith(("staged", "manifest.json."))]
+
+
 def test_failed_files_stay_visible(spark, tree):
     from lodestone.operators.summaries import run_totals
 
