@@ -69,14 +69,10 @@ class Tokens:
         if not m:
             return None
         space, word, marks = m.groups()
-        if marks:  # the word without them has likely been met
-            return (self.memo if space or not self.keeps_space else self.heads)[word] + self.marks[marks]
-        if self.keeps_space:
-            word = space + word
-        elif word != (low := word.lower()):
-            return self.memo[low]
+        word = space + word if self.keeps_space else word.lower()
         number = self.number
-        return b"".join([number[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        ids = b"".join([number[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return ids + self.marks[marks] if marks else ids
 
     def word(self, text: str) -> bytes:
         """Ids of a text without spaces but for one in front."""
