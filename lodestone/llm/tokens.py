@@ -34,17 +34,25 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordMemo(dict):
-    """word -> ids, encoded when first met; emptied when it holds about ``limit`` bytes."""
+    """word -> ids, encoded when first met.
+
+    Holds about ``limit`` bytes in two halves: when the newer one is full the older one goes, and words of it that are met again move over.
+    """
 
     def __init__(self, encode, prefix: str, limit: int = 256 << 20):
         super().__init__()
         self.encode, self.prefix, self.limit, self.held = encode, prefix, limit, 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if self.held > self.limit:
+        if self.held > self.limit >> 1:
+            self.older = dict(self)
             self.clear()
             self.held = 0
-        self[word] = ids = self.encode(self.prefix + word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(self.prefix + word)
+        self[word] = ids
         self.held += 200 + 2 * len(word) + len(ids)
         return ids
 
@@ -71,7 +79,8 @@ class Tokens:
         space, word, marks = m.groups()
         word = space + word if self.keeps_space else word.lower()
         number = self.number
-        ids = b"".join([number[x.id] for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        shown = word.replace(" ", self.letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([number[x.id] for x in self.model.tokenize(shown)])
         return ids + self.marks[marks] if marks else ids
 
     def word(self, text: str) -> bytes:
