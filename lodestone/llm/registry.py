@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, licenses, media, packing, repair, simhash, substring, toxicity, url_filter
+from . import bpe, centroids, importance, knn, licenses, media, packing, pii, repair, simhash, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_licenses": licenses.query,
     "op10_repair": repair.query,
+    "op11_pii": pii.query,
+    "op12_centroids": centroids.query,
+    "op13_importance": importance.query,
 }
 
 ORACLES = {
     "op4_knn": knn.SQL,
     "op5_substring": substring.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_importance": importance.SQL,
 }
