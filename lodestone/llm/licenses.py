@@ -1,15 +1,16 @@
-"""Licence notices by a paragraph classifier, confirmed against templates.
-
-Paragraphs are lines, and runs of lines without a blank one between them; a run is tried where its lines together
-cover a template, so notices may be wrapped.  Paragraphs are sparse word 1- and 2-grams, hashed; multinomial logistic regression, trained in
-numpy on variations of the templates and on paragraphs of the corpus as the unknown class, gives each
-licence family a probability.  The least probability that counts is calibrated on corpus paragraphs kept
-apart: below it a paragraph is unknown.  A predicted family holds only if the paragraph covers enough of one of
-the family's templates.
+"""Licence notices by a window classifier, confirmed against templates.
+
+The classifier looks at all of a text in windows of eight and of 32 words that slide by half their size, so it does not matter how much else stands
+in the paragraph.  A window is sparse word 1- and 2-grams, hashed; multinomial logistic regression, trained in
+numpy on windows of templates in the midst of up to a hundred words of the corpus, and on windows of the corpus as the unknown class, gives each
+licence family a probability.  The least probability that counts is calibrated on corpus windows kept
+apart: below it a window is unknown.  A predicted family holds only if words near the window, in one paragraph (lines without a blank one between them, so notices may be
+wrapped), cover enough of one of the family's templates.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -109,6 +110,12 @@ BUCKETS = 1 << 16
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 1000, 20_000, 4000
 VARIANTS = 60
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-5
+#: Words of the classifier's windows, which slide by half; and how far from one a notice that it is part of may reach.
+WINDOWS = (8, 32)
+NEAR = 60
+#: Words around a notice in training; and those around one that the confirmation sees.
+AROUND = (0, 2, 5, 10, 20, 50)
+BESIDE = 6
 #: A template is matched if so much of its words is in the paragraph, in longest common word order.
 COVER = 0.6
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -118,16 +125,25 @@ def words_of(paragraph: str) -> list[str]:
     return WORD.findall(paragraph.lower())
 
 
-def grams(words: list[str]) -> list[str]:
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+def numbers(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
 
 
-def bucket(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram) % BUCKETS
+def buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words and of pairs of words that follow each other, by the words' hashes."""
+    pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), ((pairs ^ pairs >> np.uint64(29)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def buckets(words: list[str]) -> np.ndarray:
-    return np.unique(np.array([bucket(g) for g in grams(words)], np.int64))
+def window_buckets(words: list[str]) -> np.ndarray:
+    return np.concatenate(buckets(numbers(words)))
+
+
+def sliding(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of all windows over n words."""
+    starts = [np.arange(0, max(1, n - size // 2), size // 2) for size in WINDOWS]
+    ends = [np.minimum(x + size, n) for x, size in zip(starts, WINDOWS, strict=True)]
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -139,73 +155,73 @@ def softmax(x: np.ndarray) -> np.ndarray:
 class Model:
     weights: np.ndarray  # BUCKETS x families
     bias: np.ndarray
-    least: float  # probability below which a paragraph is unknown
+    least: float  # probability below which a window is unknown
 
 
-def scaled(found: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def scored(found: list[np.ndarray], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.array([weights[b].sum(0) / np.sqrt(max(1, len(b))) for b in found]) + bias
 
 
 def fit(unknown: list[list[str]], seed: int = 3) -> Model:
-    """``unknown``: paragraphs of the corpus.  Those near a template are left out of the class; unlisted licences join it."""
+    """``unknown``: lines of the corpus.  Those near a template are left out of the class; unlisted licences join it."""
     rng = np.random.default_rng(seed)
     prose = [w for w in unknown if w and not covers(w)]
     fill = [w for x in prose for w in x] or ["text"]
 
-    def variations(base: list[str], telling: set[str]) -> Iterator[list[str]]:
-        """The words, some of them missing, between words of the corpus."""
+    def around() -> list[str]:
+        """So many words of the corpus as they follow each other."""
+        at, n = rng.integers(len(fill)), AROUND[rng.integers(len(AROUND))]
+        return fill[at : at + rng.integers(0, n + 1)]
+
+    def windows_of(base: list[str], telling: set[str]) -> Iterator[list[str]]:
+        """The words, some of them missing, in the midst of others; the windows that have most of them or little else."""
         for i in range(VARIANTS):
             keep = base if i % 3 == 0 else [w for w in base if w in telling or rng.random() > 0.12]
-            pad = [fill[j] for j in rng.integers(len(fill), size=rng.integers(0, 8))]
-            cut = rng.integers(0, len(pad) + 1)
-            yield pad[:cut] + keep + pad[cut:]
-
-    found, marks = [], []
-    for n, family in enumerate(FAMILIES[1:], 1):
-        for base in TEMPLATE_WORDS[family]:
-            for x in variations(base, set()):
-                found.append(buckets(x))
-                marks.append(n)
-    near = [x for family in UNLISTED for base in TEMPLATE_WORDS[family] for x in variations(base, {w for w in base if w not in LISTED_WORDS})]
-    apart = prose[::4]
-    kept = [w for i, w in enumerate(prose) if i % 4]
-    found += [buckets(w) for w in kept]
-    marks += [0] * len(kept)
-    found += [buckets(x) for i, x in enumerate(near) if i % 4]
-    first_near = len(marks)
-    marks += [0] * (len(found) - first_near)
-    marks = np.array(marks)
-    kinds = np.where(marks > 0, 2, np.arange(len(marks)) >= first_near).astype(int)  # prose, unlisted and listed licences weigh the same
-    share = (len(marks) / 3 / np.maximum(np.bincount(kinds, minlength=3), 1))[kinds]
+            ahead = around()
+            words = [*ahead, *keep, *around()]
+            starts, ends = sliding(len(words))
+            shared = np.minimum(ends, len(ahead) + len(keep)) - np.maximum(starts, len(ahead))
+            good = np.flatnonzero(shared >= np.minimum(0.6 * (ends - starts), 0.8 * len(keep)))
+            for at in rng.choice(good, min(2, len(good)), replace=False):
+                yield words[starts[at] : ends[at]]
+
+    def window_of(line: list[str]) -> list[str]:
+        size = WINDOWS[rng.integers(len(WINDOWS))]
+        at = rng.integers(max(1, len(line) - size // 2))
+        return line[at : at + size]
+
+    windows = [window_of(x) for x in prose]
+    listed = [(n, x) for n, family in enumerate(FAMILIES[1:], 1) for base in TEMPLATE_WORDS[family] for x in windows_of(base, set())]
+    near = [x for family in UNLISTED for base in TEMPLATE_WORDS[family] for x in windows_of(base, {w for w in base if w not in LISTED_WORDS})]
+    kinds = [(2, n, x) for n, x in listed] + [(0, 0, x) for i, x in enumerate(windows) if i % 4] + [(1, 0, x) for i, x in enumerate(near) if i % 4]
+    found = [window_buckets(x) for *_, x in kinds]
+    marks, kind = np.array([m for _, m, _ in kinds]), np.array([k for k, *_ in kinds])
+    share = (len(marks) / 3 / np.maximum(np.bincount(kind, minlength=3), 1))[kind]  # prose, unlisted and listed licences weigh the same
     used, place = np.unique(np.concatenate(found), return_inverse=True)
     size = np.array([len(b) for b in found])
-    row = np.repeat(np.arange(len(found)), size)
-    scale = 1 / np.sqrt(np.maximum(size, 1))
+    first = np.cumsum(size) - size
     w, bias = np.zeros((len(used), len(FAMILIES))), np.zeros(len(FAMILIES))
     square = np.full_like(w, 1e-6)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(found)), max(1, len(found) // 2000)):
-            inside = np.isin(row, part)
-            r, p = row[inside], place[inside]
-            x = np.zeros((len(found), len(FAMILIES)))
-            np.add.at(x, r, w[p])
-            g = softmax(x[part] * scale[part, None] + bias)
+            begin = np.cumsum(size[part]) - size[part]
+            p = place[np.repeat(first[part] - begin, size[part]) + np.arange(size[part].sum())]
+            scale = 1 / np.sqrt(size[part])[:, None]
+            g = softmax(np.add.reduceat(w[p], begin) * scale + bias)
             g[np.arange(len(part)), marks[part]] -= 1
             g *= (share[part] / len(part))[:, None]
-            back = np.zeros_like(x)
-            back[part] = g * scale[part, None]
-            grad = np.zeros_like(w)
-            np.add.at(grad, p, back[r])
-            grad += DECAY * w
+            back = np.repeat(g * scale, size[part], 0)
+            grad = np.stack([np.bincount(p, back[:, c], len(w)) for c in range(len(FAMILIES))], 1) + DECAY * w
             square += grad * grad
             w -= RATE * grad / np.sqrt(square)
             bias -= 0.1 * g.sum(0)
     weights = np.zeros((BUCKETS, len(FAMILIES)), np.float32)
     weights[used] = w
-    # so high that of the prose kept apart at most one paragraph in ten thousand passes, and of the unlisted licences one in a hundred; a half at least
-    probability = softmax(scaled([buckets(x) for x in apart], weights, bias))[:, 1:].max(1) if apart else np.zeros(1)
-    unlisted = softmax(scaled([buckets(x) for x in near[::4]], weights, bias))[:, 1:].max(1)
-    least = float(min(0.95, max(0.5, np.quantile(probability, 0.9999), np.quantile(unlisted, 0.99))))
+    # so high that of the prose kept apart at most one window in ten thousand passes, and of the unlisted licences one in ten, which the confirmation sees too; a half at least
+    apart = [window_buckets(x) for x in windows[::4]]
+    probability = softmax(scored(apart, weights, bias))[:, 1:].max(1) if apart else np.zeros(1)
+    unlisted = softmax(scored([window_buckets(x) for x in near[::4]], weights, bias))[:, 1:].max(1)
+    least = float(min(0.95, max(0.5, np.quantile(probability, 0.9999), np.quantile(unlisted, 0.9))))
     return Model(weights, bias, least)
 
 
@@ -354,69 +370,118 @@ def match(words: list[str], family: str) -> tuple[float, int]:
     return part, -i
 
 
+#: Words that are classified at once.
+AT_ONCE = 1 << 16
+
+
+class Hashes(dict):
+    """word -> its hash; forgets all when it holds too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Scanner:
     def __init__(self, model: Model):
         self.model = model
-        self.found: dict[str, tuple | None] = {}
+        self.hashes = Hashes()
+
+    def classified(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, end, family, probability) of the windows that aren't unknown, in order."""
+        found = []
+        for at in range(0, max(1, len(words) - WINDOWS[-1]), AT_ONCE):
+            part = words[at : at + AT_ONCE + WINDOWS[-1]]
+            if not part:
+                break
+            single, pair = buckets(np.fromiter(map(self.hashes.__getitem__, part), np.uint64, len(part)))
+            singles, pairs = (np.cumsum(self.model.weights[np.append(x, 0)], 0, np.float64) for x in (single, pair))
+            starts, ends = sliding(len(part))
+            x = singles[ends - 1] - singles[starts] + self.model.weights[single[starts]]
+            inner = ends - starts > 1
+            x[inner] += pairs[ends[inner] - 2] - pairs[starts[inner]] + self.model.weights[pair[starts[inner]]]
+            p = softmax(x / np.sqrt(2 * (ends - starts) - 1)[:, None] + self.model.bias)
+            best = p[:, 1:].argmax(1) + 1
+            sure = p[np.arange(len(p)), best]
+            for i in np.flatnonzero((sure >= self.model.least) & (sure > p[:, 0])).tolist():
+                found.append((at + int(starts[i]), at + int(ends[i]), FAMILIES[best[i]], float(sure[i])))
+        return sorted(found)
 
     def paragraph(self, words: list[str]) -> tuple[str, float, float] | None:
-        """(family, probability, part of its template) or None."""
-        p = softmax(scaled([buckets(words)], self.model.weights, self.model.bias))[0]
-        n = int(p[1:].argmax()) + 1
-        if p[n] < self.model.least or p[n] < p[0]:
-            return None
-        cover, _ = match(words, FAMILIES[n])
-        if cover < COVER:
-            return None
-        like, part = likeness(words, {FAMILIES[n]})
-        if part < COVER or like < likeness(words, UNLISTED)[0]:
-            return None
-        return FAMILIES[n], float(p[n]), cover
-
-    def known(self, words: list[str]) -> tuple[str, float, float] | None:
-        key = " ".join(words)
-        if key not in self.found:
-            if len(self.found) > 50_000:
-                self.found.clear()
-            self.found[key] = self.paragraph(words)
-        return self.found[key]
-
-    def block(self, block: list[tuple[int, int, list[str]]]) -> list[tuple]:
-        """Notices in lines that follow each other.
-
-        The best covered goes first, then the longest template, then the fewest lines.  A word is in one notice's window only, a line in one notice of a family.
+        """(family, probability, part of its template) of the best notice, or None."""
+        return next((hit[:3] for hit in self.notices(words, self.classified(words), 0, len(words))), None)
+
+    @staticmethod
+    def over(classified: list[tuple[int, int, str, float]], start: int, end: int) -> list[tuple[int, int, str, float]]:
+        """The windows that have some of the words from start to end."""
+        at = bisect.bisect_left(classified, (start - WINDOWS[-1],)), bisect.bisect_left(classified, (end,))
+        return [c for c in classified[slice(*at)] if c[1] > start]
+
+    def notices(self, words: list[str], classified: list[tuple[int, int, str, float]], start: int, end: int) -> list[tuple[str, float, float, int, int]]:
+        """(family, probability, part of its template, first word, last word) of notices in a paragraph's words, the best covered first, then those of the longest template, then the shortest.
+
+        Templates of a window's family are looked for up to NEAR words from it; words must cover enough of one, and be covered by it.  A word is in one notice only, and notices of a family have some words between them.
         """
-        lines = [words for *_, words in block]
-        words, line_of = joined(lines)
-        where = reached(words)
-        tries, at = [], 0
-        for i, line in enumerate(lines):
-            # where the block covers no template, a line within one stretch can't either: the confirmation would fail, whatever the classifier says
-            if where or len(line) > STRETCH // 2:
-                tries += [(i, i, at + a, at + b, *more) for a, b, *more in windows(line, reached(line))]
-            at += len(line)
-        if len(lines) > 1:
-            tries += [(line_of[a], line_of[b], a, b, *more) for a, b, *more in windows(words, where) if line_of[a] < line_of[b]]
-        found = []
-        for i, j, a, b, family, n, size in set(tries):
-            hit = self.known([w for line in lines[i : j + 1] for w in line])
-            if hit and hit[0] == family:
-                found.append((-n / size, -size, j - i, i, j, a, b, hit))
-        taken, hits = set(), []
-        for *_, i, j, a, b, hit in sorted(found):
-            own = {*range(a, b + 1), *((hit[0], x) for x in range(i, j + 1))}
-            if taken.isdisjoint(own):
+        tries = set()
+        for family in {c[2] for c in classified}:
+            own = sorted((max(start, a - NEAR), min(end, b + NEAR)) for a, b, f, _ in classified if f == family)
+            joined_up: list[list[int]] = []
+            for a, b in own:
+                if joined_up and a <= joined_up[-1][1]:
+                    joined_up[-1][1] = max(b, joined_up[-1][1])
+                else:
+                    joined_up.append([a, b])
+            for a, b in joined_up:
+                part = words[a:b]
+                where = [r for r in reached(part) if r[1] == family]
+                tries |= {(-n / size, -size, j - i, a + i, a + j, f) for i, j, f, n, size in windows(part, where) if n / (j - i + 1) >= COVER}
+        taken: set = set()
+        hits = []
+        for cover, _, _, a, b, family in sorted(tries):
+            own = {*range(a, b + 1), *((family, x) for x in range(a - BESIDE, b + BESIDE + 1))}
+            if taken.isdisjoint(own) and self.confirmed(words[max(start, a - BESIDE) : min(end, b + BESIDE + 1)], family):
                 taken |= own
-                hits.append((*hit, block[i][0], block[j][1]))
-        return sorted(hits, key=lambda h: h[3:])
+                sure = max((p for *_, f, p in self.over(classified, a, b + 1) if f == family), default=self.model.least)
+                hits.append((family, sure, -cover, a, b))
+        return hits
+
+    def confirmed(self, words: list[str], family: str) -> bool:
+        """Whether the words have enough of what tells the family apart, and no unlisted licence is more like them."""
+        like, part = likeness(words, {family})
+        return part >= COVER and like >= likeness(words, UNLISTED)[0]
 
     def text(self, text: str | None) -> tuple[int, list[tuple]]:
         """Number of lines that aren't blank; (family, probability, cover, start character, end) of each notice."""
-        hits, n = [], 0
-        for block in blocks(text):
-            n += len(block)
-            hits += self.block(block)
-        return n, hits
+        found = list(blocks(text))
+        words, lines = [], []  # of a line: start character, end, first word
+        bounds = []
+        for block in found:
+            begin = len(words)
+            for a, b, own in block:
+                lines.append((a, b, len(words)))
+                words += own
+            bounds.append((begin, len(words)))
+        hits = []
+        if classified := self.classified(words):
+            firsts = [n for *_, n in lines]
+            spans: dict[int, list[tuple[int, int]]] = {}
+
+            def place(word: int) -> tuple[int, int]:
+                """Where a word starts and ends; the line's own start, or end, where no other word is before, or after it."""
+                i = bisect.bisect_right(firsts, word) - 1
+                a, b, first = lines[i]
+                if i not in spans:
+                    at = [a + j for j, c in enumerate(text[a:b]) for _ in c.lower()]
+                    spans[i] = [(at[m.start()], at[m.end() - 1] + 1) for m in WORD.finditer(text[a:b].lower())]
+                n = word - first
+                return a if n == 0 else spans[i][n][0], b if n == len(spans[i]) - 1 else spans[i][n][1]
+
+            for begin, end in bounds:
+                if own := self.over(classified, begin, end):
+                    hits += [(family, sure, cover, place(a)[0], place(b)[1]) for family, sure, cover, a, b in self.notices(words, own, begin, end)]
+        return len(lines), sorted(hits, key=lambda h: h[3:])
 
 
 def train(docs: DataFrame) -> Model:
@@ -440,7 +505,7 @@ NOTICES = "array<struct<family: string, probability: double, cover: double, star
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, notices (family, probability, part of the template, characters from start to end) of each row.
 
-    n_paragraphs counts lines that aren't blank; a notice goes from the start of its first line to the end of its last.  Null and empty texts have no paragraphs.  Repeated rows and null ids stay; other columns are ignored.
+    n_paragraphs counts lines that aren't blank; a notice goes from its first word to its last, and to the start or end of a line that has no other word there.  Null and empty texts have no paragraphs.  Repeated rows and null ids stay; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)

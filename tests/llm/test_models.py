@@ -181,6 +181,33 @@ def test_planted_notices(spark):
     assert right >= 0.95 * wanted and right >= 0.95 * found, (right, wanted, found)
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    return licenses.Scanner(licenses.fit([prose(i, 5 + i % 90).split() for i in range(1500)]))
+
+
+@pytest.mark.parametrize("n", [0, 10, 20, 40, 100, 1000])
+def test_notices_inside_paragraphs(scanner, n):
+    """At the start, in the middle and at the end of a line of n other words."""
+    right = found = wanted = 0
+    for k in range(6):
+        for i, (family, notice) in enumerate(NOTICES):
+            words = prose(97 * k + i + 10 * n, n).split()
+            cut = (0, n // 2, n)[k % 3]
+            before = " ".join([*words[:cut], ""])
+            text = f"{prose(k, 9)}\n{before}{notice} {' '.join(words[cut:])}".rstrip()
+            hits = scanner.text(text)[1]
+            families = {h[0] for h in hits}
+            found += len(families)
+            wanted += family is not None
+            right += family in families
+            for h in hits:
+                assert 0 <= h[3] < h[4] <= len(text)
+                if n and h[0] == family:  # within the line the notice alone is named
+                    assert h[4] - h[3] <= len(notice) + 2 * len(prose(k, 9)) and text[h[3] : h[4]] in text
+    assert right >= 0.95 * wanted and right >= 0.95 * found, (n, right, wanted, found)
+
+
 def test_two_wrapped_licenses():
     scanner = licenses.Scanner(licenses.fit([prose(i, 12).split() for i in range(400)]))
     mit, gpl = (textwrap.fill(licenses.TEMPLATES[f][2 if f == "mit" else 1], 70) for f in ("mit", "gpl"))
