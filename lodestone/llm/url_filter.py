@@ -1,6 +1,6 @@
 """URL allow and block rules as a sort-merge range join; DataFrame operations only.
 
-A host is turned round label by label (``www.example.com`` becomes ``com\\0example\\0www\\0``), so that a
+A host is turned round label by label (``www.example.com`` becomes ``com\\0example\\0www\\0``, with NULs in labels escaped), so that a
 host and all its subdomains are one interval of keys; so are a path and all that begin with it.  Such intervals nest or are apart.
 Rules give boundary rows: where an interval begins and ends, each with the stack of what is active from there on.  Boundaries and
 urls are sorted together and a window carries the latest stack down to each url.
@@ -44,7 +44,9 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), "\0"), F.lit("\0"))
+    """Labels from the last to the first, each with a NUL behind it; NULs inside labels are escaped, so none of them ends one."""
+    plain = F.replace(F.replace(host, F.lit("\1"), F.lit("\1\1")), F.lit("\0"), F.lit("\1\2"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, "\\.")), "\0"), F.lit("\0"))
 
 
 def top_label(host: Column) -> Column:
@@ -81,20 +83,27 @@ def both_ends(stacks: DataFrame, is_own) -> DataFrame:
     return stacks.select("part", "key", "stack").unionByName(stacks.select("part", past.alias("key"), outside.alias("stack")))
 
 
-def hot_parts(asked: DataFrame, marks: DataFrame, rows: int) -> DataFrame:
-    """(part, salts) of the parts that are salted.  ``asked``: a row for each url's part, ``marks``: for each boundary's."""
-    counts = asked.groupBy("part").agg(F.count("*").alias("urls")).where(F.col("urls") > max(rows, asked.count() // HOT))
-    counts = counts.join(marks.groupBy("part").agg(F.count("*").alias("marks")), "part")
-    salts = F.least(F.ceil(F.col("urls") / rows), F.floor(F.col("urls") / (4 * F.col("marks"))))
-    return counts.select("part", salts.cast("int").alias("salts")).where("salts > 1")
+def hot_parts(asked: DataFrame, marks: DataFrame, rows: int) -> dict[str, int]:
+    """part -> salts of the parts that are salted, fewer than HOT.  Both tables are written ones."""
+    urls = dict(asked.groupBy("part").count().where(F.col("count") > max(rows, asked.count() // HOT)).collect())
+    if not urls:
+        return {}
+    boundaries = dict(marks.where(F.col("part").isin(list(urls))).groupBy("part").count().collect())
+    salts = {part: min(-(-n // rows), n // (4 * boundaries[part])) for part, n in urls.items() if part in boundaries}
+    return {part: n for part, n in salts.items() if n > 1}
 
 
 def swept(asked: DataFrame, marks: DataFrame, salt_rows: int) -> DataFrame:
-    """Adds the stack that holds at a row's key in its part, or null.  ``asked``: part, key and others; ``marks``: part, key, stack."""
-    hot = F.broadcast(hot_parts(asked.select("part"), marks.select("part"), salt_rows))
-    salts = F.coalesce("salts", F.lit(1))
-    marks = marks.join(hot, "part", "left").select("part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "key", F.lit(0).alias("kind"), "stack")
-    dealt = asked.join(hot, "part", "left").withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), salts).cast("int")).drop("salts").withColumn("kind", F.lit(1))
+    """Adds the stack that holds at a row's key in its part, or null.  ``asked``: part, key and others; ``marks``: part, key, stack.  Both are written tables."""
+    hot = hot_parts(asked, marks, salt_rows)
+    salts = F.lit(1)
+    if hot:
+        salts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("part")], salts)
+        marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    else:
+        marks = marks.withColumn("salt", F.lit(0))
+    marks = marks.select("part", "salt", "key", F.lit(0).alias("kind"), "stack")
+    dealt = asked.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), salts).cast("int")).withColumn("kind", F.lit(1))
     sweep = Window.partitionBy("part", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = dealt.unionByName(marks, allowMissingColumns=True).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
     return met.where("kind = 1").drop("salt", "kind", "part", "key")
@@ -107,11 +116,13 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     null and the verdict ``default`` where none fits.  Null urls and those without ``://`` have an empty
     host and path.  Repeated rows and null ids stay.  Other columns are ignored.
     """
-    host, path = host_and_path(F.col(url_col))
-    asked = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("times"))
-    hosts = swept(asked.withColumn("part", top_label(F.col("host"))).withColumn("key", F.encode(host_key(F.col("host")), "UTF-8")), host_boundaries(rules), salt_rows)
+    host, path = host_and_path(F.col(f"`{url_col}`"))
+    asked = urls.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path")).groupBy("id", "host", "path").agg(F.count("*").alias("times"))
+    # urls are parsed once, however often their parts are counted
+    asked = written(asked.withColumn("part", top_label(F.col("host"))).withColumn("key", F.encode(host_key(F.col("host")), "UTF-8")), "urls")
+    hosts = swept(asked, written(host_boundaries(rules), "host-marks"), salt_rows)
     under = written(hosts.select("id", "host", "path", "times", F.explode_outer("stack").alias("part")), "url-hosts")
-    found = swept(under.where("part IS NOT NULL").withColumn("over", F.col("part")).withColumn("key", F.encode("path", "UTF-8")), path_boundaries(rules), salt_rows)
+    found = swept(under.where("part IS NOT NULL").withColumn("over", F.col("part")).withColumn("key", F.encode("path", "UTF-8")), written(path_boundaries(rules), "path-marks"), salt_rows)
     ranked = F.transform("stack", lambda r: F.struct((F.length("over") + F.length(r["path"])).alias("n"), F.length("over").alias("h"), F.concat(F.col("over"), r["path"]).alias("rule"), r["action"].alias("action")))
     both = found.select("id", "host", "path", "times", F.array_max(ranked).alias("best")).unionByName(under.where("part IS NULL").drop("part"), allowMissingColumns=True)
     best = both.groupBy("id", "host", "path", "times").agg(F.max("best").alias("best"))
@@ -120,7 +131,9 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "action string, host string, path string")
+    """A few rules as a table of literals, whose size the planner knows."""
+    rows = F.array(*[F.struct(F.lit(action).alias("action"), F.lit(host).alias("host"), F.lit(path).alias("path")) for action, host, path in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

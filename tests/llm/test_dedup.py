@@ -309,6 +309,7 @@ def test_query_groups():
 URLS = [
     "https://WWW.Example.com/en/x?y#z", "http://example.com/en/", "http://example.com/e", "http://notexample.com/en/x", "http://a.b.example.com/en/q", "http://xwww.example.com/en/q", "https://shop.net/es/a",
     "https://net/fr/", "ftp://net", "no scheme", "", None, "http://", "http://com/", "http://com", "http://x.org/a", "http://example.com:80/en/", "http://example.com./en/", "x://a\nb.net/es/\nq", "http://foo.NET/fr/?http://com/", "http://ÄB.com/ü",
+    "http://example\0x.com/en/a", "http://a\0.example.com/en/a", "x://a.net\0/es/", "x://\1net/es/", "x://net\0a/fr/", "x://a\1.net/fr/", "http://..com/en/", "http://.net/es/", "http://net./es/", "x://EXAMPLE.COM/en/", "x://example.com/en\0/", "x://\0", "x://\2\1\0.net/es/",
 ]
 
 
@@ -328,7 +329,7 @@ def test_url_rules(spark):
     rows = [(i, u, "host", "stack") for i, u in enumerate(URLS)] + [(None, URLS[0], "host", "stack"), (0, URLS[0], "host", "stack")]
     urls = spark.createDataFrame(rows, "page_id long, url string, host string, stack string")
     many = [("block" if i % 3 else "allow", "example.com", f"/{'en/' * (i % 2)}{i}") for i in range(0, 40)] + [("block", "com", "/en/x?"), ("allow", "com", "/en/x"), ("block", "com", "/e")]
-    more = [*url_filter.RULES, ("block", "b.example.com", "/"), ("allow", "org", "/a"), ("block", "x.org", "")]
+    more = [*url_filter.RULES, ("block", "example\0x.com", "/en/"), ("block", "\1net", "/"), ("block", "b.example.com", "/"), ("allow", "org", "/a"), ("block", "x.org", "")]
     for rules in (url_filter.RULES, more, url_filter.RULES[:1], more + many):
         got = url_filter.judge(urls, url_filter.rules_table(spark, rules)).collect()
         assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, rules)) for i, u, *_ in rows)
@@ -344,8 +345,8 @@ def test_hot_label(spark):
     rules = url_filter.rules_table(spark, url_filter.RULES)
     labels = urls.select(url_filter.top_label(url_filter.host_and_path(F.col("url"))[0]).alias("part"))
     marks = url_filter.host_boundaries(rules).select("part")
-    assert [tuple(r) for r in url_filter.hot_parts(labels, marks, 50).collect()] == [("com", 9)]
-    assert url_filter.hot_parts(labels, marks, 1).first()["salts"] == 410 // 24
+    assert url_filter.hot_parts(labels, marks, 50) == {"com": 9}
+    assert url_filter.hot_parts(labels, marks, 1)["com"] == 410 // 24
     got = url_filter.judge(urls, rules, salt_rows=50).collect()
     assert Counter(map(tuple, got)) == Counter((i, *plain_verdict(u, url_filter.RULES)) for i, u in rows)
 
