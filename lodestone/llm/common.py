@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestone.session import ship
 
@@ -82,6 +84,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """``df`` with its columns as c0, c1 and so on, these names, and what each column of ``df`` is now: nothing that an operator adds can clash with them."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names, {c: F.col(n) for c, n in zip(df.columns, names, strict=True)}
+
+
+def with_added(df: DataFrame, names: list[str], added: StructType) -> StructType:
+    """The schema of those columns of ``df`` and of ``added`` behind them."""
+    return StructType([StructField(n, df.schema[n].dataType) for n in names] + added.fields)
+
+
+def without_clashes(columns: dict[str, Column], added: list[str]) -> list[Column]:
+    """The columns under their names, but those that have a name of ``added`` in upper or lower case, then ``added``."""
+    taken = {a.lower() for a in added}
+    return [c.alias(n) for n, c in columns.items() if n.lower() not in taken] + [F.col(a) for a in added]
+
+
+def carried(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(The needed columns, and all others in one struct that no operator looks into; what makes the columns of ``docs`` of that again).
+
+    The second takes the rows and new values of some columns, by name.
+    """
+    others = [c for c in docs.columns if c not in needed]
+    field = {c: f"c{i}" for i, c in enumerate(others)}
+    row = F.struct(*[F.col(f"`{c}`").alias(f) for c, f in field.items()]) if others else F.struct(F.lit(True).alias("none"))
+    place = {c: F.col("carried")[f] for c, f in field.items()} | {c: F.col(c) for c in needed}
+
+    def back(rows: DataFrame, new: Callable[[dict[str, Column]], dict[str, Column]] | None = None) -> DataFrame:
+        values = place | new(place) if new else place
+        return rows.select(*[values[c].alias(c) for c in docs.columns])
+
+    return docs.select(*needed, row.alias("carried")), back
+
+
 @contextmanager
 def clean_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, shuffle files go when the query that wrote them has ended, where Spark can do that."""

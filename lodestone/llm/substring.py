@@ -30,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import clean_shuffles, dropped, shuffle_partitions, small_batches, table, written
+from .common import clean_shuffles, dropped, numbered_columns, shuffle_partitions, small_batches, table, with_added, without_clashes, written
 
 WINDOW, ANCHOR = 20, 8
 #: An anchor with more occurrences has its bucket dealt out by a salt, about so many occurrences to each.
@@ -472,12 +473,12 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
     covers it also starts earlier: in a smaller doc_id, or before in the same document; spans tell where.  kept joins the
     other words by one space; texts that lose nothing keep their white space.  Null texts have no words and stay null.  Rows with a null id come
     before all others and, like other rows with one id, count as one document: of windows at the same place in
-    them neither is earlier.  All rows and columns stay.  ``bits``: see ``repeated_spans``.
+    them neither is earlier.  All rows stay, and all columns but those named like one that is added, in upper or lower case.  ``bits``: see ``repeated_spans``.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = docs.columns
-    own = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64("text"))
+    rows, plain, columns = numbered_columns(docs)
+    own = rows.withColumn("__doc", F.coalesce(columns["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64(columns["text"])).withColumn("text", columns["text"])
     with clean_shuffles(spark):
         found = repeated_spans(own.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), F.xxhash64("__doc", "__row").alias("key"), "text"), k, m, bits)
     hit = F.struct("start", (F.col("n") + (k - 1)).alias("words"), "from_doc", "from_start")
@@ -504,11 +505,10 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
             kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "words", "source_doc", "source_start")]))
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, kind)], [*b.schema.names[2:], "kept", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    plain = [f"__c{i}" for i in range(len(columns))]
-    joined = own.join(hits, ["__doc", "__row"], "left").select("text", "__hits", *[F.col(f"`{c}`").alias(p) for c, p in zip(columns, plain, strict=True)])
-    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(columns, plain, strict=True))
-    done = joined.mapInArrow(run, f"{schema}, kept string, n_words long, n_removed long, kept_sha256 string, spans {SPAN}")
-    return done.select(*[F.col(p).alias(c) for c, p in zip(columns, plain, strict=True)], *[F.col(x) for x in ("kept", "n_words", "n_removed", "kept_sha256", "spans")])
+    joined = own.join(hits, ["__doc", "__row"], "left").select("text", "__hits", *plain)
+    added = StructType.fromDDL(f"kept string, n_words long, n_removed long, kept_sha256 string, spans {SPAN}")
+    done = joined.mapInArrow(run, with_added(rows, plain, added))
+    return done.select(*without_clashes(columns, added.names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import dropped, small_batches, table, written
+from .common import dropped, numbered_columns, small_batches, table, with_added, without_clashes, written
 
 BUCKETS = 1 << 18
 WIDTHS = (1, 2, 3)
@@ -314,12 +315,12 @@ def held_out(doc_id):
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score (0 to 1) and predicted (0 or 1) to all rows and columns of ``docs``, for each whole text.
 
-    Null texts are empty ones and have the score of a text without words.
+    Null texts are empty ones and have the score of a text without words.  Columns of ``docs`` named score or predicted, in upper or lower case, give way; all others stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
-    plain = [f"__c{i}" for i in range(len(docs.columns))]
+    rows, plain, columns = numbered_columns(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shipped.value)
@@ -327,10 +328,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([own.score(t) for t in b.column(0).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*plain, "score", "predicted"])
 
-    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for c, p in zip(docs.columns, plain, strict=True))
-    rows = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain, strict=True)])
-    done = rows.mapInArrow(run, f"{schema}, score double, predicted int")
-    return done.select(*[F.col(p).alias(c) for c, p in zip(docs.columns, plain, strict=True)], "score", "predicted")
+    added = StructType.fromDDL("score double, predicted int")
+    done = rows.select(columns["text"].alias("text"), *plain).mapInArrow(run, with_added(rows, plain, added))
+    return done.select(*without_clashes(columns, added.names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
