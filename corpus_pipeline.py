@@ -1,23 +1,25 @@
 """A corpus pipeline of the operators in ``lodestone.llm``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; its result is written as Parquet and
-read again as the next one's docs.  All but the last return the columns of documents.  Rows with null or
+read again as the next one's docs.  All but the last return the columns of documents, of any names.  Rows with null or
 repeated ids, null, empty and very long texts and extra columns pass through every stage by the rules of its operator.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestone.llm import packing, simhash, substring, toxicity
-from lodestone.llm.common import clear, made, table, written
+from lodestone.llm.common import carried, clear, made, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows of the whole documents table."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = carried(docs, "doc_id", "text")
+    return back(toxicity.scored(rows, model).where("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,24 +29,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     that share the smallest id within a group one stays, one of the text with the smallest hash; ids come before null ones,
     so a group without any id keeps one row too.
     """
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64("text"))
+    rows, back = carried(docs, "doc_id", "text")
+    keyed = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__hash", F.xxhash64("text"))
     found = simhash.near_duplicates(keyed, columns=["__id", "__hash"])
     least = F.min(F.struct(F.col("__id") == -(1 << 63), "__id", "__hash")).alias("least")
     first = found.groupBy("group").agg(least).select("least.__id", "least.__hash")
     again = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))  # of equal rows, by the join's own partitions
-    return keyed.join(first, ["__id", "__hash"]).withColumn("__again", again).where("__again = 1").select(*docs.columns)
+    return back(keyed.join(first, ["__id", "__hash"]).withColumn("__again", again).where("__again = 1"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier go from the texts; documents of which nothing is left go whole.
 
-    Empty and null texts lose nothing and stay.  n_chars follows the text.
+    Empty and null texts lose nothing and stay.  n_chars, if it is a whole number, follows the text.
     """
-    found = substring.without_repeats(docs).where("n_removed = 0 OR n_removed < n_words")
+    rows, back = carried(docs, "doc_id", "text")
+    found = substring.without_repeats(rows).where("n_removed = 0 OR n_removed < n_words")
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    values = {"text": text} | ({"n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
+
+    def new(old: dict[str, Column]) -> dict[str, Column]:
+        values = {"text": F.when(changed, F.col("kept")).otherwise(old["text"])}
+        counts = "n_chars" in old and isinstance(docs.schema["n_chars"].dataType, IntegralType)
+        return values | ({"n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(old["n_chars"])} if counts else {})
+
+    return back(found, new)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
