@@ -9,7 +9,7 @@ from lodestone import samples
 from lodestone.functions import text as t
 from lodestone.functions import vectors as v
 from lodestone.functions.embedding import Hashing, embedded
-from lodestone.operators import ann, chunking, incremental, knn, summaries
+from lodestone.operators import ann, chunking, incremental, knn, routed, summaries
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.session import ship
@@ -123,6 +123,30 @@ def recall_at_k(spark, sf):
     return knn.recall_at_k(found, knn.knn(rows, asked(rows), K), K).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+def routed_index(spark, sf, rows):
+    config = IndexConfig(dim=rows.select(F.size("embedding")).first()[0], ef_construction=100, ef_search=100)
+    return routed.build(rows, samples.scratch(spark, "routed"), config)
+
+
+@query("SELECT vec_id AS query_id, true AS good FROM embeddings WHERE vec_id % 100 = 0")
+def routed_recall(spark, sf):
+    """Whether the routed index finds at least nine of each query's ten nearest."""
+    rows = table(spark, sf, "embeddings")
+    found = routed.search(routed_index(spark, sf, rows), asked(rows), K).withColumnRenamed("id", "vec_id")
+    return knn.recall_at_k(found, knn.knn(rows, asked(rows), K), K).select("query_id", (F.col("recall") >= 0.9).alias("good"))
+
+
+@query("SELECT vec_id AS query_id, vec_id AS id, 1 AS rank, (SELECT count(*) FROM embeddings WHERE vec_id % 10 <> 7) AS rows FROM embeddings WHERE vec_id % 10 <> 7")
+def routed_changes(spark, sf):
+    """A tenth of the vectors is put in and a tenth taken out of a stored index; then all that it has ask for themselves."""
+    rows = table(spark, sf, "embeddings")
+    index = routed_index(spark, sf, rows.where("vec_id % 10 <> 3"))
+    index = routed.updated(index, rows.where("vec_id % 10 = 3"), rows.where("vec_id % 10 = 7"), ratio=1.0)
+    every = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = routed.search(index, every.where("query_id % 10 <> 7"), 1)
+    return found.select("query_id", "id", "rank", F.lit(index.entry["rows"]).cast("long").alias("rows"))
+
+
 @query(f"""
 WITH truth AS (SELECT * FROM ({nearest_sql(COSINE)})), found AS (SELECT * FROM ({nearest_sql(L2)}))
 SELECT t.query_id, count(f.vec_id) / count(*) AS recall FROM truth t LEFT JOIN found f ON t.query_id = f.query_id AND t.vec_id = f.vec_id GROUP BY t.query_id""")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -68,16 +71,23 @@ def made(kind: str, name: str, text: str) -> bytes:
 KINDS = ("txt", "html", "eml", "pdf", "csv", "docx", "odt", "pptx", "odp", "xlsx", "ods")
 
 
-def tree(spark: SparkSession, rows: DataFrame) -> str:
-    """A new directory tree on the shared file system, written by the tasks.  ``rows``: path (relative), kind (of KINDS, or "raw"), name, text."""
-    ship(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder on the shared file system, which goes when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared and not shared.startswith(("file:", "/")):
-        raise ValueError("directory trees need a shared folder that is mounted on all machines")
-    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("this needs a shared folder that is mounted on all machines")
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    root = os.path.join(shared.removeprefix("file://").removeprefix("file:"), f"tree-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp(prefix="lodestone-tree-")
+    root = os.path.join(re.sub("^file:(//)?", "", shared), f"{tag}-{uuid.uuid4().hex}") if shared else tempfile.mkdtemp(prefix=f"lodestone-{tag}-")
     os.makedirs(root, exist_ok=True)
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def tree(spark: SparkSession, rows: DataFrame) -> str:
+    """A new directory tree on the shared file system, written by the tasks.  ``rows``: path (relative), kind (of KINDS, or "raw"), name, text."""
+    ship(spark)
+    root = scratch(spark, "tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

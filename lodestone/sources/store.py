@@ -19,6 +19,7 @@ from lodestone.functions.vectors import is_finite
 from lodestone.plans.config import IndexConfig
 
 from . import vectors_bin
+from .files import hadoop, put_small_file, replaced, small_file
 
 #: The exchange form's files, and the fields of a metadata record.
 VECTORS, METADATA, CONFIG, MANIFEST = "vectors.bin", "metadata.json", "config.json", "manifest.json"
@@ -31,49 +32,6 @@ class NoIndex(FileNotFoundError):
     pass
 
 
-def hadoop(path: str):
-    """(JVM, Hadoop path, its file system) of a path with a scheme, by the active session; None for plain paths."""
-    if "://" not in path:
-        return None
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        raise RuntimeError(f"{path} needs a Spark session")
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return spark._jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def small_file(path: str) -> bytes:
-    """The bytes of a small file in any file system that Spark knows."""
-    if not (found := hadoop(path)):
-        with open(path, "rb") as f:
-            return f.read()
-    jvm, at, fs = found
-    if not fs.exists(at):
-        raise FileNotFoundError(path)
-    stream = fs.open(at)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-    finally:
-        stream.close()
-
-
-def put_small_file(path: str, data: bytes) -> None:
-    """Writes beside ``path`` and moves it there as a whole."""
-    if not (found := hadoop(path)):
-        vectors_bin.replaced(path, lambda f: f.write(data))
-        return
-    jvm, at, fs = found
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(beside)
-    try:
-        stream.write(bytearray(data))
-    finally:
-        stream.close()
-    over = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), fs.getConf()).rename(beside, at, over)
-
-
 def manifest(folder: str) -> dict:
     try:
         found = json.loads(small_file(f"{folder}/{MANIFEST}"))
@@ -133,8 +91,8 @@ def export(vectors: DataFrame, folder: str, config: IndexConfig | None = None, s
             f.write((",\n" if i else "\n").encode() + "\n".join("  " + x for x in json.dumps(r, indent=2, ensure_ascii=False).split("\n")).encode())
         f.write(b"\n]" if n else b"]")
 
-    vectors_bin.replaced(os.path.join(folder, METADATA), put)
-    vectors_bin.replaced(os.path.join(folder, CONFIG), lambda f: f.write((config or IndexConfig(dim=vectors_bin.header(os.path.join(folder, VECTORS))[1] or 384)).dumps().encode()))
+    replaced(os.path.join(folder, METADATA), put)
+    replaced(os.path.join(folder, CONFIG), lambda f: f.write((config or IndexConfig(dim=vectors_bin.header(os.path.join(folder, VECTORS))[1] or 384)).dumps().encode()))
     return n
 
 

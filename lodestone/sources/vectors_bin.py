@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import os
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.session import ship
 
+from .files import replaced
+
 HEADER = struct.Struct("<II")
 ROWS = 1 << 16
 BATCH = 4096
@@ -89,22 +90,6 @@ def read(spark: SparkSession, path: str, dim: int | None = None, strict: bool =
     return spark.read.format("vectors_bin").options(**options).load(path)
 
 
-def replaced(path: str, write) -> None:
-    """Calls ``write`` with a file beside ``path``, which takes its place when all is on disk."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, beside = tempfile.mkstemp(dir=folder, prefix=".tmp-")
-    try:
-        with os.fdopen(handle, "wb") as f:
-            write(f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(beside, path)
-    except BaseException:
-        os.unlink(beside)
-        raise
-
-
 def write(vectors: DataFrame, path: str, dim: int | None = None, strict: bool = True, id_col: str = "chunk_id", vector: str = "vector") -> int:
     """Writes rows in the order of their ids, streamed through the driver; gives their number.
 
