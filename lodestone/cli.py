@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import HashEmbedder
@@ -77,8 +77,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         if a.command == "import":
             vectors, config = store.import_(spark, a.source)
-            vectors = vectors.withColumn("chunk_index", F.lit(0))
-            print(json.dumps(store.save(vectors.select(*retrieval.COLUMNS), a.target, config, retrieval.graph_of(None, config)), indent=2))
+            # chunks of a unit in the order of their ids, which is how they were cut
+            place = F.row_number().over(Window.partitionBy("source_file", "source_chunk_index").orderBy("chunk_id")) - 1
+            vectors = vectors.withColumn("chunk_index", place.cast("int"))
+            print(json.dumps(store.save(vectors.select(*retrieval.COLUMNS), a.target, config, True), indent=2))
             return 0
         if a.command == "validate":
             ok = store.validate(spark, a.folder)
@@ -108,7 +110,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             run_totals(documents).show()
             documents.unpersist()
         return 0
-    except (store.NoIndex, ValueError, OSError) as e:
+    except (store.NoIndex, store.Conflict, ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
 

@@ -52,17 +52,22 @@ def numbered(rows: DataFrame, order: list[str], start=0, name: str = "chunk_id",
     return rows.withColumn("__n", place - 1).join(F.broadcast(ahead), F.col("__part") == F.col("__p")).withColumn(name, F.col("__n") + F.col("__ahead") + F.lit(start)).drop("__part", "__p", "__n", "__ahead")
 
 
-def merge(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY, text: str = "text", id_col: str = "chunk_id") -> DataFrame:
-    """The next version: unchanged rows keep their ids, added and changed ones get ids after the largest, removed ones go.
+def merge(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY, text: str = "text", id_col: str = "chunk_id", start: int | None = None) -> DataFrame:
+    """The next version: unchanged rows keep their ids, added and changed ones get ids after the largest (or from ``start`` on), removed ones go.
 
-    Rows to embed again are those with an id over the old maximum.  Null keys match.  All columns are those of ``new``.
+    Rows to embed again are those with an id over the old maximum.  Null keys match.  All columns are those of ``new``.  Of old rows with one key that with the smallest
+    id counts; of new rows with one key one keeps the id, one with an unchanged text if there is one, and the others are added.
     """
     columns = [c for c in new.columns if c != id_col]
-    before = old.select(*[F.col(k).alias(f"__old_{k}") for k in key], F.md5(F.col(text)).alias("__md5"), F.col(id_col).alias("__id"))
+    first = F.min(F.struct(F.col(id_col).alias("id"), F.md5(F.col(text)).alias("md5"))).alias("first")
+    before = old.groupBy(*[F.col(k).alias(f"__old_{k}") for k in key]).agg(first).select(*[f"__old_{k}" for k in key], F.col("first.md5").alias("__md5"), F.col("first.id").alias("__id"))
     joined = new.select(*columns).join(before, same(key, "__old_"), "left").withColumn("__id", F.when(F.md5(F.col(text)).eqNullSafe(F.col("__md5")), F.col("__id")))
-    last = old.agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0]
-    fresh = joined.where("__id IS NULL").select(*columns)
-    return joined.where("__id IS NOT NULL").select(F.col("__id").alias(id_col), *columns).unionByName(numbered(fresh, list(key), last + 1, id_col).select(id_col, *columns))
+    again = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns])))
+    kept = joined.where("__id IS NOT NULL").withColumn("__again", again)
+    if start is None:
+        start = old.agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0] + 1
+    fresh = joined.where("__id IS NULL").select(*columns).unionByName(kept.where("__again > 1").select(*columns))
+    return kept.where("__again = 1").select(F.col("__id").alias(id_col), *columns).unionByName(numbered(fresh, list(key), start, id_col).select(id_col, *columns))
 
 
 def appended(old: DataFrame, new: DataFrame, id_col: str = "chunk_id", order: tuple[str, ...] = ("position",)) -> tuple[DataFrame, DataFrame]:

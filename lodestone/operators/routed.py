@@ -39,6 +39,8 @@ BORDER = 0.1
 #: Cells that a query is sent to are so many that of the neighbours of a few vectors of the table this part is in them.
 ASKED, NEIGHBOURS, ENOUGH = 64, 10, 0.98
 ROUNDS = 12
+#: An index is built anew once it has so many times the vectors that it was built for.
+GROWN = 4
 MANIFEST, MAGIC = "routed.json", "LODE-ROUTED"
 
 PACKED = "shard int, n int, ids binary, levels binary, vectors binary, sizes binary, targets binary"
@@ -329,6 +331,14 @@ class Index:
             found = one if found is None else found.unionByName(one)
         return found
 
+    def ids(self) -> DataFrame:
+        """id of each vector that the index has, once."""
+        known = self.places().select("id", F.lit(0).alias("change"), F.lit(True).alias("there"))
+        if (deltas := self.deltas()) is not None:
+            known = known.unionByName(deltas.select("id", "change", (~F.col("gone")).alias("there")))
+        # of a vector's changes the last counts; in one change what comes counts, not what goes
+        return known.groupBy("id").agg(F.max(F.struct("change", "there")).alias("last")).where("last.there").select("id")
+
     def places(self) -> DataFrame:
         """id, cell, shard of all vectors in the base."""
         return self.spark.read.schema("id long, cell int, shard int").parquet(*[f"{self.folder}/{b}" for b in self.entry["places"]])
@@ -349,9 +359,12 @@ def load(spark: SparkSession, folder: str) -> Index:
     entry = json.loads(small_file(f"{folder}/{MANIFEST}"))
     if entry.get("magic") != MAGIC:
         raise ValueError(f"{folder} is not a routed index")
-    config = IndexConfig(**entry["config"])
-    rows = spark.read.schema("cell int, centroid array<double>").parquet(f"{folder}/{entry['centroids']}").orderBy("cell").collect()
-    return Index(spark, folder, entry, config, Router(config, np.array([r[1] for r in rows])))
+    return Index(spark, folder, entry, IndexConfig(**entry["config"]), router_of(spark, folder, entry))
+
+
+def router_of(spark: SparkSession, folder: str, entry: dict) -> Router:
+    rows = spark.read.schema("cell int, centroid array<double>").parquet(f"{folder}/{entry['centroids']}").orderBy("cell").collect()  # at most MOST
+    return Router(IndexConfig(**entry["config"]), np.array([r[1] for r in rows]))
 
 
 def build(vectors: DataFrame, folder: str, config: IndexConfig, id_col: str = "vec_id", vector: str = "embedding", cell: int = CELL, shard: int = SHARD) -> Index:
@@ -380,7 +393,7 @@ def build(vectors: DataFrame, folder: str, config: IndexConfig, id_col: str = "v
     packed(placed, config).write.partitionBy("cell").parquet(f"{folder}/{name}/shards")
     probes = probes_for(rows, placed, router)
     entry = {
-        "magic": MAGIC, "config": config.fields(), "rows": n, "cells": len(router.centroids), "shard": shard, "probes": probes, "changes": 0,
+        "magic": MAGIC, "config": config.fields(), "rows": n, "built": n, "cells": len(router.centroids), "shard": shard, "probes": probes, "changes": 0,
         "base": [f"{name}/shards"], "places": [f"{name}/places"], "centroids": f"{name}/centroids", "deltas": [], "changed": 0,
     }
     saved(folder, entry)
@@ -476,10 +489,11 @@ def one_set(index: Index, rows: pa.Table, k: int, probes: int, ef: int) -> DataF
     return shards.groupBy("cell", "shard").cogroup(deltas.groupBy("cell", "shard")).applyInPandas(changed, schema)
 
 
-def updated(index: Index, add: DataFrame | None = None, remove: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding", ratio: float = 0.2) -> Index:
+def updated(index: Index, add: DataFrame | None = None, remove: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding", ratio: float = 0.2, save: bool = True) -> Index:
     """The index with some vectors taken out (``remove``: ids) and others put in; a vector put in under an id that is there takes its place.
 
     Writes one row for each vector and cell that comes or goes.  Once such rows are over ``ratio`` of all, the cells that they touch are built again.  Removed ids that aren't there change nothing.
+    Without ``save`` the manifest stays as it is: the caller keeps the result's ``entry``.
     """
     spark, config = index.spark, index.config
     change, name = index.entry["changes"] + 1, f"d-{uuid.uuid4().hex}"
@@ -506,8 +520,9 @@ def updated(index: Index, add: DataFrame | None = None, remove: DataFrame | None
         entry["deltas"] = [*index.entry["deltas"], (change, f"{name}/rows")]
     after = Index(spark, index.folder, entry, config, index.router)
     if entry["changed"] > ratio * max(1, entry["rows"]):
-        return compacted(after)
-    saved(index.folder, entry)
+        return compacted(after, save)
+    if save:
+        saved(index.folder, entry)
     return after
 
 
@@ -545,10 +560,10 @@ def linked(index: Index, fresh: DataFrame, gone: DataFrame) -> DataFrame:
     return left.groupBy("cell", "shard").cogroup(stored.groupBy("cell", "shard")).applyInPandas(run, f"cell int, shard int, {DELTA}").select("cell", "shard", "id", "level", "vector", "neighbours", "gone")
 
 
-def compacted(index: Index) -> Index:
+def compacted(index: Index, save: bool = True) -> Index:
     """The index without deltas: cells that they touch are built again from the vectors they have now, all others keep their files.
 
-    Old files stay until ``cleaned`` takes them, so readers of the version before aren't disturbed.
+    Old files stay, so readers of the version before aren't disturbed.
     """
     deltas, spark, config = index.deltas(), index.spark, index.config
     if deltas is None:
@@ -571,10 +586,16 @@ def compacted(index: Index) -> Index:
     index.places().where(~F.col("cell").isin(cells)).unionByName(placed.select("id", "cell", "shard")).write.parquet(f"{index.folder}/{name}/places")
     deleted(spark, f"{index.folder}/{name}/dealt")
     entry = index.entry | {"base": [f"{name}/shards"], "places": [f"{name}/places"], "deltas": [], "changed": 0}
-    saved(index.folder, entry)
+    if save:
+        saved(index.folder, entry)
     return Index(spark, index.folder, entry, config, index.router)
 
 
+def outgrown(entry: dict) -> bool:
+    """Whether an index has so many more vectors than it was built for that it should have more cells."""
+    return entry["rows"] > GROWN * entry["built"] and cells_for(entry["rows"]) > 2 * entry["cells"]
+
+
 def stats(index: Index) -> dict:
     """rows, cells, shards, probes, changes, delta rows, files of the base."""
     return {x: index.entry[x] for x in ("rows", "cells", "probes", "changes", "changed")} | {"shards": index.shards().count(), "files": len(index.shards().inputFiles())}

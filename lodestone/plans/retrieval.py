@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import Embedder, Hashing, cached, embedded
-from lodestone.operators import ann, incremental
+from lodestone.operators import incremental, routed
 from lodestone.operators.chunking import Settings, chunked, exploded
 from lodestone.operators.knn import knn
 from lodestone.sources import extract, scan, store
@@ -38,46 +38,72 @@ class Ingested:
 
 def ingest(spark: SparkSession, root: str, settings: Settings = Settings(), **scan_options) -> Ingested:
     """Lazy: nothing is read until a part is used."""
-    log = scan.scan(spark, root, **scan_options)
-    extractions = extract.extracted(scan.files(log))
+    return ingested(log := scan.scan(spark, root, **scan_options), scan.files(log), settings)
+
+
+def ingested(log: DataFrame, files: DataFrame, settings: Settings = Settings()) -> Ingested:
+    """Of some accepted files of a scan log."""
+    extractions = extract.extracted(files)
     units = chunked(extract.unit_rows(extractions, failed=True), settings).drop("text")
     chunks = exploded(units.where("success").drop("success", "error_message"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text")
     return Ingested(log, extractions, units, chunks)
 
 
+#: Rows of search results that are broadcast, at most.
+MOST_SENT = 1 << 17
 COLUMNS = ("chunk_id", "text", "source_file", "source_label", "format_category", "word_count", "token_count", "source_chunk_index", "chunk_index", "vector")
 
 
-def next_vectors(old: DataFrame, chunks: DataFrame, make: Callable[[], Embedder], dim: int) -> DataFrame:
-    """The table after ``old``: unchanged chunks keep their ids and vectors, others are embedded."""
-    merged = incremental.merge(old.drop("vector"), chunks)
-    kept = merged.join(old.select("chunk_id", "vector"), "chunk_id", "left")
-    return kept.where("vector IS NOT NULL").unionByName(embedded(kept.where("vector IS NULL").drop("vector"), make, dim))
+def changes(old: DataFrame, touched: DataFrame, chunks: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
+    """(Chunks to embed and add, with new ids from ``next_id`` on; chunk_ids that go), where some files are read again or gone.
+
+    ``touched``: source_file of these; ``chunks``: all chunks that those read again have now.  A chunk that is the same in all its columns stays as it is.
+    """
+    key = incremental.KEY
+    own = [c for c in COLUMNS if c not in ("chunk_id", "vector")]
+    whole = lambda rows: rows.withColumn("__all", F.to_json(F.struct(*[c for c in own if c not in key]), {"ignoreNullFields": "false"}))
+    files = touched.select(F.col("source_file").alias("__file")).distinct()
+    before = old.drop("vector").join(files, F.col("source_file").eqNullSafe(F.col("__file")), "left_semi")
+    merged = incremental.merge(whole(before), whole(chunks.select(*own)), key, "__all", start=next_id).drop("__all")
+    kept = merged.where(F.col("chunk_id") < next_id).select(F.col("chunk_id").alias("__kept"))
+    return merged.where(F.col("chunk_id") >= next_id), before.join(kept, F.col("chunk_id") == F.col("__kept"), "left_anti").select("chunk_id")
 
 
 def index(spark: SparkSession, root: str, folder: str, config: IndexConfig | None = None, settings: Settings = Settings(), make: Callable[[], Embedder] | None = None, full: bool = False, graph: bool = True, **scan_options) -> dict:
-    """Builds the index, or brings it up to date: only added and changed chunks are embedded, removed ones go.
+    """Builds the index, or brings it up to date.
 
-    Files are read once.  Shards of the graph that nothing was taken from stay as they are.
+    Only files that the ledger doesn't know with their size and time of change are opened, unless ``settings`` are others than before; only added and changed chunks are embedded, removed ones go.
+    Files that couldn't be read are in the ledger too and are tried again when they change, or with ``full``.
     """
-    config = config or IndexConfig()
+    base = store.current(folder)
+    old = None if full else base
+    config = store.config_of(old) if old else config or IndexConfig()
     make = make or Hashing(config.dim, config.seed)
-    before = None
-    if not full and store.index_exists(folder):
-        old, before, config = store.load(spark, folder)
-    with store.staged(ingest(spark, root, settings, **scan_options).chunks, folder) as chunks:
-        if chunks.isEmpty():
-            raise ValueError(f"no text was found in {root}")
-        if not full and store.index_exists(folder):
-            vectors = next_vectors(old, chunks, make, config.dim)
-        else:
-            vectors = embedded(incremental.numbered(chunks, ["source_file", "chunk_index"]), make, config.dim)
-        return store.save(vectors.select(*COLUMNS), folder, config, graph_of(before, config) if graph else None)
-
-
-def graph_of(before: DataFrame | None, config: IndexConfig) -> Callable[[DataFrame], DataFrame]:
-    """Builds a table's graph, from an earlier version's where there is one."""
-    return lambda vectors: ann.build(vectors, config, "chunk_id", "vector") if before is None else ann.updated(before, vectors, config, "chunk_id", "vector")
+    said = asdict(settings)
+    log = scan.scan(spark, root, **scan_options)
+    columns = ("relative_path", "size_bytes", "modified_ts", "absolute_path", "extension", "format_category")
+    with store.staged(scan.files(log).select(*columns), folder) as files:
+        ledger = store.ledger_of(spark, folder, old) if old and old["settings"] == said else spark.createDataFrame([], store.LEDGER)
+        known = ledger.select(F.col("relative_path").alias("__path"), F.col("size_bytes").alias("__size"), F.col("modified_ts").alias("__time"))
+        same = (F.col("relative_path") == F.col("__path")) & (F.col("size_bytes") == F.col("__size")) & (F.col("modified_ts") == F.col("__time"))
+        changed = files.join(known, same, "left_anti")
+        found = ingested(log, changed, settings)
+        with store.staged(found.extractions, folder) as read:
+            units = chunked(extract.unit_rows(read, failed=True), settings).drop("text")
+            with store.staged(exploded(units.where("success").drop("success", "error_message"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text"), folder) as chunks:
+                told = read.select(F.col("relative_path").alias("__read"), "file_hash_md5", "success", "error_message")
+                rows = changed.join(told, F.col("relative_path") == F.col("__read")).select(*[c.split()[0] for c in store.LEDGER.split(", ")])
+                if not old:
+                    if chunks.isEmpty():
+                        raise ValueError(f"no text was found in {root}")
+                    vectors = embedded(incremental.numbered(chunks, ["source_file", "chunk_index"]), make, config.dim)
+                    return store.save(vectors.select(*COLUMNS), folder, config, graph, base, rows, said)
+                stay = ledger.join(files.select(*[F.col(c).alias(f"__{c}") for c in columns[:3]]), [F.col(c) == F.col(f"__{c}") for c in columns[:3]], "left_semi")
+                table = store.table_of(spark, folder, old)
+                lost = table.select("source_file").distinct().join(stay.select("relative_path"), F.col("source_file") == F.col("relative_path"), "left_anti")
+                fresh, dead = changes(table, lost, chunks, old["next_id"])
+                same_files = rows.isEmpty() and stay.count() == ledger.count()
+                return store.extended(spark, folder, old, embedded(fresh, make, config.dim).select(*COLUMNS), dead, None if same_files else stay.unionByName(rows), said)
 
 
 def search(spark: SparkSession, folder: str, text: str | list[str], k: int = 5, make: Callable[[], Embedder] | None = None, exact: bool = False) -> DataFrame:
@@ -89,7 +115,8 @@ def search(spark: SparkSession, folder: str, text: str | list[str], k: int = 5,
     if exact or graph is None:
         found = knn(vectors, queries, k, config.space, "chunk_id", "vector")
     else:
-        found = ann.search(graph, queries, k, config).withColumnRenamed("id", "chunk_id")
+        found = routed.search(graph, queries, k).withColumnRenamed("id", "chunk_id")
     score = 1 - F.col("distance") if config.space == "cosine" else -F.col("distance")
-    # at most k rows for each query text: small by the request itself
-    return vectors.join(F.broadcast(found), "chunk_id").select("query_id", "rank", "chunk_id", score.alias("score"), "text", "source_file", "source_label").orderBy("query_id", "rank")
+    # at most k rows for each query text; only where these are few are they sent to all tasks
+    found = F.broadcast(found) if k * len(texts) <= MOST_SENT else found
+    return vectors.join(found, "chunk_id").select("query_id", "rank", "chunk_id", score.alias("score"), "text", "source_file", "source_label").orderBy("query_id", "rank")

@@ -94,3 +94,36 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file, or of all below a folder."""
     at, fs = _at(spark, path)
     return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+def put_new_file(path: str, data: bytes) -> bool:
+    """Writes a file as a whole if there is none under its name; tells whether it did.  Of several writers one does."""
+    if not (found := hadoop(path)):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        beside = f"{path}.{uuid.uuid4().hex}"
+        replaced(beside, lambda f: f.write(data))
+        try:
+            os.link(beside, path)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(beside)
+        return True
+    jvm, at, fs = found
+    if fs.exists(at):
+        return False
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    plain = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), fs.getConf()).rename(beside, at, plain)
+    except Exception as e:
+        fs.delete(beside, False)
+        if "already exists" in str(e).lower() or "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True

@@ -32,15 +32,12 @@ def reindex(spark: SparkSession, incoming: str, folder: str, checkpoint: str, co
         with store.staged(batch, folder) as rows:
             if rows.isEmpty():
                 return
-            before = None
-            if store.index_exists(folder):
-                old, before, _ = store.load(spark, folder)
-                files = rows.select(F.col("source_file").alias("__file")).distinct()
-                other = old.join(files, F.col("source_file").eqNullSafe(F.col("__file")), "left_anti").select(*columns)
-                vectors = retrieval.next_vectors(old, other.unionByName(rows), make, config.dim)
+            base = store.current(folder)
+            if base:
+                fresh, dead = retrieval.changes(store.table_of(spark, folder, base), rows.select("source_file"), rows, base["next_id"])
+                store.extended(spark, folder, base, embedded(fresh, make, config.dim).select(*retrieval.COLUMNS), dead)
             else:
-                vectors = embedded(incremental.numbered(rows, key), make, config.dim)
-            store.save(vectors.select(*retrieval.COLUMNS), folder, config, retrieval.graph_of(before, config) if graph else None)
+                store.save(embedded(incremental.numbered(rows, key), make, config.dim).select(*retrieval.COLUMNS), folder, config, graph)
 
     stream = spark.readStream.schema(CHUNKS).parquet(incoming).select("*", F.col("_metadata.file_modification_time").alias("__time"), F.col("_metadata.file_path").alias("__path"))
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

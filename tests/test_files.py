@@ -1,14 +1,18 @@
+import hashlib
 import json
 import os
 import time
 import zipfile
 from email.message import EmailMessage
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone import cli
 from lodestone.operators import incremental
+from lodestone.operators.chunking import Settings
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.sources import extract, scan, store, vectors_bin
@@ -294,25 +298,121 @@ def test_failed_files_stay_visible(spark, tree):
     assert total["documents"] == len(rows) and total["failed"] == 3 and total["total_words"] == sum(r["words"] for r in rows.values())
 
 
-def test_graph_follows_the_index(spark, tree, tmp_path):
-    from lodestone.operators import ann
+def index_state(spark, folder):
+    entry = store.manifest(folder)
+    return entry, {r["chunk_id"]: (r["source_file"], r["text"]) for r in store.table_of(spark, folder, entry).collect()}
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in Path(folder).rglob("*") if p.is_file())
 
+
+def test_graph_follows_the_index(spark, tree, tmp_path):
     folder, config = str(tmp_path / "ix"), IndexConfig(dim=128)
     retrieval.index(spark, str(tree), folder, config)
-    before = {r["id"]: r["shard"] for r in store.load(spark, folder)[1].collect()}
+    before, had = index_state(spark, folder)
     put(tree / "new.txt", "Another text altogether.")
     retrieval.index(spark, str(tree), folder, config)
-    after = {r["id"]: r["shard"] for r in store.load(spark, folder)[1].collect()}
-    assert before.items() <= after.items() and len(after) == len(before) + 1 and len(set(after.values())) == 2
+    after, has = index_state(spark, folder)
+    assert had.items() <= has.items() and len(has) == len(had) + 1
+    assert after["graph"]["entry"]["base"] == before["graph"]["entry"]["base"] and len(after["graph"]["entry"]["deltas"]) == 1
     os.unlink(tree / "a.txt")
     retrieval.index(spark, str(tree), folder, config)
     vectors, graph, _ = store.load(spark, folder)
-    assert sorted(r[0] for r in graph.select("id").collect()) == sorted(r[0] for r in vectors.select("chunk_id").collect())
-    links = {x for r in graph.collect() for layer in r["neighbours"] for x in layer}
-    assert links <= {r["id"] for r in graph.collect()}
+    assert sorted(r[0] for r in graph.ids().collect()) == sorted(r[0] for r in vectors.select("chunk_id").collect())
     assert retrieval.search(spark, folder, "another text", 1).collect()[0]["source_file"] == "new.txt"
-    spread = ann.updated(graph, vectors, config, "chunk_id", "vector", shard=3)
-    assert spread.count() == vectors.count()
+    assert {r["source_file"] for r in retrieval.search(spark, folder, "some text", 99).collect()} == {r["source_file"] for r in vectors.select("source_file").collect()}
+
+
+def test_unchanged_files_are_not_opened(spark, tree, tmp_path):
+    folder, config = str(tmp_path / "ix"), IndexConfig(dim=16)
+    put(tree / "bad.docx", b"no zip")
+    first = retrieval.index(spark, str(tree), folder, config)
+    _, had = index_state(spark, folder)
+    # other bytes, but neither size nor time tell: whoever opened the file would see it
+    at = os.stat(tree / "a.txt")
+    put(tree / "a.txt", (tree / "a.txt").read_bytes()[::-1])
+    os.utime(tree / "a.txt", ns=(at.st_atime_ns, at.st_mtime_ns))
+    assert retrieval.index(spark, str(tree), folder, config) == first
+    put(tree / "b2.txt", "A second text, which is new.")
+    retrieval.index(spark, str(tree), folder, config)
+    _, has = index_state(spark, folder)
+    assert {k: has[k] for k in had} == had and len(has) == len(had) + 1
+    ledger = {r["relative_path"]: r for r in store.ledger_of(spark, folder, store.manifest(folder)).collect()}
+    assert not ledger["bad.docx"]["success"] and ledger["b2.txt"]["file_hash_md5"] == hashlib.md5(b"A second text, which is new.").hexdigest()
+    # with other settings, or in full, all are
+    retrieval.index(spark, str(tree), folder, config, Settings(50, 10))
+    assert ("a.txt", (tree / "a.txt").read_text().strip()) in index_state(spark, folder)[1].values()
+    os.unlink(tree / "bad.docx")
+    now = retrieval.index(spark, str(tree), folder, config, Settings(50, 10))
+    assert now["number"] == store.manifest(folder)["number"] and "bad.docx" not in {r[0] for r in store.ledger_of(spark, folder, now).select("relative_path").collect()}
+
+
+def test_touched_files_keep_their_chunks(spark, tree, tmp_path):
+    folder, config = str(tmp_path / "ix"), IndexConfig(dim=16)
+    retrieval.index(spark, str(tree), folder, config)
+    entry, had = index_state(spark, folder)
+    os.utime(tree / "a.txt", (1, 1))
+    after = retrieval.index(spark, str(tree), folder, config)
+    assert index_state(spark, folder)[1] == had and after["segments"] == entry["segments"] and after["number"] == entry["number"] + 1
+
+
+def rows_of(spark, first, n, dim=16, word="w"):
+    return spark.range(first, first + n, 1, 2).select(
+        F.col("id").alias("chunk_id"), F.concat(F.lit(word), F.col("id")).alias("text"), F.concat(F.lit("f"), F.floor(F.col("id") / 10)).alias("source_file"), F.lit("l").alias("source_label"), F.lit("plain_text").alias("format_category"),
+        F.lit(1).alias("word_count"), F.lit(1).alias("token_count"), (F.col("id") % 10).cast("int").alias("source_chunk_index"), F.lit(0).alias("chunk_index"), F.array(*[F.randn(i).cast("float") for i in range(dim)]).alias("vector"))
+
+
+def test_updates_write_what_they_change(spark, tmp_path):
+    folder, config = str(tmp_path / "ix"), IndexConfig(dim=64)
+    store.save(rows_of(spark, 0, 20_000, 64), folder, config)
+    whole, entry = size_of(folder), store.manifest(folder)
+    old = store.table_of(spark, folder, entry)
+    after = store.extended(spark, folder, entry, rows_of(spark, 20_000, 200, 64), spark.range(0, 200).withColumnRenamed("id", "chunk_id"))
+    assert size_of(folder) - whole < 0.03 * whole and after["rows"] == 20_000 and after["next_id"] == 20_200
+    assert store.table_of(spark, folder, after).agg(F.min("chunk_id"), F.max("chunk_id"), F.count("*")).first() == (200, 20_199, 20_000)
+    # who reads the version before still can, even while the next one is made
+    assert old.count() == 20_000
+    third = store.extended(spark, folder, after, rows_of(spark, 20_200, 10, 64), spark.range(0).withColumnRenamed("id", "chunk_id"))
+    assert store.table_of(spark, folder, after).count() == 20_000 and third["rows"] == 20_010 and store.validate(spark, folder)
+    # much is dead: all is written anew, and what only older versions need goes two versions later
+    fourth = store.extended(spark, folder, third, rows_of(spark, 20_210, 1, 64), spark.range(200, 9000).withColumnRenamed("id", "chunk_id"))
+    assert len(fourth["segments"]) == 1 and fourth["dead"] == [] and fourth["rows"] == 20_011 - 8800
+    fifth = store.extended(spark, folder, fourth, rows_of(spark, 20_211, 1, 64), spark.range(0).withColumnRenamed("id", "chunk_id"))
+    assert {n for n in os.listdir(folder) if n.startswith(("s-", "x-"))} == {*fourth["segments"], *fifth["segments"]} and store.validate(spark, folder)
+
+
+def test_two_writers(spark, tmp_path):
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        base = store.save(rows_of(spark, 0, 20), folder, IndexConfig(dim=16))
+        none = spark.range(0).withColumnRenamed("id", "chunk_id")
+        first = store.extended(spark, folder, base, rows_of(spark, 20, 5), none)
+        with pytest.raises(store.Conflict):
+            store.extended(spark, folder, base, rows_of(spark, 20, 7), none)
+        assert store.manifest(folder) == first and store.load(spark, folder)[0].count() == 25
+    # a writer that made its version but didn't come to say so
+    with open(tmp_path / "a/manifest.json", "w") as f:
+        json.dump(base, f)
+    assert store.manifest(str(tmp_path / "a"))["rows"] == 25
+
+
+def test_import_then_index(spark, tree, tmp_path):
+    folder, out, back = (str(tmp_path / n) for n in ("index", "exchange", "back"))
+    put(tree / "long.txt", " ".join(f"word{i}" for i in range(300)))
+    retrieval.index(spark, str(tree), folder, IndexConfig(dim=16))
+    assert cli.main(["export", folder, out], spark) == 0 and cli.main(["import", out, back], spark) == 0
+    had = index_state(spark, back)[1]
+    assert len([1 for f, _ in had.values() if f == "long.txt"]) >= 3 and had == index_state(spark, folder)[1]
+    retrieval.index(spark, str(tree), back)
+    assert index_state(spark, back)[1] == had
+
+
+def test_merge_of_repeated_keys(spark):
+    kind = "chunk_id long, source_file string, source_chunk_index int, chunk_index int, text string"
+    old = spark.createDataFrame([(0, "a", 0, 0, "x"), (3, "a", 0, 0, "x"), (4, "a", 0, 0, "y"), (5, None, 0, 0, "n")], kind)
+    new = spark.createDataFrame([("a", 0, 0, "x"), ("a", 0, 0, "x"), (None, 0, 0, "n"), ("b", 0, 0, "z")], kind.split(", ", 1)[1])
+    got = sorted((r["chunk_id"], r["source_file"], r["text"]) for r in incremental.merge(old, new).collect())
+    assert got == [(0, "a", "x"), (5, None, "n"), (6, "a", "x"), (7, "b", "z")]
 
 
 def test_parts_of_a_tree(spark, tree, monkeypatch):
@@ -338,7 +438,7 @@ def test_stream(spark, tmp_path):
     rows = {r["source_file"]: r["text"] for r in store.load(spark, str(tmp_path / "ix"))[0].collect()}
     assert rows == {"a": "first", "b": "other"}
     vectors, graph, _ = store.load(spark, str(tmp_path / "ix"))
-    assert graph.select("id").exceptAll(vectors.select("chunk_id")).isEmpty() and graph.count() == vectors.count()
+    assert graph.ids().exceptAll(vectors.select("chunk_id")).isEmpty() and graph.ids().count() == vectors.count()
     # two files of a batch with one chunk: the later one counts
     put_("x1", [("c", "l", "plain_text", 0, 0, "early", 1, 1)])
     put_("x2", [("c", "l", "plain_text", 0, 0, "late", 1, 1)])
