@@ -38,12 +38,8 @@ class Ingested:
 
 def ingest(spark: SparkSession, root: str, settings: Settings = Settings(), **scan_options) -> Ingested:
     """Lazy: nothing is read until a part is used."""
-    return ingested(log := scan.scan(spark, root, **scan_options), scan.files(log), settings)
-
-
-def ingested(log: DataFrame, files: DataFrame, settings: Settings = Settings()) -> Ingested:
-    """Of some accepted files of a scan log."""
-    extractions = extract.extracted(files)
+    log = scan.scan(spark, root, **scan_options)
+    extractions = extract.extracted(scan.files(log))
     units = chunked(extract.unit_rows(extractions, failed=True), settings).drop("text")
     chunks = exploded(units.where("success").drop("success", "error_message"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text")
     return Ingested(log, extractions, units, chunks)
@@ -87,12 +83,10 @@ def index(spark: SparkSession, root: str, folder: str, config: IndexConfig | Non
         known = ledger.select(F.col("relative_path").alias("__path"), F.col("size_bytes").alias("__size"), F.col("modified_ts").alias("__time"))
         same = (F.col("relative_path") == F.col("__path")) & (F.col("size_bytes") == F.col("__size")) & (F.col("modified_ts") == F.col("__time"))
         changed = files.join(known, same, "left_anti")
-        found = ingested(log, changed, settings)
-        with store.staged(found.extractions, folder) as read:
-            units = chunked(extract.unit_rows(read, failed=True), settings).drop("text")
-            with store.staged(exploded(units.where("success").drop("success", "error_message"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text"), folder) as chunks:
-                told = read.select(F.col("relative_path").alias("__read"), "file_hash_md5", "success", "error_message")
-                rows = changed.join(told, F.col("relative_path") == F.col("__read")).select(*[c.split()[0] for c in store.LEDGER.split(", ")])
+        with store.staged(extract.extracted(changed), folder) as read:
+            told = read.select(F.col("relative_path").alias("__read"), "file_hash_md5", "success", "error_message")
+            rows = changed.join(told, F.col("relative_path") == F.col("__read")).select(*[c.split()[0] for c in store.LEDGER.split(", ")])
+            with store.staged(chunks_of(read, settings), folder) as chunks:
                 if not old:
                     if chunks.isEmpty():
                         raise ValueError(f"no text was found in {root}")
@@ -106,6 +100,30 @@ def index(spark: SparkSession, root: str, folder: str, config: IndexConfig | Non
                 return store.extended(spark, folder, old, embedded(fresh, make, config.dim).select(*COLUMNS), dead, None if same_files else stay.unionByName(rows), said)
 
 
+def take(spark: SparkSession, files: DataFrame, folder: str, config: IndexConfig, settings: Settings, make: Callable[[], Embedder]) -> None:
+    """Brings an index up to date with some files, whatever others there are; those that the ledger knows as they are are not opened.  ``files``: a written table of accepted files."""
+    base, said = store.current(folder), asdict(settings)
+    ledger = store.ledger_of(spark, folder, base) if base else spark.createDataFrame([], store.LEDGER)
+    known = ledger.select(F.col("relative_path").alias("__path"), F.col("size_bytes").alias("__size"), F.col("modified_ts").alias("__time"))
+    changed = files.join(known, (F.col("relative_path") == F.col("__path")) & (F.col("size_bytes") == F.col("__size")) & (F.col("modified_ts") == F.col("__time")), "left_anti")
+    with store.staged(extract.extracted(changed), folder) as read:
+        told = read.select(F.col("relative_path").alias("__read"), "file_hash_md5", "success", "error_message")
+        rows = changed.join(told, F.col("relative_path") == F.col("__read")).select(*[c.split()[0] for c in store.LEDGER.split(", ")])
+        with store.staged(chunks_of(read, settings), folder) as chunks:
+            if not base:
+                vectors = embedded(incremental.numbered(chunks, ["source_file", "chunk_index"]), make, config.dim)
+                store.save(vectors.select(*COLUMNS), folder, config, True, None, rows, said)
+            elif not rows.isEmpty():
+                own = rows.select(F.col("relative_path").alias("source_file"))
+                stay = ledger.join(own, F.col("relative_path") == F.col("source_file"), "left_anti")
+                fresh, dead = changes(store.table_of(spark, folder, base), own, chunks, base["next_id"])
+                store.extended(spark, folder, base, embedded(fresh, make, config.dim).select(*COLUMNS), dead, stay.unionByName(rows), said)
+
+
+def chunks_of(extractions: DataFrame, settings: Settings) -> DataFrame:
+    return exploded(chunked(extract.unit_rows(extractions), settings).drop("text"), ["source_file"], "source_chunk_index").withColumnRenamed("chunk_text", "text")
+
+
 def search(spark: SparkSession, folder: str, text: str | list[str], k: int = 5, make: Callable[[], Embedder] | None = None, exact: bool = False) -> DataFrame:
     """query_id, rank, chunk_id, score, text, source_file, source_label; score is the similarity (or minus the distance for l2)."""
     vectors, graph, config = store.load(spark, folder)

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import stat
+import time
 from collections.abc import Iterator
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lodestone.session import ship
 
@@ -42,6 +43,9 @@ DEPTH = 200
 #: Directories to walk side by side, about.
 PARTS = 256
 MB = 1 << 20
+#: Seconds that a file must have been left alone before a stream takes it.
+SETTLED = 1.0
+STATUS = 7  # place of status in a row
 SCHEMA = "absolute_path string, relative_path string, real_path string, extension string, format_category string, size_bytes long, modified_ts double, status string, reason string"
 
 
@@ -58,9 +62,9 @@ def format_category(extension: str) -> str | None:
 
 
 class Tree(InputPartition):
-    def __init__(self, top: str, deep: bool):
-        super().__init__((top, deep))
-        self.top, self.deep = top, deep
+    def __init__(self, top: str, deep: bool, since: int | None = None, until: int | None = None):
+        super().__init__((top, deep, since, until))
+        self.top, self.deep, self.since, self.until = top, deep, since, until
 
 
 class ScanReader(DataSourceReader):
@@ -156,6 +160,39 @@ class ScanReader(DataSourceReader):
         return (path, os.path.relpath(path, self.root), os.path.realpath(path), suffix, CATEGORY_OF[suffix], found.st_size, found.st_mtime, "accepted", None)
 
 
+class ScanStream(DataSourceStreamReader):
+    """Accepted files by the time of their last change, of their bytes or of their place: an offset is such a time in nanoseconds.
+
+    A batch has the files whose change lies between two offsets.  The latest offset is SETTLED seconds ago, so a file that is being written waits for the next one.  Files
+    that are gone are not seen.
+    """
+
+    def __init__(self, options):
+        self.scan = ScanReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0}
+
+    def latestOffset(self) -> dict:
+        return {"changed": time.time_ns() - int(SETTLED * 1e9)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Tree(p.top, p.deep, start["changed"], end["changed"]) for p in self.scan.partitions()]
+
+    def read(self, partition: Tree) -> Iterator[tuple]:
+        for row in self.scan.read(partition):
+            if row[STATUS] == "accepted":
+                try:
+                    found = os.stat(row[0])
+                except OSError:
+                    continue  # gone since it was listed
+                if partition.since < max(found.st_mtime_ns, found.st_ctime_ns) <= partition.until:
+                    yield row
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FileScan(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -167,6 +204,9 @@ class FileScan(DataSource):
     def reader(self, schema) -> ScanReader:
         return ScanReader(self.options)
 
+    def streamReader(self, schema) -> ScanStream:
+        return ScanStream(self.options)
+
 
 def scan(spark: SparkSession, root: str, max_files: int = 0, **options) -> DataFrame:
     """The scan log: a row for each file and each refused directory, status accepted or skipped with its reason.
@@ -195,6 +235,16 @@ def scan(spark: SparkSession, root: str, max_files: int = 0, **options) -> DataF
     return accepted.unionByName(rows.where("status <> 'accepted'"))
 
 
+def stream(spark: SparkSession, root: str, **options) -> DataFrame:
+    """Accepted files as they come and change, for ``writeStream``; see ScanStream.  Of files with one real path all are given."""
+    ship(spark)
+    spark.dataSource.register(FileScan)
+    read = spark.readStream.format("file_scan")
+    for name, value in options.items():
+        read = read.option(name, ",".join(value) if isinstance(value, (list, tuple, set)) else str(value))
+    return files(read.load(root))
+
+
 def files(log: DataFrame) -> DataFrame:
     """Accepted files alone."""
     return log.where("status = 'accepted'").select("absolute_path", "relative_path", "extension", "format_category", "size_bytes", "modified_ts")

@@ -1,4 +1,7 @@
-"""Re-indexing on demand as a Structured Streaming job: new chunk files since the last run, then it stops."""
+"""Re-indexing on demand as a Structured Streaming job: what is new since the last run, then it stops.
+
+``reindex`` takes Parquet files of chunks, ``watch`` the files of a directory tree.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import Embedder, Hashing, embedded
 from lodestone.operators import incremental
+from lodestone.operators.chunking import Settings
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
-from lodestone.sources import store
+from lodestone.sources import scan, store
 
 CHUNKS = "source_file string, source_label string, format_category string, source_chunk_index int, chunk_index int, text string, word_count int, token_count int"
 
@@ -41,3 +45,21 @@ def reindex(spark: SparkSession, incoming: str, folder: str, checkpoint: str, co
 
     stream = spark.readStream.schema(CHUNKS).parquet(incoming).select("*", F.col("_metadata.file_modification_time").alias("__time"), F.col("_metadata.file_path").alias("__path"))
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def watch(spark: SparkSession, root: str, folder: str, checkpoint: str, config: IndexConfig | None = None, settings: Settings = Settings(), make: Callable[[], Embedder] | None = None, every: str | None = None, **scan_options):
+    """Takes the files of a tree that came or changed since the last run into the index; gives the query.
+
+    ``every``: how often to look, as in "1 minute"; without it the query ends when all is taken.  Files that are gone stay in the index until ``retrieval.index`` runs.  A repeated batch changes nothing.
+    """
+    base = store.current(folder)
+    config = store.config_of(base) if base else config or IndexConfig()
+    make = make or Hashing(config.dim, config.seed)
+
+    def take(batch: DataFrame, _: int) -> None:
+        with store.staged(batch, folder) as files:
+            if not files.isEmpty():
+                retrieval.take(spark, files, folder, config, settings, make)
+
+    writer = scan.stream(spark, root, **scan_options).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

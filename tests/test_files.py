@@ -16,7 +16,7 @@ from lodestone.operators.chunking import Settings
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.sources import extract, scan, store, vectors_bin
-from lodestone.streaming.reindex import CHUNKS, reindex
+from lodestone.streaming.reindex import CHUNKS, reindex, watch
 
 
 def put(path, data=b"some text here"):
@@ -447,3 +447,29 @@ def test_stream(spark, tmp_path):
             os.utime(f, (at, at))
     run()
     assert {r["source_file"]: r["text"] for r in store.load(spark, str(tmp_path / "ix"))[0].collect()} == {"a": "first", "b": "other", "c": "late"}
+
+
+def test_watch_a_tree(spark, tmp_path):
+    root, folder = tmp_path / "tree", str(tmp_path / "ix")
+    run = lambda: watch(spark, str(root), folder, str(tmp_path / "cp"), IndexConfig(dim=16)).awaitTermination()
+    put(root / "a.txt", "The first text.")
+    put(root / "sub/b.md", "The second text.")
+    put(root / "no.bin", "not a text")
+    time.sleep(1.1)
+    run()
+    entry, had = index_state(spark, folder)
+    assert sorted(had.values()) == [("a.txt", "The first text."), ("sub/b.md", "The second text.")] and entry["graph"]
+    put(root / "c.txt", "The third text.")
+    put(root / "a.txt", "The first text, changed.")
+    time.sleep(1.1)
+    run()
+    after, has = index_state(spark, folder)
+    assert sorted(t for _, t in has.values()) == ["The first text, changed.", "The second text.", "The third text."]
+    assert {k: v for k, v in has.items() if v[0] == "sub/b.md"} == {k: v for k, v in had.items() if v[0] == "sub/b.md"}
+    run()
+    assert index_state(spark, folder) == (after, has) and store.validate(spark, folder)
+    # a batch holds what changed between its offsets
+    reader = scan.ScanStream({"path": str(root)})
+    names = lambda a, b: sorted(r[1] for p in reader.partitions({"changed": a}, {"changed": b}) for r in reader.read(p))
+    at = max(os.stat(root / "sub/b.md").st_mtime_ns, os.stat(root / "sub/b.md").st_ctime_ns)
+    assert names(0, at) == ["sub/b.md"] and names(at, time.time_ns()) == ["a.txt", "c.txt"] and names(time.time_ns(), time.time_ns()) == []
