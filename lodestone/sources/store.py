@@ -25,7 +25,7 @@ from lodestone.functions.vectors import is_finite
 from lodestone.operators import routed
 from lodestone.plans.config import IndexConfig
 
-from . import files, vectors_bin
+from . import files, metadata, vectors_bin
 from .files import put_new_file, put_small_file, replaced, small_file
 
 #: The exchange form's files, and the fields of a metadata record.
@@ -209,22 +209,14 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, routed.Index | No
 def export(vectors: DataFrame, folder: str, config: IndexConfig | None = None, strict: bool = True) -> int:
     """The exchange form.  ``vectors``: the metadata fields and vector; ids should be 0 to n - 1."""
     n = vectors_bin.write(vectors, os.path.join(folder, VECTORS), config.dim if config and strict else None, strict)
-    records = (r.asDict() for r in vectors.select(*NAMES).orderBy("chunk_id").toLocalIterator())
-
-    def put(f) -> None:
-        f.write(b"[")
-        for i, r in enumerate(records):
-            f.write((",\n" if i else "\n").encode() + "\n".join("  " + x for x in json.dumps(r, indent=2, ensure_ascii=False).split("\n")).encode())
-        f.write(b"\n]" if n else b"]")
-
-    replaced(os.path.join(folder, METADATA), put)
+    metadata.write(vectors, os.path.join(folder, METADATA), NAMES, "chunk_id")
     replaced(os.path.join(folder, CONFIG), lambda f: f.write((config or IndexConfig(dim=vectors_bin.header(os.path.join(folder, VECTORS))[1] or 384)).dumps().encode()))
     return n
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Every record must have every field, and there must be one."""
-    rows = spark.read.schema(FIELDS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = metadata.read(spark, path, FIELDS)
     lacking = rows.agg(F.count("*"), *[F.count_if(F.col(n).isNull()) for n in NAMES]).first()
     if not lacking[0]:
         raise ValueError(f"{path} has no records")
@@ -291,8 +283,7 @@ def export_stats(folder: str) -> dict | None:
     out = {f"has_{n.split('.')[0]}": os.path.isfile(p) for n, p in path.items()} | {f"{n.split('.')[0]}_bytes": os.path.getsize(p) for n, p in path.items() if os.path.isfile(p)}
     try:
         out["vectors"], out["dim"] = vectors_bin.header(path[VECTORS], None, False)
-        with open(path[METADATA]) as f:
-            out["records"] = len(json.load(f))
+        out["records"] = metadata.count(path[METADATA])
         out["valid"] = out["vectors"] == out["records"]
     except (OSError, ValueError):
         out["valid"] = False

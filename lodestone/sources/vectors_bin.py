@@ -15,13 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.operators.incremental import numbered
 from lodestone.session import ship
 
 from .files import replaced
+from .parts import write_parts
 
 HEADER = struct.Struct("<II")
 ROWS = 1 << 16
 BATCH = 4096
+#: Bytes that a task writes, about.
+PART = 32 << 20
 
 
 def header(path: str, dim: int | None = None, strict: bool = True) -> tuple[int, int]:
@@ -91,23 +95,38 @@ def read(spark: SparkSession, path: str, dim: int | None = None, strict: bool =
 
 
 def write(vectors: DataFrame, path: str, dim: int | None = None, strict: bool = True, id_col: str = "chunk_id", vector: str = "vector") -> int:
-    """Writes rows in the order of their ids, streamed through the driver; gives their number.
+    """Writes rows in the order of their ids; gives their number.  Each task writes its rows at their places in the file.
 
-    Strict mode refuses an empty table and other lengths than ``dim``.  The file appears as a whole or not at all.
+    Ids from 0 to n - 1 are positions; others are numbered in their order first.  Strict mode refuses an empty table and other lengths than ``dim``.  The file appears as a whole or not at all.
     """
-    rows = vectors.select(F.col(id_col), F.col(vector)).orderBy(id_col)
-    first = rows.first()
-    if first is None and strict:
-        raise ValueError("no vectors to write")
-    width = dim or (len(first[1]) if first else 0)
-    n = rows.count()
-
-    def put(f) -> None:
-        f.write(HEADER.pack(n, width))
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            if len(r[1]) != width:
-                raise ValueError(f"vector {r[0]} has {len(r[1])} components, {width} are expected")
-            f.write(np.asarray(r[1], "<f4").tobytes())
-
-    replaced(path, put)
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
+    n, least, most, ids, first = rows.agg(F.count("*"), F.min("id"), F.max("id"), F.countDistinct("id"), F.min_by(F.size("v"), "id")).first()
+    if not n:
+        if strict:
+            raise ValueError("no vectors to write")
+        replaced(path, lambda f: f.write(HEADER.pack(0, dim or 0)))
+        return 0
+    width, before = dim or first, HEADER.size
+    if not (least == 0 and most == n - 1 and ids == n):
+        rows = numbered(rows.withColumnRenamed("id", "old"), ["old"], 0, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy()
+            size = b.column(1).value_lengths().fill_null(-1).to_numpy()
+            if (size != width).any():
+                at = int(np.flatnonzero(size != width)[0])
+                raise ValueError(f"vector {ids[at]} has {max(0, size[at])} components, {width} are expected")
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, width)
+            cut = np.flatnonzero(np.diff(ids, prepend=ids[0] - 2) != 1)
+            parts = [x[a:z].tobytes() for a, z in zip(cut, [*cut[1:], len(ids)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(before + 4 * width * ids[cut]), pa.array(parts, pa.binary())], ["offset", "data"])
+
+    size = 4 * n * width
+    parts = max(1, -(-size // PART))
+    placed = rows.select("id", "v").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "offset long, data binary")
+    write_parts(placed, path, HEADER.size + size, {0: HEADER.pack(n, width)})
     return n

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import struct
 import time
 import zipfile
 from email.message import EmailMessage
@@ -15,7 +16,7 @@ from lodestone.operators import incremental
 from lodestone.operators.chunking import Settings
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
-from lodestone.sources import extract, scan, store, vectors_bin
+from lodestone.sources import extract, metadata, parts, scan, store, vectors_bin
 from lodestone.streaming.reindex import CHUNKS, reindex, watch
 
 
@@ -205,6 +206,58 @@ def test_export(spark, tmp_path):
     assert not store.validate(spark, folder)
 
 
+def plain_export(rows):
+    """The exchange form of (chunk_id, ..., vector) rows, by one process."""
+    rows = sorted(rows)
+    records = [dict(zip(store.NAMES, r[:-1], strict=True)) for r in rows]
+    return struct.pack("<II", len(rows), len(rows[0][-1])) + np.array([r[-1] for r in rows], "<f4").tobytes(), json.dumps(records, indent=2, ensure_ascii=False).encode()
+
+
+def test_many_tasks_write_and_read_the_exchange_form(spark, tmp_path, monkeypatch):
+    odd = ['"quoted" \\ {', "line\n  {\nline\n  },\n", "é 日本 🙂", "", "  {", "\u2028 \x7f"]
+    rows = [(i, odd[i % len(odd)] + str(i), f"f{i}", "l", "plain_text", 3, 5, i % 7, [float(i), -0.5, 0.0]) for i in range(1500)]
+    df = spark.createDataFrame(rows, store.FIELDS + ", vector array<float>").repartition(7)
+    folder = str(tmp_path / "e")
+    monkeypatch.setattr(vectors_bin, "PART", 2000)
+    monkeypatch.setattr(metadata, "BLOCK", 5000)
+    assert store.export(df, folder, IndexConfig(dim=3)) == 1500
+    vectors, records = plain_export(rows)
+    assert (Path(folder) / "vectors.bin").read_bytes() == vectors and (Path(folder) / "metadata.json").read_bytes() == records
+    assert sorted(os.listdir(folder)) == ["config.json", "metadata.json", "vectors.bin"]
+    assert metadata.count(f"{folder}/metadata.json") == 1500
+    # each record is in one range, wherever ranges end
+    schema = df.select(*store.NAMES).schema
+    for size in (1, 97, 4096, 10**9):
+        if size > 1:
+            reader = metadata.MetadataReader({"path": f"{folder}/metadata.json", "range": str(size)}, schema)
+            assert len(reader.partitions()) == -(-len(records) // size)
+            got = [r for p in reader.partitions() for r in reader.records(p)]
+            assert got == json.loads(records)
+    found = metadata.read(spark, f"{folder}/metadata.json", store.FIELDS)
+    assert sorted(map(tuple, found.collect())) == sorted(r[:-1] for r in rows)
+    back, _ = store.import_(spark, folder)
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(rows)
+    # another form than the usual one is read too
+    with open(f"{folder}/metadata.json", "w") as f:
+        json.dump(json.loads(records), f)
+    assert metadata.count(f"{folder}/metadata.json") == 1500 and store.read_metadata(spark, f"{folder}/metadata.json").count() == 1500
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    path = str(tmp_path / "v.bin")
+    good = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "chunk_id long, vector array<float>")
+    assert vectors_bin.write(good, path) == 50
+    bad = good.unionByName(spark.createDataFrame([(50, [1.0])], good.schema))
+    with pytest.raises(Exception, match="components"):
+        vectors_bin.write(bad, path)
+    with pytest.raises(Exception, match="bytes were written"):
+        parts.write_parts(spark.createDataFrame([(8, b"1234")], "offset long, data binary"), path, 99, {0: b"12345678"})
+    assert os.listdir(tmp_path) == ["v.bin"] and vectors_bin.read(spark, path, 2).count() == 50
+    # ids that aren't positions are numbered in their order
+    assert vectors_bin.write(good.where("chunk_id % 2 = 1").withColumn("vector", F.array(F.col("chunk_id").cast("float"))), path) == 25
+    assert [r[0] for r in vectors_bin.read(spark, path, 1).orderBy("chunk_id").select("vector").collect()] == [[float(i)] for i in range(1, 50, 2)]
+
+
 def test_incremental(spark):
     kind = "chunk_id long, source_file string, source_chunk_index int, chunk_index int, text string"
     old = spark.createDataFrame([(0, "a", 0, 0, "x"), (1, "a", 0, 1, "y"), (2, "b", 0, 0, "z"), (3, "c", 0, 0, "q")], kind)
