@@ -13,7 +13,7 @@ from lodestone.operators import ann, chunking, incremental, knn, routed, summari
 from lodestone.plans import retrieval
 from lodestone.plans.config import IndexConfig
 from lodestone.session import ship
-from lodestone.sources import extract, scan
+from lodestone.sources import extract, metadata, scan, store, vectors_bin
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -405,6 +405,50 @@ def incremental_diff(spark, sf):
     return incremental.diff(*versions(spark, sf), ("doc_id",))
 
 
+def as_chunks(rows: DataFrame) -> DataFrame:
+    """A document as one chunk of a file that is named by its id."""
+    return rows.select(
+        F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("string").alias("source_file"), F.lit("Document").alias("source_label"), F.lit("plain_text").alias("format_category"), F.lit(1).alias("word_count"), F.lit(1).alias("token_count"), F.lit(0).alias("source_chunk_index"), F.lit(0).alias("chunk_index"),
+    )
+
+
+@query(f"""
+WITH old AS (SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS chunk_id, doc_id FROM ({OLD})), s AS ({STATUS}),
+next AS (
+  SELECT chunk_id, doc_id FROM old JOIN s USING (doc_id) WHERE status = 'unchanged'
+  UNION ALL SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) + (SELECT max(chunk_id) FROM old) AS chunk_id, doc_id FROM s WHERE status IN ('added', 'changed'))
+SELECT chunk_id, CAST(doc_id AS VARCHAR) AS source_file, 2 AS version FROM next""")
+def index_update(spark, sf):
+    """A stored index of one version of the documents is brought to the next one: a segment of what is added, and dead ids."""
+    old, new = versions(spark, sf)
+    folder, config, key = samples.scratch(spark, "index"), IndexConfig(dim=DIM), ["source_file", "source_chunk_index", "chunk_index"]
+    first = store.save(embedded(incremental.numbered(as_chunks(old), key), Hashing(DIM), DIM).select(*retrieval.COLUMNS), folder, config)
+    table_ = store.table_of(spark, folder, first)
+    chunks = as_chunks(new)
+    touched = table_.select("source_file").union(chunks.select("source_file"))
+    fresh, dead = retrieval.changes(table_, touched, chunks, first["next_id"])
+    entry = store.extended(spark, folder, first, embedded(fresh, Hashing(DIM), DIM).select(*retrieval.COLUMNS), dead)
+    return store.table_of(spark, folder, entry).select("chunk_id", "source_file", F.lit(entry["number"]).alias("version"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS chunk_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + CAST(0 AS DOUBLE) AS total FROM embeddings")
+def exchange_vectors(spark, sf):
+    """The vectors as one binary file that many tasks write, read back in row ranges."""
+    path = f"{samples.scratch(spark, 'exchange')}/{store.VECTORS}"
+    vectors_bin.write(table(spark, sf, "embeddings"), path, id_col="vec_id", vector="embedding")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return vectors_bin.read(spark, path).select("chunk_id", F.size("vector").cast("long").alias("dim"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_id, md5(coalesce(text, '')) AS md5, coalesce(source, '') AS source_file FROM documents")
+def exchange_metadata(spark, sf):
+    """The documents as one JSON array that many tasks write, read back in byte ranges."""
+    rows = incremental.numbered(table(spark, sf, "documents"), ["doc_id"]).select("chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source_file"), F.lit("").alias("source_label"), F.lit("").alias("format_category"), F.lit(0).alias("word_count"), F.lit(0).alias("token_count"), F.lit(0).alias("source_chunk_index"))
+    path = f"{samples.scratch(spark, 'exchange')}/{store.METADATA}"
+    metadata.write(rows, path, store.NAMES, "chunk_id")
+    return store.read_metadata(spark, path).select("chunk_id", F.md5("text").alias("md5"), "source_file")
+
+
 @query(f"""
 WITH old AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS chunk_id, doc_id FROM ({OLD})), s AS ({STATUS})
 SELECT chunk_id, doc_id FROM old JOIN s USING (doc_id) WHERE status = 'unchanged'
@@ -451,6 +495,7 @@ def document_tree(spark, sf) -> str:
 
 
 EXTENSION = "lower(regexp_extract(path, '\\.[^./]+$'))"
+KNOWN = f"{EXTENSION} IN ('.txt', '.md')"
 SKIPPED = f"CASE WHEN {EXTENSION} NOT IN ('.txt', '.md') THEN 'unsupported_extension:' || {EXTENSION} WHEN size > {int(MOST_MB * scan.MB)} THEN format('exceeds_size_limit:{{:.1f}}MB>{MOST_MB}MB', size / {scan.MB}.0) END"
 
 
@@ -470,18 +515,18 @@ def scan_summary(spark, sf):
 
 @query(f"""
 SELECT path, length(t) >= 3 AS success, md5(coalesce(text, '')) AS md5, CASE WHEN length(t) >= 3 THEN 1 ELSE 0 END AS units, CASE WHEN length(t) >= 3 THEN md5(t) END AS text_md5
-FROM (SELECT path, text, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t, size FROM ({TREE_SQL})) WHERE {SKIPPED} IS NULL""")
+FROM (SELECT path, text, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t FROM ({TREE_SQL})) WHERE {KNOWN}""")
 def extract_tree(spark, sf):
-    files = scan.files(scan.scan(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB))
+    files = scan.files(scan.scan(spark, document_tree(spark, sf)))
     rows = extract.extracted(files)
     return rows.select(F.col("relative_path").alias("path"), "success", F.col("file_hash_md5").alias("md5"), F.size("units").alias("units"), F.md5(F.get("units", F.lit(0))["text"]).alias("text_md5"))
 
 
 @query(f"""
-WITH files AS (SELECT path, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t FROM (SELECT *, {SKIPPED} AS reason FROM ({TREE_SQL})) WHERE reason IS NULL)
+WITH files AS (SELECT path, {normal_sql("coalesce(text, '')", f"trim(x, {BLANKS})")} AS t FROM ({TREE_SQL}) WHERE {KNOWN})
 SELECT count(*) AS documents, count(*) FILTER (length(t) >= 3) AS successful, count(*) FILTER (length(t) < 3) AS failed, CAST(count(*) FILTER (length(t) >= 3) AS BIGINT) AS total_units FROM files""")
 def run_totals(spark, sf):
-    documents = retrieval.ingest(spark, document_tree(spark, sf), max_file_size_mb=MOST_MB).documents()
+    documents = retrieval.ingest(spark, document_tree(spark, sf)).documents()
     return summaries.run_totals(documents).select("documents", "successful", "failed", "total_units")
 
 
