@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import stat
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from lodestone.session import ship
 
+from .pushed import Condition, Wanted, said
+
 #: Supported extensions by category.
 CATEGORIES = {
     "plain_text": (".txt", ".md", ".log"),
@@ -48,6 +50,8 @@ SETTLED = 1.0
 STATUS = 7  # place of status in a row
 SCHEMA = "absolute_path string, relative_path string, real_path string, extension string, format_category string, size_bytes long, modified_ts double, status string, reason string"
 
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+
 
 def supported_extensions() -> list[str]:
     return sorted(CATEGORY_OF)
@@ -76,6 +80,12 @@ class ScanReader(DataSourceReader):
         self.limit = limit
         self.links = options.get("follow_symlinks", "false").lower() == "true"
         self.hidden = options.get("include_hidden", "false").lower() == "true"
+        self.wanted = Wanted(options.get("wanted"), NAMES)
+
+    def leads_on(self, path: str) -> bool:
+        """Whether rows that are wanted may lie below a directory."""
+        inside = os.path.relpath(path, self.root) + "/"
+        return path == self.root or all(inside.startswith(p) or p.startswith(inside) for p in self.wanted.of("relative_path", "starts")) and all(p.startswith(inside) for p in self.wanted.of("relative_path", "="))
 
     def partitions(self) -> list[InputPartition]:
         """Whole trees, and the own files of directories over them."""
@@ -84,7 +94,7 @@ class ScanReader(DataSourceReader):
             if not level or len(parts) + len(level) >= PARTS:
                 break
             parts += [Tree(top, False) for top in level]
-            level = [e.path for top in level for e in self.inside(top) if e.is_dir(follow_symlinks=False) and not self.pruned(e.name)]
+            level = [e.path for top in level for e in self.inside(top) if e.is_dir(follow_symlinks=False) and not self.pruned(e.name) and self.leads_on(e.path)]
         return parts + [Tree(top, True) for top in level]
 
     def inside(self, top: str) -> list[os.DirEntry]:
@@ -99,7 +109,9 @@ class ScanReader(DataSourceReader):
     def read(self, partition: Tree) -> Iterator[tuple]:
         path = PurePath(os.path.relpath(partition.top, self.root)).parts
         over = [self.root, *(os.path.join(self.root, *path[:i]) for i in range(1, len(path)))][: len(path)]
-        yield from self.walk(partition.top, len(path), partition.deep, frozenset(map(os.path.realpath, over)))
+        for row in self.walk(partition.top, len(path), partition.deep, frozenset(map(os.path.realpath, over))):
+            if not self.wanted.conditions or all(self.wanted.fits(n, x) for n, x in zip(NAMES, row, strict=True)):
+                yield row
 
     def skip(self, path: str, reason: str) -> tuple:
         return (path, os.path.relpath(path, self.root), None, None, None, None, None, "skipped", reason)
@@ -136,11 +148,19 @@ class ScanReader(DataSourceReader):
                     yield self.skip(e.path, "hidden_directory")
                 elif e.name in self.ignored:
                     yield self.skip(e.path, "ignored_directory")
-                else:
+                elif self.leads_on(e.path):
                     yield from self.walk(e.path, depth + 1, True, over | {real})
-            else:
+            elif self.looked_at(e.path):
                 yield self.file(e.path)
 
+    def looked_at(self, path: str) -> bool:
+        """Whether a file's name alone leaves it wanted."""
+        if not self.wanted.conditions:
+            return True
+        suffix = PurePath(path).suffix.lower()
+        known = suffix if suffix in CATEGORY_OF else None
+        return self.wanted.fits("relative_path", os.path.relpath(path, self.root)) and self.wanted.fits("extension", known) and self.wanted.fits("format_category", CATEGORY_OF.get(suffix))
+
     def file(self, path: str) -> tuple:
         suffix = PurePath(path).suffix.lower()
         if suffix not in CATEGORY_OF:
@@ -208,11 +228,12 @@ class FileScan(DataSource):
         return ScanStream(self.options)
 
 
-def scan(spark: SparkSession, root: str, max_files: int = 0, **options) -> DataFrame:
+def scan(spark: SparkSession, root: str, max_files: int = 0, only: Iterable[Condition] = (), **options) -> DataFrame:
     """The scan log: a row for each file and each refused directory, status accepted or skipped with its reason.
 
     Of accepted files with one real path the first by relative path stays; the others are skipped as
-    duplicates.  ``max_files`` over 0 keeps the first so many accepted rows and drops those behind.  Options: ignore (comma-separated names),
+    duplicates.  ``only``: conditions that the walk applies, before that: (column, comparison, constant), see ``pushed``.  Those on
+    paths keep whole directories shut; those on extensions and kinds leave files without a look at their size and time.  ``max_files`` over 0 keeps the first so many accepted rows and drops those behind.  Options: ignore (comma-separated names),
     max_file_size_mb, follow_symlinks, include_hidden.
     """
     if not os.path.exists(root):
@@ -226,7 +247,7 @@ def scan(spark: SparkSession, root: str, max_files: int = 0, **options) -> DataF
     read = spark.read.format("file_scan")
     for name, value in options.items():
         read = read.option(name, ",".join(value) if isinstance(value, (list, tuple, set)) else str(value))
-    rows = read.load(root)
+    rows = read.option("wanted", said(only)).load(root)
     again = F.row_number().over(Window.partitionBy("real_path").orderBy("relative_path")) > 1
     accepted = rows.where("status = 'accepted'").withColumn("again", again)
     accepted = accepted.withColumn("status", F.when(F.col("again"), "skipped").otherwise("accepted")).withColumn("reason", F.when(F.col("again"), "duplicate_real_path")).drop("again")

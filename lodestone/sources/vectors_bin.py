@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from lodestone.session import ship
 
 from .files import replaced
 from .parts import write_parts
+from .pushed import Condition, Wanted, said
 
 HEADER = struct.Struct("<II")
 ROWS = 1 << 16
@@ -55,10 +56,14 @@ class VectorReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.strict = options["path"], options.get("strict", "true").lower() == "true"
         self.expected = int(options["dim"]) if "dim" in options else None
+        self.wanted = Wanted(options.get("wanted"), ["chunk_id"])
 
     def partitions(self) -> list[InputPartition]:
         n, _ = header(self.path, self.expected, False)
-        return [Rows(a, min(n, a + ROWS)) for a in range(0, n, ROWS)] or [Rows(0, 0)]
+        of, ids = self.wanted.of, [i for v in self.wanted.of("chunk_id", "in") for i in (min(v, default=n), max(v, default=-1))]
+        least = max([0, *of("chunk_id", ">=", "="), *(v + 1 for v in of("chunk_id", ">")), *ids[::2]])
+        end = min([n, *of("chunk_id", "<"), *(v + 1 for v in of("chunk_id", "<=", "=")), *(v + 1 for v in ids[1::2])])
+        return [Rows(a, min(end, a + ROWS)) for a in range(least, end, ROWS)] or [Rows(0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         _, dim = header(self.path, self.expected, False)
@@ -70,7 +75,10 @@ class VectorReader(DataSourceReader):
                 if self.strict and not np.isfinite(flat).all():
                     raise ValueError(f"{self.path} has a vector that is not finite")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), lists], ["chunk_id", "vector"])
+                batch = pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), lists], ["chunk_id", "vector"])
+                if self.wanted.of("chunk_id", "in"):
+                    batch = batch.filter(pa.array([self.wanted.fits("chunk_id", i) for i in range(at, at + n)]))
+                yield batch
 
 
 class VectorsBin(DataSource):
@@ -85,12 +93,12 @@ class VectorsBin(DataSource):
         return VectorReader(self.options)
 
 
-def read(spark: SparkSession, path: str, dim: int | None = None, strict: bool = True) -> DataFrame:
-    """chunk_id, vector.  Strict mode refuses NaN and infinite parts; others are read as they are."""
+def read(spark: SparkSession, path: str, dim: int | None = None, strict: bool = True, only: Iterable[Condition] = ()) -> DataFrame:
+    """chunk_id and vector.  Strict mode refuses bytes after the last row and values that are not finite.  ``only``: conditions on chunk_id, see ``pushed``; rows before the least and after the largest id wanted are not read."""
     header(path, dim, False)
     ship(spark)
     spark.dataSource.register(VectorsBin)
-    options = {"strict": str(strict).lower()} | ({"dim": str(dim)} if dim else {})
+    options = {"strict": str(strict).lower(), "wanted": said(only)} | ({"dim": str(dim)} if dim else {})
     return spark.read.format("vectors_bin").options(**options).load(path)
 
 

@@ -526,3 +526,52 @@ def test_watch_a_tree(spark, tmp_path):
     names = lambda a, b: sorted(r[1] for p in reader.partitions({"changed": a}, {"changed": b}) for r in reader.read(p))
     at = max(os.stat(root / "sub/b.md").st_mtime_ns, os.stat(root / "sub/b.md").st_ctime_ns)
     assert names(0, at) == ["sub/b.md"] and names(at, time.time_ns()) == ["a.txt", "c.txt"] and names(time.time_ns(), time.time_ns()) == []
+
+
+@pytest.mark.parametrize(("only", "where"), [
+    ([("extension", "=", ".txt")], "extension = '.txt'"), ([("extension", "in", [".txt", ".cpp"])], "extension IN ('.txt', '.cpp')"), ([("format_category", "=", "source_code")], "format_category = 'source_code'"),
+    ([("size_bytes", ">", 100), ("size_bytes", "<=", 3000)], "size_bytes > 100 AND size_bytes <= 3000"), ([("relative_path", "starts", "sub/")], "relative_path LIKE 'sub/%'"), ([("relative_path", "starts", "sub/de")], "relative_path LIKE 'sub/de%'"),
+    ([("relative_path", "=", "sub/deep/c.cpp")], "relative_path = 'sub/deep/c.cpp'"), ([("relative_path", "starts", "nothing")], "false"), ([("status", "=", "accepted"), ("extension", "=", ".md")], "status = 'accepted' AND extension = '.md'"), ([("reason", "starts", "unsupported")], "reason LIKE 'unsupported%'"), ([], "true"),
+])
+def test_conditions_reach_the_walk(spark, tree, only, where):
+    whole = scan.scan(spark, str(tree), max_file_size_mb=0.002)
+    assert sorted(map(repr, scan.scan(spark, str(tree), only=only, max_file_size_mb=0.002).collect())) == sorted(map(repr, whole.where(where).collect()))
+
+
+def test_directories_stay_shut(spark, tree, monkeypatch):
+    opened, looked = [], []
+    listed, stat = os.scandir, os.stat
+    monkeypatch.setattr(os, "scandir", lambda p: opened.append(os.path.relpath(p, tree)) or listed(p))
+    for i in range(20):
+        put(tree / f"one/d{i}/x.txt")
+
+    def run(*only):
+        opened.clear()
+        reader = scan.ScanReader({"path": str(tree), "wanted": json.dumps(only)})
+        return [r[1] for p in reader.partitions() for r in reader.read(p)]
+
+    assert run(("relative_path", "starts", "one/d7/")) == ["one/d7/x.txt"]
+    assert {p for p in opened if p.startswith("one/")} == {"one/d7"} and "sub" not in opened
+    assert run(("relative_path", "=", "sub/b.py")) == ["sub/b.py"] and not any(p.startswith("one/") for p in opened)
+    # a name of the wrong kind is not looked at
+    monkeypatch.setattr(os, "stat", lambda p, *a, **k: looked.append(str(p)) or stat(p, *a, **k))
+    assert run(("extension", "=", ".cpp")) == ["sub/deep/c.cpp"]
+    assert [p for p in looked if p.endswith((".txt", ".py", ".log"))] == []
+    for bad in (("nothing", "=", 1), ("extension", "like", "x")):
+        with pytest.raises(ValueError):
+            run(bad)
+
+
+def test_row_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "v.bin")
+    vectors_bin.write(spark.range(1000).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("float")).alias("vector")), path)
+    rows = lambda *only: vectors_bin.read(spark, path, only=only)
+    for only, want in (
+        ([(">=", 10), ("<", 13)], [10, 11, 12]), ([(">", 997)], [998, 999]), ([("=", 5)], [5]), ([("in", [3, 700])], [3, 700]), ([("<=", 1)], [0, 1]), ([(">", 5), ("<", 3)], []), ([("=", 2000)], []), ([("in", [])], []),
+    ):
+        assert sorted((r[0], r[1]) for r in rows(*[("chunk_id", *c) for c in only]).collect()) == [(i, [float(i)]) for i in want], only
+    few, last = rows(("chunk_id", "<", 5)), rows(("chunk_id", ">=", 990))
+    assert few.union(last).count() == 15 and few.count() == 5 and rows().count() == 1000
+    monkeypatch.setattr(vectors_bin, "ROWS", 100)
+    reader = vectors_bin.VectorReader({"path": path, "wanted": json.dumps([("chunk_id", ">=", 150), ("chunk_id", "<", 420)])})
+    assert [(p.begin, p.end) for p in reader.partitions()] == [(150, 250), (250, 350), (350, 420)]
