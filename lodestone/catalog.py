@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import samples
+from lodestone.functions import sentences
 from lodestone.functions import text as t
 from lodestone.functions import vectors as v
 from lodestone.functions.embedding import Hashing, embedded
@@ -254,6 +255,27 @@ def split_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("position", "sentence"))
 
 
+BARE = "regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}.]+$', '', 'g')"
+
+
+@query(f"""
+WITH lists AS (SELECT list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: {BARE}), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')) AS ws FROM documents WHERE text IS NOT NULL),
+words AS (SELECT unnest(ws) AS w FROM lists),
+typed AS (SELECT w, CASE WHEN regexp_matches(t, '^[\\p{{N}}][\\p{{N}}.,]*$') THEN '#' ELSE t END AS word FROM (SELECT w, regexp_replace(lower(w), '\\.$', '') AS t FROM words))
+SELECT word, count(*) FILTER (regexp_matches(w, '[^.]\\.$')) AS dotted, count(*) FILTER (NOT regexp_matches(w, '[^.]\\.$')) AS plain, count(*) FILTER (regexp_matches(w, '^\\p{{Ll}}')) AS lower FROM typed GROUP BY word""")
+def stop_counts(spark, sf):
+    """How often each word has a full stop behind it: what sentence ends are learned from."""
+    return sentences.counts(table(spark, sf, "documents")).select("word", "dotted", "plain", "lower")
+
+
+@query()
+def trained_sentences(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ship(spark)
+    cut = F.pandas_udf(sentences.cut_texts(sentences.train(docs)), "array<string>")
+    return docs.select("doc_id", F.posexplode(cut("text")).alias("position", "sentence"))
+
+
 def chunks_of(rows: DataFrame, id_col: str, category: str) -> DataFrame:
     units = rows.withColumn("format_category", F.lit(category)).withColumn("unit", F.lit(0))
     made = chunking.chunked(units, count=None).select(id_col, F.posexplode("chunks").alias("chunk_index", "c"))

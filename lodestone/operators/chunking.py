@@ -73,14 +73,14 @@ def fold(units: list[tuple[str, list[str]]], size: int, join: Callable[[list], s
     return chunks
 
 
-def by_sentences(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
+def by_sentences(text: str, size: int = SIZE, overlap: int = OVERLAP, cut: Callable[[str], list[str]] = sentences) -> list[str]:
     """The next chunk opens with the last ``overlap`` words, if the last chunk has more than that."""
 
     def seed(held):
         words = [w for _, ws in held for w in ws]
         return [("", words[-overlap:])] if 0 < overlap < len(words) else []
 
-    return fold([(s, s.split()) for s in sentences(text)], size, lambda held: " ".join(w for _, ws in held for w in ws), seed)
+    return fold([(s, s.split()) for s in cut(text)], size, lambda held: " ".join(w for _, ws in held for w in ws), seed)
 
 
 def by_blocks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -159,13 +159,13 @@ def guarded(chunks: list[str], limit: int = LIMIT, overlap: int = OVERLAP, count
     return out
 
 
-def chunk_text(text: str, category: str | None, settings: Settings, count: Callable[[str], int] | None = count_tokens) -> list[str]:
+def chunk_text(text: str, category: str | None, settings: Settings, count: Callable[[str], int] | None = count_tokens, cut: Callable[[str], list[str]] = sentences) -> list[str]:
     if category == "source_code":
         chunks = by_blocks(text, settings.size, settings.overlap)
     elif category == "spreadsheet":
         chunks = by_rows(text, settings.size)
     else:
-        chunks = by_sentences(text, settings.size, settings.overlap)
+        chunks = by_sentences(text, settings.size, settings.overlap, cut)
     if count is None:
         return chunks
     return guarded(chunks, settings.limit, 0 if category == "spreadsheet" else settings.overlap, count)
@@ -174,10 +174,10 @@ def chunk_text(text: str, category: str | None, settings: Settings, count: Calla
 CHUNK = "array<struct<text: string, word_count: int, token_count: int>>"
 
 
-def chunked(units: DataFrame, settings: Settings = Settings(), text: str = "text", category: str = "format_category", count: Callable[[str], int] | None = count_tokens) -> DataFrame:
+def chunked(units: DataFrame, settings: Settings = Settings(), text: str = "text", category: str = "format_category", count: Callable[[str], int] | None = count_tokens, cut: Callable[[str], list[str]] = sentences) -> DataFrame:
     """Adds ``chunks`` to rows of units; one row stays one row, so order and source are never lost.
 
-    Blank and null texts have no chunks.  A missing category column means prose.
+    Blank and null texts have no chunks.  A missing category column means prose.  ``cut``: what makes sentences of prose, as a trained ``functions.sentences.Model`` does.
     """
     ship(units.sparkSession)
     kind = F.col(category) if category in units.columns else F.lit(None).cast("string")
@@ -189,7 +189,7 @@ def chunked(units: DataFrame, settings: Settings = Settings(), text: str = "text
         for b in batches:
             made = []
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                made.append([{"text": c, "word_count": len(c.split()), "token_count": count(c) if count else 0} for c in chunk_text(t or "", k, settings, count)])
+                made.append([{"text": c, "word_count": len(c.split()), "token_count": count(c) if count else 0} for c in chunk_text(t or "", k, settings, count, cut)])
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(made, arrow)], [*names, "chunks"])
 
     schema = ", ".join(f"{n} {units.schema[c].dataType.simpleString()}" for c, n in zip(units.columns, names, strict=True))
