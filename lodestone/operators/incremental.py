@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 KEY = ("source_file", "source_chunk_index", "chunk_index")
 #: Rows of a range that is numbered, about; and ranges at most.
-RANGE_ROWS, RANGES = 1 << 20, 1024
+RANGE_ROWS, RANGES = 1 << 20, 1 << 17
 
 
 def same(key: list[str] | tuple[str, ...], mark: str) -> list[Column]:
@@ -27,6 +27,18 @@ def diff(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY, text: str =
     return joined.select(*key, status.alias("status"))
 
 
+def count_up_to(bounds: Column, key: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted bounds are not over the key, by halving."""
+    state = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        return F.when(s["low"] >= s["high"], s).when(F.get(bounds, middle) <= key, state(middle + 1, s["high"])).otherwise(state(s["low"], middle))
+
+    steps = F.sequence(F.lit(1), F.lit(most.bit_length()))
+    return F.aggregate(steps, state(F.lit(0), F.size(bounds)), halved)["low"]
+
+
 def numbered(rows: DataFrame, order: list[str], start=0, name: str = "chunk_id", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Dense ids from ``start`` (a number or column) in the order of the columns, nulls first, without one task that sees all rows.
 
@@ -43,7 +55,7 @@ def numbered(rows: DataFrame, order: list[str], start=0, name: str = "chunk_id",
         cut = some.withColumn("r", F.ntile(ranges).over(Window.orderBy("k"))).groupBy("r").agg(F.min("k").alias("k")).where("r > 1")  # of about 50 keys for each range
         bounds = F.broadcast(cut.agg(F.sort_array(F.collect_list("k")).alias("__bounds")))
         rows = rows.join(bounds)
-        part = F.size(F.filter("__bounds", lambda b: b <= key))
+        part = count_up_to(F.col("__bounds"), key, ranges)
     rows = rows.withColumn("__part", part)
     counts = rows.groupBy("__part").count()
     ahead = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row for each range

@@ -351,6 +351,14 @@ def test_failed_files_stay_visible(spark, tree):
     assert total["documents"] == len(rows) and total["failed"] == 3 and total["total_words"] == sum(r["words"] for r in rows.values())
 
 
+def test_bounds_are_found_by_halving(spark):
+    rows = spark.range(-3, 40).select("id", F.struct("id", F.lit("x").alias("s")).alias("k"))
+    for n in (1, 2, 3, 7, 8, 9, 16):
+        bounds = F.array(*[F.struct(F.lit(2 * i).cast("long").alias("id"), F.lit("x").alias("s")) for i in range(n)])
+        got = rows.select("id", incremental.count_up_to(bounds, F.col("k"), n).alias("n")).collect()
+        assert [(r["id"], r["n"]) for r in got] == [(i, sum(2 * j <= i for j in range(n))) for i in range(-3, 40)]
+
+
 def index_state(spark, folder):
     entry = store.manifest(folder)
     return entry, {r["chunk_id"]: (r["source_file"], r["text"]) for r in store.table_of(spark, folder, entry).collect()}
