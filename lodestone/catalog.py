@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import samples
-from lodestone.functions import sentences
+from lodestone.functions import meaning, sentences
 from lodestone.functions import text as t
 from lodestone.functions import vectors as v
 from lodestone.functions.embedding import Hashing, embedded
@@ -181,6 +181,31 @@ def semantic_search(spark, sf):
     return found.where("rank <= 5").select("query_id", F.col("rank").cast("int"), "doc_id", F.round(1 - F.col("distance"), 4).alias("score"))
 
 
+@query("""
+WITH words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ws FROM documents)),
+known AS (SELECT w FROM words GROUP BY w HAVING count(*) >= 2 ORDER BY count(*) DESC, w LIMIT 300),
+placed AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS at FROM words JOIN known USING (w)),
+pairs AS (SELECT least(a.w, b.w) AS one, greatest(a.w, b.w) AS other, 6 - d AS n FROM placed a, range(1, 6) t(d), placed b WHERE b.doc_id = a.doc_id AND b.at = a.at + d)
+SELECT one, other, CAST(sum(n) AS BIGINT) AS n FROM pairs GROUP BY ALL""")
+def word_pairs(spark, sf):
+    """How often the 300 most frequent words stand near each other: what embeddings are learned from."""
+    docs = table(spark, sf, "documents")
+    known = [w for w, _ in meaning.vocabulary(meaning.word_counts(docs), 300)]
+    names = F.array(*[F.lit(w) for w in known])
+    one, other = F.get(names, F.col("i")), F.get(names, F.col("j"))
+    return meaning.near_pairs(docs, known).select(F.least(one, other).alias("one"), F.greatest(one, other).alias("other"), "n")
+
+
+@query()
+def meaning_search(spark, sf):
+    """The documents nearest to each text of the benchmark, by embeddings learned from the documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    make = meaning.Meaning(spark, meaning.train(docs, DIM, 5000))
+    vectors = embedded(docs, make, DIM).select("doc_id", "vector")
+    asked_ = embedded(table(spark, sf, "benchmark"), make, DIM).select(F.col("item_id").alias("query_id"), F.col("vector").alias("query"))
+    return knn.knn(vectors, asked_, 5, "cosine", "doc_id", "vector").withColumn("distance", F.round("distance", 4))
+
+
 WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
 
