@@ -103,7 +103,9 @@ def index_stats(spark, sf):
 def small_world(spark, sf):
     rows = table(spark, sf, "embeddings")
     config = IndexConfig(dim=rows.select(F.size("embedding")).first()[0], ef_construction=100, ef_search=100)
-    return rows, ann.build(rows, config).persist(), config  # a graph is made to be read more than once
+    path = f"{samples.scratch(spark, 'graph')}/graph"
+    ann.build(rows, config).write.parquet(path)  # a graph is made to be read more than once
+    return rows, spark.read.parquet(path), config
 
 
 @query()
