@@ -95,10 +95,9 @@ def with_added(df: DataFrame, names: list[str], added: StructType) -> StructType
     return StructType([StructField(n, df.schema[n].dataType) for n in names] + added.fields)
 
 
-def without_clashes(columns: dict[str, Column], added: list[str]) -> list[Column]:
-    """The columns under their names, but those that have a name of ``added`` in upper or lower case, then ``added``."""
-    taken = {a.lower() for a in added}
-    return [c.alias(n) for n, c in columns.items() if n.lower() not in taken] + [F.col(a) for a in added]
+def with_names(columns: dict[str, Column], added: list[str]) -> list[Column]:
+    """The columns under their names, then those of ``added``.  A name may be there twice then: ``toDF`` tells such columns apart."""
+    return [c.alias(n) for n, c in columns.items()] + [F.col(a) for a in added]
 
 
 def carried(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:

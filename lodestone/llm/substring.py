@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import clean_shuffles, dropped, numbered_columns, shuffle_partitions, small_batches, table, with_added, without_clashes, written
+from .common import clean_shuffles, dropped, numbered_columns, shuffle_partitions, small_batches, table, with_added, with_names, written
 
 WINDOW, ANCHOR = 20, 8
 #: An anchor with more occurrences has its bucket dealt out by a salt, about so many occurrences to each.
@@ -473,7 +473,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
     covers it also starts earlier: in a smaller doc_id, or before in the same document; spans tell where.  kept joins the
     other words by one space; texts that lose nothing keep their white space.  Null texts have no words and stay null.  Rows with a null id come
     before all others and, like other rows with one id, count as one document: of windows at the same place in
-    them neither is earlier.  All rows stay, and all columns but those named like one that is added, in upper or lower case.  ``bits``: see ``repeated_spans``.
+    them neither is earlier.  All rows and columns stay, whatever the columns' names; the operator's own are the last five.  ``bits``: see ``repeated_spans``.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -508,7 +508,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = ANCHOR, bits: int
     joined = own.join(hits, ["__doc", "__row"], "left").select("text", "__hits", *plain)
     added = StructType.fromDDL(f"kept string, n_words long, n_removed long, kept_sha256 string, spans {SPAN}")
     done = joined.mapInArrow(run, with_added(rows, plain, added))
-    return done.select(*without_clashes(columns, added.names))
+    return done.select(*with_names(columns, added.names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import dropped, numbered_columns, small_batches, table, with_added, without_clashes, written
+from .common import dropped, numbered_columns, small_batches, table, with_added, with_names, written
 
 BUCKETS = 1 << 18
 WIDTHS = (1, 2, 3)
@@ -315,7 +315,7 @@ def held_out(doc_id):
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Adds score (0 to 1) and predicted (0 or 1) to all rows and columns of ``docs``, for each whole text.
 
-    Null texts are empty ones and have the score of a text without words.  Columns of ``docs`` named score or predicted, in upper or lower case, give way; all others stay.
+    Null texts are empty ones and have the score of a text without words.  All columns of ``docs`` stay as they are, whatever their names; the operator's own are the last two.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -330,7 +330,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     added = StructType.fromDDL("score double, predicted int")
     done = rows.select(columns["text"].alias("text"), *plain).mapInArrow(run, with_added(rows, plain, added))
-    return done.select(*without_clashes(columns, added.names))
+    return done.select(*with_names(columns, added.names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
