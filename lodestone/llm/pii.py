@@ -130,7 +130,7 @@ LOOKALIKES = {
     "dashes and dots": ("‐‑‒–—−。", "------."),
 }
 #: Characters that show nothing.
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 #: The digits from zero to nine by language, and words for @, a dot and a plus sign.
 DIGITS = {
