@@ -140,7 +140,7 @@ def extended(spark: SparkSession, folder: str, base: dict, added: DataFrame, dea
         files.deleted(spark, f"{folder}/{unused}")
     graph = base["graph"]
     if graph and (n or m):
-        index = routed.Index(spark, f"{folder}/{graph['folder']}", graph["entry"], config, routed.router_of(spark, f"{folder}/{graph['folder']}", graph["entry"]))
+        index = graph_of(spark, folder, base)
         graph = graph | {"entry": routed.updated(index, fresh if n else None, out if m else None, "chunk_id", "vector", save=False).entry}
         rebuild = routed.outgrown(graph["entry"])
     else:
@@ -181,7 +181,7 @@ def graph_of(spark: SparkSession, folder: str, entry: dict) -> routed.Index | No
     if not graph:
         return None
     inside = f"{folder}/{graph['folder']}"
-    return routed.Index(spark, inside, graph["entry"], config_of(entry), routed.router_of(spark, inside, graph["entry"]))
+    return routed.Index(spark, inside, graph["entry"], IndexConfig(**graph["entry"]["config"]), routed.router_of(spark, inside, graph["entry"]))
 
 
 def config_of(entry: dict) -> IndexConfig:
