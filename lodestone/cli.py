@@ -1,4 +1,4 @@
-"""python -m lodestone.cli scan|extract|chunk|index|search|stats|validate|export|import|embed ..."""
+"""python -m lodestone.cli scan|extract|chunk|index|search|learn|stats|validate|export|import|embed ..."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import meaning
 from lodestone.functions.embedding import HashEmbedder
 from lodestone.operators import incremental
 from lodestone.operators.chunking import Settings
@@ -21,7 +22,7 @@ from lodestone.sources import store
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "extract", "chunk", "index"):
+    for name in ("scan", "extract", "chunk", "index", "learn"):
         c = sub.add_parser(name)
         c.add_argument("root")
         c.add_argument("--max-size", type=float, default=500, help="largest file in MB")
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--include-hidden", action="store_true")
         c.add_argument("--ignore", action="append", default=[])
         c.add_argument("--json", action="store_true")
-        if name in ("chunk", "index"):
+        if name in ("chunk", "index", "learn"):
             c.add_argument("--size", type=int, default=120)
             c.add_argument("--overlap", type=int, default=30)
             c.add_argument("--token-limit", type=int, default=256)
@@ -38,11 +39,16 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("folder")
             c.add_argument("--dim", type=int, default=384)
             c.add_argument("--full", action="store_true")
+            c.add_argument("--model", help="a folder made by learn, instead of the hashing embedder")
+        if name == "learn":
+            c.add_argument("model", help="folder for word vectors learned from the tree's texts")
+            c.add_argument("--dim", type=int, default=128)
     s = sub.add_parser("search")
     s.add_argument("folder")
     s.add_argument("text")
     s.add_argument("-k", type=int, default=5)
     s.add_argument("--exact", action="store_true")
+    s.add_argument("--model", help="the folder that the index was made with")
     for name in ("stats", "validate"):
         sub.add_parser(name, help="of an index, or of a folder in the exchange form").add_argument("folder")
     for name, source, target in (("export", "index", "folder"), ("import", "folder", "index")):
@@ -87,13 +93,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("valid" if ok else "not valid")
             return int(not ok)
         if a.command == "search":
-            for r in retrieval.search(spark, a.folder, a.text, a.k, exact=a.exact).collect():
+            make = meaning.Meaning(spark, meaning.load(spark, a.model)) if a.model else None
+            for r in retrieval.search(spark, a.folder, a.text, a.k, make, a.exact).collect():
                 print(f"{r['rank']}. {r['score']:.4f} {r['source_file']} ({r['source_label']})\n   {r['text'][:300]}")
             return 0
         options = {"max_file_size_mb": a.max_size, "max_files": a.max_files, "follow_symlinks": a.follow_symlinks, "include_hidden": a.include_hidden, "ignore": a.ignore}
-        settings = Settings(a.size, a.overlap, a.token_limit) if a.command in ("chunk", "index") else Settings()
+        settings = Settings(a.size, a.overlap, a.token_limit) if a.command in ("chunk", "index", "learn") else Settings()
         if a.command == "index":
-            print(json.dumps(retrieval.index(spark, a.root, a.folder, IndexConfig(dim=a.dim), settings, full=a.full, **options), indent=2))
+            model = meaning.load(spark, a.model) if a.model else None
+            config, make = IndexConfig(dim=model.dim if model else a.dim), meaning.Meaning(spark, model) if model else None
+            print(json.dumps(retrieval.index(spark, a.root, a.folder, config, settings, make, a.full, **options), indent=2))
+            return 0
+        if a.command == "learn":
+            chunks = retrieval.ingest(spark, a.root, settings, **options).chunks.select("text").persist()
+            model = meaning.train(chunks, a.dim)
+            chunks.unpersist()
+            meaning.save(spark, model, a.model)
+            print(f"{len(model.words)} words, {model.dim} components")
             return 0
         found = retrieval.ingest(spark, a.root, settings, **options)
         rows = {"scan": found.log, "extract": found.extractions, "chunk": found.chunks}[a.command]

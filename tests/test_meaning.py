@@ -1,10 +1,12 @@
 """Embeddings learned from pairs of words: planted synonyms, repetition, edges."""
 
+import json
 import random
 
 import numpy as np
 import pytest
 
+from lodestone import cli
 from lodestone.functions import meaning
 from lodestone.functions.embedding import HashEmbedder, embedded
 
@@ -83,3 +85,17 @@ def test_pairs_and_edges(spark, monkeypatch):
         meaning.train(docs.limit(0))
     with pytest.raises(ValueError):
         meaning.train(docs, dim=1 << 23)
+
+
+def test_learn_index_and_search(spark, tmp_path, capsys):
+    """A query finds texts that have none of its words."""
+    root, model, folder = tmp_path / "tree", str(tmp_path / "model"), str(tmp_path / "ix")
+    root.mkdir()
+    for i, text in corpus(240):
+        (root / f"{i}.txt").write_text(text)
+    for t in range(TOPICS):
+        (root / f"only{t}.txt").write_text(f"right{t}x0 right{t}x1 right{t}x2")
+    assert cli.main(["learn", str(root), model, "--dim", "24"], spark) == 0 and "24 components" in capsys.readouterr().out
+    assert cli.main(["index", str(root), folder, "--model", model], spark) == 0 and json.loads(capsys.readouterr().out)["config"]["dim"] == 24
+    assert cli.main(["search", folder, "left3x0 left3x1", "-k", "40", "--model", model], spark) == 0
+    assert "only3.txt" in capsys.readouterr().out
