@@ -38,6 +38,8 @@ BLOCK = 1 << 20
 FREQUENT = 8
 #: A round replaces the pairs that occur at least one n-th as often as the most frequent one.
 BAND = 8
+#: Bytes of texts that are encoded at a time, about.
+TOGETHER = 16 << 20
 MAGIC = b"RPR2"
 HEAD, ENTRY, TAIL = struct.Struct("<4s5I"), struct.Struct("<4Q2q"), struct.Struct("<I4s")
 
@@ -59,7 +61,7 @@ def frequent(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     count = np.diff(begin, append=n)
     good = count >= FREQUENT
     number = np.zeros(n, np.int32)
-    number[at] = np.repeat(np.where(good, np.cumsum(good), 0).astype(np.int32), count)
+    number[at[np.repeat(good, count)]] = np.repeat(np.arange(1, int(good.sum()) + 1, dtype=np.int32), count[good])
     return packed[begin[good]], count[good], number
 
 
@@ -80,22 +82,23 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     half = FREQUENT // 2  # a rule replaces so many occurrences at least
     bits = max(1, (len(literals) + len(ids) // half).bit_length())
     shift, low = np.uint64(bits), np.uint64((1 << bits) - 1)
-    last = np.zeros(len(s), bool)
-    last[np.cumsum(sizes) - 1] = True
-    inside = np.flatnonzero(~last)
+    ends = np.cumsum(sizes)  # of the documents
+    inner = np.ones(len(s), bool)
+    inner[ends - 1] = False
+    inside = np.flatnonzero(inner)
     pairs, count, number = frequent(s[inside].astype(np.uint64) << shift | s[inside + 1], 2 * bits)
-    own = np.zeros(len(s), np.int32)  # number of the frequent pair that begins at a place, or 0
+    own = np.zeros(len(s), np.intp)  # number of the frequent pair that begins at a place, or 0
     own[inside] = number
     pairs, count = np.concatenate([np.zeros(1, np.uint64), pairs]), np.concatenate([[0], count])
     rules, n = [], len(literals)
     while (most := int(count.max())) >= FREQUENT:
         chosen = count >= max(FREQUENT, -(-most // BAND))
-        at = np.flatnonzero(chosen[own])
+        at = np.flatnonzero(chosen.take(own))
         # of overlapping occurrences every second one of a run is replaced: half of all at least, so some pair always reaches ``half``
         begin = np.ones(len(at), bool)
         np.not_equal(np.diff(at), 1, out=begin[1:])
         order = np.arange(len(at))
-        at = at[(order - np.maximum.accumulate(np.where(begin, order, 0))) % 2 == 0]
+        at = at[(order - np.maximum.accumulate(np.where(begin, order, 0))) & 1 == 0]
         hits = np.bincount(own[at], minlength=len(pairs))
         kept = np.flatnonzero(hits >= half)
         rule = np.zeros(len(pairs), np.uint32)
@@ -104,19 +107,21 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at, new = at[new > 0], new[new > 0]
         rules.append(np.stack([pairs[kept] >> shift, pairs[kept] & low], 1).astype(np.uint32))
         n += len(kept)
-        touched = np.zeros(len(s), bool)  # places whose pair ends: the replaced, those after and before them
-        touched[at] = touched[at + 1] = touched[np.maximum(at - 1, 0)] = True
-        places = np.flatnonzero(touched)
-        count -= np.bincount(own[places], minlength=len(count))
-        own[places] = -1
+        alone = at > 0  # the place before is not replaced itself
+        alone[1:] &= np.diff(at) != 2
+        count -= np.bincount(own[np.concatenate([at, at + 1, at[alone] - 1])], minlength=len(count))  # pairs that end
         s[at] = new
-        last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s, last, own = s[keep], last[keep], own[keep]
-        places = np.flatnonzero(own < 0)
+        keep = np.flatnonzero(keep)
+        s, own = s.take(keep), own.take(keep)
+        ends -= np.searchsorted(at + 1, ends)
+        at -= np.arange(len(at))
+        places = np.concatenate([at, at[alone] - 1])
         own[places] = 0
-        places = places[~last[places]]
+        inner = np.ones(len(s), bool)
+        inner[ends - 1] = False
+        places = places[inner[places]]
         more, times, number = frequent(s[places].astype(np.uint64) << shift | s[places + 1], 2 * bits)
         number[number > 0] += len(pairs) - 1
         own[places] = number
@@ -127,7 +132,6 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for part in rules:
         length[at : at + len(part)] = length[part[:, 0]] + length[part[:, 1]]
         at += len(part)
-    ends = np.flatnonzero(last) + 1
     return literals, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), length[len(literals) :], s, np.diff(ends, prepend=0)
 
 
@@ -227,6 +231,20 @@ def read_document(manifest: DataFrame, doc_id: int, start: int = 0, n: int | Non
     return out
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Some batches in one, up to ``TOGETHER`` bytes or one batch: of words that recur in them each is then looked up once."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > TOGETHER:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 MANIFEST = "shard int, path string, docs long, tokens long, bytes long, first_doc long, last_doc long"
 NO_ID = -(1 << 63)
 
@@ -261,9 +279,7 @@ def write_files(docs: DataFrame, path: str = BYTE_BPE, end_id: int = END_ID, sha
                 ids_held.clear()
                 held = 0
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in together(batches):
             if out is None:
                 shard = b.column(2)[0].as_py()
                 files, root = pafs.FileSystem.from_uri(folder)

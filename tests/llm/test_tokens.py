@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -118,6 +119,33 @@ def test_grammar_compresses():
     assert len(repair.block_bytes(list(range(5)), ids)) < sum(map(len, ids)) / 10
 
 
+def test_words_of_many_batches_are_looked_up_once(monkeypatch):
+    batch = lambda *texts: pa.RecordBatch.from_pydict({"text": list(texts)})
+    batches = [batch(), batch("a b", "c"), batch(), batch("b c"), batch("a")]
+    assert [x.column(0).to_pylist() for x in repair.together(iter(batches))] == [["a b", "c", "b c", "a"]]
+    assert list(repair.together(iter([batch()]))) == []
+    monkeypatch.setattr(repair, "TOGETHER", 1)  # no more than one batch, of any size
+    assert [x.column(0).to_pylist() for x in repair.together(iter(batches))] == [["a b", "c"], ["b c"], ["a"]]
+
+
+def test_rounds_count_exactly():
+    r = np.random.default_rng(7)
+    for _ in range(60):
+        sizes = r.integers(1, 60, int(r.integers(1, 12)))
+        ids = r.integers(0, int(r.integers(1, 6)), int(sizes.sum())).astype("<u4")
+        literals, rules, _, symbols, counts = repair.compress(ids, sizes)
+        of = [[int(x)] for x in literals]
+        for a, b in rules.tolist():
+            of.append(of[a] + of[b])
+        ends = np.cumsum(counts).tolist()
+        docs = [symbols[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+        assert [sum((of[x] for x in d), []) for d in docs] == [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        for d in docs:
+            assert len(d) > 0
+        seen = Counter(p for d in docs for p in zip(d, d[1:], strict=False))
+        assert max(seen.values(), default=0) < repair.FREQUENT
+
+
 def with_special(docs):
     """The rows, and texts with tokens of the vocabulary's own."""
     more = [(100 + i, t) for i, t in enumerate(SPECIAL)]
