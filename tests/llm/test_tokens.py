@@ -75,6 +75,49 @@ def test_memo_is_the_library(path, keeps):
     own.memo.limit = 256 << 20
 
 
+def test_a_word_is_encoded_once_whatever_marks_are_beside_it():
+    own, whole = tokens.tokens.__wrapped__(tokens.BYTE_BPE, True), Tokenizer.from_file(tokens.BYTE_BPE)
+    words = ["strana", "événement", "größere", "слово"]
+    sides = ["", ",", ".", "\n", "(", "\n(", ").", "7", "'", "--", "...\n"]
+    texts = [f"{a}{w}{b} {a}{w}{b}" for w in words for a in sides for b in sides]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+    held = [x if isinstance(x, str) else x.decode() for x in own.memo]
+    for w in words:  # alone, after a space, and after an apostrophe with or without one
+        assert {x for x in held if w in x} == {w, f" {w}", f"'{w}", f" '{w}"}
+
+
+def test_cuts_beside_any_character_are_the_library_s():
+    own, whole = tokens.tokens(tokens.BYTE_BPE, True), Tokenizer.from_file(tokens.BYTE_BPE)
+    some = [*range(0x600), *range(0x1680, 0x1690), *range(0x1800, 0x1810), *range(0x2000, 0x2070), *range(0x3000, 0x3010), 0xFEFF, 0x4E2D, 0x1F642, 0x10FFFF]
+    texts = [x + chr(c) + y for c in some for x in ("a", "", " ", "\n", "'", "3 ") for y in ("b", "", " b", "\n", "\nb", "  ", "'s", ".")]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
+@pytest.mark.parametrize(("path", "keeps"), [(tokens.WORD_BPE, False), (tokens.BYTE_BPE, True)])
+def test_the_library_gets_little_at_a_time(path, keeps, monkeypatch):
+    own, whole = tokens.tokens.__wrapped__(path, keeps), Tokenizer.from_file(path)
+    texts = [prose(i, 30) + " \u3000日本" + "語" * i + "<|endoftext|>" * (i % 2) for i in range(40)] + ["", "a" * 500, "b" * 40]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    sizes = []
+
+    class Watched:
+        def __init__(self, of):
+            self.encode = of.encode_batch_fast
+
+        def encode_batch_fast(self, texts, **options):
+            sizes.append([len(t) for t in texts])
+            return self.encode(texts, **options)
+
+    own.tokenizer = Watched(own.tokenizer)
+    if keeps:
+        own.bulk = Watched(own.bulk)
+    monkeypatch.setattr(tokens, "AT_ONCE", 50)
+    assert own.encode(texts) == want
+    assert all(sum(x[:-1]) <= 50 for x in sizes) and max(map(sum, sizes)) <= 50 + 500
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=20))
 def test_grammar_round_trip(lists):
