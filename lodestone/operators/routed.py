@@ -2,13 +2,16 @@
 
 A few hundred vectors of the table for each cell, at most, are clustered on the driver; every vector then goes to the cell of its nearest centroid, and
 to the second nearest as well if it lies near the border.  A cell is cut into shards of bounded size, each a small-world graph in one row: its vectors, levels
-and neighbours as packed arrays.  Rows are stored by cell, so a search reads the folders of those cells alone that its queries are sent to.  It is
-a small-world graph over the centroids, on the driver, that sends them.
+and neighbours as packed arrays.  Rows are stored by cell, so a search reads the folders of those cells alone that its queries are sent to.  The
+driver sends them, by products with the centroids.
 
 The index changes in place.  A new vector looks up its neighbours in its cell's graphs and becomes one row of a delta: its
-vector, level and links.  A removed one is a row without them.  Whoever loads a shard applies its deltas: back links of new nodes are added and cut
+vector, level and links.  A removed one is a row without them.  Whoever walks a shard's graph applies its deltas: back links of new nodes are added and cut
 to the most diverse, neighbours of removed ones are linked with what lay behind.  A delta is written in full before the manifest names it; once they
 are many, ``compacted`` builds the cells that they touch again.
+
+A walk takes milliseconds whatever the shard's size, so in a shard of at most SCANNED numbers all queries (and all new vectors) meet all its vectors in
+one matrix product instead, which is exact and needs no links.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.ann import Graph, chosen, level_of
-from lodestone.operators.knn import QUERY_NUMBERS, distances, knn, matrix, unit
+from lodestone.operators.knn import QUERY_NUMBERS, best, distances, knn, matrix, unit
 from lodestone.plans.config import IndexConfig
 from lodestone.session import ship
 from lodestone.sources.files import deleted, exists, put_small_file, small_file
@@ -38,11 +41,16 @@ EACH, SAMPLE_NUMBERS = 64, 1 << 26
 BORDER = 0.1
 #: Cells that a query is sent to are so many that of the neighbours of a few vectors of the table this part is in them.
 ASKED, NEIGHBOURS, ENOUGH = 64, 10, 0.98
+#: Numbers in a shard up to which a product is faster than walks; numbers in a block of distances; pairs of a query and a cell in one set of queries.
+SCANNED, BLOCK, PAIRS = 1 << 22, 1 << 21, 1 << 24
+#: What rounding may add to a distance, as a part of the length of the vectors.
+MARGIN = 1e-6
 ROUNDS = 12
 #: An index is built anew once it has so many times the vectors that it was built for.
 GROWN = 4
 MANIFEST, MAGIC = "routed.json", "LODE-ROUTED"
 
+NOTHING = dict.fromkeys(["ids", "levels", "vectors", "sizes", "targets"])
 PACKED = "shard int, n int, ids binary, levels binary, vectors binary, sizes binary, targets binary"
 DELTA = "id long, level int, vector array<float>, neighbours array<array<long>>, gone boolean"
 
@@ -113,7 +121,7 @@ class Shard(Graph):
         between = self.between(near)
         return [near[i] for i in chosen(between, np.arange(len(near)), far[order], most)]
 
-    def between(self, nodes: list[int]) -> np.ndarray:
+    def between(self, nodes: list[int] | np.ndarray) -> np.ndarray:
         """Distances among some nodes."""
         x = self.x[nodes]
         if not (self.cosine and self.config.normalize):
@@ -142,6 +150,25 @@ class Shard(Graph):
             found[layer] = [nodes[i] for i in chosen(self.between(nodes), np.arange(len(nodes)), far, self.config.m)]
         return found
 
+    def joined(self, first: int) -> list[list[list[int]]]:
+        """What ``candidates`` gives for each node from ``first`` on, among all before it and by products: for shards of few numbers.  Links aren't looked at."""
+        levels, most = np.array(self.levels), self.config.ef_construction
+        found = []
+        for at in range(first, len(levels), 256):
+            for node, far in enumerate(self.far_from(at, 256), at):
+                layers = []
+                for layer in range(levels[node] + 1):
+                    nodes = np.flatnonzero(levels[:node] >= layer)
+                    own = far[nodes]
+                    if len(nodes) > most:
+                        near = np.argpartition(own, most)[:most]
+                        nodes, own = nodes[near], own[near]
+                    order = np.lexsort((nodes, own))
+                    nodes = nodes[order]
+                    layers.append([int(nodes[i]) for i in chosen(self.between(nodes), np.arange(len(nodes)), own[order], self.config.m)] if len(nodes) else [])
+                found.append(layers)
+        return found
+
     def add(self, id_: int, vector: np.ndarray, neighbours: list[list[int]]) -> None:
         """A new node with its links (ids), and links back from these, cut to the most diverse where they are too many."""
         node = len(self.links)
@@ -203,28 +230,51 @@ class Shard(Graph):
         return [self.ids[n] for n in nodes], self.raw[nodes]
 
 
+def present(config: IndexConfig, row: dict, deltas: pd.DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, levels, vectors of a stored shard after its deltas: what ``applied`` leaves, without links."""
+    shard = Shard.loaded(config, row)
+    ids, levels, x = np.array(shard.ids, np.int64), np.array(shard.levels, np.int64), shard.raw
+    for _, own in () if deltas is None else deltas.groupby("change"):
+        stay = ~np.isin(ids, own.loc[own["gone"], "id"].to_numpy(np.int64))
+        fresh = own[~own["gone"]].drop_duplicates("id")
+        fresh = fresh[~fresh["id"].isin(ids[stay])].sort_values("id")
+        ids, levels = np.concatenate([ids[stay], fresh["id"].to_numpy(np.int64)]), np.concatenate([levels[stay], [len(x) - 1 for x in fresh["neighbours"]]]).astype(np.int64)
+        x = np.concatenate([x[stay], np.array(fresh["vector"].tolist(), np.float64).reshape(-1, config.dim)])
+    return ids, levels, x
+
+
+def scanned(config: IndexConfig, ids: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """place of the query, id, distance of the k nearest to each of ``own``, ties to smaller ids."""
+    if not len(ids) or not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if config.space == "l2":  # nearer to zero there is less rounding
+        x, own = x - (middle := x.mean(0)), own - middle
+    step, parts = max(1, BLOCK // len(ids)), []
+    for at in range(0, len(own), step):
+        d = distances(own[at : at + step], x, config.space)
+        pick = best(d, ids, k)
+        parts.append((np.repeat(np.arange(at, at + len(d)), pick.shape[1]), ids[pick].ravel(), np.take_along_axis(d, pick, 1).ravel()))
+    places, found, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return places, found, far
+
+
 @dataclass
 class Router:
-    """Centroids, and the graph over them."""
+    """Centroids, and where they stand."""
 
     config: IndexConfig
     centroids: np.ndarray
-    graph: Graph = field(init=False)
+    x: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        own = IndexConfig(dim=self.config.dim, space="l2", ef_construction=64)
-        self.graph = Graph(own, self.placed(self.centroids)).built([level_of(i, own.m, 0) for i in range(len(self.centroids))])
+        self.x = self.placed(self.centroids)
 
     def placed(self, vectors: np.ndarray) -> np.ndarray:
         """Where vectors stand among the cells: on the unit sphere for cosine."""
         return unit(vectors) if self.config.space == "cosine" else vectors
 
-    def nearest(self, vector: np.ndarray, n: int) -> list[int]:
-        found = [c for _, c in self.graph.search(self.placed(vector[None])[0], n, 2 * n + 32)]
-        return found if len(found) >= min(n, len(self.centroids)) else self.all_by_distance(vector[None])[0, :n].tolist()
-
     def all_by_distance(self, vectors: np.ndarray) -> np.ndarray:
-        x, c = self.placed(vectors), self.graph.x
+        x, c = self.placed(vectors), self.x
         return ((c * c).sum(1) - 2 * x @ c.T).argsort(1, kind="stable")
 
 
@@ -414,57 +464,103 @@ def probes_for(rows: DataFrame, placed: DataFrame, router: Router) -> int:
     return needed[min(len(needed) - 1, int(ENOUGH * len(needed)))] if needed else 1
 
 
-def routed(index: Index, asked: pd.DataFrame, probes: int) -> dict[int, list[int]]:
-    """cell -> places of the queries that go there."""
-    to: dict[int, list[int]] = {}
-    for place, q in enumerate(asked):
-        for c in index.router.nearest(q, probes):
-            to.setdefault(c, []).append(place)
-    return to
+def routed(index: Index, asked: np.ndarray, probes: int, within: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """cell -> places of the queries that go there: those that it is one of the ``probes`` nearest cells of.
 
-
-def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, ef: int | None = None) -> DataFrame:
+    ``within``, by query: a cell that can hold no vector at this distance or nearer is left out.  Of the vectors whose home a cell is none is nearer to another centroid, so
+    they all lie beyond the plane half-way between the cell's centroid and the query's nearest one.
+    """
+    router, to = index.router, {}
+    q, c = router.placed(asked), router.x
+    square, cells = (c * c).sum(1), np.arange(len(c))
+    for at in range(0, len(q), step := max(1, BLOCK // len(c))):
+        part = q[at : at + step]
+        d = square - 2 * part @ c.T  # squares of the distances, less the same for all cells of a query
+        if probes < len(c):
+            near = np.argpartition(d, probes - 1, axis=1)[:, :probes]
+            sent = np.zeros(d.shape, bool)
+            np.put_along_axis(sent, near, True, 1)
+        else:
+            sent = np.ones(d.shape, bool)
+        if within is not None:
+            first, far = d.argmin(1), within[at : at + step, None]
+            every = np.isinf(far)
+            far = np.where(every, 0, far)
+            more = MARGIN * (np.sqrt((part * part).sum(1)) + np.sqrt(square.max()))[:, None] + MARGIN * far
+            between = np.sqrt(np.maximum(square[first][:, None] + square - 2 * c[first] @ c.T, 0))
+            sent &= (d - d.min(1, keepdims=True) <= 2 * (between + more) * (far + more)) | (cells == first[:, None]) | every
+        for cell in np.flatnonzero(sent.any(0)).tolist():
+            to.setdefault(cell, []).append(np.flatnonzero(sent[:, cell]) + at)
+    return {cell: np.concatenate(x) for cell, x in to.items()}
+
+
+def search(index: Index, queries: DataFrame, k: int, probes: int | None = None, ef: int | None = None, sure: bool = False) -> DataFrame:
     """query_id, rank, id, distance.  ``queries``: query_id, query; they come to the driver in sets of bounded size, each reads the cells it needs.
 
-    ``probes``: cells for each query; by default what the index measured.  k above the number of vectors in these cells gives those.  Errors: k below 1, queries of another length or not finite.
+    ``probes``: cells for each query; by default what the index measured.  k above the number of vectors in these cells gives those.
+    ``sure``: nothing nearer is missed.  The nearest cell tells how far a query's k-th neighbour is at most, and all cells are read that can hold a nearer vector: on vectors in tight groups these
+    are few, on vectors without any structure nearly all.  Errors: k below 1, queries of another length or not finite.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    config = index.config
+    config, cells = index.config, len(index.router.centroids)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<float>").alias("query"))
-    probes, ef = probes or index.entry["probes"], ef or config.ef_search
-    most = max(1, QUERY_NUMBERS // config.dim)
+    probes, ef = cells if sure else min(cells, probes or index.entry["probes"]), ef or config.ef_search
+    most = max(1, min(QUERY_NUMBERS // config.dim, PAIRS // probes))
     first = asked.limit(most + 1).toArrow()
     if len(first) <= most:
-        partial = one_set(index, first, k, probes, ef)
+        partial = one_set(index, first, k, probes, ef, sure)
     else:
         sets = -(-2 * asked.count() // most)
-        parts = [one_set(index, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i).toArrow(), k, probes, ef) for i in range(sets)]
+        parts = [one_set(index, asked.where(F.pmod(F.xxhash64("query_id"), F.lit(sets)) == i).toArrow(), k, probes, ef, sure) for i in range(sets)]
         partial = parts[0]
         for more in parts[1:]:
             partial = partial.unionByName(more)
+    return ranked(partial, k)
+
+
+def ranked(partial: DataFrame, k: int) -> DataFrame:
     # a vector in two cells is found twice; one shuffle by query serves both steps
     once = partial.repartition("query_id").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def one_set(index: Index, rows: pa.Table, k: int, probes: int, ef: int) -> DataFrame:
-    config, spark = index.config, index.spark
+def one_set(index: Index, rows: pa.Table, k: int, probes: int, ef: int, sure: bool = False) -> DataFrame:
+    config = index.config
+    ids = rows.column(0).combine_chunks()
     q = matrix(rows.column(1).combine_chunks(), config.dim) if len(rows) else np.zeros((0, config.dim))
     if not np.isfinite(q).all():
         raise ValueError("a query is not finite")
-    to = routed(index, q, probes)
-    q = unit(q) if config.space == "cosine" and config.normalize else q
-    shipped = spark.sparkContext.broadcast((rows.column(0).to_pylist(), q, to))
+    if not sure:
+        return in_cells(index, ids, q, routed(index, q, probes), k, ef)
+    few = -(-2 * k * len(index.router.centroids) // max(1, index.entry["rows"]))  # cells that should hold k
+    found = ranked(in_cells(index, ids, q, routed(index, q, min(probes, few)), k, ef, sure), k).where(F.col("rank") == k).select("query_id", "distance").toArrow()  # a row for each query at most
+    # squares; of unit vectors half the square is what the cosine lacks of 1, and zero vectors are not farther than they count
+    far = dict(zip(found.column(0).to_pylist(), np.sqrt(found.column(1).to_numpy() * (2 if config.space == "cosine" else 1)).tolist(), strict=True))
+    return in_cells(index, ids, q, routed(index, q, probes, np.array([far.get(i, np.inf) for i in ids.to_pylist()])), k, ef, sure)
 
-    def found_in(cell: int, shard: Shard) -> list[tuple[int, int, float]]:
-        query_ids, own, here = shipped.value
-        return [(query_ids[i], shard.ids[n], max(d, 0.0)) for i in here[cell] for d, n in shard.search(own[i], k, ef)]
 
+def in_cells(index: Index, query_ids: pa.Array, q: np.ndarray, to: dict[int, np.ndarray], k: int, ef: int, sure: bool = False) -> DataFrame:
+    """query_id, id, distance: the nearest that each query's cells have, from each shard."""
+    config, spark = index.config, index.spark
+    shipped = spark.sparkContext.broadcast((query_ids, q, to))
+    most = SCANNED
     names = ["query_id", "id", "distance"]
 
-    def batch(out: list) -> pa.RecordBatch:
+    def found_in(cell: int, row: dict, deltas: pd.DataFrame | None = None) -> pa.RecordBatch:
+        asking, own, here = shipped.value
+        asking, own = asking.take(pa.array(here[cell])), own[here[cell]]
+        vectors = len(row["vectors"] or b"") // 4 + config.dim * (0 if deltas is None else len(deltas))
+        if sure or vectors <= most:
+            ids, _, x = present(config, row, deltas)
+            places, found, far = scanned(config, ids, x, own, k)
+            return pa.RecordBatch.from_arrays([asking.take(pa.array(places)), pa.array(found), pa.array(far)], names)
+        shard = Shard.loaded(config, row)
+        if deltas is not None:
+            shard.applied(deltas)
+        own = unit(own) if config.space == "cosine" and config.normalize else own
+        out = [(i, shard.ids[n], max(d, 0.0)) for i, v in zip(asking.to_pylist(), own, strict=True) for d, n in shard.search(v, k, ef)]
         ids, found, far = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(far, pa.float64())], names)
 
@@ -472,13 +568,11 @@ def one_set(index: Index, rows: pa.Table, k: int, probes: int, ef: int) -> DataF
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                yield batch(found_in(row["cell"], Shard.loaded(config, row)))
+                yield found_in(row["cell"], row)
 
     def changed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard.loaded(config, left.iloc[0].to_dict() if len(left) else {}.fromkeys(["ids", "levels", "vectors", "sizes", "targets"]))
-        shard.applied(right)
-        out = found_in(int((left if len(left) else right)["cell"].iloc[0]), shard)
-        return pd.DataFrame(out, columns=names).astype({"query_id": "int64", "id": "int64", "distance": "float64"})
+        row = left.iloc[0].to_dict() if len(left) else NOTHING
+        return found_in(int((left if len(left) else right)["cell"].iloc[0]), row, right).to_pandas(integer_object_nulls=True)
 
     schema = "query_id long, id long, distance double"
     shards = index.shards().where(F.col("cell").isin(list(to)))
@@ -538,14 +632,25 @@ def linked(index: Index, fresh: DataFrame, gone: DataFrame) -> DataFrame:
         touched = new.select("cell", "shard").distinct()
         left = left.unionByName(before.join(touched, ["cell", "shard"], "left_semi").select(left.columns))
 
+    most = SCANNED
+
     def run(rows: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "shard", "id", "level", "vector", "neighbours", "gone"]
         own = rows[(rows["change"] == 0) & ~rows["gone"]].sort_values("id")
         if not len(own):
             return pd.DataFrame(columns=names, dtype=object)
-        shard = Shard.loaded(config, stored.iloc[0].to_dict() if len(stored) else {}.fromkeys(["ids", "levels", "vectors", "sizes", "targets"]))
-        shard.applied(rows[rows["change"] > 0])
-        shard.remove(set(rows.loc[(rows["change"] == 0) & rows["gone"], "id"].tolist()))
+        row, before, gone = stored.iloc[0].to_dict() if len(stored) else NOTHING, rows[rows["change"] > 0], set(rows.loc[(rows["change"] == 0) & rows["gone"], "id"].tolist())
+        if len(row["vectors"] or b"") // 4 + config.dim * len(rows) <= most:
+            ids, levels, x = present(config, row, before)
+            stay = ~np.isin(ids, list(gone))
+            ids = np.concatenate([ids[stay], own["id"].to_numpy(np.int64)])
+            levels = np.concatenate([levels[stay], [level_of(i, config.m, config.seed) for i in own["id"].tolist()]])
+            shard = Shard(config, ids, levels, np.concatenate([x[stay], np.array(own["vector"].tolist(), np.float64)]), np.zeros(0, int), np.zeros(0, int))
+            near = shard.joined(first := int(stay.sum()))
+            return pd.DataFrame([(r.cell, r.shard, r.id, shard.levels[n], r.vector, [[shard.ids[i] for i in layer] for layer in near[n - first]], False) for n, r in enumerate(own.itertuples(), first)], columns=names)
+        shard = Shard.loaded(config, row)
+        shard.applied(before)
+        shard.remove(gone)
         out = []
         for r in own.itertuples():
             x = np.array(r.vector, np.float64)

@@ -152,3 +152,42 @@ def test_ties_small_tables_and_errors(spark, tmp_path, space):
             routed.build(bad, str(tmp_path / "bad"), config)
     with pytest.raises(FileNotFoundError):
         routed.load(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("space", ["cosine", "l2"])
+def test_sure_search_is_exact(spark, tmp_path, space):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(1500, 24)), clustered(8, 500, 24, 3, 0.01), np.zeros((2, 24))]).astype(np.float32) + (100 if space == "l2" else 0)
+    rows = frame(spark, x).cache()
+    index = routed.build(rows.where("vec_id % 10 <> 3"), str(tmp_path / "ix"), IndexConfig(dim=24, space=space, ef_construction=40, ef_search=20))
+    index = routed.updated(index, rows.where("vec_id % 10 = 3"), rows.where("vec_id % 10 = 7"), ratio=1.0)
+    now, queries = rows.where("vec_id % 10 <> 7").cache(), asking(rows, 20)
+    far = lambda found: sorted((r["query_id"], r["rank"], round(r["distance"], 6 if space == "cosine" else 2)) for r in found.collect())
+    for k in (1, 10, 200):
+        assert far(routed.search(index, queries, k, sure=True)) == far(knn.knn(now, queries, k, space))
+    # with few vectors in reach a cell or two are read for each
+    q = np.array(queries.toPandas()["query"].tolist(), np.float64)
+    assert sum(map(len, routed.routed(index, q, 99, np.zeros(len(q))).values())) <= 1.2 * len(q)
+    assert sum(map(len, routed.routed(index, q, 99, np.full(len(q), np.inf)).values())) == len(q) * len(index.router.centroids)
+
+
+def test_each_finds_itself_in_tight_groups(spark, tmp_path):
+    rows = frame(spark, clustered(9, 3000, 32, 6, 0.01)).cache()
+    index = routed.build(rows.where("vec_id % 10 <> 3"), str(tmp_path / "ix"), IndexConfig(dim=32, ef_construction=60, ef_search=20))
+    index = routed.updated(index, rows.where("vec_id % 10 = 3"), rows.where("vec_id % 10 = 7"), ratio=1.0)
+    every = asking(rows, 1).where("query_id % 10 <> 7")
+    for sure in (False, True):
+        found = routed.search(index, every, 1, **{"sure": True} if sure else {}).collect()
+        assert len(found) == 2700 and all(r["query_id"] == r["id"] for r in found)
+
+
+def test_large_shards_are_walked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(routed, "SCANNED", 0)
+    rows = frame(spark, clustered(1, 1500)).cache()
+    index = routed.build(rows.where("vec_id % 10 <> 3"), str(tmp_path / "ix"), IndexConfig(dim=DIM, ef_construction=60, ef_search=60))
+    index = routed.updated(index, rows.where("vec_id % 10 = 3"), rows.where("vec_id % 10 = 7"), ratio=1.0)
+    now, queries = rows.where("vec_id % 10 <> 7"), asking(rows, 20)
+    walked = routed.search(index, queries, 10, probes=8).cache()
+    assert recall(walked, now, queries, 10) >= 0.95
+    monkeypatch.undo()
+    assert routed.search(index, queries, 10, probes=8).join(walked, ["query_id", "id"]).count() >= 0.95 * walked.count()
